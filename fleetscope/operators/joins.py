@@ -59,17 +59,21 @@ def insert_new(source: DataFrame, target: DataFrame, keys: Sequence[str]) -> Dat
 
 def null_safe_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner",
                    empty_as_null: bool = True) -> DataFrame:
-    """Join treating NULL keys (and '' when ``empty_as_null``) as equal."""
+    """Join treating NULL keys (and '' when ``empty_as_null``) as equal.
+
+    Returns the columns of ``a`` and the non-key columns of ``b``.
+    """
+    la, lb = a.alias("_nsa"), b.alias("_nsb")
     cond = None
     for k in keys:
-        left, right = a[k], b[k]
+        left, right = F.col(f"_nsa.{k}"), F.col(f"_nsb.{k}")
         if empty_as_null:
-            left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
-            c = left == right
+            c = F.coalesce(left, F.lit("")) == F.coalesce(right, F.lit(""))
         else:
             c = left.eqNullSafe(right)
         cond = c if cond is None else cond & c
-    return a.join(b, cond, how)
+    cols = [F.col(f"_nsa.{c}") for c in a.columns] + [F.col(f"_nsb.{c}") for c in b.columns if c not in keys]
+    return la.join(lb, cond, how).select(*cols)
 
 
 def circular_refs(a: DataFrame, b: DataFrame, left: str, right: str) -> DataFrame:
