@@ -72,3 +72,28 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: str,
 def changed(cur, prev) -> Column:
     """Null-safe inequality used for change flags."""
     return ~col(cur).eqNullSafe(col(prev))
+
+
+def with_previous_rows(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str], n: int,
+                       bucket: str = "day", alias: str = "prev_rows") -> DataFrame:
+    """Attach ``alias``: the previous ``n`` rows (structs of ``order_col`` and ``cols``),
+    oldest first, per key ordered by ``order_col``.
+
+    Bounded frame without a whole-key window: rows are windowed within
+    (key, bucket) and each bucket also receives the last ``n`` rows of the
+    preceding bucket as carry rows. Rows older than one bucket can only come
+    from that preceding bucket, so callers must not need history beyond one
+    bucket width when the preceding bucket is empty (e.g. flapping looks back
+    6 hours with day buckets).
+    """
+    keys = list(keys)
+    unit = bucket.upper()
+    own = df.withColumn("_bkt", F.date_trunc(bucket, F.col(order_col))).withColumn("_own", F.lit(True))
+    wdesc = Window.partitionBy(*keys, "_bkt").orderBy(F.col(order_col).desc())
+    tail = (own.withColumn("_rk", F.row_number().over(wdesc)).filter(F.col("_rk") <= n).drop("_rk")
+            .withColumn("_bkt", F.timestamp_add(unit, F.lit(1), F.col("_bkt")))
+            .withColumn("_own", F.lit(False)))
+    u = own.unionByName(tail)
+    w = Window.partitionBy(*keys, "_bkt").orderBy(order_col).rowsBetween(-n, -1)
+    out = u.withColumn(alias, F.collect_list(F.struct(order_col, *cols)).over(w))
+    return out.filter(F.col("_own")).drop("_own", "_bkt")
