@@ -97,3 +97,28 @@ def with_previous_rows(df: DataFrame, keys: Sequence[str], order_col: str, cols:
     w = Window.partitionBy(*keys, "_bkt").orderBy(order_col).rowsBetween(-n, -1)
     out = u.withColumn(alias, F.collect_list(F.struct(order_col, *cols)).over(w))
     return out.filter(F.col("_own")).drop("_own", "_bkt")
+
+
+def next_values(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str],
+                bucket: str | Column = "day", prefix: str = "next_") -> DataFrame:
+    """Add ``next_<c>``: the value of the following row per key (a skew-tolerant ``lead``).
+
+    Mirror of ``previous_values``: rows are windowed within (key, bucket) and
+    the first row of the following non-empty bucket is carried in.
+    """
+    keys = list(keys)
+    carried = [order_col] + [c for c in cols if c != order_col]
+    d = df.withColumn("_bkt", _bucket(order_col, bucket))
+    w = Window.partitionBy(*keys, "_bkt").orderBy(F.col(order_col).desc())
+    d = d.select("*", *[F.lag(c).over(w).alias(f"_lead_{c}") for c in carried],
+                 (F.row_number().over(w) == 1).alias("_last"))
+    first = (d.groupBy(*keys, "_bkt")
+             .agg(F.min_by(F.struct(*carried), F.col(order_col)).alias("_first")))
+    wb = Window.partitionBy(*keys).orderBy(F.col("_bkt").desc())
+    carry = first.select(*keys, "_bkt", F.lag("_first").over(wb).alias("_carry"))
+    j = d.join(carry, keys + ["_bkt"], "left")
+    return j.select(
+        *[F.col(c) for c in df.columns],
+        *[F.when(F.col("_last"), F.col(f"_carry.{c}")).otherwise(F.col(f"_lead_{c}")).alias(f"{prefix}{c}")
+          for c in carried],
+    )
