@@ -52,3 +52,25 @@ def failure_stats_anonymised(df: DataFrame, instance: str, process: str, time: s
     recent = df.filter(F.col(time) > F.timestamp_add("HOUR", F.lit(-hours), _ts(now)))
     return recent.groupBy(F.md5(F.col(instance)).alias("instance_hash"), F.col(process)) \
                  .agg(F.count(F.lit(1)).alias("failures"))
+
+
+def backup_age(databases: DataFrame, backup_sets: DataFrame, now, key: str = "database_id") -> DataFrame:
+    """Backup age per database (A20): latest data (full 'D' or differential 'I')
+    and log ('L') backup, days/minutes since (boundary counts; 9999 when there
+    is none), and whether a full backup is missing. Backup sets are reduced
+    per database before the join."""
+    from ..functions.timeops import datediff_boundary
+    from .timeseries import _ts
+
+    b = backup_sets.groupBy(key).agg(
+        F.max(F.when(F.col("type").isin("D", "I"), F.col("backup_finish_date"))).alias("last_data_backup"),
+        F.max(F.when(F.col("type") == "D", F.col("backup_finish_date"))).alias("_last_full"),
+        F.max(F.when(F.col("type") == "L", F.col("backup_finish_date"))).alias("last_log_backup"))
+    j = databases.select(key).join(b, key, "left")
+    now_c = _ts(now)
+    return j.select(key, "last_data_backup", "last_log_backup",
+                    F.coalesce(datediff_boundary("day", "last_data_backup", now_c), F.lit(9999))
+                    .alias("data_backup_age_days"),
+                    F.coalesce(datediff_boundary("minute", "last_log_backup", now_c), F.lit(9999))
+                    .alias("log_backup_age_minutes"),
+                    F.col("_last_full").isNull().alias("missing_full_backup"))
