@@ -85,3 +85,173 @@ def one_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -
     others = [c for c in df.columns if c not in keys]
     g = df.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order_cols)).alias("_r"))
     return g.select(*keys, "_r.*")
+
+
+# --- XML shredding --------------------------------------------------------------------------------------
+
+# Typed fields of an extended event, (name, element kind, type).
+EVENT_FIELDS = [
+    ("duration", "data", "bigint"),
+    ("cpu_time", "data", "bigint"),
+    ("physical_reads", "data", "bigint"),
+    ("logical_reads", "data", "bigint"),
+    ("writes", "data", "bigint"),
+    ("row_count", "data", "bigint"),
+    ("last_row_count", "data", "bigint"),
+    ("line_number", "data", "int"),
+    ("offset", "data", "int"),
+    ("offset_end", "data", "int"),
+    ("sql_text", "action", "string"),
+    ("client_app_name", "action", "string"),
+    ("client_hostname", "action", "string"),
+    ("database_name", "action", "string"),
+    ("plan_handle", "action", "string"),
+    ("session_id", "action", "int"),
+    ("username", "action", "string"),
+]
+
+EVENT_XML_SCHEMA = ("_name string, _timestamp string, "
+                    "data array<struct<_name: string, value: string, text: string>>, "
+                    "action array<struct<_name: string, value: string, text: string>>")
+
+
+def _named(arr: str) -> Column:
+    """array<struct<_name, value, text>> -> map name -> value (or text)."""
+    return F.map_from_entries(F.transform(F.col(arr), lambda x: F.struct(x["_name"], F.coalesce(x["value"], x["text"]))))
+
+
+def event_time_from_text(ts_text) -> Column:
+    """Event time from an XML timestamp attribute ('2024-01-01T10:00:07.179Z'), rounded
+    to whole seconds like a datetime2(0) column."""
+    t = F.to_timestamp_ntz(F.substring(ts_text, 1, 23), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    return F.date_trunc("second", F.timestamp_add("MILLISECOND", F.lit(500), t))
+
+
+def shred_event(df: DataFrame, xml_col: str = "event_data", keep: Sequence[str] = ()) -> DataFrame:
+    """Parse event XML once (``from_xml``) into typed columns.
+
+    Adds event_name, event_time and the 17 event fields; ``sql_text`` is
+    cleaned (tabs dropped, spaces squeezed). ``keep`` columns pass through.
+    """
+    from ..functions.scalars import clean_sql_text
+
+    e = df.select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
+    e = e.select(*keep, F.col("_e._name").alias("event_name"),
+                 event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
+                 _named("_e.data").alias("_d"), _named("_e.action").alias("_a"))
+    cols = []
+    for name, kind, typ in EVENT_FIELDS:
+        v = F.element_at(F.col("_d" if kind == "data" else "_a"), F.lit(name))
+        v = v.try_cast(typ) if typ != "string" else v
+        if name == "sql_text":
+            v = clean_sql_text(v)
+        cols.append(v.alias(name))
+    return e.select(*keep, "event_name", "event_time", *cols)
+
+
+def long_queries(shredded: DataFrame, rules: DataFrame | None, seen: DataFrame | None,
+                 keys: Sequence[str] = ("event_time", "session_id", "sql_instance"),
+                 rule_fields: Sequence[str] = ("sql_text", "client_app_name", "client_hostname", "username"))\
+        -> DataFrame:
+    """Long queries to store (E4): drop excluded ones (F8) and those already stored."""
+    from ..functions.patterns import exclude_rules
+
+    out = shredded
+    if rules is not None:
+        out = exclude_rules(out, rules, list(rule_fields))
+    if seen is not None:
+        out = out.join(seen.select(*keys).distinct(), list(keys), "left_anti")
+    return out
+
+
+FRAME_SCHEMA = "frame array<struct<_level: int, _handle: string, _offsetStart: int, _offsetEnd: int>>"
+
+
+def wait_events(shredded_waits: DataFrame, excluded: Sequence[str] = (), min_duration_ms: int = 0,
+                stack_col: str = "tsql_stack") -> DataFrame:
+    """One row per wait event and stack frame, excluded wait types dropped (E5).
+
+    ``stack_col`` holds the frames XML text; frames are parsed with
+    ``from_xml`` and exploded (events without frames keep one row).
+    """
+    w = shredded_waits
+    if excluded:
+        w = w.filter(~F.col("wait_type").isin(*excluded))
+    if min_duration_ms:
+        w = w.filter(F.col("duration") > min_duration_ms)
+    frames = F.from_xml(F.concat(F.lit("<value>"), F.col(stack_col), F.lit("</value>")), FRAME_SCHEMA)
+    w = w.withColumn("_f", frames["frame"])
+    return (w.select("*", F.explode_outer("_f").alias("_fr"))
+            .select(*[c for c in w.columns if c not in ("_f", stack_col)],
+                    F.col("_fr._level").alias("frame_level"), F.col("_fr._handle").alias("frame_handle"),
+                    F.col("_fr._offsetStart").alias("offset_start"), F.col("_fr._offsetEnd").alias("offset_end")))
+
+
+def health_events(df: DataFrame, xml_col: str, inner_schema: str, seen_max=None,
+                  keep: Sequence[str] = ()) -> DataFrame:
+    """Diagnostics results: component, state and the attributes of the embedded
+    component element, only events newer than ``seen_max`` (E6)."""
+    e = df.select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
+    e = e.select(*keep, event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
+                 _named("_e.data").alias("_d"))
+    if seen_max is not None:
+        e = e.filter(F.col("event_time") > F.lit(seen_max))
+    inner = F.from_xml(F.concat(F.lit("<value>"), F.element_at("_d", F.lit("data")), F.lit("</value>")),
+                       inner_schema)
+    return e.select(*keep, "event_time", F.element_at("_d", F.lit("component")).alias("component"),
+                    F.element_at("_d", F.lit("state")).alias("state"), inner.alias("detail")) \
+            .select(*keep, "event_time", "component", "state", "detail.*")
+
+
+def plan_dictionary(plans: DataFrame, existing: DataFrame | None = None, hash_col: str = "query_plan_hash",
+                    time: str = "event_time", order: Sequence[str] = ("event_time", "plan_handle")) -> DataFrame:
+    """One plan per plan hash with first and last seen times.
+
+    The kept plan is the first by a declared order; merging with ``existing``
+    keeps the existing plan text and widens the seen range.
+    """
+    cols = [c for c in plans.columns if c not in (hash_col,)]
+    first = plans.groupBy(hash_col).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"),
+                                        F.min(time).alias("first_seen"), F.max(time).alias("last_seen"))
+    new = first.select(hash_col, "_r.*", "first_seen", "last_seen").drop(time)
+    if existing is None:
+        return new
+    ex = existing.select(*new.columns)
+    both = ex.withColumn("_pri", F.lit(0)).unionByName(new.withColumn("_pri", F.lit(1)))
+    other = [c for c in new.columns if c not in (hash_col, "first_seen", "last_seen")]
+    g = both.groupBy(hash_col).agg(F.min_by(F.struct(*other), F.col("_pri")).alias("_r"),
+                                   F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return g.select(hash_col, "_r.*", "first_seen", "last_seen")
+
+
+def event_enrich(events: DataFrame, plans: DataFrame, databases: DataFrame,
+                 default_procedure: str = "Ad-Hoc Query") -> DataFrame:
+    """Long queries with plan hash, database id and procedure (J3): left joins on
+    the plan handle and the database name, procedure defaulted for ad-hoc SQL."""
+    from .joins import broadcast_if_small
+
+    j = events.join(broadcast_if_small(plans), "plan_handle", "left") \
+              .join(broadcast_if_small(databases), "database_name", "left")
+    return j.withColumn("procedure_name", F.coalesce(F.col("procedure_name"), F.lit(default_procedure)))
+
+
+def dense_rank_global(df: DataFrame, order_cols: Sequence[str], alias: str = "rank",
+                      partitions: int | None = None) -> DataFrame:
+    """Global dense rank by ``order_cols`` without a single-partition window.
+
+    Distinct keys are range-partitioned, numbered within each partition and
+    shifted by the key counts of the preceding partitions (a table with one
+    row per partition); the numbering is joined back on the keys.
+    """
+    from pyspark.sql import Window
+
+    keys = df.select(*order_cols).distinct()
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = keys.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*order_cols)
+    numbered = ranged.withColumn("_rn", F.row_number().over(w))
+    counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_pid", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
+    ranks = numbered.join(offs, "_pid").select(*order_cols, (F.col("_off") + F.col("_rn")).cast("bigint").alias(alias))
+    return df.join(ranks, list(order_cols), "left")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_aggs, q_checks, q_dims, q_graph, q_joins, q_metrics, q_rates, q_space, q_text, q_time  # noqa: F401,E501
+from . import (  # noqa: F401
+    q_aggs, q_checks, q_dims, q_events, q_graph, q_joins, q_metrics, q_rates, q_space, q_text, q_time,
+)
 from .registry import REGISTRY
 
 __all__ = ["REGISTRY"]
