@@ -177,3 +177,18 @@ def select_reports(reports: DataFrame, report_id: int | None = None, batch_id: i
     if triggered_by is not None:
         r = r.filter(F.col("report_id") != triggered_by)
     return r
+
+
+def expand_checks(templates: DataFrame, objects: DataFrame, id_base: int = 1_000_000) -> DataFrame:
+    """Checks generated from templates for every matching object.
+
+    ``templates``: template_id, object_kind, check_name with '{OBJECT}', thresholds.
+    ``objects``: sql_instance, object_kind, object_id, object_name.
+    Templates are configuration and broadcast; the object side is the data.
+    """
+    t = broadcast_if_small(templates)
+    j = objects.join(t, "object_kind")
+    return j.select("sql_instance", "template_id", "object_id", "object_kind",
+                    (F.col("template_id") * id_base + F.col("object_id")).alias("check_id"),
+                    F.replace(F.col("check_name"), F.lit("{OBJECT}"), F.col("object_name")).alias("check_name"),
+                    "check_threshold_warning", "check_threshold_critical")
