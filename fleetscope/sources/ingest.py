@@ -93,8 +93,8 @@ def errorlog_ingest(lines: DataFrame, keywords: DataFrame, seen: DataFrame | Non
                                             F.col("log_type_id").alias("_kw_type")))
     lt = F.lower(F.col("text"))
     cond = ((F.col("log_type_id") == F.col("_kw_type"))
-            & (F.locate(F.lower(F.col("keyword1")), lt) > 0)
-            & (F.col("keyword2").isNull() | (F.locate(F.lower(F.col("keyword2")), lt) > 0)))
+            & lt.contains(F.lower(F.col("keyword1")))
+            & (F.col("keyword2").isNull() | lt.contains(F.lower(F.col("keyword2")))))
     m = lines.join(kw, cond, "inner").drop("_kw_type", "keyword1", "keyword2")
     if seen is not None:
         hw = seen.groupBy("keyword_id", "log_type_id").agg(F.max("log_date").alias("_hw"))
