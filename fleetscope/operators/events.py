@@ -255,3 +255,37 @@ def dense_rank_global(df: DataFrame, order_cols: Sequence[str], alias: str = "ra
     offs = counts.select("_pid", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     ranks = numbered.join(offs, "_pid").select(*order_cols, (F.col("_off") + F.col("_rn")).cast("bigint").alias(alias))
     return df.join(ranks, list(order_cols), "left")
+
+
+BLOCKED_REPORT_SCHEMA = (
+    "_monitorLoop long, "
+    "`blocked-process` struct<process: struct<_spid: int, _ecid: int, _lockMode: string, _clientapp: string, "
+    "_hostname: string, _currentdbname: string, inputbuf: string>>, "
+    "`blocking-process` struct<process: struct<_spid: int, _ecid: int, _clientapp: string, _hostname: string, "
+    "_currentdbname: string, inputbuf: string>>")
+
+
+def blocked_process_edges(reports: DataFrame, xml_col: str = "report_xml", seen: DataFrame | None = None,
+                          keep: Sequence[str] = ("event_time", "duration")) -> DataFrame:
+    """Blocked-process reports -> blocking edges, new ones only.
+
+    ``duration`` is in microseconds and becomes ``blocking_duration_ms``.
+    ``seen`` holds stored edges; rows matching on the six edge keys are dropped.
+    """
+    r = reports.select(*keep, xml_col, F.from_xml(F.col(xml_col), BLOCKED_REPORT_SCHEMA).alias("_r"))
+    bd, bg = "_r.`blocked-process`.process", "_r.`blocking-process`.process"
+    edges = r.select(
+        F.col("_r._monitorLoop").alias("monitor_loop"), "event_time",
+        F.col(f"{bd}._spid").alias("blocked_spid"), F.col(f"{bd}._ecid").alias("blocked_ecid"),
+        F.col(f"{bg}._spid").alias("blocking_spid"), F.col(f"{bg}._ecid").alias("blocking_ecid"),
+        F.col(f"{bd}._lockMode").alias("lock_mode"),
+        F.col(f"{bd}._clientapp").alias("blocked_clientapp"), F.col(f"{bg}._clientapp").alias("blocking_clientapp"),
+        F.col(f"{bd}._hostname").alias("blocked_hostname"), F.col(f"{bg}._hostname").alias("blocking_hostname"),
+        F.col(f"{bd}._currentdbname").alias("blocked_currentdbname"),
+        F.col(f"{bg}._currentdbname").alias("blocking_currentdbname"),
+        F.col(f"{bd}.inputbuf").alias("blocked_inputbuf"), F.col(f"{bg}.inputbuf").alias("blocking_inputbuf"),
+        (F.col("duration") / 1000).alias("blocking_duration_ms"))
+    if seen is not None:
+        k = ["monitor_loop", "event_time", "blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"]
+        edges = edges.join(seen.select(*k).distinct(), k, "left_anti")
+    return edges

@@ -328,3 +328,46 @@ def q_job_history(spark, sf_dir):
     j = j.join(broadcast_if_small(jobs), "job_id").withColumn(
         "step_name", F.concat(F.lit("step "), _s("step_id")))
     return j
+
+
+# --- E2 blocked-process reports ----------------------------------------------------------------------------
+
+def _report_xml(spark, sf_dir):
+    from ..sources import fixtures as fx
+
+    e = fx.fx_edge(spark, sf_dir)
+    proc = lambda spid, app, db, buf, extra: F.concat(
+        F.lit('<process spid="'), _s(spid), F.lit('" ecid="0"'), extra, F.lit(' clientapp="'), app,
+        F.lit('" hostname="host'), _s(F.col("monitor_loop")), F.lit('" currentdbname="'), db, F.lit('"><inputbuf>'),
+        buf, F.lit("</inputbuf></process>"))
+    xml = F.concat(
+        F.lit('<blocked-process-report monitorLoop="'), _s("monitor_loop"), F.lit('"><blocked-process>'),
+        proc(F.col("blocked_spid"), F.lit("app_blocked"), F.col("database_name"),
+             F.concat(F.lit("UPDATE t SET x = "), _s("o_orderkey")),
+             F.concat(F.lit(' lockMode="'), F.col("lock_mode"), F.lit('"'))),
+        F.lit("</blocked-process><blocking-process>"),
+        proc(F.col("blocking_spid"), F.lit("app_blocking"), F.col("database_name"), F.lit("SELECT 1"), F.lit("")),
+        F.lit("</blocking-process></blocked-process-report>"))
+    return e.select("event_time", (F.col("blocking_duration_ms") * 1000).alias("duration"), xml.alias("report_xml"))
+
+
+@register("blocked_process_edges", oracle="""
+    SELECT monitor_loop, event_time, blocked_spid, 0 AS blocked_ecid, blocking_spid, 0 AS blocking_ecid, lock_mode,
+           'app_blocked' AS blocked_clientapp, 'app_blocking' AS blocking_clientapp,
+           'host' || CAST(monitor_loop AS VARCHAR) AS blocked_hostname,
+           'host' || CAST(monitor_loop AS VARCHAR) AS blocking_hostname,
+           database_name AS blocked_currentdbname, database_name AS blocking_currentdbname,
+           'UPDATE t SET x = ' || CAST(o_orderkey AS VARCHAR) AS blocked_inputbuf, 'SELECT 1' AS blocking_inputbuf,
+           CAST(blocking_duration_ms * 1000 AS DOUBLE) / 1000 AS blocking_duration_ms
+    FROM (SELECT o_custkey % 50 AS monitor_loop, o_orderdate AS event_time,
+                 CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INTEGER) AS blocked_spid,
+                 CAST(floor(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) / 3) AS INTEGER)
+                     AS blocking_spid,
+                 o_orderstatus AS lock_mode, o_orderpriority AS database_name,
+                 CAST(round(o_totalprice) AS BIGINT) AS blocking_duration_ms, o_orderkey FROM orders) e
+    WHERE event_time >= TIMESTAMP '1997-01-01 00:00:00'""")
+def q_blocked_process_edges(spark, sf_dir):
+    x = _report_xml(spark, sf_dir)
+    edges = ev.blocked_process_edges(x)
+    seen = edges.filter(F.col("event_time") < F.lit("1997-01-01 00:00:00").cast("timestamp_ntz"))
+    return ev.blocked_process_edges(x, seen=seen)
