@@ -29,25 +29,36 @@ def file_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return r.load(path)
 
 
+def _event_time(df: DataFrame, time: str) -> tuple[DataFrame, bool]:
+    """Watermarks need TIMESTAMP; wall-clock (NTZ) event times are read as session-zone timestamps."""
+    ntz = dict(df.dtypes)[time] == "timestamp_ntz"
+    return (df.withColumn(time, F.col(time).cast("timestamp")) if ntz else df), ntz
+
+
 def dedup_stream(df: DataFrame, keys: Sequence[str], time: str, watermark: str = "1 hour") -> DataFrame:
     """Exactly-once append of snapshots/events: duplicates of a key within the
     watermark are dropped; state older than the watermark is evicted (Z1)."""
-    return df.withWatermark(time, watermark).dropDuplicatesWithinWatermark(list(keys))
+    d, ntz = _event_time(df, time)
+    out = d.withWatermark(time, watermark).dropDuplicatesWithinWatermark(list(keys))
+    return out.withColumn(time, F.col(time).cast("timestamp_ntz")) if ntz else out
 
 
 def late_filter(df: DataFrame, time: str, watermark: str) -> DataFrame:
     """Declare the lateness bound; stateful operators downstream drop rows behind it."""
-    return df.withWatermark(time, watermark)
+    d, _ = _event_time(df, time)
+    return d.withWatermark(time, watermark)
 
 
 def trend_stream(df: DataFrame, keys: Sequence[str], time: str, value: str, minutes: int,
                  watermark: str = "10 minutes") -> DataFrame:
     """Tumbling n-minute trend windows, emitted once closed (append mode)."""
-    w = df.withWatermark(time, watermark)
+    d, ntz = _event_time(df, time)
+    w = d.withWatermark(time, watermark)
     g = (w.groupBy(*keys, F.window(time, f"{minutes} minutes").alias("_w"))
          .agg(F.avg(value).alias("value_avg"), F.min(value).alias("value_min"),
               F.max(value).alias("value_max"), F.sum(value).alias("value_sum"), F.count(value).alias("value_count")))
-    return g.select(*keys, F.col("_w.start").alias(time), "value_avg", "value_min", "value_max", "value_sum",
+    start = F.col("_w.start").cast("timestamp_ntz") if ntz else F.col("_w.start")
+    return g.select(*keys, start.alias(time), "value_avg", "value_min", "value_max", "value_sum",
                     "value_count", F.lit(minutes).alias("interval_minutes"))
 
 
