@@ -202,8 +202,15 @@ def baseline_values(history: DataFrame, membership: DataFrame, keys: Sequence[st
     if default_only:
         m = m.filter(F.col("is_default"))
     m = m.select("sql_instance", time).distinct()
-    return (history.join(m, ["sql_instance", time], "left_semi")
-            .groupBy(*keys).agg(F.avg(value).cast(DEC).alias("check_baseline")))
+    # Average in integer units of 1e-5 (each value rounded half-up to five
+    # decimals, the mean rounded half-up): exact and independent of the order
+    # in which partial sums are combined.
+    units = F.round(F.col(value) * 100000).cast("bigint")
+    g = (history.join(m, ["sql_instance", time], "left_semi")
+         .groupBy(*keys).agg(F.sum(units).alias("_s"), F.count(units).alias("_n")))
+    mean_units = F.floor((F.col("_s") * 2 + F.col("_n")) / (F.col("_n") * 2))
+    base = (mean_units.cast("decimal(28,0)") * F.lit(0.00001).cast("decimal(6,5)")).cast(DEC)
+    return g.select(*keys, base.alias("check_baseline"))
 
 
 def baseline_status(df: DataFrame, baselines: DataFrame, keys: Sequence[str] = ("sql_instance", "check_id"),

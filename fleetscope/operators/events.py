@@ -134,8 +134,9 @@ def shred_event(df: DataFrame, xml_col: str = "event_data", keep: Sequence[str]
     cleaned (tabs dropped, spaces squeezed). ``keep`` columns pass through.
     """
     from ..functions.scalars import clean_sql_text
+    from .joins import spread_for_cpu
 
-    e = df.select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
+    e = spread_for_cpu(df).select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
     e = e.select(*keep, F.col("_e._name").alias("event_name"),
                  event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
                  _named("_e.data").alias("_d"), _named("_e.action").alias("_a"))
@@ -191,7 +192,9 @@ def health_events(df: DataFrame, xml_col: str, inner_schema: str, seen_max=None,
                   keep: Sequence[str] = ()) -> DataFrame:
     """Diagnostics results: component, state and the attributes of the embedded
     component element, only events newer than ``seen_max`` (E6)."""
-    e = df.select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
+    from .joins import spread_for_cpu
+
+    e = spread_for_cpu(df).select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
     e = e.select(*keep, event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
                  _named("_e.data").alias("_d"))
     if seen_max is not None:
@@ -236,16 +239,18 @@ def event_enrich(events: DataFrame, plans: DataFrame, databases: DataFrame,
 
 
 def dense_rank_global(df: DataFrame, order_cols: Sequence[str], alias: str = "rank",
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, distinct_keys: bool = True) -> DataFrame:
     """Global dense rank by ``order_cols`` without a single-partition window.
 
     Distinct keys are range-partitioned, numbered within each partition and
     shifted by the key counts of the preceding partitions (a table with one
-    row per partition); the numbering is joined back on the keys.
+    row per partition); the numbering is joined back on the keys. With
+    ``distinct_keys=False`` the ordering columns must identify rows and the
+    result is a row number.
     """
     from pyspark.sql import Window
 
-    keys = df.select(*order_cols).distinct()
+    keys = df.select(*order_cols).distinct() if distinct_keys else df.select(*order_cols)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = keys.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order_cols)
@@ -272,7 +277,9 @@ def blocked_process_edges(reports: DataFrame, xml_col: str = "report_xml", seen:
     ``duration`` is in microseconds and becomes ``blocking_duration_ms``.
     ``seen`` holds stored edges; rows matching on the six edge keys are dropped.
     """
-    r = reports.select(*keep, xml_col, F.from_xml(F.col(xml_col), BLOCKED_REPORT_SCHEMA).alias("_r"))
+    from .joins import spread_for_cpu
+
+    r = spread_for_cpu(reports).select(*keep, xml_col, F.from_xml(F.col(xml_col), BLOCKED_REPORT_SCHEMA).alias("_r"))
     bd, bg = "_r.`blocked-process`.process", "_r.`blocking-process`.process"
     edges = r.select(
         F.col("_r._monitorLoop").alias("monitor_loop"), "event_time",

@@ -33,19 +33,16 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def global_sequence(df: DataFrame, group: str, order: Sequence[str], alias: str = "sequence") -> DataFrame:
-    """A global 1..N numbering ordered by (group, *order) without a single-partition window.
+    """A global 1..N numbering ordered by (group, *order) without a single-partition window.
 
-    Rows are numbered within their group; each group's offset is the running
-    total of the row counts of earlier groups, computed on the small
-    (groups)-sized count table.
+    Rows are range-partitioned on the ordering, numbered within each range
+    partition and shifted by the row counts of the preceding partitions (a
+    table with one row per partition). No group, however large, lands in one
+    task.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    d = df.withColumn("_rn", F.row_number().over(w))
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("_c"))
-    wo = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(group, F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
-    return d.join(offsets, group).withColumn(alias, (F.col("_off") + F.col("_rn")).cast("bigint")) \
-            .drop("_rn", "_off")
+    from .events import dense_rank_global
+
+    return dense_rank_global(df, [group, *order], alias=alias, distinct_keys=False)
 
 
 def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int = 100,
@@ -81,8 +78,9 @@ def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int = 100
                          F.lit(0).alias("blocking_level"))
     level = _cut(level)
     levels = [level]
-    step = e.select("monitor_loop", "blocked_spid", "blocked_ecid",
-                    F.col("blocking_spid").alias("_p_spid"), F.col("blocking_ecid").alias("_p_ecid")).distinct()
+    # the edge list is joined once per level: materialise it once
+    step = _cut(e.select("monitor_loop", "blocked_spid", "blocked_ecid",
+                         F.col("blocking_spid").alias("_p_spid"), F.col("blocking_ecid").alias("_p_ecid")).distinct())
     for depth in range(1, max_depth + 1):
         nxt = (level.join(step, (level.monitor_loop == step.monitor_loop) & (level.session_id == step._p_spid)
                           & (level.ecid == step._p_ecid))
@@ -137,22 +135,23 @@ def dependency_levels(edges: DataFrame, child: str = "child", parent: str = "par
     """Dependency level per node: 1 + the longest chain of parents above it, capped
     at ``max_level`` (J17). Nodes without parents are level 1.
 
-    Level-synchronous relaxation: each round joins levels to edges and keeps the
-    maximum; it stops when no level changes (at most ``max_level`` rounds).
+    Layered (semi-naive) evaluation: layer k holds the distinct nodes reached by
+    some parent chain of length k-1; a node's level is the deepest layer it
+    appears in. Each round joins only the previous layer with the edge list,
+    and layers are distinct node sets, so no path is enumerated twice.
     """
-    ed = edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent")).distinct()
+    # the edge list is joined once per layer: materialise it once
+    ed = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent")).distinct())
     nodes = ed.select("node").union(ed.select(F.col("_parent").alias("node"))).distinct()
-    lv = _cut(nodes.withColumn("level", F.lit(1)))
-    for _ in range(max_level):
-        cand = (ed.join(lv.select(F.col("node").alias("_parent"), F.col("level").alias("_pl")), "_parent")
-                .groupBy("node").agg(F.max(F.col("_pl") + 1).alias("_cand")))
-        new = (lv.join(cand, "node", "left")
-               .select("node", F.least(F.greatest(F.col("level"), F.coalesce(F.col("_cand"), F.lit(0))),
-                                       F.lit(max_level)).alias("level"),
-                       (F.coalesce(F.col("_cand"), F.lit(0)) > F.col("level")).alias("_chg")))
-        new = _cut(new)
-        changed = not new.filter(F.col("_chg") & (F.col("level") <= max_level)).isEmpty()
-        lv = new.drop("_chg")
-        if not changed:
+    layer = _cut(nodes)
+    layers = [layer.withColumn("level", F.lit(1))]
+    for lvl in range(2, max_level + 1):
+        nxt = _cut(ed.join(layer.withColumnRenamed("node", "_parent"), "_parent").select("node").distinct())
+        if nxt.isEmpty():
             break
-    return lv.select(F.col("node").alias(child), "level")
+        layers.append(nxt.withColumn("level", F.lit(lvl)))
+        layer = nxt
+    allv = layers[0]
+    for lv in layers[1:]:
+        allv = allv.unionByName(lv)
+    return allv.groupBy(F.col("node").alias(child)).agg(F.max("level").alias("level"))

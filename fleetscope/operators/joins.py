@@ -38,6 +38,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return df
 
 
+def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a DataFrame over the cluster's cores before CPU-heavy per-row work
+    (XML parsing, text scans) when its input arrives in fewer partitions than cores.
+
+    A no-op for large inputs, which already come in many splits; for a small
+    file with a single row group it turns one long task into one per core.
+    """
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def with_header(fact: DataFrame, header: DataFrame, keys: Sequence[str] = HEADER_KEYS) -> DataFrame:
     """Fact rows that belong to a registered snapshot, with header columns."""
     return fact.join(header, list(keys), "inner")

@@ -39,14 +39,12 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
                      CAST(SUM(inc) AS BIGINT) AS sum100, CAST(SUM(n) AS BIGINT) AS n
               FROM fx_inc GROUP BY sql_instance, snapshot_type_id, snapshot_time) c"""),
     "fx_edge": ((), """
-        SELECT monitor_loop, o_orderdate AS event_time, CAST(r AS INTEGER) AS blocked_spid,
-               0 AS blocked_ecid, CAST(floor(r / 3) AS INTEGER) AS blocking_spid, 0 AS blocking_ecid,
+        SELECT o_orderkey % 50 AS monitor_loop, o_orderdate AS event_time,
+               CAST(floor(o_orderkey / 50) AS INTEGER) AS blocked_spid, 0 AS blocked_ecid,
+               CAST(floor(floor(o_orderkey / 50) / 3) AS INTEGER) AS blocking_spid, 0 AS blocking_ecid,
                o_orderstatus AS lock_mode, o_orderpriority AS database_name,
                CAST(round(o_totalprice) AS BIGINT) AS blocking_duration_ms, o_orderkey
-        FROM (SELECT o_orderkey, o_orderdate, o_orderstatus, o_orderpriority, o_totalprice,
-                     o_custkey % 50 AS monitor_loop,
-                     row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS r
-              FROM orders) o"""),
+        FROM orders WHERE o_orderkey >= 50"""),
     "fx_volume": ((), """
         SELECT volume_id, snapshot_time,
                CAST(10000000 - SUM(used) OVER (PARTITION BY volume_id ORDER BY snapshot_time) AS BIGINT)

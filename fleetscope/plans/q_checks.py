@@ -218,10 +218,14 @@ _BASELINE_SQL = f"""
              OR NOT {match_sql('s.check_value', 's.check_threshold_critical', 10)} THEN 'OK'
            ELSE 'CRITICAL' END AS baseline_status
     FROM st s LEFT JOIN (
-      SELECT c.sql_instance, c.check_id, CAST(AVG(c.check_value) AS DECIMAL(28,5)) AS check_baseline
-      FROM fx_check c WHERE EXISTS (SELECT 1 FROM mem m WHERE m.is_default AND m.sql_instance = c.sql_instance
-                                    AND m.snapshot_time = c.snapshot_time)
-      GROUP BY c.sql_instance, c.check_id) b USING (sql_instance, check_id)"""
+      SELECT sql_instance, check_id,
+             CAST(CAST(floor((2 * s + n) / (2 * n)) AS DECIMAL(28,0)) * CAST(0.00001 AS DECIMAL(6,5))
+                  AS DECIMAL(28,5)) AS check_baseline
+      FROM (SELECT c.sql_instance, c.check_id, SUM(CAST(round(c.check_value * 100000) AS BIGINT)) AS s,
+                   COUNT(*) AS n
+            FROM fx_check c WHERE EXISTS (SELECT 1 FROM mem m WHERE m.is_default AND m.sql_instance = c.sql_instance
+                                          AND m.snapshot_time = c.snapshot_time)
+            GROUP BY c.sql_instance, c.check_id) a) b USING (sql_instance, check_id)"""
 
 
 @register("baseline_status", oracle=with_fixtures(_BASELINE_SQL, "fx_check", "fx_header",

@@ -98,7 +98,11 @@ SEEN_BEFORE = "2024-01-10 00:00:00"
                     AND s.sql_instance = q.sql_instance)""")
 def q_long_queries(spark, sf_dir):
     s = _shredded(spark, sf_dir)
-    seen = s.filter(F.col("event_time") < F.lit(SEEN_BEFORE).cast("timestamp_ntz"))
+    # rows stored by earlier runs (the long-query table): events before the cut-off
+    raw = read_table(spark, sf_dir, "events", "ts", "user_id")
+    seen = raw.select(F.date_trunc("second", "ts").alias("event_time"), (F.col("user_id") + 50).cast("int")
+                      .alias("session_id"), F.concat(F.lit("srv"), _s(F.col("user_id") % 4)).alias("sql_instance")) \
+              .filter(F.col("event_time") < F.lit(SEEN_BEFORE).cast("timestamp_ntz"))
     return ev.long_queries(s, EXCLUSION_RULES.df(spark), seen)
 
 
@@ -198,7 +202,9 @@ def _wait_xml(spark, sf_dir):
                  unnest(generate_series(1, event_id % 3 + 1)) AS i FROM events) w
     WHERE wait_type NOT IN ({", ".join("'" + w + "'" for w in EXCLUDED_WAITS)}) AND duration > 100""")
 def q_wait_events(spark, sf_dir):
-    x = _wait_xml(spark, sf_dir)
+    from ..operators.joins import spread_for_cpu
+
+    x = spread_for_cpu(_wait_xml(spark, sf_dir))
     e = x.select("event_id", F.from_xml("event_data", ev.EVENT_XML_SCHEMA).alias("_e"))
     e = e.select("event_id", ev.event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
                  ev._named("_e.data").alias("_d"), ev._named("_e.action").alias("_a"))
@@ -359,12 +365,12 @@ def _report_xml(spark, sf_dir):
            database_name AS blocked_currentdbname, database_name AS blocking_currentdbname,
            'UPDATE t SET x = ' || CAST(o_orderkey AS VARCHAR) AS blocked_inputbuf, 'SELECT 1' AS blocking_inputbuf,
            CAST(blocking_duration_ms * 1000 AS DOUBLE) / 1000 AS blocking_duration_ms
-    FROM (SELECT o_custkey % 50 AS monitor_loop, o_orderdate AS event_time,
-                 CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INTEGER) AS blocked_spid,
-                 CAST(floor(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) / 3) AS INTEGER)
-                     AS blocking_spid,
+    FROM (SELECT o_orderkey % 50 AS monitor_loop, o_orderdate AS event_time,
+                 CAST(floor(o_orderkey / 50) AS INTEGER) AS blocked_spid,
+                 CAST(floor(floor(o_orderkey / 50) / 3) AS INTEGER) AS blocking_spid,
                  o_orderstatus AS lock_mode, o_orderpriority AS database_name,
-                 CAST(round(o_totalprice) AS BIGINT) AS blocking_duration_ms, o_orderkey FROM orders) e
+                 CAST(round(o_totalprice) AS BIGINT) AS blocking_duration_ms, o_orderkey
+          FROM orders WHERE o_orderkey >= 50) e
     WHERE event_time >= TIMESTAMP '1997-01-01 00:00:00'""")
 def q_blocked_process_edges(spark, sf_dir):
     x = _report_xml(spark, sf_dir)

@@ -88,22 +88,22 @@ def fx_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocking edges: in each monitor loop, order r blocks on order floor(r/3).
+    """Blocking edges: orders spread over 50 monitor loops by order key; in each
+    loop the i-th order blocks on order i div 3 (a ternary tree rooted at i = 0,
+    the head blocker; a process never blocks itself).
 
-    Node 0 of each loop is the head blocker; depth grows with log3 of the loop
-    size. The row number is partitioned by loop, so work spreads over loops.
+    Depth grows with log3 of the loop size. No window or per-loop ordering is
+    needed: every edge is computed from its own row.
     """
-    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus",
                         "o_orderpriority", "o_totalprice", "o_orderdate")
-    w = Window.partitionBy("monitor_loop").orderBy("o_orderkey")
-    ranked = (orders.withColumn("monitor_loop", F.col("o_custkey") % 50)
-              .withColumn("r", F.row_number().over(w)))
-    return ranked.select(
-        "monitor_loop",
+    i = F.floor(F.col("o_orderkey") / 50)
+    return orders.filter(F.col("o_orderkey") >= 50).select(
+        (F.col("o_orderkey") % 50).alias("monitor_loop"),
         F.col("o_orderdate").alias("event_time"),
-        F.col("r").cast("int").alias("blocked_spid"),
+        i.cast("int").alias("blocked_spid"),
         F.lit(0).alias("blocked_ecid"),
-        F.floor(F.col("r") / 3).cast("int").alias("blocking_spid"),
+        F.floor(i / 3).cast("int").alias("blocking_spid"),
         F.lit(0).alias("blocking_ecid"),
         F.col("o_orderstatus").alias("lock_mode"),
         F.col("o_orderpriority").alias("database_name"),
@@ -113,14 +113,20 @@ def fx_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free bytes of volume ``l_suppkey`` at each month, falling monotonically."""
+    """Free bytes of volume ``l_suppkey`` at each month, falling monotonically.
+
+    The running total is bucketed by year (see ``operators.windows.running_sum``)
+    so a busy volume's history is not summed in one task.
+    """
+    from ..operators.windows import running_sum
+
     li = read_table(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity", "l_shipdate")
     monthly = (li.groupBy(F.col("l_suppkey").alias("volume_id"),
                           F.date_trunc("month", "l_shipdate").alias("snapshot_time"))
                .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("used")))
-    w = Window.partitionBy("volume_id").orderBy("snapshot_time")
-    return monthly.select(
+    cum = running_sum(monthly, ["volume_id"], "snapshot_time", "used", "cum_used", bucket="year")
+    return cum.select(
         "volume_id", "snapshot_time",
-        (F.lit(10000000) - F.sum("used").over(w)).cast("bigint").alias("free_bytes"),
+        (F.lit(10000000) - F.col("cum_used")).cast("bigint").alias("free_bytes"),
         F.lit(10000000).cast("bigint").alias("total_bytes"),
     )
