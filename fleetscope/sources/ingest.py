@@ -16,29 +16,29 @@ from pyspark.sql.types import StructType
 from ..functions.timeops import hhmmss_to_seconds, to_utc, yyyymmdd_hhmmss_to_ts
 from ..operators.joins import HEADER_KEYS, broadcast_if_small
 
-# Fact table -> snapshot type id.
+# Fact table -> snapshot type id (diagnostics facts use type 10).
 TABLE_SNAPSHOT_TYPES = [
-    ("sqlwatch_logger_agent_job_history", 16),
-    ("sqlwatch_logger_disk_utilisation_database", 2),
-    ("sqlwatch_logger_disk_utilisation_volume", 17),
-    ("sqlwatch_logger_index_missing_stats", 3),
-    ("sqlwatch_logger_index_usage_stats", 14),
-    ("sqlwatch_logger_index_histogram", 15),
-    ("sqlwatch_logger_perf_file_stats", 1),
-    ("sqlwatch_logger_perf_os_memory_clerks", 1),
-    ("sqlwatch_logger_perf_os_performance_counters", 1),
-    ("sqlwatch_logger_perf_os_process_memory", 1),
-    ("sqlwatch_logger_perf_os_schedulers", 1),
-    ("sqlwatch_logger_perf_os_wait_stats", 1),
-    ("sqlwatch_logger_whoisactive", 11),
-    ("sqlwatch_logger_xes_blockers", 9),
-    ("sqlwatch_logger_xes_iosubsystem", 10),
-    ("sqlwatch_logger_xes_long_queries", 7),
-    ("sqlwatch_logger_xes_query_processing", 10),
-    ("sqlwatch_logger_xes_waits_stats", 6),
-    ("sqlwatch_logger_check", 18),
-    ("sqlwatch_logger_check_action", 18),
-    ("sqlwatch_logger_disk_utilisation_table", 22),
+    ("agent_job_history", 16),
+    ("disk_utilisation_database", 2),
+    ("disk_utilisation_volume", 17),
+    ("index_missing_stats", 3),
+    ("index_usage_stats", 14),
+    ("index_histogram", 15),
+    ("perf_file_stats", 1),
+    ("perf_os_memory_clerks", 1),
+    ("perf_os_performance_counters", 1),
+    ("perf_os_process_memory", 1),
+    ("perf_os_schedulers", 1),
+    ("perf_os_wait_stats", 1),
+    ("whoisactive", 11),
+    ("xes_blockers", 9),
+    ("xes_iosubsystem", 10),
+    ("xes_long_queries", 7),
+    ("xes_query_processing", 10),
+    ("xes_waits_stats", 6),
+    ("check", 18),
+    ("check_action", 18),
+    ("disk_utilisation_table", 22),
 ]
 
 
