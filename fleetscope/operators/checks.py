@@ -267,3 +267,83 @@ def check_exec_stats(history: DataFrame, checks: DataFrame, exec_col: str = "che
         F.avg(exec_col).alias("avg_exec_ms"), F.count(F.lit(1)).alias("check_count"),
         F.max("snapshot_time").alias("last_check_time"))
     return checks.join(st, "check_id", "left")
+
+
+# The shipped check catalogue as
+# (check name, frequency minutes, warning threshold, critical threshold, expand by, use baseline).
+SHIPPED_CHECKS = [
+    ("Database {DATABASE} AUTO_CLOSE", 1440, None, ">0", "Database", False),
+    ("Database {DATABASE} PAGE_VERIFY", 1440, None, "<>2", "Database", False),
+    ("Database {DATABASE} AUTO_SHRINK", 1440, None, ">0", "Database", False),
+    ("Database {DATABASE} STATE", 60, None, ">0", "Database", False),
+    ("Database {DATABASE} USER ACCESS", 60, None, ">0", "Database", False),
+    ("Job {JOB} failure count", 10, None, ">0", "Job", False),
+    ("Disk {DISK} free space %", 360, "<0.1", "<0.05", "Disk", False),
+    ("Disk {DISK} days left until full", 1440, "<7", "<3", "Disk", False),
+    ("Database {Database} Log Backup Age", 10, ">10", ">60", "Database", False),
+    ("Database {Database} Data Backup Age", 720, ">1", ">7", "Database", False),
+    ("CPU Utilistaion", 5, ">60", ">80", None, True),
+    ("Full Scan Rate", 15, ">0.001", ">0.01", None, True),
+    ("SQL Compilations Rate", 15, ">0.10", ">0.15", None, True),
+    ("SQL Re-Compilations Rate", 15, ">0.10", ">0.15", None, True),
+    ("Page Split Rate", 15, ">0.20", ">0.25", None, True),
+    ("Free list stalls/sec", 15, ">2", ">5", None, True),
+    ("Lazy writes/sec", 15, ">20", ">25", None, True),
+    ("Page reads/sec", 15, ">90", ">120", None, True),
+    ("Page Lookups Rate", 15, ">100", ">120", None, True),
+    ("Page writes/sec", 15, ">90", ">120", None, True),
+    ("Average Wait Time (ms)", 15, ">500", ">1000", None, True),
+    ("Lock Requests/sec", 15, ">1000", ">1200", None, True),
+    ("Lock Timeouts/sec", 15, ">0", ">1", None, True),
+    ("Lock Waits/sec", 15, ">0.1", ">=1", None, True),
+    ("Readahead pages/sec", 15, ">20", ">25", None, True),
+    ("Number of Deadlocks/sec", 15, ">0", ">1", None, True),
+    ("Memory Grants Outstanding", 15, ">0", ">1", None, True),
+    ("Memory Grants Pending", 15, ">0", ">1", None, True),
+    ("Buffer cache hit ratio", 15, "<95", "<90", None, True),
+    ("Page life expectancy", 15, "<300", "<200", None, True),
+    ("Logins/sec", 15, ">2", ">5", None, True),
+    ("Errors/sec", 15, ">0", ">1", None, False),
+    ("Log Growths", 15, None, ">{LAST_CHECK_VALUE}", None, False),
+    ("dbachecks failed", 60, None, ">0", None, False),
+    ("Queued actions not processed", 15, None, ">0", None, False),
+    ("Action queue pending items", 15, None, ">10", None, False),
+    ("Action queue failed items", 15, None, ">5", None, False),
+    ("Check execution time", 15, None, ">1000", None, False),
+    ("Blocked Process", None, None, ">0", None, False),
+]
+
+
+def shipped_checks(spark) -> DataFrame:
+    """The shipped check catalogue as a configuration DataFrame."""
+    return spark.createDataFrame(
+        SHIPPED_CHECKS, "check_name string, check_frequency_minutes int, check_threshold_warning string, "
+                        "check_threshold_critical string, expand_by string, use_baseline boolean")
+
+
+def exact_mean(value, scale: int = 5) -> tuple[Column, Column]:
+    """(sum, count) aggregate parts for a mean rounded half-up at ``scale`` decimals,
+    computed in integer units so it does not depend on the order partial sums are
+    combined. Use with ``exact_mean_value``."""
+    units = F.round(F.col(value) * (10 ** scale)).cast("bigint") if isinstance(value, str) else \
+        F.round(value * (10 ** scale)).cast("bigint")
+    return F.sum(units), F.count(units)
+
+
+def exact_mean_value(sum_col: str, count_col: str, scale: int = 5) -> Column:
+    mean_units = F.floor((F.col(sum_col) * 2 + F.col(count_col)) / (F.col(count_col) * 2))
+    return (mean_units.cast("decimal(28,0)") * F.lit(10.0 ** -scale).cast(f"decimal({scale + 1},{scale})")) \
+        .cast(f"decimal(28,{scale})")
+
+
+def evaluate_checks(values: DataFrame, catalogue: DataFrame, name_col: str = "check_name",
+                    template_col: str = "check_template") -> DataFrame:
+    """Statuses for check values against a catalogue of thresholds (L1 + L4).
+
+    ``values``: sql_instance, check_template (catalogue name), check_name
+    (expanded), check_value. The catalogue is configuration and broadcast.
+    """
+    cat = broadcast_if_small(catalogue.withColumnRenamed(name_col, template_col))
+    j = values.join(cat, template_col)
+    return j.withColumn("check_status", status_of("check_value", "check_threshold_critical",
+                                                  "check_threshold_warning"))

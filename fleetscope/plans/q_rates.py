@@ -81,7 +81,7 @@ def q_cook_counters(spark, sf_dir):
 
 # --- M12 derived rates (pivot / unpivot) -------------------------------------------------------
 
-@register("counter_rates", oracle=with_fixtures(f"""
+_RATES_BODY = f"""
     SELECT sql_instance, instance_name, snapshot_time, counter_name, cntr_value_calculated FROM (
       SELECT sql_instance, instance_name, snapshot_time,
         CASE WHEN "Index Searches/sec" > 0 THEN "Full Scans/sec" / "Index Searches/sec" ELSE 0.0 END
@@ -112,7 +112,10 @@ def q_cook_counters(spark, sf_dir):
         GROUP BY sql_instance, instance_name, snapshot_time) pv) w
     UNPIVOT (cntr_value_calculated FOR counter_name IN
       ("Full Scan Rate", "SQL Compilations Rate", "SQL Re-Compilation Rate", "Page Split Rate",
-       "Page Lookups Rate"))""", "fx_sample", "fx_header", extra=[HP]))
+       "Page Lookups Rate"))"""
+
+
+@register("counter_rates", oracle=with_fixtures(_RATES_BODY, "fx_sample", "fx_header", extra=[HP]))
 def q_counter_rates(spark, sf_dir):
     s = fx.fx_sample(spark, sf_dir).join(broadcast_if_small(RATE_COUNTERS.df(spark)), "snapshot_type_id")
     s = s.withColumn("object_name", F.lit("SQLServer:SQL Statistics")) \
