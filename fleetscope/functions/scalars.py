@@ -151,3 +151,28 @@ def xes_timestamp_text(event_xml) -> Column:
     x = col(event_xml)
     pos = F.locate("timestamp", x)
     return F.when(pos > 0, F.substr(x, pos + F.lit(len('timestamp="')), F.lit(24)))
+
+
+def product_version_major(version) -> Column:
+    """'15.0.2000.5' -> 15.0 (the text up to one character after the first dot, as decimal(10,2))."""
+    v = col(version)
+    return F.substring(v, 1, F.locate(".", v) + 1).try_cast("decimal(10,2)")
+
+
+def product_version_minor(version) -> Column:
+    """Second dotted part from the right ('15.0.2000.5' -> 2000)."""
+    return parsename(version, 2)
+
+
+def escape_for(text, exec_type) -> Column:
+    """Quote escaping of text embedded in an action of the given type: T-SQL
+    doubles single quotes, PowerShell back-ticks double quotes; trimmed; '' otherwise."""
+    t = col(text)
+    return F.coalesce(F.trim(F.when(col(exec_type) == "T-SQL", F.replace(t, F.lit("'"), F.lit("''")))
+                             .when(col(exec_type) == "PowerShell", F.replace(t, F.lit('"'), F.lit('`"')))),
+                      F.lit(""))
+
+
+def error_detail_text(*parts) -> Column:
+    """Error detail as 'a | b | c' of the non-NULL parts."""
+    return F.concat_ws(" | ", *[col(p) for p in parts])
