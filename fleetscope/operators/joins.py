@@ -14,27 +14,27 @@ from pyspark.sql import functions as F
 
 HEADER_KEYS = ["sql_instance", "snapshot_type_id", "snapshot_time"]
 
-# Dimensions up to this many rows are broadcast explicitly; above it the
-# planner chooses (AQE converts to broadcast at run time when it can).
-BROADCAST_ROW_LIMIT = 1_000_000
+# Configuration relations up to this many rows are broadcast explicitly.
+BROADCAST_ROW_LIMIT = 100_000
+
+
+def mark_bounded(df: DataFrame, rows: int) -> DataFrame:
+    """Record a proven row bound on a DataFrame built from known rows (configuration)."""
+    df._fleetscope_rows = rows  # noqa: SLF001 - a plain Python attribute on this DataFrame object
+    return df
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when the optimizer's size estimate proves it small.
+    """Broadcast ``df`` only when its size is proven: configuration relations built
+    from a known list of rows carry their row count (``mark_bounded``).
 
-    Uses the logical plan's statistics (no job is run). Without a row count
-    estimate the side is left to the planner and AQE.
+    Anything else is left to the planner, whose broadcast decision is itself a
+    size check (``spark.sql.autoBroadcastJoinThreshold``) with a sort-merge join
+    beyond it, and to AQE, which re-plans with measured sizes at run time.
     """
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        rows = stats.rowCount()
-        if rows.isDefined() and int(rows.get().toString()) <= max_rows:
-            return F.broadcast(df)
-        size = int(stats.sizeInBytes().toString())
-        if size <= 64 * 1024 * 1024:
-            return F.broadcast(df)
-    except Exception:  # noqa: BLE001 - statistics are advisory
-        pass
+    rows = getattr(df, "_fleetscope_rows", None)
+    if rows is not None and rows <= max_rows:
+        return F.broadcast(df)
     return df
 
 

@@ -32,7 +32,9 @@ class Relation:
         self.types = [c.strip().split()[1] for c in ddl.split(",")]
 
     def df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.ddl)
+        from ..operators.joins import mark_bounded
+
+        return mark_bounded(spark.createDataFrame(self.rows, self.ddl), len(self.rows))
 
     def sql(self) -> str:
         casts = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
