@@ -58,47 +58,78 @@ _SUPPRESS_SCHEMA = ("sql_instance string, check_id int, action_id int, snapshot_
                     "action_type string, sent boolean, suppressed_reason string, action_count_last_hour int")
 
 
-def _suppress_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("snapshot_time", kind="stable")
-    sent_times: list = []
-    out = []
-    for r in pdf.itertuples(index=False):
-        t = r.snapshot_time
-        hour_ago = t - pd.Timedelta(hours=1)
-        sent_times = [s for s in sent_times if s > hour_ago]
-        count = len(sent_times)
-        last = max(sent_times) if sent_times else None
-        reason = None
-        typ = r.action_type
-        if bool(r.is_flapping) and not bool(r.action_every_failure):
-            reason, typ = "FLAPPING", None
-        elif count > r.action_hourly_limit:
-            reason, typ = "HOURLY LIMIT", None
-        elif typ == NONE and bool(r.repeat_candidate):
-            last_t = last if last is not None else pd.Timestamp("1970-01-01")
-            minutes = int((t.floor("min") - last_t.floor("min")).total_seconds() // 60)
-            if minutes > r.action_repeat_period_minutes:
-                typ = REPEAT
-        sent = typ is not None and typ != NONE
-        if sent:
-            sent_times.append(t)
-        out.append((r.sql_instance, int(r.check_id), int(r.action_id), t, typ if typ else NONE, sent, reason, count))
-    return pd.DataFrame(out, columns=["sql_instance", "check_id", "action_id", "snapshot_time", "action_type",
-                                      "sent", "suppressed_reason", "action_count_last_hour"])
+def _decide(r, sent_times: list):
+    """One step of the replay: (action type, sent, reason, count last hour); mutates ``sent_times``."""
+    t = r.snapshot_time
+    hour_ago = t - pd.Timedelta(hours=1)
+    sent_times[:] = [x for x in sent_times if x > hour_ago]
+    count = len(sent_times)
+    last = max(sent_times) if sent_times else None
+    reason = None
+    typ = r.action_type
+    if bool(r.is_flapping) and not bool(r.action_every_failure):
+        reason, typ = "FLAPPING", None
+    elif count > r.action_hourly_limit:
+        reason, typ = "HOURLY LIMIT", None
+    elif typ == NONE and bool(r.repeat_candidate):
+        last_t = last if last is not None else pd.Timestamp("1970-01-01")
+        minutes = int((t.floor("min") - last_t.floor("min")).total_seconds() // 60)
+        if minutes > r.action_repeat_period_minutes:
+            typ = REPEAT
+    sent = typ is not None and typ != NONE
+    if sent:
+        sent_times.append(t)
+    return (typ if typ else NONE), sent, reason, count
+
+
+_OUT_COLS = ["sql_instance", "check_id", "action_id", "snapshot_time", "action_type", "sent", "suppressed_reason",
+             "action_count_last_hour"]
+
+
+def _suppress_partition(batches):
+    """Replay rows sorted by (key, episode, time); state resets at each new episode."""
+    current, sent_times = None, []
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            k = (r.sql_instance, r.check_id, r.action_id, r.episode)
+            if k != current:
+                current, sent_times = k, []
+            typ, sent, reason, count = _decide(r, sent_times)
+            out.append((r.sql_instance, int(r.check_id), int(r.action_id), r.snapshot_time, typ, sent, reason, count))
+        yield pd.DataFrame(out, columns=_OUT_COLS)
 
 
 def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping") -> DataFrame:
     """Apply flapping suppression, the hourly limit and repeat periods in order.
 
     Only rows that could send are processed; NONE rows that cannot repeat are
-    dropped beforehand. Each (instance, check, action) is replayed in time
-    order with its recent send times as state.
+    dropped beforehand. The replay is sequential per (instance, check,
+    action), but its state -- sends of the last hour and the last send time --
+    is irrelevant after a quiet gap longer than both one hour and the repeat
+    period. Candidate rows are therefore split into episodes at such gaps and
+    the episodes replayed independently, so no key's whole history is handed
+    to one task.
     """
+    from .windows import previous_values, running_sum
+
+    keys = ["sql_instance", "check_id", "action_id"]
     c = candidates.filter((F.col("action_type") != NONE) | F.col("repeat_candidate"))
-    c = c.select("sql_instance", "check_id", "action_id", "snapshot_time", "action_type", "repeat_candidate",
+    c = c.select(*keys, "snapshot_time", "action_type", "repeat_candidate",
                  F.coalesce(F.col(flapping_col), F.lit(False)).alias("is_flapping"),
                  "action_every_failure", "action_hourly_limit", "action_repeat_period_minutes")
-    return c.groupBy("sql_instance", "check_id", "action_id").applyInPandas(_suppress_group, _SUPPRESS_SCHEMA)
+    p = previous_values(c, keys, "snapshot_time", [])
+    quiet = F.greatest(F.lit(60), F.coalesce(F.col("action_repeat_period_minutes"), F.lit(0)))
+    gap = F.timestamp_diff("MINUTE", F.col("prev_snapshot_time"), F.col("snapshot_time"))
+    starts = F.when(F.col("prev_snapshot_time").isNull() | (gap > quiet), 1).otherwise(0).cast("bigint")
+    e = running_sum(p.withColumn("_start", starts).drop("prev_snapshot_time"), keys, "snapshot_time", "_start",
+                    "episode", bucket="month")
+    # Co-locate each episode and replay partitions in (key, episode, time) order: one
+    # Python call per Arrow batch rather than one per episode; the sort spills as needed.
+    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (e.drop("_start").repartition(n, *keys, "episode")
+               .sortWithinPartitions(*keys, "episode", "snapshot_time"))
+    return ordered.mapInPandas(_suppress_partition, _SUPPRESS_SCHEMA)
 
 
 def queue_next(queue: DataFrame, now, n: int = 1, retry_after: int = RETRY_AFTER_MINUTES) -> DataFrame:

@@ -19,16 +19,17 @@ QUEUE_OK_DAYS, QUEUE_FAILED_DAYS = 7, 30
 LAST_SEEN_PURGE_DAYS = 7
 
 
-def retention_cutoffs(policy: DataFrame, instances: DataFrame, header: DataFrame, now) -> DataFrame:
-    """Cut-off time per (instance, snapshot type).
+def retention_cutoffs(policy: DataFrame, header: DataFrame, now) -> DataFrame:
+    """Cut-off time per (instance, snapshot type) present in the header (K1).
 
     ``now - retention_days`` for positive days; for 0 or negative (keep the
-    latest only) the latest snapshot time of that instance and type.
+    latest only) the latest snapshot time of that instance and type. Only
+    pairs that have snapshots need a cut-off, so the per-pair latest time
+    (an aggregate of the header) is joined to the policy on the type -- no
+    instances x types grid is materialised.
     """
-    grid = instances.select("sql_instance").distinct().crossJoin(
-        broadcast_if_small(policy.select("snapshot_type_id", "retention_days")))
     latest = header.groupBy("sql_instance", "snapshot_type_id").agg(F.max("snapshot_time").alias("_latest"))
-    j = grid.join(latest, ["sql_instance", "snapshot_type_id"], "left")
+    j = latest.join(broadcast_if_small(policy.select("snapshot_type_id", "retention_days")), "snapshot_type_id")
     cut = F.when(F.col("retention_days") > 0,
                  F.timestamp_add("DAY", -F.col("retention_days"), _ts(now))).otherwise(F.col("_latest"))
     return j.select("sql_instance", "snapshot_type_id", "retention_days", cut.alias("cutoff_time"))

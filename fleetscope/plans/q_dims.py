@@ -156,18 +156,17 @@ def q_rule_violations(spark, sf_dir):
 
 POLICY = Relation("snapshot_type_id int, retention_days int", [(1, 8), (2, 3), (3, -1), (4, 30), (5, 2)])
 _CUT_CTE = ("cut", f"""
-    SELECT i.sql_instance, p.snapshot_type_id, p.retention_days,
+    SELECT l.sql_instance, p.snapshot_type_id, p.retention_days,
            CASE WHEN p.retention_days > 0 THEN {NOW} - to_days(CAST(p.retention_days AS BIGINT)) ELSE l.latest END
                AS cutoff_time
-    FROM (SELECT DISTINCT sql_instance FROM fx_header) i CROSS JOIN ({POLICY.sql()}) p
-    LEFT JOIN (SELECT sql_instance, snapshot_type_id, MAX(snapshot_time) AS latest FROM fx_header
-               GROUP BY sql_instance, snapshot_type_id) l
-      ON l.sql_instance = i.sql_instance AND l.snapshot_type_id = p.snapshot_type_id""")
+    FROM (SELECT sql_instance, snapshot_type_id, MAX(snapshot_time) AS latest FROM fx_header
+          GROUP BY sql_instance, snapshot_type_id) l
+    JOIN ({POLICY.sql()}) p ON l.snapshot_type_id = p.snapshot_type_id""")
 
 
 def _cutoffs(spark, sf_dir):
     h = fx.fx_header(spark, sf_dir)
-    return retention.retention_cutoffs(POLICY.df(spark), h, h, NOW_PY)
+    return retention.retention_cutoffs(POLICY.df(spark), h, NOW_PY)
 
 
 @register("retention_cutoffs", oracle=with_fixtures("SELECT * FROM cut", "fx_header", extra=[_CUT_CTE]))

@@ -215,7 +215,7 @@ def test_retention_keep_latest_and_queue_null_status(spark):
     h = spark.createDataFrame([("s", 1, ts(1)), ("s", 1, ts(2)), ("s", 2, ts(1))],
                               "sql_instance string, snapshot_type_id int, snapshot_time timestamp_ntz")
     pol = spark.createDataFrame([(1, -1), (2, 30)], "snapshot_type_id int, retention_days int")
-    cut = retention.retention_cutoffs(pol, h, h, ts(3))
+    cut = retention.retention_cutoffs(pol, h, ts(3))
     kept = rows(retention.retention_apply(h, cut), "snapshot_type_id", "snapshot_time")
     assert kept == [(1, ts(2)), (2, ts(1))]
     q = spark.createDataFrame([(1, None, D(2023, 12, 20)), (2, "OK", D(2023, 12, 20))],
