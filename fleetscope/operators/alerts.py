@@ -134,7 +134,12 @@ def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping") ->
 
 def queue_next(queue: DataFrame, now, n: int = 1, retry_after: int = RETRY_AFTER_MINUTES) -> DataFrame:
     """Next items to execute: never attempted, or RETRYING and last tried more than
-    ``retry_after`` minutes ago; oldest first per instance (L12, O2)."""
+    ``retry_after`` minutes ago; oldest first per instance (L12, O2).
+
+    ``row_number() <= n`` is planned as a group limit applied on each map
+    partition before the shuffle (WindowGroupLimit), so a busy instance's queue
+    is cut to ``n`` rows per partition before it moves.
+    """
     ready = (F.col("exec_status").isNull()
              | ((F.col("exec_status") == "RETRYING")
                 & (datediff_boundary("minute", F.coalesce(F.col("exec_time_end"), F.col("time_queued")), _ts(now))

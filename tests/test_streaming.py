@@ -135,3 +135,35 @@ def test_action_suppress_batch_and_stream_equal_brute_force(spark, tmp_path):
              for r in out.filter("sent").collect()}
     assert got_s == want
     assert ck.OK == "OK"
+
+
+def test_late_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    import datetime as dt
+
+    schema = "sql_instance string, ts timestamp_ntz, v100 bigint"
+    src, sink, ck_dir = str(tmp_path / "src"), str(tmp_path / "sink"), str(tmp_path / "ck")
+    d = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    spark.createDataFrame([("s", d(10, 5), 1), ("s", d(10, 50), 2), ("s", d(11, 30), 4)], schema) \
+        .write.mode("append").parquet(src)
+
+    def run():
+        q = so.start(so.trend_stream(so.file_stream(spark, src, schema), ["sql_instance"], "ts", "v100", 60,
+                                     watermark="0 seconds"), "parquet", ck_dir, available_now=True, path=sink)
+        q.awaitTermination()
+
+    run()
+    # a late row for the closed 10:00 window, and rows that close the 11:00 window
+    spark.createDataFrame([("s", d(10, 15), 100), ("s", d(12, 40), 8)], schema).write.mode("append").parquet(src)
+    run()
+    got = {r.ts.hour: r.value_sum for r in spark.read.parquet(sink).collect()}
+    assert got == {10: 3, 11: 4}
+
+
+def test_dimensions_refresh_before_facts_in_each_batch(spark, tmp_path):
+    calls = []
+    body = so.refresh_then_load(lambda df, i: calls.append(("dim", i)), lambda df, i: calls.append(("fact", i)))
+    src = str(tmp_path / "src")
+    spark.range(5).withColumnRenamed("id", "x").write.parquet(src)
+    q = so.start(so.file_stream(spark, src, "x bigint"), body, str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination()
+    assert calls and all(calls[i][0] == "dim" and calls[i + 1][0] == "fact" for i in range(0, len(calls), 2))
