@@ -20,6 +20,15 @@ AUTO_INTERVAL_DEFAULT = 5
 AUTO_INTERVAL_MAX = 1440
 
 
+def trunc_ntz(unit: str, ts) -> Column:
+    """``date_trunc`` that keeps wall-clock (``timestamp_ntz``) semantics.
+
+    Spark's ``date_trunc`` returns a session-zone ``timestamp``; casting back
+    keeps results independent of the session time zone.
+    """
+    return F.date_trunc(unit, col(ts)).cast("timestamp_ntz")
+
+
 def _origin() -> Column:
     return F.lit(TIME_GROUP_ORIGIN).cast("timestamp_ntz")
 
@@ -44,7 +53,7 @@ def auto_interval(report_hours: float | None) -> int:
 
 def report_time(ts, offset_minutes=None) -> Column:
     """Ceil a whole-second timestamp to the minute, shifted to local time (T4)."""
-    ceiled = F.date_trunc("minute", col(ts) + F.expr("INTERVAL 59 SECONDS"))
+    ceiled = trunc_ntz("minute", col(ts) + F.expr("INTERVAL 59 SECONDS"))
     if offset_minutes is None:
         return ceiled
     return F.timestamp_add("MINUTE", col(offset_minutes), ceiled)
@@ -70,8 +79,8 @@ def datediff_boundary(unit: str, start, end) -> Column:
     Differs from elapsed units: 00:59 -> 01:01 is one hour boundary.
     """
     unit = unit.lower()
-    a = F.date_trunc(_TRUNC[unit], col(start))
-    b = F.date_trunc(_TRUNC[unit], col(end))
+    a = trunc_ntz(_TRUNC[unit], col(start))
+    b = trunc_ntz(_TRUNC[unit], col(end))
     return F.timestamp_diff(unit.upper(), a, b)
 
 

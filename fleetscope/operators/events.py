@@ -124,7 +124,7 @@ def event_time_from_text(ts_text) -> Column:
     """Event time from an XML timestamp attribute ('2024-01-01T10:00:07.179Z'), rounded
     to whole seconds like a datetime2(0) column."""
     t = F.to_timestamp_ntz(F.substring(ts_text, 1, 23), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
-    return F.date_trunc("second", F.timestamp_add("MILLISECOND", F.lit(500), t))
+    return F.date_trunc("second", F.timestamp_add("MILLISECOND", F.lit(500), t)).cast("timestamp_ntz")
 
 
 def shred_event(df: DataFrame, xml_col: str = "event_data", keep: Sequence[str] = ()) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeops import trunc_ntz
+
 from ..operators import dims, retention
 from ..operators.alerts import queue_next, queue_update
 from ..operators.joins import broadcast_if_small
@@ -141,7 +143,7 @@ _BASE_SQL = """SELECT o_orderkey - 10 AS baseline_id, concat('srv', CAST(o_custk
     extra=[("b", _BASE_SQL), ("a", _ACTIONS_SQL)]))
 def q_rule_violations(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    month = F.date_trunc("month", "o_orderdate")
+    month = trunc_ntz("month", "o_orderdate")
     b = o.select((F.col("o_orderkey") - 10).alias("baseline_id"),
                  F.concat(F.lit("srv"), (F.col("o_custkey") % 4).cast("string")).alias("sql_instance"),
                  month.alias("baseline_start"), F.timestamp_add("MONTH", F.lit(1), month).alias("baseline_end"),

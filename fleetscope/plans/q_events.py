@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.timeops import trunc_ntz
+
 from ..functions import enums
 from ..functions.scalars import parse_wait_info, grouped_number
 from ..operators import events as ev
@@ -100,7 +102,7 @@ def q_long_queries(spark, sf_dir):
     s = _shredded(spark, sf_dir)
     # rows stored by earlier runs (the long-query table): events before the cut-off
     raw = read_table(spark, sf_dir, "events", "ts", "user_id")
-    seen = raw.select(F.date_trunc("second", "ts").alias("event_time"), (F.col("user_id") + 50).cast("int")
+    seen = raw.select(trunc_ntz("second", "ts").alias("event_time"), (F.col("user_id") + 50).cast("int")
                       .alias("session_id"), F.concat(F.lit("srv"), _s(F.col("user_id") % 4)).alias("sql_instance")) \
               .filter(F.col("event_time") < F.lit(SEEN_BEFORE).cast("timestamp_ntz"))
     return ev.long_queries(s, EXCLUSION_RULES.df(spark), seen)
@@ -270,7 +272,7 @@ def q_session_activity(spark, sf_dir):
     from pyspark.sql import Window
 
     e = read_table(spark, sf_dir, "events", "ts", "user_id", "value")
-    s = e.groupBy(F.col("user_id").alias("session_id"), F.date_trunc("hour", "ts").alias("collection_time")).agg(
+    s = e.groupBy(F.col("user_id").alias("session_id"), trunc_ntz("hour", "ts").alias("collection_time")).agg(
         F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"),
         F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("v"))
     wtype = F.when(F.col("n") > 1, "LCK_M_S").otherwise("PAGEIOLATCH_SH")

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeops import trunc_ntz
+
 from ..functions import enums
 from ..functions.patterns import wait_category, wait_category_sql
 from ..operators.deltas import active_since, counter_delta, wait_delta
@@ -200,7 +202,7 @@ def _proc_samples(spark, sf_dir):
     s = fx.fx_sample(spark, sf_dir)
     return s.select(*K, T,
                     F.timestamp_add("MINUTE", (F.col("base_cntr_value") / 10).cast("bigint"),
-                                    F.date_trunc("day", T)).alias("last_execution_time"),
+                                    trunc_ntz("day", T)).alias("last_execution_time"),
                     F.col("base_cntr_value").alias("execution_count"),
                     F.col("cntr_value").alias("total_worker_time"))
 

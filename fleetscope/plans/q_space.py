@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.timeops import trunc_ntz
+
 from ..operators.growth import growth
 from ..operators.windows import running_sum
 from ..sources import fixtures as fx
@@ -47,7 +49,7 @@ _DB_CTE = ("dbs", """SELECT database_id, snapshot_time,
                                                   extra=[_DB_CTE]))
 def q_growth_database(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders", "o_custkey", "o_orderdate", "o_totalprice")
-    m = (o.groupBy(F.col("o_custkey").alias("database_id"), F.date_trunc("month", "o_orderdate").alias("snapshot_time"))
+    m = (o.groupBy(F.col("o_custkey").alias("database_id"), trunc_ntz("month", "o_orderdate").alias("snapshot_time"))
          .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents")))
     sized = running_sum(m, ["database_id"], "snapshot_time", "cents", "size_bytes", bucket="year")
     return growth(sized.drop("cents"), ["database_id"], "snapshot_time", "size_bytes")
@@ -63,7 +65,7 @@ _TBL_CTE = ("tbl", """SELECT table_id, snapshot_time,
                                                extra=[_TBL_CTE]))
 def q_growth_table(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate")
-    m = (li.groupBy(F.col("l_partkey").alias("table_id"), F.date_trunc("month", "l_shipdate").alias("snapshot_time"))
+    m = (li.groupBy(F.col("l_partkey").alias("table_id"), trunc_ntz("month", "l_shipdate").alias("snapshot_time"))
          .agg(F.count(F.lit(1)).alias("n")))
     sized = running_sum(m, ["table_id"], "snapshot_time", "n", "row_count", bucket="year")
     return growth(sized.drop("n"), ["table_id"], "snapshot_time", "row_count")

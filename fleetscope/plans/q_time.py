@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timeops import datediff_boundary, report_time, time_group
+from ..functions.timeops import datediff_boundary, report_time, time_group, trunc_ntz
 from ..operators.deltas import counter_delta
 from ..operators.timeseries import (
     dim_time, flag_latest, freshness, freshness_wide, latest_per_key, stalest, time_intervals,
@@ -49,7 +49,7 @@ def q_time_intervals(spark, sf_dir):
     FROM events""")
 def q_report_time(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id")
-    h = ev.select("event_id", F.date_trunc("second", "ts").alias("snapshot_time"),
+    h = ev.select("event_id", trunc_ntz("second", "ts").alias("snapshot_time"),
                   ((F.col("user_id") % 4) * 60 - 120).cast("int").alias("utc_offset_minutes"))
     return h.withColumn("report_time", report_time("snapshot_time", "utc_offset_minutes"))
 

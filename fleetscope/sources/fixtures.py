@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.timeops import trunc_ntz
+
 from .tables import read_table
 
 SAMPLE_KEYS = ["sql_instance", "instance_name", "snapshot_type_id"]
@@ -43,7 +45,7 @@ def fx_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("srv"), (F.col("user_id") % 4).cast("string")).alias("sql_instance"),
         F.concat(F.lit("db"), (F.col("user_id") % 3).cast("string")).alias("instance_name"),
         _snapshot_type(F.col("event_type")).alias("snapshot_type_id"),
-        F.date_trunc("hour", "ts").alias("snapshot_time"),
+        trunc_ntz("hour", "ts").alias("snapshot_time"),
         F.round(F.col("value") * 100).cast("bigint").alias("v100"),
     )
 
@@ -122,7 +124,7 @@ def fx_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     li = read_table(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity", "l_shipdate")
     monthly = (li.groupBy(F.col("l_suppkey").alias("volume_id"),
-                          F.date_trunc("month", "l_shipdate").alias("snapshot_time"))
+                          trunc_ntz("month", "l_shipdate").alias("snapshot_time"))
                .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("used")))
     cum = running_sum(monthly, ["volume_id"], "snapshot_time", "used", "cum_used", bucket="year")
     return cum.select(
