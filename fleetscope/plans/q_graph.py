@@ -75,26 +75,34 @@ def q_dependency_levels(spark, sf_dir):
     return dependency_levels(edges)
 
 
-_NATION_EDGES = """SELECT DISTINCT s.s_nationkey AS a, c.c_nationkey AS b
+_LANES = """SELECT s.s_nationkey AS a, c.c_nationkey AS b, CAST(SUM(CAST(l.l_quantity AS BIGINT)) AS BIGINT) AS qty
     FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey
     JOIN customer c ON c.c_custkey = o.o_custkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
-    WHERE l.l_returnflag = 'R' AND l.l_linestatus = 'F' AND l.l_quantity >= 49"""
+    GROUP BY 1, 2"""
+_HEAVY = f"""SELECT a, b FROM (SELECT a, b, qty, AVG(qty) OVER () AS avg_qty FROM ({_LANES}) x) y
+    WHERE qty > avg_qty"""
 
 
 @register("circular_refs", oracle=f"""
-    SELECT x.a, x.b FROM ({_NATION_EDGES}) x
-    WHERE EXISTS (SELECT 1 FROM ({_NATION_EDGES}) y WHERE y.a = x.b AND y.b = x.a)""")
+    SELECT x.a, x.b FROM ({_HEAVY}) x
+    WHERE EXISTS (SELECT 1 FROM ({_HEAVY}) y WHERE y.a = x.b AND y.b = x.a)""")
 def q_circular_refs(spark, sf_dir):
-    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus",
-                    "l_quantity")
-    li = li.filter((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_quantity") >= 49))
+    """Trade lanes (supplier nation -> customer nation) heavier than the average lane
+    whose reverse lane is heavy too: the pairs referencing each other."""
+    from pyspark.sql import Window
+
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_suppkey", "l_quantity")
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
-    edges = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    lanes = (li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
              .join(s, li.l_suppkey == s.s_suppkey)
-             .select(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b")).distinct())
-    return circular_refs(edges, edges, "a", "b")
+             .groupBy(F.col("s_nationkey").alias("a"), F.col("c_nationkey").alias("b"))
+             .agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty")))
+    # the lane table has at most nations x nations rows: a global average over it is cheap
+    heavy = lanes.withColumn("_avg", F.avg("qty").over(Window.partitionBy())) \
+                 .filter(F.col("qty") > F.col("_avg")).select("a", "b")
+    return circular_refs(heavy, heavy, "a", "b")
 
 
 @register("distinct_blocked", oracle=with_fixtures("""
