@@ -41,7 +41,10 @@ def action_candidates(history: DataFrame, actions: DataFrame,
     ``repeat_candidate``: still failing with the same status and a repeat
     period set: whether it repeats depends on the last sent action.
     """
-    p = previous_values(history, keys, time, [status, value]).drop(f"prev_{time}")
+    if f"prev_{status}" in history.columns and f"prev_{value}" in history.columns:
+        p = history  # previous values already attached (e.g. by checks.status_change)
+    else:
+        p = previous_values(history, keys, time, [status, value]).drop(f"prev_{time}")
     a = broadcast_if_small(actions)
     j = p.join(a, "check_id")
     cur, prev = F.col(status), F.coalesce(F.col(f"prev_{status}"), F.lit(OK))

@@ -110,12 +110,19 @@ def dynamic_threshold(history: DataFrame, keys: Sequence[str] = ("sql_instance",
 
 
 def status_change(history: DataFrame, keys: Sequence[str] = ("sql_instance", "check_id"),
-                  time: str = "snapshot_time", status: str = "check_status") -> DataFrame:
-    """``status_change`` = 1 when the status differs from the previous one (W6); first row 1."""
-    p = previous_values(history, keys, time, [status])
+                  time: str = "snapshot_time", status: str = "check_status",
+                  keep_previous: Sequence[str] = ()) -> DataFrame:
+    """``status_change`` = 1 when the status differs from the previous one (W6); first row 1.
+
+    ``keep_previous`` columns are returned with their previous values as
+    ``prev_<c>`` (one pass for later operators that need them).
+    """
+    carried = [status] + [c for c in keep_previous if c != status]
+    p = previous_values(history, keys, time, carried)
     chg = F.when(F.coalesce(F.col(status), F.lit("")) != F.coalesce(F.col(f"prev_{status}"), F.lit("")), 1) \
            .otherwise(0)
-    return p.withColumn("status_change", chg).drop(f"prev_{time}", f"prev_{status}")
+    drop = [f"prev_{time}"] + ([] if status in keep_previous else [f"prev_{status}"])
+    return p.withColumn("status_change", chg).drop(*drop)
 
 
 def flapping(history: DataFrame, keys: Sequence[str] = ("sql_instance", "check_id"),

@@ -107,11 +107,16 @@ def q_action_decision(spark, sf_dir):
 
 @register("action_suppress")
 def q_action_suppress(spark, sf_dir):
-    ch = _changes(spark, sf_dir).join(
-        broadcast_if_small(CHECK_CONFIG.df(spark).select("check_id", "ignore_flapping")), "check_id")
+    from .q_checks import _history
+
+    h = _history(spark, sf_dir).select("sql_instance", "check_id", T, "check_value", "check_status")
+    ch = ck.status_change(h, ["sql_instance", "check_id"], T, "check_status",
+                          keep_previous=["check_status", "check_value"])
+    ch = ch.join(broadcast_if_small(CHECK_CONFIG.df(spark).select("check_id", "ignore_flapping")), "check_id")
     fl = ck.flapping(ch, ["sql_instance", "check_id"], T, ignore_col="ignore_flapping")
     cand = al.action_candidates(fl.select("sql_instance", "check_id", T, "check_status", "check_value",
-                                          "is_flapping"), CHECK_ACTIONS.df(spark))
+                                          "prev_check_status", "prev_check_value", "is_flapping"),
+                                CHECK_ACTIONS.df(spark))
     return al.action_suppress(cand)
 
 
