@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.timeops import datediff_boundary
 from ..operators.aggregates import failure_stats_anonymised, listagg
 from ..operators.events import text_dictionary
 from ..sources.tables import read_table

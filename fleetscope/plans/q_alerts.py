@@ -14,7 +14,7 @@ from ..sources import fixtures as fx
 from .config import COUNTER_DIM, Relation
 from .fixture_sql import with_fixtures
 from .q_checks import (
-    CHECK_CONFIG, _CHG_CTE, _DYN_CTE, _STATUS_CTE, _cfg_sql, _changes, match_sql, status_sql,
+    CHECK_CONFIG, _DYN_CTE, _STATUS_CTE, _cfg_sql, _changes, status_sql,
 )
 from .q_joins import _HDR_CTE, header_with_report_time
 from .q_rates import _COOK_CTE, _COOK_SQL_VALUE, HP, prev_join

@@ -9,7 +9,6 @@ from ..functions.timeops import trunc_ntz
 
 from ..operators import dims, retention
 from ..operators.alerts import queue_next, queue_update
-from ..operators.joins import broadcast_if_small
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from .config import Relation

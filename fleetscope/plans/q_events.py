@@ -269,8 +269,6 @@ _SESS_CTE = """SELECT user_id AS session_id, date_trunc('hour', ts) AS collectio
                  MIN(first_ts) OVER (PARTITION BY session_id) AS session_start
           FROM ({_SESS_CTE}) s) x""")
 def q_session_activity(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = read_table(spark, sf_dir, "events", "ts", "user_id", "value")
     s = e.groupBy(F.col("user_id").alias("session_id"), trunc_ntz("hour", "ts").alias("collection_time")).agg(
         F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"),

@@ -13,7 +13,7 @@ from ..operators.trends import trend_rollup, union_counters
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from .fixture_sql import with_fixtures
-from .q_rates import HP, SECS, pos_delta_sql, prev_join
+from .q_rates import HP, pos_delta_sql, prev_join
 from .registry import register
 from .sqlbits import NOW, NOW_PY, tg_sql, week_sql
 
