@@ -79,8 +79,10 @@ def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int = 100
     level = _cut(level)
     levels = [level]
     # the edge list is joined once per level: materialise it once
+    # hash-partitioned by the join key before the checkpoint, so the per-level joins reuse it
     step = _cut(e.select("monitor_loop", "blocked_spid", "blocked_ecid",
-                         F.col("blocking_spid").alias("_p_spid"), F.col("blocking_ecid").alias("_p_ecid")).distinct())
+                         F.col("blocking_spid").alias("_p_spid"), F.col("blocking_ecid").alias("_p_ecid")).distinct()
+                .repartition("monitor_loop", "_p_spid", "_p_ecid"))
     for depth in range(1, max_depth + 1):
         nxt = (level.join(step, (level.monitor_loop == step.monitor_loop) & (level.session_id == step._p_spid)
                           & (level.ecid == step._p_ecid))
@@ -141,7 +143,9 @@ def dependency_levels(edges: DataFrame, child: str = "child", parent: str = "par
     and layers are distinct node sets, so no path is enumerated twice.
     """
     # the edge list is joined once per layer: materialise it once
-    ed = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent")).distinct())
+    # hash-partitioned by the join key before the checkpoint, so the per-layer joins reuse it
+    ed = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent")).distinct()
+              .repartition("_parent"))
     nodes = ed.select("node").union(ed.select(F.col("_parent").alias("node"))).distinct()
     layer = _cut(nodes)
     layers = [layer.withColumn("level", F.lit(1))]
