@@ -69,9 +69,10 @@ def queue_retention(queue: DataFrame, now, ok_days: int = QUEUE_OK_DAYS,
     NULL comparison falls through to the second branch)."""
     limit = F.when(F.col("exec_status") != "FAILED", F.timestamp_add("DAY", F.lit(-ok_days), _ts(now))) \
              .otherwise(F.timestamp_add("DAY", F.lit(-failed_days), _ts(now)))
-    return queue.filter(~(F.col("time_queued") < limit))
+    # a row is deleted only when the comparison is true; NULL times are kept
+    return queue.filter(~F.coalesce(F.col("time_queued") < limit, F.lit(False)))
 
 
 def expire_trends(trend: DataFrame, now) -> DataFrame:
     """Trend rows still valid at ``now`` (K5)."""
-    return trend.filter(~(_ts(now) > F.col("valid_until")))
+    return trend.filter(~F.coalesce(_ts(now) > F.col("valid_until"), F.lit(False)))
