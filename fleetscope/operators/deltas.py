@@ -120,3 +120,30 @@ def active_since(samples: DataFrame, keys: Sequence[str], time: str, last_exec_c
                    .otherwise(cur).alias(f"{c}_delta"))
     advanced = (~F.col("has_prev")) | (F.col(last_exec_col) > F.col(f"prev_{last_exec_col}"))
     return j.filter(advanced).select(*out)
+
+
+def counter_delta_incremental(new: DataFrame, stored: DataFrame, keys: Sequence[str], time: str,
+                              cols: Sequence[str], new_header: DataFrame | None = None,
+                              stored_header: DataFrame | None = None, first: str = "zero",
+                              header_keys: Sequence[str] = INSTANCE_TYPE) -> DataFrame:
+    """Deltas for a new batch of samples only, reading just the boundary of the stored history.
+
+    The previous snapshot of the first new snapshot is the latest stored
+    snapshot of that (instance, type); only the stored samples *at* that time
+    are joined in (a semi join on the per-pair latest time), so the work grows
+    with the increment, not with the stored history. Output rows are those of
+    ``new``, with the same values ``counter_delta`` gives over the whole history.
+    """
+    hk = list(header_keys)
+    if new_header is None:
+        new_header = new.select(*hk, time).distinct()
+    if stored_header is None:
+        stored_header = stored.select(*hk, time).distinct()
+    last = stored_header.groupBy(*hk).agg(F.max(time).alias(time))
+    boundary = stored.join(last, hk + [time], "left_semi")
+    cols_all = list(new.columns)
+    u = boundary.select(*cols_all).unionByName(new.select(*cols_all))
+    hdr = last.unionByName(new_header.select(*hk, time))
+    d = counter_delta(u, keys, time, cols, first=first, header=hdr, header_keys=hk)
+    return d.join(last.withColumnRenamed(time, "_stored_max"), hk, "left") \
+            .filter(F.col("_stored_max").isNull() | (F.col(time) > F.col("_stored_max"))).drop("_stored_max")

@@ -87,3 +87,30 @@ def q_time_group_7(spark, sf_dir):
     ev = fx.fx_ev(spark, sf_dir)
     return (ev.groupBy("sql_instance", time_group("ts", 7).alias("time_bucket"))
             .agg(F.count(F.lit(1)).alias("events"), F.sum("v100").alias("sum_v100")))
+
+
+# --- J5 incremental form ---------------------------------------------------------------------------
+
+_INC_CUTOFF = "2024-01-20 00:00:00"
+
+
+@register("counter_delta_incremental", oracle=with_fixtures(f"""
+    SELECT s.sql_instance, s.instance_name, s.snapshot_type_id, s.snapshot_time,
+           s.cntr_value, s.base_cntr_value,
+           CASE WHEN p.cntr_value IS NOT NULL AND s.cntr_value > p.cntr_value
+                THEN s.cntr_value - p.cntr_value ELSE 0 END AS cntr_value_delta,
+           CASE WHEN p.base_cntr_value IS NOT NULL AND s.base_cntr_value > p.base_cntr_value
+                THEN s.base_cntr_value - p.base_cntr_value ELSE 0 END AS base_cntr_value_delta,
+           date_diff('second', p.snapshot_time, s.snapshot_time) AS delta_seconds
+    {_PREV_JOIN}
+    WHERE s.snapshot_time >= TIMESTAMP '{_INC_CUTOFF}'""", "fx_sample", "fx_header", extra=[_HP]))
+def q_counter_delta_incremental(spark, sf_dir):
+    from ..operators.deltas import counter_delta_incremental
+
+    s = fx.fx_sample(spark, sf_dir)
+    cut = F.lit(_INC_CUTOFF).cast("timestamp_ntz")
+    stored, new = s.filter(F.col("snapshot_time") < cut), s.filter(F.col("snapshot_time") >= cut)
+    h = fx.fx_header(spark, sf_dir)
+    return counter_delta_incremental(new, stored, K, "snapshot_time", ["cntr_value", "base_cntr_value"],
+                                     new_header=h.filter(F.col("snapshot_time") >= cut),
+                                     stored_header=h.filter(F.col("snapshot_time") < cut))
