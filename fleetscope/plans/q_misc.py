@@ -167,3 +167,64 @@ def q_drop_incomplete(spark, sf_dir):
                  F.when(F.col("event_id") % 13 == 0, F.lit(None)).otherwise(F.col("event_id") % 10 + 40)
                  .cast("int").alias("statement_end_offset"))
     return drop_incomplete(d)
+
+
+@register("add_duration", oracle="""
+    SELECT event_id, ts AS start_time, CAST(round(value * 1000) AS BIGINT) AS duration_ms,
+           ts + to_milliseconds(CAST(round(value * 1000) AS BIGINT)) AS end_time
+    FROM events""")
+def q_add_duration(spark, sf_dir):
+    from ..functions.timeops import add_duration_ms
+
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "value")
+    d = e.select("event_id", F.col("ts").alias("start_time"),
+                 F.round(F.col("value") * 1000).cast("bigint").alias("duration_ms"))
+    return d.withColumn("end_time", add_duration_ms("start_time", "duration_ms"))
+
+
+@register("surrogate_keys", oracle="""
+    SELECT p.p_brand, p.p_type, COUNT(l.l_partkey) AS facts
+    FROM (SELECT DISTINCT p_brand, p_type FROM part) p
+    LEFT JOIN (SELECT l_partkey, p_brand, p_type FROM lineitem JOIN part ON p_partkey = l_partkey) l
+      ON l.p_brand = p.p_brand AND l.p_type = p.p_type
+    GROUP BY p.p_brand, p.p_type""")
+def q_surrogate_keys(spark, sf_dir):
+    """Facts keyed by a distributed surrogate key of a natural (brand, type) key, counted back per
+    natural key: the surrogate is stable across the dimension and the fact side."""
+    p = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
+    dim = p.select("p_brand", "p_type").distinct().withColumn("type_key", dims.surrogate_key("p_brand", "p_type"))
+    li = read_table(spark, sf_dir, "lineitem", "l_partkey")
+    facts = li.join(p, li.l_partkey == p.p_partkey).select(
+        dims.surrogate_key("p_brand", "p_type").alias("type_key"), "l_partkey")
+    counted = facts.groupBy("type_key").agg(F.count(F.lit(1)).alias("facts"))
+    return dim.join(counted, "type_key", "left").select(
+        "p_brand", "p_type", F.coalesce(F.col("facts"), F.lit(0)).alias("facts"))
+
+
+def _table_map_sql() -> str:
+    from ..sources.ingest import TABLE_SNAPSHOT_TYPES
+
+    rows = ", ".join(f"('{t}', {i})" for t, i in TABLE_SNAPSHOT_TYPES)
+    return f"SELECT * FROM (VALUES {rows}) AS m(table_name, snapshot_type_id)"
+
+
+@register("table_freshness", oracle=f"""
+    WITH h AS (SELECT DISTINCT concat('srv', CAST(user_id % 4 AS VARCHAR)) AS sql_instance,
+                      CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3
+                                      WHEN 'signup' THEN 4 ELSE 5 END AS snapshot_type_id,
+                      date_trunc('hour', ts) AS snapshot_time FROM events)
+    SELECT h.sql_instance, m.table_name, CAST(m.snapshot_type_id AS INTEGER) AS snapshot_type_id,
+           MAX(h.snapshot_time) AS last_snapshot_time
+    FROM ({_table_map_sql()}) m JOIN h ON h.snapshot_type_id = m.snapshot_type_id
+    GROUP BY h.sql_instance, m.table_name, m.snapshot_type_id""")
+def q_table_freshness(spark, sf_dir):
+    """Latest snapshot per fact table and instance through the fact-table -> type map."""
+    from ..operators.joins import broadcast_if_small, mark_bounded
+    from ..sources import fixtures as fx
+    from ..sources.ingest import TABLE_SNAPSHOT_TYPES, table_snapshot_map
+
+    h = fx.fx_header(spark, sf_dir)
+    latest = h.groupBy("sql_instance", "snapshot_type_id").agg(F.max("snapshot_time").alias("last_snapshot_time"))
+    m = broadcast_if_small(mark_bounded(table_snapshot_map(spark), len(TABLE_SNAPSHOT_TYPES)))
+    return latest.join(m, "snapshot_type_id").select("sql_instance", "table_name", "snapshot_type_id",
+                                                     "last_snapshot_time")
