@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.patterns import wait_category_sql
 from ..functions.timeops import datediff_boundary, report_time, time_group, trunc_ntz
 from ..operators.deltas import counter_delta
 from ..operators.timeseries import (
@@ -12,6 +13,7 @@ from ..operators.timeseries import (
 from ..operators.trends import trend_rollup, union_counters
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
+from .config import WAIT_TYPES
 from .fixture_sql import with_fixtures
 from .q_rates import HP, pos_delta_sql, prev_join
 from .registry import register
@@ -256,3 +258,62 @@ def q_dash_io(spark, sf_dir):
         F.max(lat).alias("max_latency_ms"))
     return g.withColumn("avg_latency_ms", F.when(F.col("reads") > 0, F.col("stall_ms").cast("double")
                                                  / F.col("reads").cast("double")).otherwise(F.lit(0.0)))
+
+
+# --- more dashboard panels -----------------------------------------------------------------------------
+
+@register("dash_waits", oracle=with_fixtures(f"""
+    SELECT {tg_sql('s.snapshot_time', 360)} AS time_bucket,
+           {wait_category_sql('w.wait_type')} AS wait_category,
+           CAST(SUM({pos_delta_sql('cntr_value')}) AS BIGINT) AS wait_time_ms
+    {prev_join('fx_sample')}
+    JOIN ({WAIT_TYPES.sql()}) w
+      ON w.snapshot_type_id = s.snapshot_type_id AND w.instance_name = s.instance_name
+    GROUP BY 1, 2""", "fx_sample", "fx_header", extra=[HP]))
+def q_dash_waits(spark, sf_dir):
+    """Wait time per wait category and 6-hour bucket across the fleet."""
+    from ..functions.patterns import wait_category
+    from ..operators.joins import broadcast_if_small
+
+    s = fx.fx_sample(spark, sf_dir).drop("base_cntr_value")
+    d = counter_delta(s, K, T, ["cntr_value"], header=fx.fx_header(spark, sf_dir))
+    d = d.join(broadcast_if_small(WAIT_TYPES.df(spark)), ["snapshot_type_id", "instance_name"])
+    return (d.groupBy(time_group(T, 360).alias("time_bucket"), wait_category("wait_type").alias("wait_category"))
+            .agg(F.sum("cntr_value_delta").alias("wait_time_ms")))
+
+
+@register("dash_drive", oracle="""
+    SELECT upper(left(path, 3)) AS drive, COUNT(*) AS files, CAST(SUM(length(html)) AS BIGINT) AS bytes
+    FROM (SELECT html, CASE page_id % 2 WHEN 0 THEN 'c:\\' ELSE 'e:\\' END
+                       || replace(regexp_replace(url, '^[a-z]+://', ''), '/', '\\') AS path FROM pages) p
+    GROUP BY 1""")
+def q_dash_drive(spark, sf_dir):
+    """File count and size per drive, the drive being the first three characters of the path."""
+    p = read_table(spark, sf_dir, "pages", "page_id", "url", "html")
+    path = F.concat(F.when(F.col("page_id") % 2 == 0, F.lit("c:\\")).otherwise(F.lit("e:\\")),
+                    F.replace(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/"), F.lit("\\")))
+    return (p.select(F.upper(F.substring(path, 1, 3)).alias("drive"), F.length("html").alias("len"))
+            .groupBy("drive").agg(F.count(F.lit(1)).alias("files"), F.sum("len").cast("bigint").alias("bytes")))
+
+
+@register("dash_counters", oracle=with_fixtures(f"""
+    SELECT sql_instance, snapshot_type_id, {tg_sql('snapshot_time', 1440)} AS time_bucket,
+           AVG(cntr_value) AS avg_value, MAX(cntr_value) AS max_value
+    FROM fx_sample GROUP BY 1, 2, 3""", "fx_sample"))
+def q_dash_counters(spark, sf_dir):
+    """Counter average and maximum per instance, type and day."""
+    s = fx.fx_sample(spark, sf_dir)
+    return (s.groupBy("sql_instance", "snapshot_type_id", time_group(T, 1440).alias("time_bucket"))
+            .agg(F.avg("cntr_value").alias("avg_value"), F.max("cntr_value").alias("max_value")))
+
+
+@register("dash_file_size", oracle=with_fixtures("""
+    SELECT sql_instance, instance_name AS database_name, snapshot_type_id AS file_id,
+           MAX(snapshot_time) AS last_snapshot_time, arg_max(cntr_value, snapshot_time) AS size_bytes
+    FROM fx_sample GROUP BY 1, 2, 3""", "fx_sample"))
+def q_dash_file_size(spark, sf_dir):
+    """Latest size per database file (a counter type stands for a file)."""
+    s = fx.fx_sample(spark, sf_dir)
+    return (s.groupBy("sql_instance", F.col("instance_name").alias("database_name"),
+                      F.col("snapshot_type_id").alias("file_id"))
+            .agg(F.max(T).alias("last_snapshot_time"), F.max_by("cntr_value", T).alias("size_bytes")))
