@@ -31,10 +31,10 @@ def previous_values(df: DataFrame, keys: Sequence[str], order_col: str, cols: Se
     """
     keys = list(keys)
     carried = [order_col] + [c for c in cols if c != order_col]
-    d = df.withColumn("_bkt", _bucket(order_col, bucket))
-    w = Window.partitionBy(*keys, "_bkt").orderBy(order_col)
-    d = d.select(
-        "*",
+    b = _bucket(order_col, bucket)
+    w = Window.partitionBy(*keys, b).orderBy(order_col)
+    d = df.select(
+        "*", b.alias("_bkt"),
         *[F.lag(c).over(w).alias(f"_lag_{c}") for c in carried],
         (F.row_number().over(w) == 1).alias("_first"),
     )
@@ -59,9 +59,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: str,
     buckets from a (keys x buckets) table.
     """
     keys = list(keys)
-    d = df.withColumn("_bkt", _bucket(order_col, bucket))
-    w = Window.partitionBy(*keys, "_bkt").orderBy(order_col)
-    d = d.withColumn("_in", F.sum(value).over(w))
+    b = _bucket(order_col, bucket)
+    w = Window.partitionBy(*keys, b).orderBy(order_col)
+    d = df.select("*", b.alias("_bkt"), F.sum(value).over(w).alias("_in"))
     tot = d.groupBy(*keys, "_bkt").agg(F.sum(value).alias("_tot"))
     wb = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     carry = tot.select(*keys, "_bkt", F.coalesce(F.sum("_tot").over(wb), F.lit(0)).alias("_carry"))
