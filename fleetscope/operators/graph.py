@@ -45,7 +45,7 @@ def global_sequence(df: DataFrame, group: str, order: Sequence[str], alias: str
     return dense_rank_global(df, [group, *order], alias=alias, distinct_keys=False)
 
 
-def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int = 100,
+def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int | None = None,
                     time_col: str = "event_time") -> DataFrame:
     """Blocking chains per monitor loop (E3, J16, U-3, J12).
 
@@ -53,7 +53,8 @@ def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int = 100
     blocking_ecid, event_time, plus detail columns (lock_mode, database_name,
     blocking_duration_ms). Heads are blockers that are not blocked in the same
     loop; the chain follows blocked -> blocking. A node already on its path is
-    not revisited (cycle guard). Output per node: monitor_loop, session_id,
+    not revisited (cycle guard), so the walk ends when a level adds no node;
+    ``max_depth`` (default: none) only bounds it on request. Output per node: monitor_loop, session_id,
     ecid, blocking_session_id (NULL for heads), blocking_level, blocking_chain
     ('/spid.ecid/...'), blocking_tree label, event details (heads take them from
     their earliest blocking edge), and a global ``sequence`` by (loop, chain).
@@ -83,7 +84,9 @@ def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int = 100
     step = _cut(e.select("monitor_loop", "blocked_spid", "blocked_ecid",
                          F.col("blocking_spid").alias("_p_spid"), F.col("blocking_ecid").alias("_p_ecid")).distinct()
                 .repartition("monitor_loop", "_p_spid", "_p_ecid"))
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         nxt = (level.join(step, (level.monitor_loop == step.monitor_loop) & (level.session_id == step._p_spid)
                           & (level.ecid == step._p_ecid))
                .select(level.monitor_loop, F.col("blocked_spid").alias("session_id"),
