@@ -37,7 +37,9 @@ def _ts_attr(ts) -> Column:
 
 def event_xml(spark, sf_dir):
     """Extended-event XML for every event row (the capture format the shredder reads)."""
-    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    from ..operators.joins import spread_for_cpu
+
+    e = spread_for_cpu(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value"))
     xml = F.concat(
         F.lit('<event name="'), F.when(F.col("event_id") % 2 == 0, "rpc_completed").otherwise("sql_batch_completed"),
         F.lit('" timestamp="'), _ts_attr(F.col("ts")), F.lit('">'),
@@ -176,7 +178,9 @@ EXCLUDED_WAITS = ["SLEEP_TASK", "WAITFOR", "BROKER_RECEIVE_WAITFOR", "ONDEMAND_T
 
 
 def _wait_xml(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    from ..operators.joins import spread_for_cpu
+
+    e = spread_for_cpu(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value"))
     vocab = F.array(*[F.lit(w) for w in WAIT_VOCABULARY])
     wt = F.element_at(vocab, (F.col("event_id") % len(WAIT_VOCABULARY) + 1).cast("int"))
     nframes = (F.col("event_id") % 3 + 1).cast("int")

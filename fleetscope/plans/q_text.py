@@ -14,7 +14,10 @@ from .registry import register
                                   '\n ', '\n', 'g') AS clean_text
     FROM documents""")
 def q_clean_sql_text(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    from ..operators.joins import spread_for_cpu
+
+    # three regular-expression passes over whole documents: spread small inputs over the cores first
+    d = spread_for_cpu(read_table(spark, sf_dir, "documents", "doc_id", "text"))
     return d.select("doc_id", sc.clean_sql_text("text").alias("clean_text"))
 
 
