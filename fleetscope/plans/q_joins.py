@@ -117,8 +117,9 @@ def q_null_safe_join(spark, sf_dir):
     keyed = p.select("p_partkey", F.col("p_brand").alias("k_brand"),
                      F.nullif(F.col("p_type"), F.lit("ECONOMY")).alias("k_type"))
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity")
-    stats = (li.join(keyed, li.l_partkey == keyed.p_partkey)
-             .groupBy("k_brand", "k_type").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("total_qty")))
+    per_part = li.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("qty"))
+    stats = (per_part.join(keyed, per_part.l_partkey == keyed.p_partkey)
+             .groupBy("k_brand", "k_type").agg(F.sum("qty").alias("total_qty")))
     return null_safe_join(keyed, stats, ["k_brand", "k_type"])
 
 

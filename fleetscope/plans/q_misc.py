@@ -194,9 +194,10 @@ def q_surrogate_keys(spark, sf_dir):
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
     dim = p.select("p_brand", "p_type").distinct().withColumn("type_key", dims.surrogate_key("p_brand", "p_type"))
     li = read_table(spark, sf_dir, "lineitem", "l_partkey")
-    facts = li.join(p, li.l_partkey == p.p_partkey).select(
-        dims.surrogate_key("p_brand", "p_type").alias("type_key"), "l_partkey")
-    counted = facts.groupBy("type_key").agg(F.count(F.lit(1)).alias("facts"))
+    per_part = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    facts = per_part.join(p, per_part.l_partkey == p.p_partkey).select(
+        dims.surrogate_key("p_brand", "p_type").alias("type_key"), "n")
+    counted = facts.groupBy("type_key").agg(F.sum("n").alias("facts"))
     return dim.join(counted, "type_key", "left").select(
         "p_brand", "p_type", F.coalesce(F.col("facts"), F.lit(0)).alias("facts"))
 

@@ -121,8 +121,10 @@ _MI_SQL = """SELECT l_partkey, COUNT(*) AS user_seeks, CAST(SUM(CAST(l_quantity
 def q_missing_index(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity")
     p = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
-    s = (li.join(p, li.l_partkey == p.p_partkey).groupBy("l_partkey", "p_name")
-         .agg(F.count(F.lit(1)).alias("user_seeks"), F.sum(F.col("l_quantity").cast("bigint")).alias("user_scans")))
+    # aggregate the fact per part first (map-side partial aggregation), then join the 1-row-per-part result
+    per_part = li.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("user_seeks"),
+                                           F.sum(F.col("l_quantity").cast("bigint")).alias("user_scans"))
+    s = per_part.join(p, per_part.l_partkey == p.p_partkey)
     s = s.select("l_partkey", "user_seeks", "user_scans",
                  F.concat(F.lit("[db"), (F.col("l_partkey") % 3).cast("string"), F.lit("].[dbo].["),
                           F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.lit("]")).alias("statement"))
