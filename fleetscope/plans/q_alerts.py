@@ -14,7 +14,7 @@ from ..sources import fixtures as fx
 from .config import COUNTER_DIM, Relation
 from .fixture_sql import with_fixtures
 from .q_checks import (
-    CHECK_CONFIG, _DYN_CTE, _STATUS_CTE, _cfg_sql, _changes, status_sql,
+    CHECK_CONFIG, _DYN_CTE, _STATUS_CTE, _cfg_sql, status_sql,
 )
 from .q_joins import _HDR_CTE, header_with_report_time
 from .q_rates import _COOK_CTE, _COOK_SQL_VALUE, HP, prev_join
@@ -96,7 +96,10 @@ _DEC_SQL = with_fixtures(f"""
 
 
 def _decisions(spark, sf_dir):
-    h = _changes(spark, sf_dir).select("sql_instance", "check_id", T, "check_status", "check_value")
+    from .q_checks import _history
+
+    # decisions need the previous status and value only (one previous-row pass), not the change flags
+    h = _history(spark, sf_dir).select("sql_instance", "check_id", T, "check_status", "check_value")
     return al.action_candidates(h, CHECK_ACTIONS.df(spark))
 
 
