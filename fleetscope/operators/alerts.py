@@ -61,13 +61,17 @@ _SUPPRESS_SCHEMA = ("sql_instance string, check_id int, action_id int, snapshot_
                     "action_type string, sent boolean, suppressed_reason string, action_count_last_hour int")
 
 
-def _decide(r, sent_times: list):
-    """One step of the replay: (action type, sent, reason, count last hour); mutates ``sent_times``."""
+def _decide(r, state: dict):
+    """One step of the replay: (action type, sent, reason, count last hour).
+
+    ``state`` holds the send times of the last hour (``sent``, for the hourly
+    limit) and the time of the last send ever (``last``, for repeat periods
+    longer than an hour); it is updated in place.
+    """
     t = r.snapshot_time
     hour_ago = t - pd.Timedelta(hours=1)
-    sent_times[:] = [x for x in sent_times if x > hour_ago]
-    count = len(sent_times)
-    last = max(sent_times) if sent_times else None
+    state["sent"] = [x for x in state["sent"] if x > hour_ago]
+    count = len(state["sent"])
     reason = None
     typ = r.action_type
     if bool(r.is_flapping) and not bool(r.action_every_failure):
@@ -75,13 +79,14 @@ def _decide(r, sent_times: list):
     elif count > r.action_hourly_limit:
         reason, typ = "HOURLY LIMIT", None
     elif typ == NONE and bool(r.repeat_candidate):
-        last_t = last if last is not None else pd.Timestamp("1970-01-01")
+        last_t = state["last"] if state["last"] is not None else pd.Timestamp("1970-01-01")
         minutes = int((t.floor("min") - last_t.floor("min")).total_seconds() // 60)
         if minutes > r.action_repeat_period_minutes:
             typ = REPEAT
     sent = typ is not None and typ != NONE
     if sent:
-        sent_times.append(t)
+        state["sent"].append(t)
+        state["last"] = t
     return (typ if typ else NONE), sent, reason, count
 
 
@@ -91,14 +96,14 @@ _OUT_COLS = ["sql_instance", "check_id", "action_id", "snapshot_time", "action_t
 
 def _suppress_partition(batches):
     """Replay rows sorted by (key, episode, time); state resets at each new episode."""
-    current, sent_times = None, []
+    current, state = None, {"sent": [], "last": None}
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
             k = (r.sql_instance, r.check_id, r.action_id, r.episode)
             if k != current:
-                current, sent_times = k, []
-            typ, sent, reason, count = _decide(r, sent_times)
+                current, state = k, {"sent": [], "last": None}
+            typ, sent, reason, count = _decide(r, state)
             out.append((r.sql_instance, int(r.check_id), int(r.action_id), r.snapshot_time, typ, sent, reason, count))
         yield pd.DataFrame(out, columns=_OUT_COLS)
 

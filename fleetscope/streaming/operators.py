@@ -115,9 +115,10 @@ def _alert_fn():
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.exists:
             s = state.get
-            prev_status, prev_value, sent = s[0], s[1], list(s[2] or [])
+            prev_status, prev_value, sent, last_sent = s[0], s[1], list(s[2] or []), s[3]
+            last_sent = None if last_sent is None or pd.isna(last_sent) else pd.Timestamp(last_sent)
         else:
-            prev_status, prev_value, sent = None, None, []
+            prev_status, prev_value, sent, last_sent = None, None, [], None
         frames = [p for p in pdfs]
         if not frames:
             return
@@ -144,15 +145,16 @@ def _alert_fn():
                 typ, reason = NONE, "HOURLY LIMIT"
             elif (typ == NONE and cur != "OK" and prev_status == cur
                   and not pd.isna(r.action_repeat_period_minutes)):
-                last = max(sent) if sent else pd.Timestamp("1970-01-01")
+                last = last_sent if last_sent is not None else pd.Timestamp("1970-01-01")
                 if int((t.floor("min") - last.floor("min")).total_seconds() // 60) > r.action_repeat_period_minutes:
                     typ = REPEAT
             if typ != NONE:
                 sent.append(t)
+                last_sent = t
             if typ != NONE or reason:
                 out.append((key[0], int(key[1]), int(key[2]), t, typ, typ != NONE, reason))
             prev_status, prev_value = cur, r.check_value
-        state.update((prev_status, prev_value, sent))
+        state.update((prev_status, prev_value, sent, last_sent))
         if out:
             yield pd.DataFrame(out, columns=["sql_instance", "check_id", "action_id", "snapshot_time",
                                              "action_type", "sent", "suppressed_reason"])
@@ -173,7 +175,7 @@ def alert_stream(checks: DataFrame, actions: DataFrame) -> DataFrame:
                  "action_hourly_limit")
     out = ("sql_instance string, check_id int, action_id int, snapshot_time timestamp_ntz, action_type string, "
            "sent boolean, suppressed_reason string")
-    st = "prev_status string, prev_value double, sent array<timestamp_ntz>"
+    st = "prev_status string, prev_value double, sent array<timestamp_ntz>, last_sent timestamp_ntz"
     return j.groupBy("sql_instance", "check_id", "action_id").applyInPandasWithState(
         _alert_fn(), out, st, "append", GroupStateTimeout.NoTimeout)
 

@@ -81,7 +81,7 @@ def _brute_force(rows, actions):
         for a in actions:
             if a["check_id"] != check:
                 continue
-            prev_s, prev_v, sent = None, None, []
+            prev_s, prev_v, sent, last_sent = None, None, [], None
             for t, s, v, flap in seq:
                 sent = [x for x in sent if x > t - dt.timedelta(hours=1)]
                 prev = prev_s or "OK"
@@ -94,12 +94,13 @@ def _brute_force(rows, actions):
                 elif len(sent) > a["limit"]:
                     typ = "NONE"
                 elif typ == "NONE" and s != "OK" and prev_s == s and a["period"] is not None:
-                    last = max(sent) if sent else dt.datetime(1970, 1, 1)
+                    last = last_sent or dt.datetime(1970, 1, 1)
                     if (t.replace(second=0, microsecond=0) - last.replace(second=0, microsecond=0)) \
                             .total_seconds() // 60 > a["period"]:
                         typ = "REPEAT"
                 if typ != "NONE":
                     sent.append(t)
+                    last_sent = t
                     out[(inst, check, a["action_id"], t)] = typ
                 prev_s, prev_v = s, v
     return out
@@ -110,13 +111,14 @@ def test_action_suppress_batch_and_stream_equal_brute_force(spark, tmp_path):
 
     base = dt.datetime(2024, 1, 1)
     statuses = ["OK", "CRITICAL", "CRITICAL", "CRITICAL", "OK", "WARNING", "WARNING", "CRITICAL", "OK", "CRITICAL",
-                "CRITICAL", "CRITICAL", "CRITICAL", "OK"]
-    data = [("s1", 1, base + dt.timedelta(minutes=10 * i), st, float(i % 3), i in (5, 6)) for i, st in
-            enumerate(statuses)]
+                "CRITICAL", "CRITICAL", "CRITICAL", "OK"] + ["CRITICAL"] * 20
+    data = [("s1", 1, base + dt.timedelta(minutes=10 * i), st, float(i % 3) if i < 14 else 1.0, i in (5, 6))
+            for i, st in enumerate(statuses)]
     hist = spark.createDataFrame(data, "sql_instance string, check_id int, snapshot_time timestamp_ntz, "
                                        "check_status string, check_value double, is_flapping boolean")
     acts = [dict(check_id=1, action_id=1, every=False, rec=True, period=15, limit=2),
-            dict(check_id=1, action_id=2, every=True, rec=False, period=None, limit=1)]
+            dict(check_id=1, action_id=2, every=True, rec=False, period=None, limit=1),
+            dict(check_id=1, action_id=3, every=False, rec=False, period=90, limit=5)]
     adf = spark.createDataFrame([(a["check_id"], a["action_id"], a["every"], a["rec"], a["period"], a["limit"], 1)
                                  for a in acts],
                                 "check_id int, action_id int, action_every_failure boolean, action_recovery boolean, "
