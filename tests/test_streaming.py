@@ -124,10 +124,11 @@ def test_action_suppress_batch_and_stream_equal_brute_force(spark, tmp_path):
                                 "check_id int, action_id int, action_every_failure boolean, action_recovery boolean, "
                                 "action_repeat_period_minutes int, action_hourly_limit int, action_template_id int")
     want = _brute_force({("s1", 1): [(r[2], r[3], r[4], r[5]) for r in data]}, acts)
-    batch = al.action_suppress(al.action_candidates(hist, adf))
-    got_b = {(r.sql_instance, r.check_id, r.action_id, r.snapshot_time): r.action_type
-             for r in batch.filter("sent").collect()}
-    assert got_b == want
+    for chunk_rows in (al.EPISODE_CHUNK_ROWS, 3):  # one chunk per episode, and long episodes in chunks of 3
+        batch = al.action_suppress(al.action_candidates(hist, adf), chunk_rows=chunk_rows)
+        got_b = {(r.sql_instance, r.check_id, r.action_id, r.snapshot_time): r.action_type
+                 for r in batch.filter("sent").collect()}
+        assert got_b == want, chunk_rows
     src = str(tmp_path / "checks")
     hist.write.parquet(src)
     stream = so.file_stream(spark, src, "sql_instance string, check_id int, snapshot_time timestamp_ntz, "
