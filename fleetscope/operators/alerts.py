@@ -176,7 +176,9 @@ def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping",
     else:
         e = e.withColumn("_chunk", F.lit(0).cast("bigint"))
         rounds = None if longest is None else 0
-    n = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from .joins import shuffle_partitions
+
+    n = shuffle_partitions(e.sparkSession)
     decision_cols = [F.col(x) for x in _OUT_COLS]
     outs, state = [], None
     for r in range(0 if rounds is None else int(rounds) + 1):

@@ -251,7 +251,9 @@ def dense_rank_global(df: DataFrame, order_cols: Sequence[str], alias: str = "ra
     from pyspark.sql import Window
 
     keys = df.select(*order_cols).distinct() if distinct_keys else df.select(*order_cols)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    from .joins import shuffle_partitions
+
+    n = partitions or shuffle_partitions(df.sparkSession)
     ranged = keys.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order_cols)
     numbered = ranged.withColumn("_rn", F.row_number().over(w))

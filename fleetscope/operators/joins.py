@@ -38,6 +38,14 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> Da
     return df
 
 
+def shuffle_partitions(spark) -> int:
+    """The session's shuffle partition count (falling back to the default parallelism)."""
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        return spark.sparkContext.defaultParallelism
+
+
 def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin a DataFrame over the cluster's cores before CPU-heavy per-row work
     (XML parsing, text scans) when its input arrives in fewer partitions than cores.
