@@ -161,21 +161,17 @@ def status_runs(history: DataFrame, keys: Sequence[str] = ("sql_instance", "chec
             F.min_by(status, time).alias(status), F.min(time).alias("status_start_time"),
             F.max(time).alias("status_end_time"), (F.count(F.lit(1)) - 1).alias("check_count"))
         return g.drop("_island")
-    starts = history.filter(F.col(change) == 1).select(*keys, status, F.col(time).alias("status_start_time"))
-    zeros = history.filter(F.col(change) == 0).select(*keys, F.col(time).alias("_t"))
-    # For each start: later unchanged checks. A per-key suffix aggregate instead of a
-    # pairwise join: count of unchanged checks after t = total - (unchanged up to t).
-    z = zeros.groupBy(*keys).agg(F.max("_t").alias("_last0"), F.count(F.lit(1)).alias("_n0"))
-    upto = running_sum(
-        starts.select(*keys, F.col("status_start_time").alias("_t"), F.lit(0).cast("bigint").alias("_w"))
-        .unionByName(zeros.withColumn("_w", F.lit(1).cast("bigint"))),
-        keys, "_t", "_w", "_cum", bucket="month")
-    upto = upto.filter(F.col("_w") == 0).select(*keys, F.col("_t").alias("status_start_time"), "_cum")
-    j = starts.join(upto, keys + ["status_start_time"], "left").join(z, keys, "left")
+    # For each start: the unchanged checks after it = all unchanged checks of the key minus those up
+    # to it (a bucketed running count), instead of pairing every start with every later check.
+    unchanged = (F.col(change) == 0).cast("bigint")
+    upto = running_sum(history.withColumn("_z", unchanged), keys, time, "_z", "_cum", bucket="month")
+    z = history.groupBy(*keys).agg(F.sum(unchanged).alias("_n0"),
+                                   F.max(F.when(F.col(change) == 0, F.col(time))).alias("_last0"))
+    starts = upto.filter(F.col(change) == 1).join(z, keys, "left")
     later = F.coalesce(F.col("_n0"), F.lit(0)) - F.coalesce(F.col("_cum"), F.lit(0))
     end = F.when(later > 0, F.col("_last0")).otherwise(_ts(now) if now is not None else F.lit(None))
-    return j.select(*keys, status, "status_start_time", end.alias("status_end_time"),
-                    later.alias("check_count"))
+    return starts.select(*keys, status, F.col(time).alias("status_start_time"), end.alias("status_end_time"),
+                         later.alias("check_count"))
 
 
 def due_checks(checks: DataFrame, now, freq: str = "check_frequency_minutes",
