@@ -173,6 +173,23 @@ def escape_for(text, exec_type) -> Column:
                       F.lit(""))
 
 
-def error_detail_text(*parts) -> Column:
-    """Error detail as 'a | b | c' of the non-NULL parts."""
-    return F.concat_ws(" | ", *[col(p) for p in parts])
+def error_detail_text(number, severity, state, procedure, line, message) -> Column:
+    """Error details as six ``NAME=value`` lines (procedure and message quoted);
+    NULL when there is no error message."""
+    def v(c):
+        return F.coalesce(col(c).cast("string"), F.lit(""))
+
+    text = F.concat(F.lit("ERROR_NUMBER="), v(number), F.lit("\nERROR_SEVERITY="), v(severity),
+                    F.lit("\nERROR_STATE="), v(state), F.lit("\nERROR_PROCEDURE='"), v(procedure),
+                    F.lit("'\nERROR_LINE="), v(line), F.lit("\nERROR_MESSAGE='"), v(message), F.lit("'"))
+    return F.when(col(message).isNotNull(), text)
+
+
+# Fixed value: creation date reported for the tempdb database (recreated at every start).
+TEMPDB_CREATE_DATE = "1970-01-01 00:00:00"
+
+
+def database_create_date(name, create_date) -> Column:
+    """Creation date of a database, constant for tempdb so that its dimension key is stable."""
+    return F.when(col(name) == "tempdb", F.lit(TEMPDB_CREATE_DATE).cast("timestamp_ntz")) \
+            .otherwise(col(create_date))

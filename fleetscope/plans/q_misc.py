@@ -89,7 +89,11 @@ def q_version_union(spark, sf_dir):
     SELECT p_partkey, exec_type, descr,
            COALESCE(trim(CASE WHEN exec_type = 'T-SQL' THEN replace(descr, '''', '''''')
                               WHEN exec_type = 'PowerShell' THEN replace(descr, '"', '`"') END), '') AS escaped,
-           concat_ws(' | ', p_brand, p_type, CASE WHEN p_size > 40 THEN NULL ELSE CAST(p_size AS VARCHAR) END)
+           CASE WHEN p_size > 40 THEN NULL ELSE
+             'ERROR_NUMBER=' || CAST(p_partkey AS VARCHAR) || chr(10) || 'ERROR_SEVERITY='
+             || CAST(p_size % 25 AS VARCHAR) || chr(10) || 'ERROR_STATE=1' || chr(10)
+             || 'ERROR_PROCEDURE=''' || p_brand || '''' || chr(10) || 'ERROR_LINE=' || CAST(p_size AS VARCHAR)
+             || chr(10) || 'ERROR_MESSAGE=''' || p_type || '''' END
                AS error_detail
     FROM (SELECT p_partkey, p_brand, p_type, p_size,
                  CASE p_size % 3 WHEN 0 THEN 'T-SQL' WHEN 1 THEN 'PowerShell' ELSE 'Email' END AS exec_type,
@@ -102,9 +106,8 @@ def q_message_escape(spark, sf_dir):
                  F.concat(F.lit(" "), "p_name", F.lit(' "'), "p_brand", F.lit("\" o'"), "p_type", F.lit(" "))
                  .alias("descr"))
     return d.select("p_partkey", "exec_type", "descr", sc.escape_for("descr", "exec_type").alias("escaped"),
-                    sc.error_detail_text("p_brand", "p_type", F.when(F.col("p_size") <= 40,
-                                                                     F.col("p_size").cast("string")))
-                    .alias("error_detail"))
+                    sc.error_detail_text("p_partkey", F.col("p_size") % 25, F.lit(1), "p_brand", "p_size",
+                                         F.when(F.col("p_size") <= 40, F.col("p_type"))).alias("error_detail"))
 
 
 WAIT_EXCLUSIONS = Relation("wait_type string", [(" SLEEP_TASK\r\n",), ("WAITFOR ",), ("\nBROKER_RECEIVE_WAITFOR",),
@@ -229,3 +232,18 @@ def q_table_freshness(spark, sf_dir):
     m = broadcast_if_small(mark_bounded(table_snapshot_map(spark), len(TABLE_SNAPSHOT_TYPES)))
     return latest.join(m, "snapshot_type_id").select("sql_instance", "table_name", "snapshot_type_id",
                                                      "last_snapshot_time")
+
+
+@register("database_create_date", oracle="""
+    SELECT database_name, CASE WHEN database_name = 'tempdb' THEN TIMESTAMP '1970-01-01 00:00:00'
+                               ELSE first_order END AS database_create_date
+    FROM (SELECT CASE WHEN o_custkey % 100 = 0 THEN 'tempdb' ELSE 'db' || CAST(o_custkey AS VARCHAR) END
+                     AS database_name, MIN(o_orderdate) AS first_order
+          FROM orders GROUP BY 1) d""")
+def q_database_create_date(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_custkey", "o_orderdate")
+    name = F.when(F.col("o_custkey") % 100 == 0, F.lit("tempdb")) \
+            .otherwise(F.concat(F.lit("db"), F.col("o_custkey").cast("string")))
+    d = o.groupBy(name.alias("database_name")).agg(F.min("o_orderdate").alias("first_order"))
+    return d.select("database_name",
+                    sc.database_create_date("database_name", "first_order").alias("database_create_date"))
