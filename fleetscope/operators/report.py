@@ -82,3 +82,15 @@ def failed_jobs(history: DataFrame, since) -> DataFrame:
     return f.groupBy("job_id", "job_name").agg(
         F.count(F.lit(1)).alias("failures"), F.max("run_start_utc").alias("last_failure"),
         F.array_join(F.array_sort(F.collect_set(F.col("step_id").cast("string"))), ",").alias("failed_steps"))
+
+
+def sys_databases(databases: DataFrame, replicas: DataFrame) -> DataFrame:
+    """Databases worth collecting from: online, not snapshots, and if part of an availability
+    group either the primary or a readable secondary (report-star ``sys_databases``)."""
+    r = replicas.select("replica_id", "role_desc", "secondary_role_allow_connections_desc")
+    j = databases.join(broadcast_if_small(r), "replica_id", "left")
+    role_ok = (F.col("role_desc").isNull() | (F.col("role_desc") == "PRIMARY")
+               | ((F.col("role_desc") == "SECONDARY")
+                  & F.col("secondary_role_allow_connections_desc").isin("READ_ONLY", "ALL")))
+    keep = (F.col("state_desc") == "ONLINE") & role_ok & F.col("source_database_id").isNull()
+    return j.filter(keep).select(*databases.columns)

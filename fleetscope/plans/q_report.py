@@ -232,3 +232,36 @@ def q_external_check_failures(spark, sf_dir):
     res = o.select(F.col("o_orderdate").alias("check_time"),
                    F.when(F.col("o_orderstatus") == "F", "Failed").otherwise("Passed").alias("result"))
     return failed_checks_since(res, "2001-01-01 00:00:00")
+
+
+_DBS_SQL = """SELECT o_orderkey AS database_id, 'db' || CAST(o_orderkey AS VARCHAR) AS name,
+                     CASE WHEN o_orderstatus IN ('F', 'O') THEN 'ONLINE' ELSE 'RESTORING' END AS state_desc,
+                     CASE WHEN o_orderpriority = '5-LOW' THEN o_orderkey + 1 END AS source_database_id,
+                     CASE WHEN o_custkey % 30 < 25 THEN CAST(o_custkey % 30 AS INTEGER) END AS replica_id
+              FROM orders"""
+_REPL_SQL = """SELECT n_nationkey AS replica_id,
+                      CASE n_regionkey WHEN 0 THEN 'PRIMARY' WHEN 1 THEN 'RESOLVING' ELSE 'SECONDARY' END AS role_desc,
+                      CASE n_nationkey % 3 WHEN 0 THEN 'READ_ONLY' WHEN 1 THEN 'NO' ELSE 'ALL' END
+                          AS secondary_role_allow_connections_desc
+               FROM nation"""
+
+
+@register("sys_databases", oracle=f"""
+    SELECT d.* FROM ({_DBS_SQL}) d LEFT JOIN ({_REPL_SQL}) r USING (replica_id)
+    WHERE d.state_desc = 'ONLINE' AND d.source_database_id IS NULL
+      AND (r.role_desc IS NULL OR r.role_desc = 'PRIMARY'
+           OR (r.role_desc = 'SECONDARY' AND r.secondary_role_allow_connections_desc IN ('READ_ONLY', 'ALL')))""")
+def q_sys_databases(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    dbs = o.select(F.col("o_orderkey").alias("database_id"),
+                   F.concat(F.lit("db"), F.col("o_orderkey").cast("string")).alias("name"),
+                   F.when(F.col("o_orderstatus").isin("F", "O"), "ONLINE").otherwise("RESTORING").alias("state_desc"),
+                   F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderkey") + 1).alias("source_database_id"),
+                   F.when(F.col("o_custkey") % 30 < 25, (F.col("o_custkey") % 30).cast("int")).alias("replica_id"))
+    n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
+    repl = n.select(F.col("n_nationkey").alias("replica_id"),
+                    F.when(F.col("n_regionkey") == 0, "PRIMARY").when(F.col("n_regionkey") == 1, "RESOLVING")
+                    .otherwise("SECONDARY").alias("role_desc"),
+                    F.when(F.col("n_nationkey") % 3 == 0, "READ_ONLY").when(F.col("n_nationkey") % 3 == 1, "NO")
+                    .otherwise("ALL").alias("secondary_role_allow_connections_desc"))
+    return rp.sys_databases(dbs, repl)
