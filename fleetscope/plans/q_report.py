@@ -265,3 +265,34 @@ def q_sys_databases(spark, sf_dir):
                     F.when(F.col("n_nationkey") % 3 == 0, "READ_ONLY").when(F.col("n_nationkey") % 3 == 1, "NO")
                     .otherwise("ALL").alias("secondary_role_allow_connections_desc"))
     return rp.sys_databases(dbs, repl)
+
+
+@register("help_queue_failures", oracle="""
+    SELECT * FROM (SELECT o_orderkey AS queue_item_id, concat('srv', CAST(o_custkey % 4 AS VARCHAR)) AS sql_instance,
+                          o_orderdate AS time_queued,
+                          CASE WHEN o_orderstatus = 'F' THEN 'OK' WHEN o_orderstatus = 'P' THEN 'RETRYING'
+                               WHEN o_orderpriority = '1-URGENT' THEN 'FAILED' END AS exec_status,
+                          o_orderdate + to_minutes(o_orderkey % 600) AS exec_time_end,
+                          CAST(o_orderkey % 6 AS INTEGER) AS retry_count FROM orders) q
+    WHERE exec_status <> 'OK'""")
+def q_help_queue_failures(spark, sf_dir):
+    """Queue items that did not complete (a NULL status is not a failure yet)."""
+    from .q_dims import _queue
+
+    return _queue(spark, sf_dir).filter(F.col("exec_status") != "OK")
+
+
+@register("help_log_failures", oracle="""
+    SELECT event_id AS event_sequence, concat('srv', CAST(user_id % 4 AS VARCHAR)) AS sql_instance, ts AS event_time,
+           'collector_' || CAST(user_id % 5 AS VARCHAR) AS process_name, event_type AS process_message
+    FROM events WHERE event_type = 'error'""")
+def q_help_log_failures(spark, sf_dir):
+    """Application-log entries of type ERROR."""
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    log = e.select(F.col("event_id").alias("event_sequence"),
+                   F.concat(F.lit("srv"), (F.col("user_id") % 4).cast("string")).alias("sql_instance"),
+                   F.col("ts").alias("event_time"),
+                   F.concat(F.lit("collector_"), (F.col("user_id") % 5).cast("string")).alias("process_name"),
+                   F.col("event_type").alias("process_message"),
+                   F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("process_message_type"))
+    return log.filter(F.col("process_message_type") == "ERROR").drop("process_message_type")
