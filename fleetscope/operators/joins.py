@@ -53,11 +53,13 @@ def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFram
     A no-op for large inputs, which already come in many splits; for a small
     file with a single row group it turns one long task into one per core.
     """
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        sc = df.sparkSession.sparkContext
+        want = min_partitions or sc.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the input as it is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def with_header(fact: DataFrame, header: DataFrame, keys: Sequence[str] = HEADER_KEYS) -> DataFrame:
