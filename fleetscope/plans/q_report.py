@@ -296,3 +296,25 @@ def q_help_log_failures(spark, sf_dir):
                    F.col("event_type").alias("process_message"),
                    F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("process_message_type"))
     return log.filter(F.col("process_message_type") == "ERROR").drop("process_message_type")
+
+
+@register("scheduler_totals", oracle=with_fixtures("""
+    SELECT i.sql_instance, i.snapshot_time, h.report_time, CAST(SUM(i.n) AS BIGINT) AS runnable_tasks,
+           CAST(SUM(i.inc) AS BIGINT) AS work_queue, COUNT(*) AS schedulers
+    FROM fx_inc i JOIN hdr h USING (sql_instance, snapshot_type_id, snapshot_time)
+    WHERE i.snapshot_type_id = 1
+    GROUP BY i.sql_instance, i.snapshot_time, h.report_time""", "fx_inc", "fx_header", extra=[
+    ("hdr", """SELECT sql_instance, snapshot_type_id, snapshot_time,
+                      snapshot_time + to_minutes(CAST(CAST(right(sql_instance, 1) AS INTEGER) * 60 AS BIGINT))
+                          AS report_time FROM fx_header""")]))
+def q_scheduler_totals(spark, sf_dir):
+    """Sum over the schedulers of a snapshot (each counter instance stands for a scheduler),
+    stamped with the header's report time (A3, J1)."""
+    from ..operators.joins import with_header
+    from .q_joins import header_with_report_time
+
+    inc = fx.fx_inc(spark, sf_dir).filter(F.col("snapshot_type_id") == 1)
+    h = header_with_report_time(spark, sf_dir).select(*fx.HEADER_KEYS, "report_time")
+    return (with_header(inc, h).groupBy("sql_instance", "snapshot_time", "report_time")
+            .agg(F.sum("n").alias("runnable_tasks"), F.sum("inc").alias("work_queue"),
+                 F.count(F.lit(1)).alias("schedulers")))
