@@ -258,6 +258,7 @@ def dense_rank_global(df: DataFrame, order_cols: Sequence[str], alias: str = "ra
     w = Window.partitionBy("_pid").orderBy(*order_cols)
     numbered = ranged.withColumn("_rn", F.row_number().over(w))
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    # a running total over the count table: one row per partition, so a single task is fine
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     ranks = numbered.join(offs, "_pid").select(*order_cols, (F.col("_off") + F.col("_rn")).cast("bigint").alias(alias))
