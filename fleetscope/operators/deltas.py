@@ -23,11 +23,15 @@ INSTANCE_TYPE = ["sql_instance", "snapshot_type_id"]
 
 
 def previous_snapshot(header: DataFrame, keys: Sequence[str] = INSTANCE_TYPE,
-                      time: str = "snapshot_time", bucket: str = "day") -> DataFrame:
-    """Header rows with ``prev_snapshot_time`` = previous snapshot of the same (instance, type)."""
-    hp = previous_values(header.select(*keys, time).distinct(), keys, time, [], bucket=bucket,
+                      time: str = "snapshot_time", bucket: str = "day", carry: Sequence[str] = ()) -> DataFrame:
+    """Header rows with ``prev_snapshot_time`` = previous snapshot of the same (instance, type).
+
+    ``carry`` names header columns (e.g. ``report_time``) kept on each row, so
+    facts joined to this table get them without a second header join.
+    """
+    hp = previous_values(header.select(*keys, time, *carry).distinct(), keys, time, [], bucket=bucket,
                          prefix="prev_")
-    return hp.select(*keys, time, F.col(f"prev_{time}").alias("prev_snapshot_time"))
+    return hp.select(*keys, time, *carry, F.col(f"prev_{time}").alias("prev_snapshot_time"))
 
 
 def positive_delta(cur, prev) -> Column:
@@ -47,16 +51,18 @@ def _first_value(policy: str, cur: Column) -> Column:
 
 
 def join_previous(samples: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str],
-                  header: DataFrame | None = None, header_keys: Sequence[str] = INSTANCE_TYPE) -> DataFrame:
+                  header: DataFrame | None = None, header_keys: Sequence[str] = INSTANCE_TYPE,
+                  header_cols: Sequence[str] = ()) -> DataFrame:
     """Attach ``prev_<c>`` for each column and ``prev_snapshot_time`` (header previous).
 
     ``prev_<c>`` is NULL when the key is absent from the previous snapshot;
-    ``has_prev`` says whether the key was present there.
+    ``has_prev`` says whether the key was present there. ``header_cols`` are
+    header columns attached on the way (the join is the fact-header join, J1).
     """
     keys = list(keys)
     if header is None:
         header = samples.select(*header_keys, time)
-    hp = previous_snapshot(header, header_keys, time)
+    hp = previous_snapshot(header, header_keys, time, carry=header_cols)
     cur = samples.join(hp, list(header_keys) + [time], "inner")
     prev = samples.select(
         *keys, F.col(time).alias("prev_snapshot_time"),

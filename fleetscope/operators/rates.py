@@ -37,7 +37,8 @@ def guarded_ratio(num, den, zero=0.0) -> Column:
 
 def cook_counters(samples: DataFrame, keys: Sequence[str], time: str = "snapshot_time",
                   header: DataFrame | None = None, type_col: str = "cntr_type",
-                  object_col: str = "object_name", out: str = "cntr_value_calculated") -> DataFrame:
+                  object_col: str = "object_name", out: str = "cntr_value_calculated",
+                  header_cols: Sequence[str] = ()) -> DataFrame:
     """Turn raw counter samples into meaningful values by counter type (M4).
 
     * object 'Batch Resp Statistics': positive delta since the previous snapshot
@@ -47,7 +48,8 @@ def cook_counters(samples: DataFrame, keys: Sequence[str], time: str = "snapshot
     * 1073874176: positive delta / base delta / elapsed seconds (0 when undefined)
     * anything else: the raw value
     """
-    j = join_previous(samples, keys, time, ["cntr_value", "base_cntr_value"], header, INSTANCE_TYPE)
+    j = join_previous(samples, keys, time, ["cntr_value", "base_cntr_value"], header, INSTANCE_TYPE,
+                      header_cols=header_cols)
     cur, prev = F.col("cntr_value"), F.col("prev_cntr_value")
     base, prev_base = F.col("base_cntr_value"), F.col("prev_base_cntr_value")
     secs = F.timestamp_diff("SECOND", F.col("prev_snapshot_time"), F.col(time)).cast("double")
@@ -66,7 +68,7 @@ def cook_counters(samples: DataFrame, keys: Sequence[str], time: str = "snapshot
                   F.lit(0.0))).otherwise(F.lit(0.0)))
         .otherwise(_d(cur))
     )
-    return j.select(*[F.col(c) for c in samples.columns], cooked.alias(out))
+    return j.select(*[F.col(c) for c in samples.columns], *header_cols, cooked.alias(out))
 
 
 def cpu_split(df: DataFrame, keys: Sequence[str], process_col: str, idle_col: str) -> DataFrame:

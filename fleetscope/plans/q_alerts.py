@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.timeops import time_group
 from ..operators import alerts as al
 from ..operators import checks as ck
-from ..operators.joins import broadcast_if_small, with_header
+from ..operators.joins import broadcast_if_small
 from ..operators.rates import cook_counters
 from ..sources import fixtures as fx
 from .config import COUNTER_DIM, Relation
@@ -53,9 +53,9 @@ HOT_THRESHOLDS = Relation(
 def q_hot_counters(spark, sf_dir):
     samples = fx.fx_sample(spark, sf_dir).join(broadcast_if_small(COUNTER_DIM.df(spark)), "snapshot_type_id")
     header = header_with_report_time(spark, sf_dir)
-    cooked = cook_counters(samples, fx.SAMPLE_KEYS, T, header=header.select(*fx.HEADER_KEYS))
-    facts = with_header(cooked.select("sql_instance", "snapshot_type_id", T, "counter_name", "cntr_value_calculated"),
-                        header.select(*fx.HEADER_KEYS, "report_time"))
+    # the fact-header join (J1) happens inside the previous-snapshot join, carrying report_time
+    facts = cook_counters(samples, fx.SAMPLE_KEYS, T, header=header.select(*fx.HEADER_KEYS, "report_time"),
+                          header_cols=["report_time"])
     g = (facts.groupBy("sql_instance", "counter_name", time_group("report_time", 15).alias("time_bucket"))
          .agg(F.max("cntr_value_calculated").alias("max_value"), F.count(F.lit(1)).alias("samples")))
     g = g.join(broadcast_if_small(HOT_THRESHOLDS.df(spark)), "counter_name")
