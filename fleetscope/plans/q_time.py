@@ -319,3 +319,25 @@ def q_dash_file_size(spark, sf_dir):
     return (s.groupBy("sql_instance", F.col("instance_name").alias("database_name"),
                       F.col("snapshot_type_id").alias("file_id"))
             .agg(F.max(T).alias("last_snapshot_time"), F.max_by("cntr_value", T).alias("size_bytes")))
+
+
+@register("trend_expiry", oracle=with_fixtures(f"""
+    SELECT * FROM (
+      SELECT sql_instance, instance_name, snapshot_type_id, {tg_sql('snapshot_time', 60)} AS snapshot_time,
+             CAST(SUM(cntr_value_delta) AS BIGINT) AS value_sum, 60 AS interval_minutes,
+             {NOW} + INTERVAL 7 DAY AS valid_until
+      FROM dl GROUP BY 1, 2, 3, 4
+      UNION ALL
+      SELECT sql_instance, instance_name, snapshot_type_id, {tg_sql('snapshot_time', 360)},
+             CAST(SUM(cntr_value_delta) AS BIGINT), 360, {NOW} + INTERVAL 90 DAY
+      FROM dl GROUP BY 1, 2, 3, 4) t
+    WHERE NOT (TIMESTAMP '2024-02-10 00:00:00' > valid_until)""", "fx_sample", "fx_header", extra=[HP, _DELTA_CTE]))
+def q_trend_expiry(spark, sf_dir):
+    """Trend tiers with their own expiry (7 and 90 days) evaluated ten days later: only
+    the long-lived tier remains (K5)."""
+    from ..operators.retention import expire_trends
+
+    d = _deltas(spark, sf_dir)
+    tiers = [trend_rollup(d, K, "cntr_value_delta", m, days, NOW_PY) for m, days in ((60, 7), (360, 90))]
+    t = tiers[0].unionByName(tiers[1]).select(*K, T, "value_sum", "interval_minutes", "valid_until")
+    return expire_trends(t, "2024-02-10 00:00:00")
