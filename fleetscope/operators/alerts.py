@@ -1,11 +1,12 @@
 """Alert decisions (L10-L13, L15, L16): action type, suppression, queue, messages.
 
-The stateless part (NEW / RECOVERY / REPEAT on change) is a window-free
+The stateless part (NEW / RECOVERY / REPEAT on change) is a skew-tolerant
 previous-row comparison. Repeat-by-period and the hourly limit depend on the
 actions actually sent before, which is sequential per (instance, check,
-action): that part runs ordered per key in ``applyInPandas`` over the
-*candidate* rows only (rows that could send), with state = send times in the
-last hour.
+action): that part replays the *candidate* rows only (rows that could send),
+split into independent episodes at quiet gaps and, for long episodes, into
+chunks with carried state (send times of the last hour and the last send
+time), in time order within sorted partitions (``mapInPandas``).
 """
 
 from __future__ import annotations
