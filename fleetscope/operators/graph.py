@@ -3,7 +3,7 @@ global sequences.
 
 Recursion is level-synchronous: each level is one distributed join of the
 current frontier with the edge list, so the driver loop runs once per *level*
-(bounded by ``max_depth``), never per row. Frontiers are checkpointed into the
+(until a level adds nothing), never per row. Frontiers are checkpointed into the
 shared checkpoint folder so lineage stays short and a lost executor only
 recomputes the current level.
 """
