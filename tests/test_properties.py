@@ -120,3 +120,33 @@ def test_blocking_chains_equal_tree_walk(spark, parents):
         c = chain(n)
         want[n] = (len(c) - 1, "/" + "".join(f"{x}.0/" for x in c))
     assert got == want
+
+
+samples = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 12), st.integers(0, 60)),
+                   min_size=1, max_size=30, unique_by=lambda t: (t[0], t[1]))
+
+
+@SETTINGS
+@given(samples)
+def test_counter_delta_equals_previous_snapshot_walk(spark, rows):
+    """Delta against the previous snapshot of the instance (not the key's previous row); resets give 0."""
+    from fleetscope.operators.deltas import counter_delta
+
+    data = [("s", k, 1, BASE + dt.timedelta(hours=h), v) for k, h, v in rows]
+    df = spark.createDataFrame(data, "sql_instance string, instance_name string, snapshot_type_id int, "
+                                     "snapshot_time timestamp_ntz, v bigint")
+    got = {(r.instance_name, r.snapshot_time): (r.v_delta, r.delta_seconds)
+           for r in counter_delta(df, ["sql_instance", "instance_name", "snapshot_type_id"], "snapshot_time",
+                                  ["v"]).collect()}
+    times = sorted({BASE + dt.timedelta(hours=h) for _, h, _ in rows})
+    value = {(k, BASE + dt.timedelta(hours=h)): v for k, h, v in rows}
+    want = {}
+    for (k, t), v in value.items():
+        i = times.index(t)
+        prev_t = times[i - 1] if i > 0 else None
+        pv = value.get((k, prev_t)) if prev_t is not None else None
+        if pv is None:
+            want[(k, t)] = (0, None)
+        else:
+            want[(k, t)] = (v - pv if v > pv else 0, int((t - prev_t).total_seconds()))
+    assert got == want
