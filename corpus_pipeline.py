@@ -1,26 +1,59 @@
 """The corpus pipeline: documents in, packed token sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet in the shared folder and
-read again as the next stage's docs. All stages but the last return the columns of documents.
+read again as the next stage's docs. All stages but the last return the columns of documents; n_chars follows the text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetscope.llm import packing
+from fleetscope.llm import line_dedup, ngram_join, packing, pii, quality
 from fleetscope.llm.store import written
 from fleetscope.sources.tables import read_table
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Best-fit packing of the remaining documents: one row per piece."""
+def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs``, with n_chars (where it is one) counted anew."""
+    return docs.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns])
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.kept(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, and documents that consist of nothing else."""
+    out = line_dedup.line_dedup(docs)
+    return _sized(out.filter((F.col("n_removed") == 0) | (F.trim("text") != "")), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return ngram_join.near_dedup(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by the names of its kinds."""
+    return _sized(pii.redacted(docs), docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in sequences: one row per piece."""
     return packing.pack(docs)
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", cross_site_lines),
+    ("ngram_jaccard_join", near_duplicates),
+    ("pii", personal_data),
+    ("best_fit_packing", best_fit_packing),
+]
 
-#: Tokenisation and the fitted classifier have no SQL form.
+#: The fitted classifier and the tokenizer have no SQL form.
 ORACLE_SQL = None
 
 

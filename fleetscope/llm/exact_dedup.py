@@ -1,13 +1,10 @@
 """Exact duplicates by two-pass Bloom filtering.
 
-Pass 1 adds the hash of every text to a counting Bloom filter whose cells stop at two: each text has
-``HASHES`` cells, and a cell hit twice is kept as one bit. Tasks emit the cells they hit, grouped by block; the
-blocks are merged by a shuffle on the block number, one block in memory at a time. Pass 2 asks the filter about
-each text: if one of its cells was hit once only, no other row has this text, and the row passes straight through
-as its own group. Only the other rows (true repeats and a few false alarms) are shuffled, by SHA-256.
-
-The filter is broadcast. It has ``BITS_PER_ROW`` cells for each row, ``MAX_FILTER_BITS`` at most (32 MB); above that
-bound more rows are false alarms and take the shuffle, so the result is the same at every size.
+Pass 1 adds the hash of every text to a Bloom filter that marks cells hit twice (:mod:`.bloom`). Pass 2 asks the filter
+about each text: if one of its cells was hit once only, no other row has this text, and the row passes straight through
+as its own group. Only the other rows (true repeats and a few false alarms) are shuffled, by SHA-256, without their
+texts. The filter's size is bounded; beyond the bound more rows are false alarms and take the shuffle, so the result is
+the same at every size.
 
 Defined cases: null text counts as empty text, and all empty texts are equal; rows with a null id form groups like
 any other and lose every tie; repeated rows (same id and text) count one by one and only their id is kept, so each
@@ -16,118 +13,26 @@ of them is marked kept; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import Filter
 from .skew import attach
 from .store import written
 
-HASHES = 4
-BITS_PER_ROW = 16
-MAX_FILTER_BITS = 1 << 28
-BLOCK_BITS = 1 << 16
-
-_CELLS = "block int, once binary, twice binary"
-_BLOCKS = "block int, bits binary"
-
-
-def _cells(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The cells of each 64-bit hash: an array of len(hashes) x HASHES (double hashing)."""
-    h = hashes.astype(np.uint64)
-    step = (h >> np.uint64(33)) | np.uint64(1)
-    k = np.arange(HASHES, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        mixed = h[:, None] + k[None, :] * step[:, None]
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _hit_cells(bits: int):
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cells, n = np.unique(_cells(b.column(0).to_numpy(zero_copy_only=False), bits).ravel(), return_counts=True)
-            block, at = cells // BLOCK_BITS, (cells % BLOCK_BITS).astype("<u2")
-            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            ends = np.r_[starts[1:], len(block)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block[starts].astype(np.int32)),
-                    pa.array([at[s:e].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
-                    pa.array([at[s:e][n[s:e] > 1].tobytes() for s, e in zip(starts, ends, strict=True)], pa.binary()),
-                ],
-                names=["block", "once", "twice"],
-            )
-
-    return emit
-
-
-def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive sorted by block; holds the cells of one block at a time."""
-    block, once, twice = None, np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
-
-    def out() -> pa.RecordBatch:
-        bits = np.packbits(twice, bitorder="little").tobytes()
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits], pa.binary())], names=["block", "bits"])
-
-    for b in batches:
-        for k, one, two in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            if k != block:
-                if block is not None and twice.any():
-                    yield out()
-                block, once[:], twice[:] = k, False, False
-            cells = np.frombuffer(one, "<u2")
-            twice[cells[once[cells]]] = True
-            twice[np.frombuffer(two, "<u2")] = True
-            once[cells] = True
-    if block is not None and twice.any():
-        yield out()
-
-
-def repeated_filter(hashes: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """The bits of the cells that two rows of ``hashes`` (one bigint column) hit, and the number of cells."""
-    bits = BLOCK_BITS
-    while bits < min(rows * BITS_PER_ROW, MAX_FILTER_BITS):
-        bits *= 2
-    blocks = (
-        hashes.mapInArrow(_hit_cells(bits), _CELLS).repartition("block").sortWithinPartitions("block").mapInArrow(_merge_blocks, _BLOCKS)
-    )
-    out = np.zeros(bits // 8, np.uint8)
-    for r in blocks.toLocalIterator():  # MAX_FILTER_BITS / 8 bytes in all
-        out[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-    return out, bits
-
-
-def _maybe_repeated(sent, bits: int):
-    @F.pandas_udf("boolean")
-    def ask(h):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
-        cells = _cells(h.to_numpy(), bits)
-        return pd.Series(((sent.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).all(axis=1))
-
-    return ask
-
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", text: Column | None = None) -> DataFrame:
     """Per row: id, keep_id (largest id of the equal texts), group_size, kept, text_sha256.
 
     ``text`` may give a normalised form of the text column to compare instead of the text as it is.
     """
-    spark = docs.sparkSession
     body = F.coalesce(text if text is not None else F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), body.alias("_text"))
     total = rows.count()
-    bits, n = repeated_filter(rows.select(F.xxhash64("_text").alias("_h")), total)
-    ask = _maybe_repeated(spark.sparkContext.broadcast(bits), n)
+    twice = Filter(rows.select(F.xxhash64("_text").alias("_h")), total, least=2)
     asked = written(
         rows.select("_id", F.sha2("_text", 256).alias("_sha"), F.xxhash64("_text").alias("_h"))
-        .withColumn("_maybe", ask("_h")).drop("_h"),
+        .withColumn("_maybe", twice.asked("_h")).drop("_h"),
         "asked",
     )
     alone = asked.filter(~F.col("_maybe")).select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"))
