@@ -10,7 +10,7 @@ from __future__ import annotations
 FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_ev": ((), """
         SELECT event_id, ts, user_id, event_type, value,
-               concat('srv', CAST(user_id % 4 AS VARCHAR)) AS sql_instance,
+               concat('srv', CAST(user_id // 4 AS VARCHAR)) AS sql_instance,
                concat('db', CAST(user_id % 3 AS VARCHAR)) AS instance_name,
                CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3
                                WHEN 'signup' THEN 4 ELSE 5 END AS snapshot_type_id,
@@ -40,11 +40,11 @@ FIXTURE_SQL: dict[str, tuple[tuple[str, ...], str]] = {
               FROM fx_inc GROUP BY sql_instance, snapshot_type_id, snapshot_time) c"""),
     "fx_edge": ((), """
         SELECT o_orderkey % 50 AS monitor_loop, o_orderdate AS event_time,
-               CAST(floor(o_orderkey / 50) AS INTEGER) AS blocked_spid, 0 AS blocked_ecid,
-               CAST(floor(floor(o_orderkey / 50) / 3) AS INTEGER) AS blocking_spid, 0 AS blocking_ecid,
+               CAST(floor(o_orderkey / 50) + 2 AS INTEGER) AS blocked_spid, 0 AS blocked_ecid,
+               CAST(floor(floor(o_orderkey / 50) / 3) + 1 AS INTEGER) AS blocking_spid, 0 AS blocking_ecid,
                o_orderstatus AS lock_mode, o_orderpriority AS database_name,
                CAST(round(o_totalprice) AS BIGINT) AS blocking_duration_ms, o_orderkey
-        FROM orders WHERE o_orderkey >= 50"""),
+        FROM orders"""),
     "fx_volume": ((), """
         SELECT volume_id, snapshot_time,
                CAST(10000000 - SUM(used) OVER (PARTITION BY volume_id ORDER BY snapshot_time) AS BIGINT)

@@ -37,9 +37,7 @@ def _ts_attr(ts) -> Column:
 
 def event_xml(spark, sf_dir):
     """Extended-event XML for every event row (the capture format the shredder reads)."""
-    from ..operators.joins import spread_for_cpu
-
-    e = spread_for_cpu(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value"))
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     xml = F.concat(
         F.lit('<event name="'), F.when(F.col("event_id") % 2 == 0, "rpc_completed").otherwise("sql_batch_completed"),
         F.lit('" timestamp="'), _ts_attr(F.col("ts")), F.lit('">'),
@@ -178,9 +176,7 @@ EXCLUDED_WAITS = ["SLEEP_TASK", "WAITFOR", "BROKER_RECEIVE_WAITFOR", "ONDEMAND_T
 
 
 def _wait_xml(spark, sf_dir):
-    from ..operators.joins import spread_for_cpu
-
-    e = spread_for_cpu(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value"))
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
     vocab = F.array(*[F.lit(w) for w in WAIT_VOCABULARY])
     wt = F.element_at(vocab, (F.col("event_id") % len(WAIT_VOCABULARY) + 1).cast("int"))
     nframes = (F.col("event_id") % 3 + 1).cast("int")
@@ -208,17 +204,14 @@ def _wait_xml(spark, sf_dir):
                  unnest(generate_series(1, event_id % 3 + 1)) AS i FROM events) w
     WHERE wait_type NOT IN ({", ".join("'" + w + "'" for w in EXCLUDED_WAITS)}) AND duration > 100""")
 def q_wait_events(spark, sf_dir):
-    from ..operators.joins import spread_for_cpu
-
-    x = spread_for_cpu(_wait_xml(spark, sf_dir))
-    e = x.select("event_id", F.from_xml("event_data", ev.EVENT_XML_SCHEMA).alias("_e"))
+    e = _wait_xml(spark, sf_dir).select("event_id", F.from_xml("event_data", ev.EVENT_XML_SCHEMA).alias("_e"))
     e = e.select("event_id", ev.event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
-                 ev._named("_e.data").alias("_d"), ev._named("_e.action").alias("_a"))
-    w = e.select("event_id", "event_time", F.element_at("_d", F.lit("wait_type")).alias("wait_type"),
-                 F.element_at("_d", F.lit("duration")).cast("bigint").alias("duration"),
-                 F.element_at("_d", F.lit("signal_duration")).cast("bigint").alias("signal_duration"),
-                 F.element_at("_a", F.lit("session_id")).cast("int").alias("session_id"),
-                 F.element_at("_a", F.lit("tsql_stack")).alias("tsql_stack"))
+                 F.col("_e.data").alias("_d"), F.col("_e.action").alias("_a"))
+    w = e.select("event_id", "event_time", ev._named("_d", "wait_type").alias("wait_type"),
+                 ev._named("_d", "duration").cast("bigint").alias("duration"),
+                 ev._named("_d", "signal_duration").cast("bigint").alias("signal_duration"),
+                 ev._named("_a", "session_id").cast("int").alias("session_id"),
+                 ev._named("_a", "tsql_stack").alias("tsql_stack"))
     return ev.wait_events(w, EXCLUDED_WAITS, min_duration_ms=100)
 
 
@@ -370,11 +363,11 @@ def _report_xml(spark, sf_dir):
            'UPDATE t SET x = ' || CAST(o_orderkey AS VARCHAR) AS blocked_inputbuf, 'SELECT 1' AS blocking_inputbuf,
            CAST(blocking_duration_ms * 1000 AS DOUBLE) / 1000 AS blocking_duration_ms
     FROM (SELECT o_orderkey % 50 AS monitor_loop, o_orderdate AS event_time,
-                 CAST(floor(o_orderkey / 50) AS INTEGER) AS blocked_spid,
-                 CAST(floor(floor(o_orderkey / 50) / 3) AS INTEGER) AS blocking_spid,
+                 CAST(floor(o_orderkey / 50) + 2 AS INTEGER) AS blocked_spid,
+                 CAST(floor(floor(o_orderkey / 50) / 3) + 1 AS INTEGER) AS blocking_spid,
                  o_orderstatus AS lock_mode, o_orderpriority AS database_name,
                  CAST(round(o_totalprice) AS BIGINT) AS blocking_duration_ms, o_orderkey
-          FROM orders WHERE o_orderkey >= 50) e
+          FROM orders) e
     WHERE event_time >= TIMESTAMP '1997-01-01 00:00:00'""")
 def q_blocked_process_edges(spark, sf_dir):
     from ..sources import fixtures as fx

@@ -213,7 +213,7 @@ def _table_map_sql() -> str:
 
 
 @register("table_freshness", oracle=f"""
-    WITH h AS (SELECT DISTINCT concat('srv', CAST(user_id % 4 AS VARCHAR)) AS sql_instance,
+    WITH h AS (SELECT DISTINCT concat('srv', CAST(user_id // 4 AS VARCHAR)) AS sql_instance,
                       CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3
                                       WHEN 'signup' THEN 4 ELSE 5 END AS snapshot_type_id,
                       date_trunc('hour', ts) AS snapshot_time FROM events)
@@ -223,13 +223,13 @@ def _table_map_sql() -> str:
     GROUP BY h.sql_instance, m.table_name, m.snapshot_type_id""")
 def q_table_freshness(spark, sf_dir):
     """Latest snapshot per fact table and instance through the fact-table -> type map."""
-    from ..operators.joins import broadcast_if_small, mark_bounded
+    from ..operators.joins import broadcast_if_small
     from ..sources import fixtures as fx
     from ..sources.ingest import TABLE_SNAPSHOT_TYPES, table_snapshot_map
 
     h = fx.fx_header(spark, sf_dir)
     latest = h.groupBy("sql_instance", "snapshot_type_id").agg(F.max("snapshot_time").alias("last_snapshot_time"))
-    m = broadcast_if_small(mark_bounded(table_snapshot_map(spark), len(TABLE_SNAPSHOT_TYPES)))
+    m = broadcast_if_small(table_snapshot_map(spark))
     return latest.join(m, "snapshot_type_id").select("sql_instance", "table_name", "snapshot_type_id",
                                                      "last_snapshot_time")
 

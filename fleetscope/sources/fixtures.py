@@ -1,7 +1,9 @@
 """Telemetry-shaped inputs derived from the driver tables with DataFrame ops.
 
-Every fixture is a lazy projection/aggregation of a whole driver table, so its
-size grows with the data; nothing here is sampled or capped.
+Every fixture is a lazy projection/aggregation of a whole driver table; nothing
+here is sampled or capped. The number of instances grows with the number of users
+(one instance for four users), so headers, samples and check results grow in
+proportion to the events.
 
 ``fx_ev``      events re-read as diagnostic samples of a fleet: instance,
                counter instance, snapshot type and hourly snapshot time.
@@ -49,6 +51,7 @@ HEADER_KEYS = ["sql_instance", "snapshot_type_id", "snapshot_time"]
 # Event type -> snapshot type id of the derived fleet.
 EVENT_TYPE_TO_SNAPSHOT_TYPE = {"click": 1, "view": 2, "purchase": 3, "signup": 4}
 OTHER_SNAPSHOT_TYPE = 5
+USERS_PER_INSTANCE = 4
 
 
 def _snapshot_type(col: Column) -> Column:
@@ -64,7 +67,7 @@ def fx_ev(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     return ev.select(
         "event_id", "ts", "user_id", "event_type", "value",
-        F.concat(F.lit("srv"), (F.col("user_id") % 4).cast("string")).alias("sql_instance"),
+        F.concat(F.lit("srv"), F.floor(F.col("user_id") / USERS_PER_INSTANCE).cast("string")).alias("sql_instance"),
         F.concat(F.lit("db"), (F.col("user_id") % 3).cast("string")).alias("instance_name"),
         _snapshot_type(F.col("event_type")).alias("snapshot_type_id"),
         trunc_ntz("hour", "ts").alias("snapshot_time"),
@@ -118,8 +121,8 @@ def fx_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_memo
 def fx_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocking edges: orders spread over 50 monitor loops by order key; in each
-    loop the i-th order blocks on order i div 3 (a ternary tree rooted at i = 0,
-    the head blocker; a process never blocks itself).
+    loop the i-th order is session i + 2, blocked by session i div 3 + 1 (a tree
+    whose head is session 1; a process never blocks itself).
 
     Depth grows with log3 of the loop size. No window or per-loop ordering is
     needed: every edge is computed from its own row.
@@ -127,12 +130,12 @@ def fx_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus",
                         "o_orderpriority", "o_totalprice", "o_orderdate")
     i = F.floor(F.col("o_orderkey") / 50)
-    return orders.filter(F.col("o_orderkey") >= 50).select(
+    return orders.select(
         (F.col("o_orderkey") % 50).alias("monitor_loop"),
         F.col("o_orderdate").alias("event_time"),
-        i.cast("int").alias("blocked_spid"),
+        (i + 2).cast("int").alias("blocked_spid"),
         F.lit(0).alias("blocked_ecid"),
-        F.floor(i / 3).cast("int").alias("blocking_spid"),
+        (F.floor(i / 3) + 1).cast("int").alias("blocking_spid"),
         F.lit(0).alias("blocking_ecid"),
         F.col("o_orderstatus").alias("lock_mode"),
         F.col("o_orderpriority").alias("database_name"),
