@@ -23,8 +23,6 @@ TREE_INDENT = "|         "
 TREE_HEAD = "HEAD BLOCKER -  "
 TREE_CHILD = "|------  "
 SYSTEM_SPID_MAX = 50
-# Fixed value: maximum dependency level.
-MAX_DEPENDENCY_LEVEL = 20
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -75,7 +73,7 @@ def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int | Non
         return F.concat(s.cast("string"), F.lit("."), c.cast("string"), F.lit("/"))
 
     level = heads.select(*node, F.concat(F.lit("/"), path_piece(F.col("session_id"), F.col("ecid"))).alias("blocking_chain"),
-                         F.lit(0).alias("blocking_spid"), F.lit(0).alias("blocking_ecid"),
+                         F.lit(None).cast("int").alias("blocking_spid"), F.lit(None).cast("int").alias("blocking_ecid"),
                          F.lit(0).alias("blocking_level"))
     level = _cut(level)
     levels = [level]
@@ -130,35 +128,42 @@ def blocking_chains(edges: DataFrame, start=None, end=None, max_depth: int | Non
         F.lit("SPID "), F.when(F.col("session_id") <= SYSTEM_SPID_MAX, F.lit("(SYSTEM)")).otherwise(F.lit("")),
         F.lit(": "), F.col("session_id").cast("string"))
     out = j.select("monitor_loop", "session_id", "ecid",
-                   F.when(F.col("blocking_spid") != 0, F.col("blocking_spid")).alias("blocking_session_id"),
+                   F.col("blocking_spid").alias("blocking_session_id"),
                    "blocking_level", "blocking_chain", tree.alias("blocking_tree"), *details)
     return global_sequence(out, "monitor_loop", ["blocking_chain"])
 
 
 def dependency_levels(edges: DataFrame, child: str = "child", parent: str = "parent",
-                      max_level: int = MAX_DEPENDENCY_LEVEL) -> DataFrame:
-    """Dependency level per node: 1 + the longest chain of parents above it, capped
-    at ``max_level`` (J17). Nodes without parents are level 1.
-
-    Layered (semi-naive) evaluation: layer k holds the distinct nodes reached by
-    some parent chain of length k-1; a node's level is the deepest layer it
-    appears in. Each round joins only the previous layer with the edge list,
-    and layers are distinct node sets, so no path is enumerated twice.
+                      max_level: int | None = None) -> DataFrame:
+    """Dependency level per node: 1 + the longest chain of parents above it.
+    Nodes without parents are level 1; nodes on a cycle, or below one, have no
+    longest chain and get level NULL.
+
+    Layers are peeled off from the top: a node is settled in the round after the
+    last of its parents, so each edge is joined once, and what is never settled
+    is the cycles. Only nodes with some parents settled are carried between
+    rounds. ``max_level`` is a guard: reaching it fails the job.
     """
-    # the edge list is joined once per layer: materialise it once
-    # hash-partitioned by the join key before the checkpoint, so the per-layer joins reuse it
+    # hash-partitioned by the join key before the checkpoint, so the joins of all rounds reuse it
     ed = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent")).distinct()
               .repartition("_parent"))
     nodes = ed.select("node").union(ed.select(F.col("_parent").alias("node"))).distinct()
-    layer = _cut(nodes)
+    due = _cut(ed.groupBy("node").agg(F.count(F.lit(1)).alias("_due")))
+    layer = _cut(nodes.join(due, "node", "left_anti"))
     layers = [layer.withColumn("level", F.lit(1))]
-    for lvl in range(2, max_level + 1):
-        nxt = _cut(ed.join(layer.withColumnRenamed("node", "_parent"), "_parent").select("node").distinct())
-        if nxt.isEmpty():
+    waiting = ed.select("node", F.lit(0).cast("bigint").alias("_met")).limit(0)
+    while True:
+        met = (ed.join(layer.withColumnRenamed("node", "_parent"), "_parent")
+               .groupBy("node").agg(F.count(F.lit(1)).alias("_met")))
+        met = _cut(waiting.unionByName(met).groupBy("node").agg(F.sum("_met").alias("_met")).join(due, "node"))
+        layer = met.filter(F.col("_met") == F.col("_due")).select("node")
+        if layer.isEmpty():
             break
-        layers.append(nxt.withColumn("level", F.lit(lvl)))
-        layer = nxt
-    allv = layers[0]
+        if max_level is not None and len(layers) >= max_level:
+            raise ValueError(f"dependency chains are longer than max_level = {max_level}")
+        layers.append(layer.withColumn("level", F.lit(len(layers) + 1)))
+        waiting = met.filter(F.col("_met") < F.col("_due")).select("node", "_met")
+    settled = layers[0]
     for lv in layers[1:]:
-        allv = allv.unionByName(lv)
-    return allv.groupBy(F.col("node").alias(child)).agg(F.max("level").alias("level"))
+        settled = settled.unionByName(lv)
+    return nodes.join(settled, "node", "left").select(F.col("node").alias(child), "level")

@@ -22,7 +22,7 @@ def _piece(s, e):
 
 _CHAINS_SQL = with_fixtures(f"""
     SELECT h.monitor_loop, h.session_id, h.ecid,
-           CASE WHEN h.blocking_spid <> 0 THEN h.blocking_spid END AS blocking_session_id,
+           h.blocking_spid AS blocking_session_id,
            h.blocking_level, h.blocking_chain,
            '    ' || chr(160) || chr(160) || repeat('|         ', h.blocking_level)
              || CASE WHEN h.blocking_level = 0 THEN 'HEAD BLOCKER -  ' ELSE '|------  ' END
@@ -39,7 +39,8 @@ _CHAINS_SQL = with_fixtures(f"""
                  EXCEPT SELECT monitor_loop, blocked_spid, blocked_ecid FROM fx_edge"""),
     ("step", """SELECT DISTINCT monitor_loop, blocked_spid, blocked_ecid, blocking_spid, blocking_ecid FROM fx_edge"""),
     ("h", f"""SELECT monitor_loop, session_id, ecid, '/' || {_piece('session_id', 'ecid')} AS blocking_chain,
-                     0 AS blocking_spid, 0 AS blocking_ecid, 0 AS blocking_level FROM heads
+                     CAST(NULL AS INTEGER) AS blocking_spid, CAST(NULL AS INTEGER) AS blocking_ecid,
+                     0 AS blocking_level FROM heads
               UNION ALL
               SELECT h.monitor_loop, s.blocked_spid, s.blocked_ecid,
                      h.blocking_chain || {_piece('s.blocked_spid', 's.blocked_ecid')},
@@ -65,7 +66,7 @@ def q_blocking_chains(spark, sf_dir):
                     CAST(monitor_loop AS VARCHAR) || ':' || CAST(blocking_spid AS VARCHAR) AS parent FROM fx_edge"""),
     ("nodes", "SELECT child AS node FROM e UNION SELECT parent FROM e"),
     ("r", """SELECT node, 1 AS lvl FROM nodes
-             UNION ALL SELECT e.child, r.lvl + 1 FROM r JOIN e ON e.parent = r.node WHERE r.lvl < 20"""),
+             UNION ALL SELECT e.child, r.lvl + 1 FROM r JOIN e ON e.parent = r.node"""),
 ]))
 def q_dependency_levels(spark, sf_dir):
     e = fx.fx_edge(spark, sf_dir)

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from fleetscope.functions import patterns as pt
@@ -251,8 +253,16 @@ def test_blocking_chain_cycle_guard_and_heads(spark):
     assert out == [(2, 4, 0, "/4.0/", 1), (2, 5, 1, "/4.0/5.0/", 2), (2, 6, 2, "/4.0/5.0/6.0/", 3)]
 
 
-def test_dependency_levels_longest_path_and_cap(spark):
-    e = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("x", "y"), ("y", "x")], "child string, parent string")
+def test_dependency_levels_longest_path_and_cycles(spark):
+    e = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("z", "a")],
+                              "child string, parent string")
+    got = dict((r.child, r.level) for r in dependency_levels(e).collect())
+    assert got == {"a": 1, "b": 2, "c": 3, "x": None, "y": None, "z": None}
+
+
+def test_dependency_levels_deep_chain(spark):
+    e = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(25)], "child string, parent string")
     got = dict((r.child, r.level) for r in dependency_levels(e).collect())
-    assert got["a"] == 1 and got["b"] == 2 and got["c"] == 3
-    assert got["x"] == 20 and got["y"] == 20  # a cycle saturates at the cap
+    assert got == {f"n{i}": i + 1 for i in range(26)}
+    with pytest.raises(ValueError, match="max_level"):
+        dependency_levels(e, max_level=5)
