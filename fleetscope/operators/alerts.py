@@ -4,9 +4,8 @@ The stateless part (NEW / RECOVERY / REPEAT on change) is a skew-tolerant
 previous-row comparison. Repeat-by-period and the hourly limit depend on the
 actions actually sent before, which is sequential per (instance, check,
 action): that part replays the *candidate* rows only (rows that could send),
-split into independent episodes at quiet gaps and, for long episodes, into
-chunks with carried state (send times of the last hour and the last send
-time), in time order within sorted partitions (``mapInPandas``).
+split into independent episodes at quiet gaps, in time order within sorted
+partitions (``mapInPandas``).
 """
 
 from __future__ import annotations
@@ -93,51 +92,22 @@ def _decide(r, state: dict):
 
 _OUT_COLS = ["sql_instance", "check_id", "action_id", "snapshot_time", "action_type", "sent", "suppressed_reason",
              "action_count_last_hour"]
-_CHUNK_SCHEMA = (_SUPPRESS_SCHEMA + ", episode bigint, is_state_row boolean, carry_sent array<timestamp_ntz>, "
-                 "carry_last timestamp_ntz")
-# Episodes longer than this many candidate rows are replayed in consecutive chunks.
-EPISODE_CHUNK_ROWS = 100_000
 
 
-def _ts_list(cell) -> list:
-    if cell is None:
-        return []
-    try:
-        if pd.isna(cell):
-            return []
-    except (TypeError, ValueError):
-        pass
-    return [pd.Timestamp(x) for x in cell]
-
-
-def _replay_chunks(batches):
-    """Replay rows sorted by (key, episode, time); each episode starts from the state carried
-    in its first row (empty for a first chunk) and ends with one state row for the next chunk."""
-    current, state, out = None, None, []
-
-    def close():
-        if current is not None:
-            out.append((current[0], current[1], current[2], None, None, None, None, None, current[3], True,
-                        list(state["sent"]), state["last"]))
-
+def _replay(batches):
+    """Replay rows sorted by (key, episode, time), one Arrow batch at a time; an episode starts without state."""
+    current, state = None, None
     for pdf in batches:
+        out = []
         for r in pdf.itertuples(index=False):
             k = (r.sql_instance, int(r.check_id), int(r.action_id), int(r.episode))
             if k != current:
-                close()
-                last = None if r.carry_last is None or pd.isna(r.carry_last) else pd.Timestamp(r.carry_last)
-                current, state = k, {"sent": _ts_list(r.carry_sent), "last": last}
-            typ, sent, reason, count = _decide(r, state)
-            out.append((k[0], k[1], k[2], r.snapshot_time, typ, sent, reason, count, k[3], False, None, None))
-        if len(out) > 10_000:
-            yield pd.DataFrame(out, columns=_OUT_COLS + ["episode", "is_state_row", "carry_sent", "carry_last"])
-            out = []
-    close()
-    yield pd.DataFrame(out, columns=_OUT_COLS + ["episode", "is_state_row", "carry_sent", "carry_last"])
-
-
-def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping",
-                    chunk_rows: int = EPISODE_CHUNK_ROWS) -> DataFrame:
+                current, state = k, {"sent": [], "last": None}
+            out.append((*k[:3], r.snapshot_time, *_decide(r, state)))
+        yield pd.DataFrame(out, columns=_OUT_COLS)
+
+
+def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping") -> DataFrame:
     """Apply flapping suppression, the hourly limit and repeat periods in order.
 
     Only rows that could send are processed; NONE rows that cannot repeat are
@@ -145,14 +115,10 @@ def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping",
     action), but its state -- sends of the last hour and the last send time --
     is irrelevant after a quiet gap longer than both one hour and the repeat
     period, so candidate rows are split into independent episodes at such
-    gaps. Episodes are co-located and replayed in time order by ``mapInPandas``
-    one Arrow batch at a time. An episode longer than ``chunk_rows`` is
-    replayed in consecutive chunks: round r replays chunk r of every long
-    episode in parallel, starting from the state that round r-1 ended with
-    (a few timestamps per episode), so no task ever holds more than one chunk
-    of one episode.
+    gaps. Episodes are co-located, sorted (the sort spills) and replayed in time
+    order by ``mapInPandas``; a task holds one Arrow batch and a few timestamps,
+    however long an episode is.
     """
-    from ..operators.graph import _cut
     from .windows import previous_values, running_sum
 
     keys = ["sql_instance", "check_id", "action_id"]
@@ -164,48 +130,10 @@ def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping",
     quiet = F.greatest(F.lit(60), F.coalesce(F.col("action_repeat_period_minutes"), F.lit(0)))
     gap = F.timestamp_diff("MINUTE", F.col("prev_snapshot_time"), F.col("snapshot_time"))
     starts = F.when(F.col("prev_snapshot_time").isNull() | (gap > quiet), 1).otherwise(0).cast("bigint")
-    e = _cut(running_sum(p.withColumn("_start", starts).drop("prev_snapshot_time"), keys, "snapshot_time",
-                         "_start", "episode", bucket="month").drop("_start"))
-    longest = e.groupBy(*keys, "episode").count().agg(F.max("count")).first()[0]
-    if longest is not None and longest > chunk_rows:
-        # number the rows of each episode (bucketed running count) and cut long episodes into chunks
-        e = running_sum(e.withColumn("_one", F.lit(1).cast("bigint")), keys + ["episode"], "snapshot_time", "_one",
-                        "_pos", bucket="month").drop("_one")
-        e = _cut(e.withColumn("_chunk", F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)).cast("bigint"))
-                 .drop("_pos"))
-        rounds = e.agg(F.max("_chunk")).first()[0]
-    else:
-        e = e.withColumn("_chunk", F.lit(0).cast("bigint"))
-        rounds = None if longest is None else 0
-    from .joins import shuffle_partitions
-
-    n = shuffle_partitions(e.sparkSession)
-    decision_cols = [F.col(x) for x in _OUT_COLS]
-    outs, state = [], None
-    for r in range(0 if rounds is None else int(rounds) + 1):
-        part = e.filter(F.col("_chunk") == r).drop("_chunk")
-        if state is None:
-            part = part.withColumn("carry_sent", F.lit(None).cast("array<timestamp_ntz>")) \
-                       .withColumn("carry_last", F.lit(None).cast("timestamp_ntz"))
-        else:
-            part = part.join(state, keys + ["episode"], "left")
-        # co-locate each episode and replay partitions in (key, episode, time) order: one Python call
-        # per Arrow batch rather than one per episode; the sort spills as needed
-        ordered = (part.repartition(n, *keys, "episode")
-                   .sortWithinPartitions(*keys, "episode", "snapshot_time"))
-        res = ordered.mapInPandas(_replay_chunks, _CHUNK_SCHEMA)
-        if r == rounds:
-            outs.append(res.filter(~F.col("is_state_row")).select(*decision_cols))
-            break
-        res = _cut(res)
-        outs.append(res.filter(~F.col("is_state_row")).select(*decision_cols))
-        state = res.filter(F.col("is_state_row")).select(*keys, "episode", "carry_sent", "carry_last")
-    if not outs:
-        return e.sparkSession.createDataFrame([], _SUPPRESS_SCHEMA)
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+    e = running_sum(p.withColumn("_start", starts).drop("prev_snapshot_time"), keys, "snapshot_time",
+                    "_start", "episode", bucket="month").drop("_start")
+    ordered = e.repartition(*keys, "episode").sortWithinPartitions(*keys, "episode", "snapshot_time")
+    return ordered.mapInPandas(_replay, _SUPPRESS_SCHEMA)
 
 
 def queue_next(queue: DataFrame, now, n: int = 1, retry_after: int = RETRY_AFTER_MINUTES) -> DataFrame:

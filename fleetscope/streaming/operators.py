@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.joins import broadcast_if_small
+
 # Collection tiers as trigger intervals.
 TRIGGER_TIERS = {"fast": "5 seconds", "minute": "60 seconds", "ten_minutes": "600 seconds", "hour": "3600 seconds"}
 
@@ -43,12 +45,6 @@ def dedup_stream(df: DataFrame, keys: Sequence[str], time: str, watermark: str =
     return out.withColumn(time, F.col(time).cast("timestamp_ntz")) if ntz else out
 
 
-def late_filter(df: DataFrame, time: str, watermark: str) -> DataFrame:
-    """Declare the lateness bound; stateful operators downstream drop rows behind it."""
-    d, _ = _event_time(df, time)
-    return d.withWatermark(time, watermark)
-
-
 def trend_stream(df: DataFrame, keys: Sequence[str], time: str, value: str, minutes: int,
                  watermark: str = "10 minutes") -> DataFrame:
     """Tumbling n-minute trend windows, emitted once closed (append mode)."""
@@ -62,99 +58,101 @@ def trend_stream(df: DataFrame, keys: Sequence[str], time: str, value: str, minu
                     "value_count", F.lit(minutes).alias("interval_minutes"))
 
 
-def _delta_fn(keys: Sequence[str], time: str, cols: Sequence[str]) -> Callable:
+def _delta_fn(header_keys: Sequence[str], keys: Sequence[str], time: str, cols: Sequence[str]) -> Callable:
+    names = [k for k in keys if k not in header_keys]
+
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(pdfs), ignore_index=True)
+        last_time = None
         if state.exists:
-            last = state.get
-            last_t, last_vals = last[0], list(last[1:])
-        else:
-            last_t, last_vals = None, None
-        frames = [p for p in pdfs]
-        if not frames:
+            last_time, rows = state.get[0], state.get[1:]
+            last_time = pd.Timestamp(last_time)
+            new = new[new[time] > last_time]  # late or repeated snapshots are accounted for
+        new = new.drop_duplicates([*names, time])
+        if new.empty:
             return
-        pdf = pd.concat(frames).sort_values(time, kind="stable")
-        out = []
-        for row in pdf.itertuples(index=False):
-            rec = row._asdict()
-            t = rec[time]
-            if last_t is not None and t <= last_t:
-                continue  # late or duplicate sample: already accounted for
-            for i, c in enumerate(cols):
-                cur = rec[c]
-                if last_vals is None or pd.isna(last_vals[i]) or pd.isna(cur):
-                    rec[f"{c}_delta"] = 0
-                else:
-                    rec[f"{c}_delta"] = int(cur - last_vals[i]) if cur > last_vals[i] else 0
-            rec["delta_seconds"] = None if last_t is None else int((t - last_t).total_seconds())
-            out.append(rec)
-            last_t, last_vals = t, [rec[c] for c in cols]
-        state.update(tuple([last_t] + [None if pd.isna(v) else int(v) for v in last_vals]))
-        if out:
-            yield pd.DataFrame(out)
+        times = sorted(new[time].unique())
+        before = dict(zip(times, [last_time, *times[:-1]], strict=True))
+        old = new[[*names, time, *cols]]
+        if last_time is not None:
+            kept = pd.DataFrame({n: v for n, v in zip([*names, *cols], rows, strict=True)})
+            kept[names] = kept[names].astype(object)
+            kept[time] = last_time
+            for n in names:
+                kept[n] = kept[n].astype(new[n].dtype)
+            old = pd.concat([kept, old], ignore_index=True)
+        old = old.rename(columns={time: "_before", **{c: f"_old_{c}" for c in cols}}).assign(_there=True)
+        out = new.assign(_before=new[time].map(before))
+        out["_before"] = out["_before"].astype(old["_before"].dtype)
+        out = out.merge(old, on=[*names, "_before"], how="left")
+        there = out["_there"].notna()
+        for c in cols:
+            grown = (out[c] - out[f"_old_{c}"]).where(there & (out[c] > out[f"_old_{c}"]), 0)
+            out[f"{c}_delta"] = grown.fillna(0).astype("int64")
+        seconds = (out[time] - pd.to_datetime(out["_before"])).dt.total_seconds()
+        out["delta_seconds"] = seconds.where(there).astype("Int64")
+        final = new[new[time] == times[-1]]
+        held = [final[n].map(lambda v: None if pd.isna(v) else str(v)).tolist() for n in names]
+        held += [[None if pd.isna(v) else int(v) for v in final[c]] for c in cols]
+        state.update((pd.Timestamp(times[-1]).to_pydatetime(), *held))
+        yield out[[*new.columns, *[f"{c}_delta" for c in cols], "delta_seconds"]]
+
     return fn
 
 
-def stateful_counter_delta(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str]) -> DataFrame:
-    """Reset-safe counter delta over a stream with the previous sample per key in
-    the state store (Z2, M1). Output: the input columns plus ``<c>_delta`` and
-    ``delta_seconds`` (NULL for the first sample of a key)."""
-    in_cols = list(keys) + [time] + [c for c in cols]
-    extra = [c for c in df.columns if c not in in_cols]
-    schema_in = df.select(*in_cols, *extra).schema
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema_in.fields)
+def stateful_counter_delta(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str],
+                           header_keys: Sequence[str] = ("sql_instance", "snapshot_type_id")) -> DataFrame:
+    """Reset-safe counter delta over a stream (Z2, M1, M1n): against the previous *snapshot* of the (instance, type),
+    as ``deltas.counter_delta`` does; a key that is absent there has delta 0 and no seconds.
+
+    The state of an (instance, type) is its last snapshot: the time and, per key, the values. Output: the input
+    columns plus ``<c>_delta`` and ``delta_seconds``.
+    """
+    names = [k for k in keys if k not in header_keys]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rest = [c for c in df.columns if c not in {*header_keys, *names, time, *cols}]
+    rows = df.select(*header_keys, *names, time, *cols, *rest)
+    fields = ", ".join(f"{c} {kinds[c]}" for c in rows.columns)
     out_schema = fields + ", " + ", ".join(f"{c}_delta bigint" for c in cols) + ", delta_seconds bigint"
-    state_schema = f"t timestamp_ntz, " + ", ".join(f"v{i} bigint" for i in range(len(cols)))
-    return (df.select(*in_cols, *extra).groupBy(*keys)
-            .applyInPandasWithState(_delta_fn(keys, time, cols), out_schema, state_schema, "append",
+    state_schema = "t timestamp, " + ", ".join([f"k{i} array<string>" for i in range(len(names))]
+                                               + [f"v{i} array<bigint>" for i in range(len(cols))])
+    return (rows.groupBy(*header_keys)
+            .applyInPandasWithState(_delta_fn(header_keys, keys, time, cols), out_schema, state_schema, "append",
                                     GroupStateTimeout.NoTimeout))
 
 
 def _alert_fn():
-    from ..operators.alerts import NEW, NONE, RECOVERY, REPEAT
+    from types import SimpleNamespace
+
+    from ..operators.alerts import NEW, NONE, RECOVERY, REPEAT, _decide
 
     def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        prev_status, prev_value, sends = None, None, {"sent": [], "last": None}
         if state.exists:
-            s = state.get
-            prev_status, prev_value, sent, last_sent = s[0], s[1], list(s[2] or []), s[3]
-            last_sent = None if last_sent is None or pd.isna(last_sent) else pd.Timestamp(last_sent)
-        else:
-            prev_status, prev_value, sent, last_sent = None, None, [], None
-        frames = [p for p in pdfs]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values("snapshot_time", kind="stable")
+            prev_status, prev_value, sent, last = state.get
+            prev_value = None if prev_value is None or pd.isna(prev_value) else prev_value
+            sends = {"sent": [pd.Timestamp(x) for x in (sent if sent is not None else [])],
+                     "last": None if last is None or pd.isna(last) else pd.Timestamp(last)}
         out = []
-        for r in pdf.itertuples(index=False):
-            t = r.snapshot_time
-            sent = [x for x in sent if x > t - pd.Timedelta(hours=1)]
-            cur = r.check_status
-            prev = prev_status if prev_status is not None else "OK"
-            changed = prev_value is None or r.check_value != prev_value
-            if cur != "OK" and prev == "OK":
+        for r in pd.concat(list(pdfs)).sort_values("snapshot_time", kind="stable").itertuples(index=False):
+            status, value = r.check_status, None if pd.isna(r.check_value) else r.check_value
+            before = prev_status if prev_status is not None else "OK"
+            changed = prev_value is None or (value is not None and value != prev_value)
+            if status != "OK" and before == "OK":
                 typ = NEW
-            elif cur == "OK" and prev != "OK" and r.action_recovery:
+            elif status == "OK" and before != "OK" and r.action_recovery:
                 typ = RECOVERY
-            elif cur != "OK" and prev != "OK" and changed and r.action_every_failure:
+            elif status != "OK" and before != "OK" and changed and r.action_every_failure:
                 typ = REPEAT
             else:
                 typ = NONE
-            reason = None
-            if bool(r.is_flapping) and not bool(r.action_every_failure):
-                typ, reason = NONE, "FLAPPING"
-            elif len(sent) > r.action_hourly_limit:
-                typ, reason = NONE, "HOURLY LIMIT"
-            elif (typ == NONE and cur != "OK" and prev_status == cur
-                  and not pd.isna(r.action_repeat_period_minutes)):
-                last = last_sent if last_sent is not None else pd.Timestamp("1970-01-01")
-                if int((t.floor("min") - last.floor("min")).total_seconds() // 60) > r.action_repeat_period_minutes:
-                    typ = REPEAT
-            if typ != NONE:
-                sent.append(t)
-                last_sent = t
-            if typ != NONE or reason:
-                out.append((key[0], int(key[1]), int(key[2]), t, typ, typ != NONE, reason))
-            prev_status, prev_value = cur, r.check_value
-        state.update((prev_status, prev_value, sent, last_sent))
+            repeat = status != "OK" and prev_status == status and not pd.isna(r.action_repeat_period_minutes)
+            if typ != NONE or repeat:  # the rows that the batch form replays, decided by the same function
+                step = SimpleNamespace(**{**r._asdict(), "action_type": typ, "repeat_candidate": repeat})
+                typ, sent, reason, _ = _decide(step, sends)
+                out.append((key[0], int(key[1]), int(key[2]), r.snapshot_time, typ, sent, reason))
+            prev_status, prev_value = status, value
+        state.update((prev_status, prev_value, sends["sent"], sends["last"]))
         if out:
             yield pd.DataFrame(out, columns=["sql_instance", "check_id", "action_id", "snapshot_time",
                                              "action_type", "sent", "suppressed_reason"])
@@ -169,7 +167,7 @@ def alert_stream(checks: DataFrame, actions: DataFrame) -> DataFrame:
     (stream-static join). State per (instance, check, action): previous
     status and value, and the send times of the last hour.
     """
-    j = checks.join(F.broadcast(actions), "check_id")
+    j = checks.join(broadcast_if_small(actions), "check_id")
     j = j.select("sql_instance", "check_id", "action_id", "snapshot_time", "check_status", "check_value",
                  "is_flapping", "action_every_failure", "action_recovery", "action_repeat_period_minutes",
                  "action_hourly_limit")
@@ -213,6 +211,11 @@ def refresh_then_load(dim_loader: Callable[[DataFrame, int], None], fact_loader:
     return body
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def incremental_delta_batches(samples_path: str, deltas_path: str, keys: Sequence[str], time: str,
                               cols: Sequence[str], header_keys: Sequence[str] = ("sql_instance", "snapshot_type_id")):
     """``foreachBatch`` body for counter deltas over micro-batches of samples.
@@ -228,13 +231,17 @@ def incremental_delta_batches(samples_path: str, deltas_path: str, keys: Sequenc
 
     def body(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
+        if _exists(spark, samples_path):  # any other failure to read is an error
             stored = spark.read.parquet(samples_path).filter(F.col("batch_id") < batch_id).drop("batch_id")
-        except Exception:  # noqa: BLE001 - nothing stored yet
+        else:
             stored = spark.createDataFrame([], batch.schema)
-        deltas = counter_delta_incremental(batch, stored.select(*batch.columns), keys, time, cols,
-                                           header_keys=header_keys)
-        for df, path in ((batch, samples_path), (deltas, deltas_path)):
-            (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+        batch.persist()  # read for both writes
+        try:
+            deltas = counter_delta_incremental(batch, stored.select(*batch.columns), keys, time, cols,
+                                               header_keys=header_keys)
+            for df, path in ((batch, samples_path), (deltas, deltas_path)):
+                (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+                   .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+        finally:
+            batch.unpersist()
     return body
