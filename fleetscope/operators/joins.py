@@ -14,28 +14,28 @@ from pyspark.sql import functions as F
 
 HEADER_KEYS = ["sql_instance", "snapshot_type_id", "snapshot_time"]
 
-# Configuration relations up to this many rows are broadcast explicitly.
-BROADCAST_ROW_LIMIT = 100_000
+# A side is broadcast explicitly when the planner's size for it is at most this.
+BROADCAST_BYTES = 8 << 20
 
 
-def mark_bounded(df: DataFrame, rows: int) -> DataFrame:
-    """Record a proven row bound on a DataFrame built from known rows (configuration)."""
-    df._fleetscope_rows = rows  # noqa: SLF001 - a plain Python attribute on this DataFrame object
-    return df
+def plan_bytes(df: DataFrame) -> int | None:
+    """The planner's size of ``df`` in bytes: exact for literal relations, from file sizes for scans,
+    not reduced by filters and aggregations; a huge number where nothing is known."""
+    if not hasattr(df, "_jdf"):  # a remote session does not show its plans
+        return None
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast ``df`` only when its size is proven: configuration relations built
-    from a known list of rows carry their row count (``mark_bounded``).
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only when its size is known and within ``max_bytes``.
 
-    Anything else is left to the planner, whose broadcast decision is itself a
-    size check (``spark.sql.autoBroadcastJoinThreshold``) with a sort-merge join
-    beyond it, and to AQE, which re-plans with measured sizes at run time.
+    The size is read from the optimised plan, so it holds after projections,
+    filters and renames. A side without the hint is left to the planner
+    (``spark.sql.autoBroadcastJoinThreshold``, a sort-merge join beyond it) and
+    to AQE, which re-plans with measured sizes at run time.
     """
-    rows = getattr(df, "_fleetscope_rows", None)
-    if rows is not None and rows <= max_rows:
-        return F.broadcast(df)
-    return df
+    size = plan_bytes(df)
+    return F.broadcast(df) if size is not None and size <= max_bytes else df
 
 
 def shuffle_partitions(spark) -> int:
@@ -46,22 +46,6 @@ def shuffle_partitions(spark) -> int:
         return spark.sparkContext.defaultParallelism
 
 
-def spread_for_cpu(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a DataFrame over the cluster's cores before CPU-heavy per-row work
-    (XML parsing, text scans) when its input arrives in fewer partitions than cores.
-
-    A no-op for large inputs, which already come in many splits; for a small
-    file with a single row group it turns one long task into one per core.
-    """
-    try:
-        sc = df.sparkSession.sparkContext
-        want = min_partitions or sc.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the input as it is
-        return df
-    return df.repartition(want) if have < want else df
-
-
 def with_header(fact: DataFrame, header: DataFrame, keys: Sequence[str] = HEADER_KEYS) -> DataFrame:
     """Fact rows that belong to a registered snapshot, with header columns."""
     return fact.join(header, list(keys), "inner")

@@ -32,9 +32,10 @@ class Relation:
         self.types = [c.strip().split()[1] for c in ddl.split(",")]
 
     def df(self, spark: SparkSession) -> DataFrame:
-        from ..operators.joins import mark_bounded
-
-        return mark_bounded(spark.createDataFrame(self.rows, self.ddl), len(self.rows))
+        # an inline table: the planner knows its size
+        body = ", ".join("(" + ", ".join(_lit(v) for v in r) + ")" for r in self.rows)
+        cols = ", ".join(f"CAST({n} AS {t}) AS {n}" for n, t in zip(self.names, self.types))
+        return spark.sql(f"SELECT {cols} FROM VALUES {body} AS v({', '.join(self.names)})")
 
     def sql(self) -> str:
         casts = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
