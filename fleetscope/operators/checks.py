@@ -208,12 +208,10 @@ def baseline_values(history: DataFrame, membership: DataFrame, keys: Sequence[st
     # Average in integer units of 1e-5 (each value rounded half-up to five
     # decimals, the mean rounded half-up): exact and independent of the order
     # in which partial sums are combined.
-    units = F.round(F.col(value) * 100000).cast("bigint")
+    total, count = exact_mean(value)
     g = (history.join(m, ["sql_instance", time], "left_semi")
-         .groupBy(*keys).agg(F.sum(units).alias("_s"), F.count(units).alias("_n")))
-    mean_units = F.floor((F.col("_s") * 2 + F.col("_n")) / (F.col("_n") * 2))
-    base = (mean_units.cast("decimal(28,0)") * F.lit(0.00001).cast("decimal(6,5)")).cast(DEC)
-    return g.select(*keys, base.alias("check_baseline"))
+         .groupBy(*keys).agg(total.alias("_s"), count.alias("_n")))
+    return g.select(*keys, exact_mean_value("_s", "_n").cast(DEC).alias("check_baseline"))
 
 
 def baseline_status(df: DataFrame, baselines: DataFrame, keys: Sequence[str] = ("sql_instance", "check_id"),
@@ -328,13 +326,18 @@ def exact_mean(value, scale: int = 5) -> tuple[Column, Column]:
     """(sum, count) aggregate parts for a mean rounded half-up at ``scale`` decimals,
     computed in integer units so it does not depend on the order partial sums are
     combined. Use with ``exact_mean_value``."""
-    units = F.round(F.col(value) * (10 ** scale)).cast("bigint") if isinstance(value, str) else \
-        F.round(value * (10 ** scale)).cast("bigint")
+    value = F.col(value) if isinstance(value, str) else value
+    units = F.round(value * (10 ** scale)).cast("decimal(28,0)")
     return F.sum(units), F.count(units)
 
 
 def exact_mean_value(sum_col: str, count_col: str, scale: int = 5) -> Column:
-    mean_units = F.floor((F.col(sum_col) * 2 + F.col(count_col)) / (F.col(count_col) * 2))
+    # floor((2 sum + n) / 2n) in exact integers: the remainder is taken off before the division
+    total = F.col(sum_col).cast("decimal(38,0)")
+    count = F.col(count_col).cast("decimal(20,0)")
+    top, bottom = total + total + count, count + count
+    rest = F.pmod(top, bottom)
+    mean_units = F.when(count > 0, F.try_divide(top - rest, bottom))
     return (mean_units.cast("decimal(28,0)") * F.lit(10.0 ** -scale).cast(f"decimal({scale + 1},{scale})")) \
         .cast(f"decimal(28,{scale})")
 

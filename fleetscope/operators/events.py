@@ -115,9 +115,10 @@ EVENT_XML_SCHEMA = ("_name string, _timestamp string, "
                     "action array<struct<_name: string, value: string, text: string>>")
 
 
-def _named(arr: str) -> Column:
-    """array<struct<_name, value, text>> -> map name -> value (or text)."""
-    return F.map_from_entries(F.transform(F.col(arr), lambda x: F.struct(x["_name"], F.coalesce(x["value"], x["text"]))))
+def _named(arr: str, name: str) -> Column:
+    """Value (or text) of the first element of array<struct<_name, value, text>> that has this name."""
+    first = F.get(F.filter(F.col(arr), lambda x: x["_name"] == name), F.lit(0))
+    return F.coalesce(first["value"], first["text"])
 
 
 def event_time_from_text(ts_text) -> Column:
@@ -134,15 +135,14 @@ def shred_event(df: DataFrame, xml_col: str = "event_data", keep: Sequence[str]
     cleaned (tabs dropped, spaces squeezed). ``keep`` columns pass through.
     """
     from ..functions.scalars import clean_sql_text
-    from .joins import spread_for_cpu
 
-    e = spread_for_cpu(df).select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
+    e = df.select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
     e = e.select(*keep, F.col("_e._name").alias("event_name"),
                  event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
-                 _named("_e.data").alias("_d"), _named("_e.action").alias("_a"))
+                 F.col("_e.data").alias("_d"), F.col("_e.action").alias("_a"))
     cols = []
     for name, kind, typ in EVENT_FIELDS:
-        v = F.element_at(F.col("_d" if kind == "data" else "_a"), F.lit(name))
+        v = _named("_d" if kind == "data" else "_a", name)
         v = v.try_cast(typ) if typ != "string" else v
         if name == "sql_text":
             v = clean_sql_text(v)
@@ -192,17 +192,14 @@ def health_events(df: DataFrame, xml_col: str, inner_schema: str, seen_max=None,
                   keep: Sequence[str] = ()) -> DataFrame:
     """Diagnostics results: component, state and the attributes of the embedded
     component element, only events newer than ``seen_max`` (E6)."""
-    from .joins import spread_for_cpu
-
-    e = spread_for_cpu(df).select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
-    e = e.select(*keep, event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
-                 _named("_e.data").alias("_d"))
+    e = df.select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
+    e = e.select(*keep, event_time_from_text(F.col("_e._timestamp")).alias("event_time"), F.col("_e.data").alias("_d"))
     if seen_max is not None:
         e = e.filter(F.col("event_time") > F.lit(seen_max))
-    inner = F.from_xml(F.concat(F.lit("<value>"), F.element_at("_d", F.lit("data")), F.lit("</value>")),
+    inner = F.from_xml(F.concat(F.lit("<value>"), _named("_d", "data"), F.lit("</value>")),
                        inner_schema)
-    return e.select(*keep, "event_time", F.element_at("_d", F.lit("component")).alias("component"),
-                    F.element_at("_d", F.lit("state")).alias("state"), inner.alias("detail")) \
+    return e.select(*keep, "event_time", _named("_d", "component").alias("component"),
+                    _named("_d", "state").alias("state"), inner.alias("detail")) \
             .select(*keep, "event_time", "component", "state", "detail.*")
 
 
@@ -254,15 +251,24 @@ def dense_rank_global(df: DataFrame, order_cols: Sequence[str], alias: str = "ra
     from .joins import shuffle_partitions
 
     n = partitions or shuffle_partitions(df.sparkSession)
+    from .graph import _cut
+
     ranged = keys.repartitionByRange(n, *order_cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order_cols)
-    numbered = ranged.withColumn("_rn", F.row_number().over(w))
+    # materialised once: the ranges come from a sample, so two evaluations might not agree
+    numbered = _cut(ranged.withColumn("_rn", F.row_number().over(w)))
     counts = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     # a running total over the count table: one row per partition, so a single task is fine
     wo = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_pid", F.coalesce(F.sum("_c").over(wo), F.lit(0)).alias("_off"))
     ranks = numbered.join(offs, "_pid").select(*order_cols, (F.col("_off") + F.col("_rn")).cast("bigint").alias(alias))
-    return df.join(ranks, list(order_cols), "left")
+    # null-safe: a NULL key has a rank like any other
+    renamed = ranks.select(F.col(alias), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_cols)])
+    same = [df[c].eqNullSafe(renamed[f"_k{i}"]) for i, c in enumerate(order_cols)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return df.join(renamed, on, "left").select(*[df[c] for c in df.columns], renamed[alias])
 
 
 BLOCKED_REPORT_SCHEMA = (
@@ -280,9 +286,7 @@ def blocked_process_edges(reports: DataFrame, xml_col: str = "report_xml", seen:
     ``duration`` is in microseconds and becomes ``blocking_duration_ms``.
     ``seen`` holds stored edges; rows matching on the six edge keys are dropped.
     """
-    from .joins import spread_for_cpu
-
-    r = spread_for_cpu(reports).select(*keep, xml_col, F.from_xml(F.col(xml_col), BLOCKED_REPORT_SCHEMA).alias("_r"))
+    r = reports.select(*keep, xml_col, F.from_xml(F.col(xml_col), BLOCKED_REPORT_SCHEMA).alias("_r"))
     bd, bg = "_r.`blocked-process`.process", "_r.`blocking-process`.process"
     edges = r.select(
         F.col("_r._monitorLoop").alias("monitor_loop"), "event_time",

@@ -80,23 +80,27 @@ def with_previous_rows(df: DataFrame, keys: Sequence[str], order_col: str, cols:
     oldest first, per key ordered by ``order_col``.
 
     Bounded frame without a whole-key window: rows are windowed within
-    (key, bucket) and each bucket also receives the last ``n`` rows of the
-    preceding bucket as carry rows. Rows older than one bucket can only come
-    from that preceding bucket, so callers must not need history beyond one
-    bucket width when the preceding bucket is empty (e.g. flapping looks back
-    6 hours with day buckets).
+    (key, bucket), and each bucket also receives the last ``n`` rows before it.
+    They lie in the ``n`` non-empty buckets before it at most, however far back
+    those are, so they come from a (keys x buckets) table that holds the last
+    ``n`` rows of each bucket.
     """
     keys = list(keys)
-    unit = bucket.upper()
-    own = df.withColumn("_bkt", F.date_trunc(bucket, F.col(order_col))).withColumn("_own", F.lit(True))
-    wdesc = Window.partitionBy(*keys, "_bkt").orderBy(F.col(order_col).desc())
-    tail = (own.withColumn("_rk", F.row_number().over(wdesc)).filter(F.col("_rk") <= n).drop("_rk")
-            .withColumn("_bkt", F.timestamp_add(unit, F.lit(1), F.col("_bkt")))
-            .withColumn("_own", F.lit(False)))
-    u = own.unionByName(tail)
-    w = Window.partitionBy(*keys, "_bkt").orderBy(order_col).rowsBetween(-n, -1)
-    out = u.withColumn(alias, F.collect_list(F.struct(order_col, *cols)).over(w))
-    return out.filter(F.col("_own")).drop("_own", "_bkt")
+    row = F.struct(order_col, *cols)
+
+    def last_n(rows: Column) -> Column:
+        return F.slice(rows, F.greatest(F.size(rows) - (n - 1), F.lit(1)), n)
+
+    own = df.withColumn("_bkt", F.date_trunc(bucket, F.col(order_col)))
+    newest = Window.partitionBy(*keys, "_bkt").orderBy(F.col(order_col).desc())
+    tails = (own.select(*keys, "_bkt", row.alias("_row"), F.row_number().over(newest).alias("_rk"))
+             .filter(F.col("_rk") <= n).groupBy(*keys, "_bkt").agg(F.sort_array(F.collect_list("_row")).alias("_tail")))
+    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(-n, -1)
+    carried = tails.select(*keys, "_bkt", last_n(F.flatten(F.collect_list("_tail").over(before))).alias("_carry"))
+    within = Window.partitionBy(*keys, "_bkt").orderBy(order_col).rowsBetween(-n, -1)
+    out = own.withColumn("_rows", F.collect_list(row).over(within)).join(carried, keys + ["_bkt"], "left")
+    both = F.concat(F.coalesce("_carry", F.slice("_rows", 1, 0)), F.col("_rows"))
+    return out.select(*[F.col(c) for c in df.columns], last_n(both).alias(alias))
 
 
 def next_values(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str],

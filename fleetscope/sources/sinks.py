@@ -23,9 +23,14 @@ _SUCCESS = "_SUCCESS"
 
 def write_facts(df: DataFrame, path: str, time: str = "snapshot_time", type_col: str = "snapshot_type_id",
                 instance: str = "sql_instance", mode: str = "append") -> None:
-    """Append facts under ``path`` partitioned by type and date, clustered by instance and time."""
+    """Append facts under ``path`` partitioned by type and date, clustered by instance and time.
+
+    The rebalance brings the rows of a directory together and lets the planner
+    split a directory that is large (one type and day of the whole fleet) over
+    several tasks, each of which writes a file of it.
+    """
     out = df.withColumn("snapshot_date", F.to_date(trunc_ntz("day", time)))
-    (out.repartition(type_col, "snapshot_date")
+    (out.hint("rebalance", F.col(type_col), F.col("snapshot_date"))
         .sortWithinPartitions(instance, time)
         .write.mode(mode).partitionBy(type_col, "snapshot_date").parquet(path))
 
