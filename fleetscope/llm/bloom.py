@@ -80,8 +80,15 @@ def _merge_blocks(least: int):
     return merge
 
 
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether all cells of each 64-bit hash are marked in ``bits`` (packed, 8 cells a byte)."""
+    cells = _cells(hashes, 8 * len(bits))
+    return ((bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
 class Filter:
-    """A broadcast filter; ``asked(column)`` tells whether all cells of a bigint hash are marked."""
+    """A broadcast filter; ``asked(column)`` tells whether all cells of a bigint hash are marked. Tasks that run Python
+    anyway call :func:`marked` on ``sent.value`` instead."""
 
     def __init__(self, hashes: DataFrame, rows: int, least: int) -> None:
         bits = BLOCK_BITS
@@ -90,16 +97,15 @@ class Filter:
         blocks = (
             hashes.mapInArrow(_hit_cells(bits), _CELLS).repartition("block").sortWithinPartitions("block").mapInArrow(_merge_blocks(least), _BLOCKS)
         )
-        marked = np.zeros(bits // 8, np.uint8)
+        out = np.zeros(bits // 8, np.uint8)
         for r in blocks.toLocalIterator():  # MAX_FILTER_BITS / 8 bytes in all
-            marked[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
-        sent = hashes.sparkSession.sparkContext.broadcast(marked)
+            out[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+        self.sent = sent = hashes.sparkSession.sparkContext.broadcast(out)
 
         @F.pandas_udf("boolean")
         def ask(h):  # type: ignore[no-untyped-def]
             import pandas as pd
 
-            cells = _cells(h.to_numpy(), bits)
-            return pd.Series(((sent.value[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).all(axis=1))
+            return pd.Series(marked(sent.value, h.to_numpy()))
 
         self.asked = ask

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bloom import Filter
+from .bloom import Filter, marked
 from .components import components
 from .shingles import batches_of_sets, mix
 from .skew import attach
@@ -171,27 +171,31 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (int(sig[-1]), int(first[-1]), int(node[-1]), int(nth[-1]) + 1)
 
 
-def _features(words: int):
+def _features(words: int, wanted):
+    """Sets and sketches of the rows (id, text, hash of the id) whose hash the broadcast filter ``wanted`` has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, n, sketch, sets = [], [], [], []
+        for whole in batches:
+            b = whole.filter(pa.array(marked(wanted.value, whole.column(2).to_numpy(zero_copy_only=False))))
+            rows, n, sketch, sets, held = [], [], [], [], 0
             for i, s in batches_of_sets(b, words):
                 if not len(s):
                     continue
+                if held > 500_000:
+                    yield out(b, rows, n, sketch, sets)
+                    rows, n, sketch, sets, held = [], [], [], [], 0
+                held += len(s)
                 odd = np.bincount((s & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
                 rows.append(i)
                 n.append(len(s))
                 sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 sets.append(_signed(s))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(rows, pa.int64())),
-                    pa.array(n, pa.int64()),
-                    pa.array(sketch, pa.list_(pa.int64())),
-                    pa.array(sets, pa.list_(pa.int64())),
-                ],
-                names=["id", "n", "sketch", "elements"],
-            )
+            yield out(b, rows, n, sketch, sets)
+
+    def out(b, rows, n, sketch, sets) -> pa.RecordBatch:
+        kind = pa.list_(pa.int64())
+        columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sketch, kind), pa.array(sets, kind)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n", "sketch", "elements"])
 
     return run
 
@@ -289,9 +293,9 @@ def linked(
     wanted = members.select("node").distinct().join(classes.select(F.col("h1").alias("node"), "rep"), "node").select("rep").distinct()
     wanted = written(wanted, "wanted")
     some = Filter(wanted.select(F.xxhash64("rep").alias("h")), wanted.count(), least=1)
+    hashed = rows.withColumn("h", F.xxhash64("id"))
     features = written(
-        rows.filter(some.asked(F.xxhash64("id"))).mapInArrow(_features(words), "id long, n long, sketch array<long>, elements array<long>"),
-        "features",
+        hashed.mapInArrow(_features(words, some.sent), "id long, n long, sketch array<long>, elements array<long>"), "features"
     )
     small = features.select("id", "n", "sketch")
 

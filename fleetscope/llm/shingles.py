@@ -125,7 +125,7 @@ def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
         at += c
 
 
-def batches_of_sets(batch: pa.RecordBatch, words: int, chars: int = 8 << 20) -> Iterator[tuple[int, np.ndarray]]:
+def batches_of_sets(batch: pa.RecordBatch, words: int, chars: int = 4 << 20) -> Iterator[tuple[int, np.ndarray]]:
     """(row, set) of a batch whose second column is the text; a bounded number of bytes is hashed at a time."""
     texts = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
     size = pc.binary_length(texts).to_numpy(zero_copy_only=False)
