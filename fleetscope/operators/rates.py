@@ -157,6 +157,26 @@ def counter_rates(df: DataFrame, keys: Sequence[str], name_col: str = "counter_n
     return long.filter(F.col(value_col).isNotNull())
 
 
+BUFFER_POOL_CLERK = "MEMORYCLERK_SQLBUFFERPOOL"  # fixed value: its committed memory is counted as pages already
+
+
+def memory_clerk_totals(clerks: DataFrame, part: Sequence[str], share: float = 0.05, other: str = "OTHER") -> DataFrame:
+    """Total and allocated kilobytes per memory clerk of a snapshot, small ones regrouped as ``other``.
+
+    ``clerks``: ``part`` (instance, time), type, memory_node_id, single_pages_kb, multi_pages_kb,
+    virtual_memory_committed_kb, shared_memory_committed_kb. A row's total is its pages, its shared committed memory
+    and, except for the buffer pool, its committed virtual memory; the share test is per row (clerk and node) against
+    the total of the snapshot, which is bounded by the number of clerks.
+    """
+    pages = F.col("single_pages_kb") + F.col("multi_pages_kb")
+    virtual = F.when(F.col("type") != BUFFER_POOL_CLERK, F.col("virtual_memory_committed_kb")).otherwise(0)
+    rows = clerks.withColumn("_total", pages + virtual + F.col("shared_memory_committed_kb")).withColumn("_pages", pages)
+    whole = F.sum("_total").over(Window.partitionBy(*part))
+    name = F.when(F.try_divide(_d("_total"), _d(whole)) > share, F.col("type")).otherwise(F.lit(other))
+    return (rows.select(*part, name.alias("clerk_name"), "_total", "_pages").groupBy(*part, "clerk_name")
+            .agg(F.sum("_total").alias("total_kb"), F.sum("_pages").alias("allocated_kb")))
+
+
 def minor_bucket(df: DataFrame, part: Sequence[str], key: str, value: str, share: float = 0.05,
                  other: str = "OTHER") -> DataFrame:
     """Regroup members holding no more than ``share`` of their part's total as ``other``.

@@ -61,6 +61,7 @@ def dim_time(header: DataFrame, report_col: str = "report_time", time: str = "sn
         "*",
         F.to_date(r).alias("date"), F.year(r).alias("year"), F.month(r).alias("month"),
         F.dayofmonth(r).alias("day"), F.hour(r).alias("hour"), F.minute(r).alias("minute"),
+        F.date_format(r, "HH:mm:ss").alias("time"),
         F.date_format(r, "MMMM").alias("month_name"),
         us_week_of_year(r).alias("week_number"),
         F.date_format(r, "EEEE").alias("week_day"),

@@ -57,7 +57,7 @@ COUNTER_DIM = Relation(
     ],
 )
 
-# Rate counters for the derived-rate pivot: snapshot type -> counter name.
+# Rate counters for the derived-rate pivot: snapshot type -> counter names.
 RATE_COUNTERS = Relation(
     "snapshot_type_id int, counter_name string",
     [
@@ -66,6 +66,8 @@ RATE_COUNTERS = Relation(
         (3, "SQL Compilations/sec"),
         (4, "Batch Requests/Sec"),
         (5, "SQL Re-Compilations/sec"),
+        (3, "Page Splits/sec"),
+        (5, "Page lookups/sec"),
     ],
 )
 

@@ -14,7 +14,7 @@ from ..sources import fixtures as fx
 from .config import COUNTER_DIM, Relation
 from .fixture_sql import with_fixtures
 from .q_checks import (
-    CHECK_CONFIG, _DYN_CTE, _STATUS_CTE, _cfg_sql, status_sql,
+    CHECK_CONFIG, _CHG_CTE, _DYN_CTE, _STATUS_CTE, _cfg_sql, status_sql,
 )
 from .q_joins import _HDR_CTE, header_with_report_time
 from .q_rates import _COOK_CTE, _COOK_SQL_VALUE, HP, prev_join
@@ -108,7 +108,58 @@ def q_action_decision(spark, sf_dir):
     return _decisions(spark, sf_dir)
 
 
-@register("action_suppress")
+# The replay row by row: what was sent in the last hour and last of all is carried from candidate to candidate.
+_SUPPRESS_SQL = with_fixtures("""
+    SELECT sql_instance, check_id, action_id, snapshot_time, action_type, sent, suppressed_reason, action_count_last_hour
+    FROM replay WHERE n > 0""", "fx_check", recursive=True, extra=[_cfg_sql(), _DYN_CTE, _STATUS_CTE, _CHG_CTE,
+    ("flap", """
+    SELECT c.sql_instance, c.check_id, c.snapshot_time, c.check_status, c.check_value,
+           COALESCE(f.ratio BETWEEN 0.35 AND 0.65, FALSE) AND NOT g.ignore_flapping AS is_flapping
+    FROM chg c JOIN cfg g USING (check_id)
+    LEFT JOIN (
+      SELECT a.sql_instance, a.check_id, a.snapshot_time, AVG(CAST(b.status_change AS DOUBLE)) AS ratio
+      FROM (SELECT *, row_number() OVER (PARTITION BY sql_instance, check_id ORDER BY snapshot_time) AS rn FROM chg) a
+      JOIN (SELECT *, row_number() OVER (PARTITION BY sql_instance, check_id ORDER BY snapshot_time) AS rn FROM chg) b
+        ON a.sql_instance = b.sql_instance AND a.check_id = b.check_id
+       AND b.rn BETWEEN a.rn - 12 AND a.rn - 1 AND b.snapshot_time > a.snapshot_time - INTERVAL 6 HOUR
+      GROUP BY a.sql_instance, a.check_id, a.snapshot_time) f
+      ON f.sql_instance = c.sql_instance AND f.check_id = c.check_id AND f.snapshot_time = c.snapshot_time"""),
+    ("decided", f"""
+    SELECT c.*, a.action_id, a.action_every_failure, a.action_repeat_period_minutes, a.action_hourly_limit,
+           CASE WHEN c.check_status <> 'OK' AND COALESCE(c.ps, 'OK') = 'OK' THEN 'NEW'
+                WHEN c.check_status = 'OK' AND COALESCE(c.ps, 'OK') <> 'OK' AND a.action_recovery THEN 'RECOVERY'
+                WHEN c.check_status <> 'OK' AND COALESCE(c.ps, 'OK') <> 'OK' AND a.action_every_failure
+                     AND (c.pv IS NULL OR c.check_value <> c.pv) THEN 'REPEAT' ELSE 'NONE' END AS typ,
+           COALESCE(c.check_status <> 'OK' AND c.ps = c.check_status AND a.action_repeat_period_minutes IS NOT NULL, FALSE) AS rep
+    FROM (SELECT *, lag(check_status) OVER w AS ps, lag(check_value) OVER w AS pv FROM flap
+          WINDOW w AS (PARTITION BY sql_instance, check_id ORDER BY snapshot_time)) c
+    JOIN ({CHECK_ACTIONS.sql()}) a USING (check_id)"""),
+    ("cand", """
+    SELECT *, row_number() OVER (PARTITION BY sql_instance, check_id, action_id ORDER BY snapshot_time) AS n
+    FROM decided WHERE typ <> 'NONE' OR rep"""),
+    ("replay", """
+    SELECT sql_instance, check_id, action_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS TIMESTAMP) AS snapshot_time,
+           CAST(NULL AS VARCHAR) AS action_type, FALSE AS sent, CAST(NULL AS VARCHAR) AS suppressed_reason,
+           CAST(0 AS INTEGER) AS action_count_last_hour, CAST([] AS TIMESTAMP[]) AS times, TIMESTAMP '1970-01-01' AS latest
+    FROM cand WHERE n = 1
+    UNION ALL
+    SELECT sql_instance, check_id, action_id, n, snapshot_time, outcome, outcome <> 'NONE', reason, hour_count,
+           CASE WHEN outcome <> 'NONE' THEN list_append(recent, snapshot_time) ELSE recent END,
+           CASE WHEN outcome <> 'NONE' THEN snapshot_time ELSE latest END
+    FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN 'NONE'
+                         WHEN typ = 'NONE' AND date_diff('minute', latest, snapshot_time) > action_repeat_period_minutes
+                         THEN 'REPEAT' ELSE typ END AS outcome
+          FROM (SELECT *, CAST(len(recent) AS INTEGER) AS hour_count,
+                       CASE WHEN is_flapping AND NOT action_every_failure THEN 'FLAPPING'
+                            WHEN len(recent) > action_hourly_limit THEN 'HOURLY LIMIT' END AS reason
+                FROM (SELECT c.*, p.latest,
+                             list_filter(p.times, lambda x: x > c.snapshot_time - INTERVAL 1 HOUR) AS recent
+                      FROM replay p JOIN cand c ON c.n = p.n + 1 AND c.sql_instance = p.sql_instance
+                       AND c.check_id = p.check_id AND c.action_id = p.action_id) a) b) d"""),
+])
+
+
+@register("action_suppress", oracle=_SUPPRESS_SQL)
 def q_action_suppress(spark, sf_dir):
     from .q_checks import _history
 

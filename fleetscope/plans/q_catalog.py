@@ -19,7 +19,7 @@ from .config import COUNTER_DIM, Relation
 from .fixture_sql import with_fixtures
 from .q_dims import _QUEUE_CTE, _queue
 from .q_checks import status_sql
-from .q_rates import _COOK_CTE, _COOK_SQL_VALUE, _RATES_BODY, HP, prev_join, q_counter_rates
+from .q_rates import _COOK_CTE, _COOK_SQL_VALUE, _MEAN_COUNTER, _RATES_BODY, HP, prev_join, q_counter_rates
 from .registry import register
 
 T = "snapshot_time"
@@ -141,7 +141,7 @@ def _catalogue_sql() -> str:
       FROM fx_edge WHERE event_time >= TIMESTAMP '{EDGE_SINCE}' GROUP BY 1
     ) v JOIN ({CATALOGUE.sql()}) c ON c.check_name = v.check_template"""
     return with_fixtures(body, "fx_sample", "fx_header", "fx_check", "fx_volume", "fx_edge",
-                         extra=[HP, _COOK_CTE, ("rates", _RATES_BODY), _QUEUE_CTE])
+                         extra=[HP, _COOK_CTE, _MEAN_COUNTER, ("rates", _RATES_BODY), _QUEUE_CTE])
 
 
 @register("shipped_checks", oracle=_catalogue_sql())

@@ -148,6 +148,25 @@ def q_flapping(spark, sf_dir):
     return ck.flapping(ch, KEYS, T, ignore_col="ignore_flapping").drop("ignore_flapping")
 
 
+@register("flapping_three_days", oracle=with_fixtures("""
+    SELECT c.sql_instance, c.check_id, c.snapshot_time, f.ratio AS change_ratio,
+           COALESCE(f.ratio BETWEEN 0.35 AND 0.65, FALSE) AS is_flapping
+    FROM chg c
+    LEFT JOIN (
+      SELECT a.sql_instance, a.check_id, a.snapshot_time, AVG(CAST(b.status_change AS DOUBLE)) AS ratio
+      FROM (SELECT *, row_number() OVER (PARTITION BY sql_instance, check_id ORDER BY snapshot_time) AS rn FROM chg) a
+      JOIN (SELECT *, row_number() OVER (PARTITION BY sql_instance, check_id ORDER BY snapshot_time) AS rn FROM chg) b
+        ON a.sql_instance = b.sql_instance AND a.check_id = b.check_id
+       AND b.rn BETWEEN a.rn - 12 AND a.rn - 1 AND b.snapshot_time > a.snapshot_time - INTERVAL 72 HOUR
+      GROUP BY a.sql_instance, a.check_id, a.snapshot_time) f
+      ON f.sql_instance = c.sql_instance AND f.check_id = c.check_id AND f.snapshot_time = c.snapshot_time""",
+    "fx_check", extra=[_cfg_sql(), _DYN_CTE, _STATUS_CTE, _CHG_CTE]))
+def q_flapping_three_days(spark, sf_dir):
+    """A look-back longer than the window bucket: rows are carried over empty days."""
+    out = ck.flapping(_changes(spark, sf_dir), KEYS, T, hours=72)
+    return out.select(*KEYS, T, "change_ratio", "is_flapping")
+
+
 @register("status_runs", oracle=with_fixtures("""
     SELECT sql_instance, check_id, arg_min(check_status, snapshot_time) AS check_status,
            MIN(snapshot_time) AS status_start_time, MAX(snapshot_time) AS status_end_time,
@@ -237,6 +256,25 @@ def q_baseline_status(spark, sf_dir):
     return ck.baseline_status(h, base, KEYS)
 
 
+@register("baseline_status_strict", oracle=with_fixtures(f"""
+    SELECT s.sql_instance, s.check_id, s.snapshot_time, s.check_value, b.check_baseline,
+           CASE WHEN b.check_baseline IS NULL THEN NULL
+                WHEN {match_sql('s.check_value', _BTHR, 1)} THEN 'CRITICAL' ELSE 'OK' END AS baseline_status
+    FROM st s LEFT JOIN (
+      SELECT sql_instance, check_id, CAST(round(AVG(CAST(round(check_value, 5) AS DECIMAL(28,5))), 5) AS DECIMAL(28,5)) AS check_baseline
+      FROM fx_check c WHERE EXISTS (SELECT 1 FROM mem m WHERE m.is_default AND m.sql_instance = c.sql_instance
+                                    AND m.snapshot_time = c.snapshot_time)
+      GROUP BY sql_instance, check_id) b USING (sql_instance, check_id)""", "fx_check", "fx_header",
+                                                         extra=[_cfg_sql(), _DYN_CTE, _STATUS_CTE, _MEMBER_CTE]))
+def q_baseline_status_strict(spark, sf_dir):
+    """Strict form: CRITICAL as soon as the baseline is exceeded by more than 1 %."""
+    h = _history(spark, sf_dir)
+    mem = ck.baseline_membership(fx.fx_header(spark, sf_dir), BASELINES.df(spark))
+    base = ck.baseline_values(fx.fx_check(spark, sf_dir), mem, KEYS, T)
+    out = ck.baseline_status(h, base, KEYS, strict=True)
+    return out.select(*KEYS, T, "check_value", "check_baseline", "baseline_status")
+
+
 # --- L1 check values --------------------------------------------------------------------------------------
 
 CHECK_DEFS = Relation(

@@ -12,7 +12,8 @@ from ..functions.patterns import wait_category, wait_category_sql
 from ..operators.deltas import active_since, counter_delta, wait_delta
 from ..operators.joins import broadcast_if_small
 from ..operators.rates import (
-    cook_counters, counter_rates, cpu_split, index_ratios, io_latency, minor_bucket, per_exec, wait_rate,
+    cook_counters, counter_rates, cpu_split, index_ratios, io_latency, memory_clerk_totals,
+    minor_bucket, per_exec, wait_rate,
 )
 from ..sources import fixtures as fx
 from .config import COUNTER_DIM, RATE_COUNTERS, WAIT_TYPES, WAIT_VOCABULARY
@@ -83,46 +84,41 @@ def q_cook_counters(spark, sf_dir):
 
 # --- M12 derived rates (pivot / unpivot) -------------------------------------------------------
 
-_RATES_BODY = f"""
-    SELECT sql_instance, instance_name, snapshot_time, counter_name, cntr_value_calculated FROM (
-      SELECT sql_instance, instance_name, snapshot_time,
-        CASE WHEN "Index Searches/sec" > 0 THEN "Full Scans/sec" / "Index Searches/sec" ELSE 0.0 END
-            AS "Full Scan Rate",
-        CASE WHEN "Batch Requests/Sec" > 0 THEN "SQL Compilations/sec" / "Batch Requests/Sec" ELSE 0.0 END
-            AS "SQL Compilations Rate",
-        CASE WHEN "SQL Compilations/sec" > 0 THEN "SQL Re-Compilations/sec" / "SQL Compilations/sec"
-             ELSE 0.0 END AS "SQL Re-Compilation Rate",
-        CASE WHEN "Batch Requests/Sec" > 0 THEN "Page Splits/sec" / "Batch Requests/Sec" ELSE 0.0 END
-            AS "Page Split Rate",
-        CASE WHEN "Batch Requests/Sec" > 0 THEN "Page lookups/sec" / "Batch Requests/Sec" ELSE 0.0 END
-            AS "Page Lookups Rate"
-      FROM (
-        SELECT sql_instance, instance_name, snapshot_time,
-          AVG(CASE WHEN counter_name = 'Index Searches/sec' THEN v END) AS "Index Searches/sec",
-          AVG(CASE WHEN counter_name = 'Full Scans/sec' THEN v END) AS "Full Scans/sec",
-          AVG(CASE WHEN counter_name = 'SQL Compilations/sec' THEN v END) AS "SQL Compilations/sec",
-          AVG(CASE WHEN counter_name = 'Batch Requests/Sec' THEN v END) AS "Batch Requests/Sec",
-          AVG(CASE WHEN counter_name = 'SQL Re-Compilations/sec' THEN v END) AS "SQL Re-Compilations/sec",
-          AVG(CASE WHEN counter_name = 'Page Splits/sec' THEN v END) AS "Page Splits/sec",
-          AVG(CASE WHEN counter_name = 'Page lookups/sec' THEN v END) AS "Page lookups/sec"
-        FROM (SELECT s.sql_instance, s.instance_name, s.snapshot_time, r.counter_name,
-                     CASE WHEN p.cntr_value IS NOT NULL AND s.cntr_value > p.cntr_value
-                          THEN CAST(s.cntr_value - p.cntr_value AS DOUBLE) / CAST({SECS} AS DOUBLE)
-                          ELSE 0.0 END AS v
-              {prev_join('fx_sample')}
-              JOIN ({RATE_COUNTERS.sql()}) r ON r.snapshot_type_id = s.snapshot_type_id) c
-        GROUP BY sql_instance, instance_name, snapshot_time) pv) w
-    UNPIVOT (cntr_value_calculated FOR counter_name IN
-      ("Full Scan Rate", "SQL Compilations Rate", "SQL Re-Compilation Rate", "Page Split Rate",
-       "Page Lookups Rate"))"""
-
-
-@register("counter_rates", oracle=with_fixtures(_RATES_BODY, "fx_sample", "fx_header", extra=[HP]))
+def _one_rate(name: str, counter: str, per: str) -> str:
+    """A rate by itself: the ratio of two mean counters of a key at a time; 0 where there is nothing to divide by."""
+    return f"""
+    SELECT k.sql_instance, k.instance_name, k.snapshot_time, '{name}' AS counter_name,
+           CASE WHEN b.mean > 0 THEN a.mean / b.mean ELSE 0.0 END AS cntr_value_calculated
+    FROM (SELECT DISTINCT sql_instance, instance_name, snapshot_time FROM mean_counter) k
+    LEFT JOIN mean_counter a ON a.counter_name = '{counter}' AND a.sql_instance = k.sql_instance
+         AND a.instance_name = k.instance_name AND a.snapshot_time = k.snapshot_time
+    LEFT JOIN mean_counter b ON b.counter_name = '{per}' AND b.sql_instance = k.sql_instance
+         AND b.instance_name = k.instance_name AND b.snapshot_time = k.snapshot_time
+    WHERE NOT (b.mean > 0 AND a.mean IS NULL) OR b.mean IS NULL"""
+
+
+_MEAN_COUNTER = ("mean_counter", f"""
+    SELECT s.sql_instance, s.instance_name, s.snapshot_time, r.counter_name,
+           AVG(CASE WHEN s.cntr_value > p.cntr_value
+                    THEN CAST(s.cntr_value - p.cntr_value AS DOUBLE) / {SECS} ELSE 0.0 END) AS mean
+    {prev_join('fx_sample')} JOIN ({RATE_COUNTERS.sql()}) r ON r.snapshot_type_id = s.snapshot_type_id
+    GROUP BY s.sql_instance, s.instance_name, s.snapshot_time, r.counter_name""")
+_RATES_BODY = "\n    UNION ALL".join((
+    _one_rate("Full Scan Rate", "Full Scans/sec", "Index Searches/sec"),
+    _one_rate("SQL Compilations Rate", "SQL Compilations/sec", "Batch Requests/Sec"),
+    _one_rate("SQL Re-Compilation Rate", "SQL Re-Compilations/sec", "SQL Compilations/sec"),
+    _one_rate("Page Split Rate", "Page Splits/sec", "Batch Requests/Sec"),
+    _one_rate("Page Lookups Rate", "Page lookups/sec", "Batch Requests/Sec"),
+))
+
+
+@register("counter_rates", oracle=with_fixtures(_RATES_BODY, "fx_sample", "fx_header",
+                                                extra=[HP, _MEAN_COUNTER]))
 def q_counter_rates(spark, sf_dir):
     s = fx.fx_sample(spark, sf_dir).join(broadcast_if_small(RATE_COUNTERS.df(spark)), "snapshot_type_id")
     s = s.withColumn("object_name", F.lit("SQLServer:SQL Statistics")) \
          .withColumn("cntr_type", F.lit(272696576))
-    cooked = cook_counters(s, K, T, header=fx.fx_header(spark, sf_dir))
+    cooked = cook_counters(s, [*K, "counter_name"], T, header=fx.fx_header(spark, sf_dir))
     return counter_rates(cooked, ["sql_instance", "instance_name", T])
 
 
@@ -313,6 +309,40 @@ def q_index_ratios(spark, sf_dir):
     return index_ratios(d)
 
 
+# --- M13 memory clerks ---------------------------------------------------------------------------------
+
+_CLERKS_SQL = """SELECT sql_instance, snapshot_time,
+       CASE WHEN snapshot_type_id = 1 THEN 'MEMORYCLERK_SQLBUFFERPOOL'
+            ELSE concat('MEMORYCLERK_', CAST(snapshot_type_id AS VARCHAR)) END AS type, instance_name AS memory_node_id,
+       inc AS single_pages_kb, n * 64 AS multi_pages_kb, inc // 2 AS virtual_memory_committed_kb, n * 8 AS shared_memory_committed_kb
+FROM fx_inc"""
+
+
+@register("memory_clerks", oracle=with_fixtures("""
+    SELECT t.sql_instance, t.snapshot_time, md5(concat(t.sql_instance, '/', t.clerk_name)) AS clerk_id, t.clerk_name,
+           t.total_kb, t.allocated_kb
+    FROM (SELECT sql_instance, snapshot_time, CASE WHEN total / whole > 0.05 THEN type ELSE 'OTHER' END AS clerk_name,
+                 CAST(SUM(total) AS BIGINT) AS total_kb, CAST(SUM(pages) AS BIGINT) AS allocated_kb
+          FROM (SELECT *, CAST(SUM(total) OVER (PARTITION BY sql_instance, snapshot_time) AS DOUBLE) AS whole
+                FROM (SELECT *, single_pages_kb + multi_pages_kb AS pages,
+                             single_pages_kb + multi_pages_kb + shared_memory_committed_kb
+                             + CASE WHEN type <> 'MEMORYCLERK_SQLBUFFERPOOL' THEN virtual_memory_committed_kb ELSE 0 END AS total
+                      FROM clerks) a) b
+          GROUP BY 1, 2, 3) t""", "fx_inc", extra=[("clerks", _CLERKS_SQL)]))
+def q_memory_clerks(spark, sf_dir):
+    """Clerk totals of each snapshot with the id of the clerk dimension."""
+    inc = fx.fx_inc(spark, sf_dir)
+    kind = F.when(F.col("snapshot_type_id") == 1, F.lit("MEMORYCLERK_SQLBUFFERPOOL")).otherwise(
+        F.concat(F.lit("MEMORYCLERK_"), F.col("snapshot_type_id").cast("string")))
+    clerks = inc.select("sql_instance", T, kind.alias("type"), F.col("instance_name").alias("memory_node_id"),
+                        F.col("inc").alias("single_pages_kb"), (F.col("n") * 64).alias("multi_pages_kb"),
+                        F.floor(F.col("inc") / 2).alias("virtual_memory_committed_kb"),
+                        (F.col("n") * 8).alias("shared_memory_committed_kb"))
+    totals = memory_clerk_totals(clerks, ["sql_instance", T])
+    return totals.select("sql_instance", T, F.md5(F.concat("sql_instance", F.lit("/"), "clerk_name")).alias("clerk_id"),
+                         "clerk_name", "total_kb", "allocated_kb")
+
+
 # --- A12 / M13 minor-share bucketing ----------------------------------------------------------------
 
 @register("minor_bucket", oracle=with_fixtures("""

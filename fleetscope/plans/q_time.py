@@ -79,6 +79,7 @@ def q_datediff_boundary(spark, sf_dir):
       CAST(report_time AS DATE) AS date, CAST(year(report_time) AS INTEGER) AS year,
       CAST(month(report_time) AS INTEGER) AS month, CAST(day(report_time) AS INTEGER) AS day,
       CAST(hour(report_time) AS INTEGER) AS hour, CAST(minute(report_time) AS INTEGER) AS minute,
+      strftime(report_time, '%H:%M:%S') AS time,
       monthname(report_time) AS month_name, {week_sql('report_time')} AS week_number,
       dayname(report_time) AS week_day, CAST(dayofyear(report_time) AS INTEGER) AS day_of_year,
       strftime(report_time, '%Y-%m') AS year_month,
