@@ -20,8 +20,8 @@ WORDS = 5
 BINS = 128
 BITS = 8
 _SHIFT = 57  # 64 - log2(BINS)
-#: Documents that one window holds at least, and the most buckets of them.
-BUCKET_DOCS = 20_000
+#: Documents that one window holds about, and the most windows.
+BUCKET_DOCS = 1_000
 MAX_BUCKETS = 100_000
 
 
@@ -82,18 +82,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(F.col("_id").alias(id_col), packed(F.col("_f")).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """``rows`` with next_<column>: the values of the row with the next smaller id, and after the last row those of the
-    first. Equal ids follow each other by the columns' hash.
-
-    Ids fall into equal ranges of at most ``MAX_BUCKETS``; a window covers one range, and the first row of the next
-    lower range is copied into it as its end, so no window spans the table.
+def in_ranges(rows: DataFrame, id_col: str, tie: Column) -> DataFrame:
+    """``rows`` with _bucket (an equal range of ids), _tie, and _copy (0); and once more, with _copy 1, the first row of
+    each range in descending order, dealt to the range before it, so that a window of one range sees the row after its
+    last. The last range gets the first row of all. There are at most ``MAX_BUCKETS`` ranges.
     """
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
     buckets = min(MAX_BUCKETS, (size.n or 0) // BUCKET_DOCS + 1)
     width = ((size.hi or 0) - (size.lo or 0)) // buckets + 1
     bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(size.lo or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = rows.withColumn("_bucket", bucket).withColumn("_tie", F.xxhash64(*columns))
+    rows = rows.withColumn("_bucket", bucket).withColumn("_tie", tie)
     firsts = rows.groupBy("_bucket").agg(F.max(F.struct(F.col(id_col).alias("i"), F.col("_tie").alias("t"))).alias("_first"))
     order = Window.orderBy(F.desc("_bucket"))  # one row a range, MAX_BUCKETS + 1 at most
     above = F.lag("_bucket").over(order)
@@ -103,7 +101,12 @@ def with_next(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     copies = rows.join(ends, F.col(id_col).eqNullSafe(F.col("_i")) & (F.col("_tie") == F.col("_t"))).select(
         *[c for c in rows.columns if c != "_bucket"], F.col("_to").alias("_bucket"), F.lit(1).alias("_copy")
     ).dropDuplicates(["_bucket", id_col, "_tie"])
-    dealt = rows.withColumn("_copy", F.lit(0)).unionByName(copies)
+    return rows.withColumn("_copy", F.lit(0)).unionByName(copies)
+
+
+def with_next(dealt: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """From rows of :func:`in_ranges`, the rows themselves with next_<column>: the values of the row with the next
+    smaller id, and after the last row those of the first. Equal ids follow each other by _tie."""
     along = Window.partitionBy("_bucket").orderBy("_copy", F.col(id_col).desc_nulls_last(), F.desc("_tie"))
     out = dealt.select(*dealt.columns, *[F.lead(c).over(along).alias(f"next_{c}") for c in columns])
     return out.filter("_copy = 0").drop("_copy", "_bucket", "_tie")
@@ -116,7 +119,7 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     start.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
-    rows = with_fingerprint(rows, "_text", "_f", words)
+    rows = with_fingerprint(in_ranges(rows, "_id", F.xxhash64("_text")), "_text", "_f", words)
     rows = with_next(rows, "_id", ["_text", "_f"])
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
