@@ -2,8 +2,9 @@
 
 The hashes of a text's word shingles are dealt into ``BINS`` bins by their top bits and each bin keeps its least hash:
 one hash per shingle. An empty bin borrows from a filled bin by optimal densification: each bin has its own random order
-of all bins, the same in every document, and takes the first filled one. The low ``BITS`` bits of every bin are stored,
-packed as hex. The likeness of two fingerprints is the share of equal bins, corrected for bins that agree by chance
+of all bins, the same in every document, and takes the first filled one. A bin's hash is mixed with the bin's number
+(else a short text, whose bins all borrow the same few hashes, would agree with another in all of them by one chance)
+and its low ``BITS`` bits are stored, packed as hex. The likeness of two fingerprints is the share of equal bins, corrected for bins that agree by chance
 (2 ** -BITS), between 0 and 1.
 
 Defined cases: words are separated by spaces and tab to carriage return, after lower-casing; fewer words than ``words``
@@ -44,16 +45,16 @@ def with_fingerprint(rows: DataFrame, text_col: str, out: str, words: int = WORD
     rows = rows.withColumn("_m", least).drop("_h")
     rows = rows.withColumn("_b", F.transform("_m", bin_of))
 
-    def low(at: Column) -> Column:
-        return F.get(F.col("_m"), at).bitwiseAND((1 << BITS) - 1)
+    def low(at: Column, j: Column) -> Column:
+        return F.xxhash64(F.get(F.col("_m"), at), j).bitwiseAND((1 << BITS) - 1)
 
     def borrowed(j: Column) -> Column:
         order = F.transform("_b", lambda b, i: F.struct(F.xxhash64(j, b).alias("p"), i.alias("i")))
-        return low(F.array_min(order)["i"])
+        return low(F.array_min(order)["i"], j)
 
     def value(j: Column) -> Column:
         at = F.array_position("_b", j).cast("int")
-        return F.when(at > 0, low(at - 1)).otherwise(borrowed(j)).cast("int")
+        return F.when(at > 0, low(at - 1, j)).otherwise(borrowed(j)).cast("int")
 
     bins = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(BINS - 1).cast("bigint")), value)
     return rows.withColumn(out, F.when(F.size("_m") > 0, bins).otherwise(F.array().cast("array<int>"))).drop("_m", "_b")
