@@ -232,3 +232,29 @@ def expand_checks(templates: DataFrame, objects: DataFrame, id_base: int = 1_000
                     (F.col("template_id") * id_base + F.col("object_id")).alias("check_id"),
                     F.replace(F.col("check_name"), F.lit("{OBJECT}"), F.col("object_name")).alias("check_name"),
                     "check_threshold_warning", "check_threshold_critical")
+
+
+def merge_expanded(stored: DataFrame, expanded: DataFrame, keys: Sequence[str] = ("sql_instance", "check_name"),
+                   template: str = "template_id") -> DataFrame:
+    """Stored checks after a template expansion (L9): new checks are added; stored ones take the expanded values unless
+    the user modified them; stored checks of a template that the expansion no longer yields go, modified or not;
+    checks that belong to no template stay."""
+    keys = list(keys)
+    values = [c for c in expanded.columns if c not in keys]
+    new = expanded.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in values], F.lit(True).alias("_there"))
+    j = stored.withColumn("_stored", F.lit(True)).join(new, keys, "full_outer")
+    modified = F.coalesce(F.col("user_modified"), F.lit(False))
+    keep = F.col("_there").isNotNull() | F.col(template).isNull()
+    take = F.col("_there").isNotNull() & (F.col("_stored").isNull() | ~modified)
+    return j.filter(keep).select(*keys, *[F.when(take, F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values],
+                                 modified.alias("user_modified"))
+
+
+def default_actions(checks: DataFrame, template_actions: DataFrame, stored: DataFrame | None = None,
+                    template: str = "template_id") -> DataFrame:
+    """Actions of the templates given to their expanded checks; (check, action) pairs that are stored stay as they are."""
+    out = checks.select("check_id", template).join(broadcast_if_small(template_actions), template).drop(template)
+    if stored is None:
+        return out
+    new = out.join(stored.select("check_id", "action_id"), ["check_id", "action_id"], "left_anti")
+    return stored.select(*out.columns).unionByName(new)

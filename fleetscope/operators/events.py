@@ -303,3 +303,48 @@ def blocked_process_edges(reports: DataFrame, xml_col: str = "report_xml", seen:
         k = ["monitor_loop", "event_time", "blocked_spid", "blocked_ecid", "blocking_spid", "blocking_ecid"]
         edges = edges.join(seen.select(*k).distinct(), k, "left_anti")
     return edges
+
+
+def with_ids(values: DataFrame, columns: Sequence[str], id_col: str, existing: DataFrame | None = None) -> DataFrame:
+    """Distinct ``columns`` with surrogate ids: stored values keep theirs, new ones are numbered after them."""
+    new = values.select(*columns).distinct()
+    if existing is None:
+        return dense_rank_global(new, columns, alias=id_col)
+    stored = existing.select(*columns, id_col)
+    new = new.join(stored.select(*columns), list(columns), "left_anti")
+    top = stored.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
+    numbered = dense_rank_global(new, columns, alias="_n")
+    return stored.unionByName(numbered.select(*columns, (F.col("_n") + top.scalar()).cast("bigint").alias(id_col)))
+
+
+def errorlog_star(lines: DataFrame, attributes: DataFrame | None = None, texts: DataFrame | None = None):
+    """Error-log lines as a star (E9): (attributes, texts, facts).
+
+    Attributes are (attribute_name, attribute_value) with attribute_id, the name told by the log type; texts carry
+    errorlog_text_id and the occurrence dictionary; facts count records per (log_date, attribute, text, keyword, log
+    type) by id. ``attributes`` and ``texts`` are the stored dimensions, whose ids stay.
+    """
+    name = F.when(F.col("log_type_id") == 1, "ProcessInfo").when(F.col("log_type_id") == 2, "ErrorLevel").otherwise("")
+    named = lines.withColumn("attribute_name", name)
+    attrs = with_ids(named, ["attribute_name", "attribute_value"], "attribute_id", attributes)
+    ids = with_ids(named, ["text"], "errorlog_text_id", None if texts is None else texts.select("text", "errorlog_text_id"))
+    counted = text_dictionary(named, "text", "log_date", None if texts is None else texts.drop("errorlog_text_id"))
+    facts = (named.join(attrs, ["attribute_name", "attribute_value"]).join(ids, "text")
+             .groupBy("log_date", "attribute_id", "errorlog_text_id", "keyword_id", "log_type_id")
+             .agg(F.count(F.lit(1)).alias("record_count")))
+    return attrs, ids.join(counted, "text"), facts
+
+
+IO_SUBSYSTEM_SCHEMA = ("ioSubsystem struct<_ioLatchTimeouts: bigint, _totalLongIos: bigint, longestPendingRequests: "
+                       "struct<pendingRequest: array<struct<_filePath: string, _duration: bigint>>>>")
+
+
+def io_subsystem_events(df: DataFrame, xml_col: str, seen_max=None, keep: Sequence[str] = ()) -> DataFrame:
+    """I/O part of the diagnostics results (E6): latch time-outs, long I/Os and the first pending request; events
+    without an I/O element give no row."""
+    h = health_events(df, xml_col, IO_SUBSYSTEM_SCHEMA, seen_max=seen_max, keep=keep).filter(F.col("ioSubsystem").isNotNull())
+    first = F.get("ioSubsystem.longestPendingRequests.pendingRequest", F.lit(0))
+    return h.select(*keep, "event_time", F.col("ioSubsystem._ioLatchTimeouts").alias("io_latch_timeouts"),
+                    F.col("ioSubsystem._totalLongIos").alias("total_long_ios"),
+                    first["_filePath"].alias("longest_pending_request_file"),
+                    first["_duration"].alias("longest_pending_request_duration"))

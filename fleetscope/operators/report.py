@@ -94,3 +94,28 @@ def sys_databases(databases: DataFrame, replicas: DataFrame) -> DataFrame:
                   & F.col("secondary_role_allow_connections_desc").isin("READ_ONLY", "ALL")))
     keep = (F.col("state_desc") == "ONLINE") & role_ok & F.col("source_database_id").isNull()
     return j.filter(keep).select(*databases.columns)
+
+
+def table_sizes(partitions: DataFrame, keys: Sequence[str] = ("schema_name", "table_name", "data_compression_desc")) -> DataFrame:
+    """Rows and megabytes per table from the pages (8 KB) of its partitions."""
+    mb = lambda pages: F.round(pages.cast("decimal(28,0)") * 8 / F.lit(1024), 2).cast("decimal(28,2)")
+    g = partitions.groupBy(*keys).agg(F.sum("rows").alias("row_count"), F.sum("total_pages").alias("_t"), F.sum("used_pages").alias("_u"))
+    return g.select(*keys, "row_count", mb(F.col("_t")).alias("total_space_mb"), mb(F.col("_u")).alias("used_space_mb"),
+                    mb(F.col("_t") - F.col("_u")).alias("unused_space_mb"))
+
+
+def sys_configurations(settings: DataFrame, versions: DataFrame) -> DataFrame:
+    """Server settings with the product version as one more setting, id -1 (report-star ``sys_configurations``)."""
+    number = F.replace("product_version", F.lit("."), F.lit("")).cast("bigint")
+    version = versions.select("sql_instance", F.lit(-1).alias("configuration_id"), F.lit("version").alias("name"),
+                              number.alias("value"), number.alias("value_in_use"),
+                              F.lit("Version as integer: xx.x.xxxx.xx").alias("description"))
+    return settings.select(*version.columns).unionByName(version)
+
+
+def fact_check(history: DataFrame, header: DataFrame, checks: DataFrame) -> DataFrame:
+    """Check results with report time and the check's name and description (report-star ``fact_check``)."""
+    j = history.join(header, ["sql_instance", "snapshot_type_id", "snapshot_time"])
+    j = j.join(broadcast_if_small(checks), "check_id")
+    return j.select("sql_instance", "snapshot_time", "check_id", "check_name", "check_value", "check_status",
+                    "check_exec_time_ms", "report_time", "status_change", "snapshot_type_id", "check_description")
