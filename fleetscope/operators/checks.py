@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions._util import col
 from ..functions.timeops import datediff_boundary
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, spread_join
 from .timeseries import _ts
 from .windows import previous_values, running_sum, with_previous_rows
 
@@ -167,7 +167,7 @@ def status_runs(history: DataFrame, keys: Sequence[str] = ("sql_instance", "chec
     upto = running_sum(history.withColumn("_z", unchanged), keys, time, "_z", "_cum", bucket="month")
     z = history.groupBy(*keys).agg(F.sum(unchanged).alias("_n0"),
                                    F.max(F.when(F.col(change) == 0, F.col(time))).alias("_last0"))
-    starts = upto.filter(F.col(change) == 1).join(z, keys, "left")
+    starts = spread_join(upto.filter(F.col(change) == 1), z, keys, time)
     later = F.coalesce(F.col("_n0"), F.lit(0)) - F.coalesce(F.col("_cum"), F.lit(0))
     end = F.when(later > 0, F.col("_last0")).otherwise(_ts(now) if now is not None else F.lit(None))
     return starts.select(*keys, status, F.col(time).alias("status_start_time"), end.alias("status_end_time"),
@@ -227,7 +227,7 @@ def baseline_status(df: DataFrame, baselines: DataFrame, keys: Sequence[str] = (
     ``default_variance``) is not breached, else CRITICAL. Rows without a
     baseline fall back to the plain critical/warning status.
     """
-    j = df.join(baselines, list(keys), "left")
+    j = spread_join(df, baselines, keys, value)
     bthr = F.when(F.col("check_baseline").isNotNull(),
                   F.concat(F.coalesce(threshold_comparator(critical), F.lit("")),
                            F.col("check_baseline").cast("string")))

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import spread_join
 from .windows import previous_values
 
 INSTANCE_TYPE = ["sql_instance", "snapshot_type_id"]
@@ -151,5 +152,5 @@ def counter_delta_incremental(new: DataFrame, stored: DataFrame, keys: Sequence[
     u = boundary.select(*cols_all).unionByName(new.select(*cols_all))
     hdr = last.unionByName(new_header.select(*hk, time))
     d = counter_delta(u, keys, time, cols, first=first, header=hdr, header_keys=hk)
-    return d.join(last.withColumnRenamed(time, "_stored_max"), hk, "left") \
+    return spread_join(d, last.withColumnRenamed(time, "_stored_max"), hk, time) \
             .filter(F.col("_stored_max").isNull() | (F.col(time) > F.col("_stored_max"))).drop("_stored_max")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.timeops import datediff_boundary
+from .joins import spread_join
 from .timeseries import _ts
 from .windows import next_values, previous_values
 
@@ -66,7 +67,8 @@ def soft_delete(target: DataFrame, source: DataFrame, keys: Sequence[str], scope
     t = target.select(*keys, *[F.col(c).alias(f"_t_{c}") for c in cols], F.col(current_col).alias("_t_cur"),
                       F.col(seen_col).alias("_t_seen"), F.lit(True).alias("_in_t"))
     s = source.select(*keys, *[F.col(c).alias(f"_s_{c}") for c in cols], F.lit(True).alias("_in_s"))
-    j = t.join(s, keys, "full_outer").join(scraped, scope, "left")
+    dealt = next((k for k in keys if k not in scope), keys[0])
+    j = spread_join(t.join(s, keys, "full_outer"), scraped, scope, dealt)
     in_t, in_s = F.coalesce(F.col("_in_t"), F.lit(False)), F.coalesce(F.col("_in_s"), F.lit(False))
     now_c = _ts(now)
     refresh = datediff_boundary("hour", F.col("_t_seen"), now_c) >= hours

@@ -46,6 +46,20 @@ def shuffle_partitions(spark) -> int:
         return spark.sparkContext.defaultParallelism
 
 
+# Copies of a group's row in a spread join: the rows of one key are dealt over so many tasks.
+SPREAD = 32
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], spread_by: str, how: str = "left",
+                copies: int = SPREAD) -> DataFrame:
+    """Join ``rows`` to ``groups`` (at most one row per value of ``keys``, far fewer than ``rows``) when one key may
+    hold a large share of the rows: every row of ``groups`` is copied, and the rows of a key are dealt over the copies
+    by a hash of their column ``spread_by``. Only for inner, left, left semi and left anti joins."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(spread_by), F.lit(copies)).cast("int"))
+    copied = groups.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return dealt.join(copied, [*keys, "_deal"], how).drop("_deal")
+
+
 def with_header(fact: DataFrame, header: DataFrame, keys: Sequence[str] = HEADER_KEYS) -> DataFrame:
     """Fact rows that belong to a registered snapshot, with header columns."""
     return fact.join(header, list(keys), "inner")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_small
+from .joins import broadcast_if_small, spread_join
 from .timeseries import _ts
 
 # Default retention of the action queue, days.
@@ -38,8 +38,8 @@ def retention_cutoffs(policy: DataFrame, header: DataFrame, now) -> DataFrame:
 def retention_apply(header: DataFrame, cutoffs: DataFrame, baseline_times: DataFrame | None = None) -> DataFrame:
     """Headers to keep (K2): not older than their cut-off, or a baseline snapshot
     of their instance. Types without a cut-off are kept."""
-    j = header.join(cutoffs.select("sql_instance", "snapshot_type_id", "cutoff_time"),
-                    ["sql_instance", "snapshot_type_id"], "left")
+    j = spread_join(header, cutoffs.select("sql_instance", "snapshot_type_id", "cutoff_time"),
+                    ["sql_instance", "snapshot_type_id"], "snapshot_time")
     old = F.coalesce(F.col("snapshot_time") < F.col("cutoff_time"), F.lit(False))
     if baseline_times is not None:
         b = baseline_times.select("sql_instance", "snapshot_time").distinct().withColumn("_base", F.lit(True))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeops import auto_interval, datediff_boundary, time_group, us_week_of_year
-from .joins import broadcast_if_small
+from .joins import spread_join
 
 
 def _ts(value) -> Column:
@@ -111,11 +111,11 @@ def flag_latest(df: DataFrame, keys: Sequence[str], time: str = "snapshot_time",
                 flag: str = "is_latest") -> DataFrame:
     """Flag rows at the latest time of their key group.
 
-    The per-group maximum is a (groups)-sized aggregate joined back; no
-    window, so a large group never lands in one task.
+    The per-group maximum is a (groups)-sized aggregate joined back by a spread
+    join; no window, so a large group never lands in one task.
     """
     latest = df.groupBy(*keys).agg(F.max(time).alias("_max_t"))
-    j = df.join(broadcast_if_small(latest), list(keys), "left")
+    j = spread_join(df, latest, keys, time)
     return j.withColumn(flag, F.col(time) == F.col("_max_t")).drop("_max_t")
 
 

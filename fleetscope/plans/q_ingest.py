@@ -4,11 +4,13 @@ histogram ingest, blocked-process reports."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..sources import fixtures as fx
 from ..sources import ingest as ing
-from ..sources.tables import read_table
+from ..sources.tables import read_table, table_path
 from .config import Relation
 from .fixture_sql import with_fixtures
 from .registry import register
@@ -156,3 +158,53 @@ def q_histogram_ingest(spark, sf_dir):
     parts = [hist("size", F.col("p_size")), hist("brand", F.col("p_brand")),
              hist("price", F.floor(F.col("p_retailprice") / 100))]
     return ing.histogram_ingest(parts, INCLUDE_OBJECTS.df(spark))
+
+
+# --- S2, S3 -------------------------------------------------------------------------------------------------
+
+@register("file_samples", oracle="""
+    SELECT l_suppkey AS volume_id, CAST(l_quantity AS DOUBLE) AS used, l_shipdate AS snapshot_time FROM lineitem
+    WHERE l_quantity > 45""")
+def q_file_samples(spark, sf_dir):
+    """Samples read from files under a declared schema; only its columns are scanned, the filter reaches the scan."""
+    schema = "l_suppkey bigint, l_quantity double, l_shipdate timestamp_ntz"
+    s = ing.read_samples(spark, table_path(sf_dir, "lineitem"), schema)
+    return s.filter(F.col("l_quantity") > 45).select(F.col("l_suppkey").alias("volume_id"), F.col("l_quantity").alias("used"),
+                                                     F.col("l_shipdate").alias("snapshot_time"))
+
+
+OFFSETS = Relation("session_name string, execution_count bigint, last_event_time timestamp_ntz", [
+    ("click", 10, dt.datetime(2024, 1, 5)), ("view", 0, None), ("purchase", 10**9, dt.datetime(2024, 1, 2)),
+    ("signup", 5, dt.datetime(2024, 1, 30, 23, 59, 50)),
+])
+OFFSETS_NOW = "2024-01-31 00:00:00"
+_NEW_EVENTS = f"""SELECT e.event_id, e.event_type AS session_name, e.ts AS event_time
+    FROM events e JOIN ({OFFSETS.sql()}) o ON o.session_name = e.event_type
+    JOIN (SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1) c ON c.event_type = e.event_type
+    WHERE c.n > o.execution_count AND e.ts > COALESCE(o.last_event_time, TIMESTAMP '1970-01-01 00:00:00')
+      AND date_diff('second', COALESCE(o.last_event_time, TIMESTAMP '1970-01-01 00:00:00'), TIMESTAMP '{OFFSETS_NOW}') >= 15"""
+
+
+def _sessions(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "event_type", "ts")
+    e = e.select("event_id", F.col("event_type").alias("session_name"), F.col("ts").cast("timestamp_ntz").alias("event_time"))
+    return e, e.groupBy("session_name").agg(F.count(F.lit(1)).alias("execution_count"))
+
+
+@register("new_events", oracle=_NEW_EVENTS)
+def q_new_events(spark, sf_dir):
+    """Four sessions: behind, never read, not fired since, read ten seconds ago."""
+    e, current = _sessions(spark, sf_dir)
+    return ing.new_events(e, OFFSETS.df(spark), current, OFFSETS_NOW, min_interval_s=15)
+
+
+@register("event_offsets", oracle=f"""
+    SELECT o.session_name, COALESCE(c.n, o.execution_count) AS execution_count, COALESCE(x.last, o.last_event_time) AS last_event_time
+    FROM ({OFFSETS.sql()}) o
+    LEFT JOIN (SELECT session_name, MAX(event_time) AS last FROM ({_NEW_EVENTS}) n GROUP BY 1) x USING (session_name)
+    LEFT JOIN (SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1) c ON c.event_type = x.session_name""")
+def q_event_offsets(spark, sf_dir):
+    e, current = _sessions(spark, sf_dir)
+    stored = OFFSETS.df(spark)
+    read = ing.new_events(e, stored, current, OFFSETS_NOW, min_interval_s=15)
+    return ing.advance_offsets(stored, current, read, OFFSETS_NOW)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.timeops import hhmmss_to_seconds, to_utc, yyyymmdd_hhmmss_to_ts
-from ..operators.joins import HEADER_KEYS, broadcast_if_small
+from ..operators.joins import HEADER_KEYS, broadcast_if_small, spread_join
 
 # Fact table -> snapshot type id (diagnostics facts use type 10).
 TABLE_SNAPSHOT_TYPES = [
@@ -64,7 +64,8 @@ def read_events(spark: SparkSession, path: str, schema: StructType | str, since=
                 object_name: str | None = None, fmt: str = "parquet", time_col: str = "event_time") -> DataFrame:
     """Event rows newer than a stored offset, optionally of one object (S3).
 
-    The streaming form is ``streaming.events.event_stream`` (checkpointed).
+    Both filters reach the scan. The streaming form is ``streaming.operators.file_stream``, whose offsets are the
+    query's checkpoint.
     """
     df = spark.read.format(fmt).schema(schema).load(path)
     if since is not None:
@@ -74,6 +75,34 @@ def read_events(spark: SparkSession, path: str, schema: StructType | str, since=
     return df
 
 
+def new_events(events: DataFrame, stored: DataFrame, current: DataFrame, now, min_interval_s: int = 0,
+               session: str = "session_name", time: str = "event_time") -> DataFrame:
+    """Events of each session after its stored offset (S3).
+
+    ``stored``: session, execution_count, last_event_time (NULL: never read). ``current``: session, execution_count.
+    Sessions read less than ``min_interval_s`` ago and sessions that did not fire since are skipped.
+    """
+    from ..operators.timeseries import _ts
+
+    start = F.coalesce("last_event_time", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    waited = F.timestamp_diff("SECOND", start, _ts(now)) >= min_interval_s
+    offsets = (stored.withColumnRenamed("execution_count", "_seen").join(current, session)
+               .filter(waited & (F.coalesce("execution_count", F.lit(0)) > F.coalesce("_seen", F.lit(0))))
+               .select(session, start.alias("_since")))
+    return spread_join(events, offsets, [session], time, "inner").filter(F.col(time) > F.col("_since")).drop("_since")
+
+
+def advance_offsets(stored: DataFrame, current: DataFrame, read: DataFrame, now, session: str = "session_name",
+                    time: str = "event_time") -> DataFrame:
+    """The offsets to store after ``read`` has been stored: sessions with events move to the last one and to their
+    current execution count; the others stay (a run that fails before this is simply repeated)."""
+    last = read.groupBy(session).agg(F.max(time).alias("_last"))
+    moved = last.join(current.withColumnRenamed("execution_count", "_count"), session)
+    j = stored.join(moved, session, "left")
+    return j.select(session, F.coalesce("_count", "execution_count").alias("execution_count"),
+                    F.coalesce("_last", "last_event_time").alias("last_event_time"))
+
+
 def register_headers(samples: DataFrame, existing: DataFrame, keys: Sequence[str] = HEADER_KEYS) -> DataFrame:
     """New snapshot headers: distinct sample keys not registered yet."""
     keys = list(keys)
@@ -98,7 +127,7 @@ def errorlog_ingest(lines: DataFrame, keywords: DataFrame, seen: DataFrame | Non
     m = lines.join(kw, cond, "inner").drop("_kw_type", "keyword1", "keyword2")
     if seen is not None:
         hw = seen.groupBy("keyword_id", "log_type_id").agg(F.max("log_date").alias("_hw"))
-        m = m.join(hw, ["keyword_id", "log_type_id"], "left") \
+        m = spread_join(m, hw, ["keyword_id", "log_type_id"], "log_date") \
              .filter(F.col("_hw").isNull() | (F.col("log_date") > F.col("_hw"))).drop("_hw")
     clean = F.regexp_replace(F.trim(F.col("text")), "[\r\n]", "")
     return m.withColumn("text", clean)
@@ -134,7 +163,7 @@ def header_watermark(remote_headers: DataFrame, local_headers: DataFrame,
                      time: str = "snapshot_time") -> DataFrame:
     """Remote headers newer than the local maximum of their (instance, type)."""
     hw = local_headers.groupBy(*keys).agg(F.max(time).alias("_hw"))
-    j = remote_headers.join(hw, list(keys), "left")
+    j = spread_join(remote_headers, hw, keys, time)
     return j.filter(F.col("_hw").isNull() | (F.col(time) > F.col("_hw"))).drop("_hw")
 
 
@@ -149,7 +178,8 @@ def import_facts(remote: DataFrame, local: DataFrame, headers: DataFrame, pk: Se
     """
     local_hw = local.groupBy(instance).agg(F.max(time).alias("_lo"))
     head_hw = headers.groupBy(instance).agg(F.max(time).alias("_hi"))
-    r = (remote.join(local_hw, instance, "left").join(head_hw, instance, "inner")
+    limits = head_hw.join(local_hw, instance, "left")  # one row per instance
+    r = (spread_join(remote, limits, [instance], time, "inner")
          .filter((F.col("_lo").isNull() | (F.col(time) > F.col("_lo"))) & (F.col(time) <= F.col("_hi")))
          .drop("_lo", "_hi"))
     r = r.join(headers.select(*header_keys).distinct(), list(header_keys), "left_semi")
@@ -163,7 +193,7 @@ def import_dim(remote: DataFrame, local: DataFrame, keys: Sequence[str], waterma
     Feed the result to ``operators.dims.upsert``.
     """
     hw = local.groupBy(instance).agg(F.max(watermark).alias("_hw"))
-    j = remote.join(hw, instance, "left")
+    j = spread_join(remote, hw, [instance], watermark)
     return j.filter(F.col("_hw").isNull() | (F.col(watermark) > F.col("_hw"))).drop("_hw")
 
 
