@@ -266,3 +266,48 @@ def test_dependency_levels_deep_chain(spark):
     assert got == {f"n{i}": i + 1 for i in range(26)}
     with pytest.raises(ValueError, match="max_level"):
         dependency_levels(e, max_level=5)
+
+
+def test_exact_mean_above_double_precision(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([("a", big), ("a", big), ("b", 1), ("b", 2), ("c", -1), ("c", -2), ("d", None)], "k string, v bigint")
+    total, count = ck.exact_mean(F.col("v").cast("decimal(20,0)"))
+    got = {r.k: r.m for r in df.groupBy("k").agg(total.alias("s"), count.alias("n"))
+           .select("k", ck.exact_mean_value("s", "n").alias("m")).collect()}
+    assert int(got["a"]) == big and float(got["b"]) == 1.5 and float(got["c"]) == -1.5 and got["d"] is None
+
+
+def test_month_shift_gives_one_value_per_row(spark):
+    from fleetscope.operators.baselines import baseline_shift
+
+    days = [dt.datetime(2024, 1, d) for d in (29, 30, 31)] + [dt.datetime(2024, 2, 29), dt.datetime(2024, 3, 31)]
+    df = spark.createDataFrame([("s", d, i) for i, d in enumerate(days)], "k string, t timestamp_ntz, v int")
+    out = baseline_shift(df, ["k"], "t", "v", {"1_month_ago": ("MONTH", 1)}).collect()
+    assert {r.t: r.v_1_month_ago for r in out} == {days[0]: None, days[1]: None, days[2]: None, days[3]: 0, days[4]: 3}
+    assert len(out) == len(days)
+
+
+def test_repeated_event_field_takes_the_first(spark):
+    from fleetscope.operators.events import shred_event
+
+    xml = ('<event name="x" timestamp="2024-01-01T10:00:00.000Z"><data name="duration"><value>5</value></data>'
+           '<data name="duration"><value>6</value></data><action name="session_id"><value>7</value></action></event>')
+    r = shred_event(spark.createDataFrame([(xml,)], "event_data string")).first()
+    assert r.duration == 5 and r.session_id == 7 and r.writes is None
+
+
+def test_null_keys_have_a_global_rank(spark):
+    from fleetscope.operators.events import dense_rank_global
+
+    df = spark.createDataFrame([(None,), ("b",), ("a",), ("b",)], "k string")
+    assert sorted((r.k or "", r["rank"]) for r in dense_rank_global(df, ["k"]).collect()) == [("", 1), ("a", 2), ("b", 3), ("b", 3)]
+
+
+def test_spread_join_equals_join(spark):
+    from fleetscope.operators.joins import spread_join
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("k"), "id")
+    groups = spark.createDataFrame([(0, "a"), (1, "b")], "k bigint, v string")
+    for how in ("left", "inner", "left_semi", "left_anti"):
+        assert sorted(map(str, spread_join(rows, groups, ["k"], "id", how).collect())) == sorted(
+            map(str, rows.join(groups, "k", how).collect()))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
@@ -73,3 +74,20 @@ def test_global_numbering_matches_single_partition_window(spark):
     assert got == want
     dr = {(r.g, r.p): r.rank for r in dense_rank_global(df, ["g", "p"], partitions=3).collect()}
     assert dr == want
+
+
+@pytest.mark.parametrize("n", [1, 3, 12])
+def test_previous_rows_reach_over_empty_days(spark, n):
+    import random
+
+    rnd = random.Random(n)
+    rows, t = [], dt.datetime(2024, 1, 1)
+    for i in range(60):
+        t += dt.timedelta(hours=rnd.choice([1, 2, 30, 100]))
+        rows.append(("k" + str(i % 2), t, i))
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, v int")
+    got = {(r.k, r.t): [x.v for x in r.prev_rows] for r in with_previous_rows(df, ["k"], "t", ["v"], n).collect()}
+    for k in ("k0", "k1"):
+        own = [r for r in rows if r[0] == k]
+        for i, r in enumerate(own):
+            assert got[k, r[1]] == [x[2] for x in own[max(0, i - n) : i]]
