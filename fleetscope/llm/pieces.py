@@ -5,8 +5,8 @@ pair whose joined piece scores highest first, the leftmost at ties. Under dropou
 it is taken from the agenda, if a keyed hash of (seed, variant, chunk, place, piece) falls under the rate, so a run
 repeats itself exactly on any machine and with any partitioning. Rate 0 gives the library's own segmentation.
 
-No piece continues across the begin of a space run or over a line feed, so texts are cut there into chunks and each
-chunk is segmented once per variant. An occurrence of a chunk takes one of ``VARIANTS`` variants by a keyed hash of the
+No piece continues across the begin of a space run or over a line feed, and none has a letter next to a mark, so texts
+are cut there into chunks and each chunk is segmented once per variant. An occurrence of a chunk takes one of ``VARIANTS`` variants by a keyed hash of the
 document's id and its place, so equal words in a text are cut in different ways.
 
 Characters outside the vocabulary become byte pieces, and so does a literal U+2581, which would otherwise decode as a
@@ -39,6 +39,8 @@ SLICE_CHARS = 4_000_000
 _MASK = (1 << 64) - 1
 _CUT = "\x1f"
 _CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+#: Marks between which and a letter chunks are cut, where the vocabulary has no piece with the two next to each other.
+_MARKS = ".,;:!?#$%&*|\"'()"
 
 
 def _scramble(x: int) -> int:
@@ -52,7 +54,7 @@ class Vocabulary:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
-        self.score: dict[str, tuple[float, int]] = {}
+        score: dict[str, tuple[float, int]] = {}
         self.byte_id = [0] * 256
         raw: list[bytes] = []
         for i in range(self.size):
@@ -63,8 +65,15 @@ class Vocabulary:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 raw.append(b"")
             else:
-                self.score[piece] = (-sp.get_score(i), i)
+                score[piece] = (-sp.get_score(i), i)
                 raw.append(piece.replace("▁", " ").encode())
+        order = sorted(score, key=score.__getitem__)  # best first
+        self.rank = {p: r for r, p in enumerate(order)}
+        self.length = [len(p) for p in order]
+        self.piece_id = [score[p][1] for p in order]
+        mixed = {c for p in score for a, b in zip(p, p[1:], strict=False) for c in (a, b) if a.isalpha() != b.isalpha()}
+        marks = "".join("\\" + c for c in _MARKS if c not in mixed)
+        self.cuts = [(rf"(\pL)([{marks}])", rf"\1{_CUT}\2"), (rf"([{marks}])(\pL)", rf"\1{_CUT}\2")] if marks else []
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_length = np.array(list(map(len, raw)), np.int64)
         self.raw_first = np.cumsum(self.raw_length) - self.raw_length
@@ -72,46 +81,55 @@ class Vocabulary:
         self.old: dict[tuple[int, str], bytes] = {}
 
     def segment(self, chunk: str, rate: float = 0.0, key: int = 0) -> list[int]:
-        """The piece ids of one chunk (spaces as spaces)."""
-        symbol: list[str | None] = ["▁" if c == " " else c for c in chunk]
-        literal = {i for i, c in enumerate(chunk) if c == "▁"}
-        n, score = len(symbol), self.score
+        """The piece ids of one chunk (spaces as spaces).
+
+        The agenda holds the rank and place (in one integer) of each adjacent pair that joins to a piece; symbols are spans of the chunk,
+        of which only boundaries vanish, so an entry is stale when its place is gone or its span has another length.
+        """
+        text = chunk
+        if "▁" in text:
+            text = text.replace("▁", "\ufffe")  # a literal mark joins with nothing
+        if " " in text:
+            text = text.replace(" ", "▁")
+        n, rank, length, push, pop = len(text), self.rank.get, self.length, heapq.heappush, heapq.heappop
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda: list[tuple[float, int, str, int]] = []
+        bits = n.bit_length()
+        low = (1 << bits) - 1
         limit = int(rate * (1 << 32))
         base = _scramble(zlib.crc32(chunk.encode("utf-8", "surrogatepass")) ^ key * 0x9E3779B97F4A7C15 & _MASK) if limit else 0
-
-        def consider(i: int, j: int) -> None:
-            if i < 0 or j >= n or i in literal or j in literal:
-                return
-            joined = symbol[i] + symbol[j]
-            found = score.get(joined)
-            if found:
-                heapq.heappush(agenda, (found[0], i, joined, j))
-
-        for i in range(n - 1):
-            consider(i, i + 1)
+        agenda = [r << bits | i for i in range(n - 1) if (r := rank(text[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, i, joined, j = heapq.heappop(agenda)
-            if symbol[i] is None or symbol[j] is None or right[i] != j or len(symbol[i]) + len(symbol[j]) != len(joined):
+            entry = pop(agenda)
+            i = entry & low
+            j = right[i]
+            if not j or j >= n:
                 continue
-            if limit and _scramble(base ^ (i << 32 | score[joined][1])) >> 32 < limit:
+            end = right[j]
+            if end - i != length[entry >> bits]:
                 continue
-            symbol[i], symbol[j] = joined, None
-            right[i] = right[j]
-            if right[j] < n:
-                left[right[j]] = i
-            consider(left[i], i)
-            consider(i, right[i])
-        out = []
-        for i, s in enumerate(symbol):
-            if s is None:
+            if limit and ((base ^ entry) * 0x9E3779B97F4A7C15 & _MASK) >> 32 < limit:
                 continue
-            found = None if i in literal else score.get(s)
-            if found:
-                out.append(found[1])
+            right[i], right[j] = end, 0
+            if end < n:
+                left[end] = i
+                r = rank(text[i : right[end]])
+                if r is not None:
+                    push(agenda, r << bits | i)
+            k = left[i]
+            if k >= 0:
+                r = rank(text[k:end])
+                if r is not None:
+                    push(agenda, r << bits | k)
+        out, i = [], 0
+        while i < n:
+            end = right[i]
+            r = rank(text[i:end])
+            if r is None:
+                out.extend(self.byte_id[b] for b in chunk[i:end].encode("utf-8", "surrogatepass"))
             else:
-                out.extend(self.byte_id[b] for b in s.encode("utf-8", "surrogatepass"))
+                out.append(self.piece_id[r])
+            i = end
         return out
 
     def encode(self, texts: pa.Array, doc_keys: np.ndarray, rate: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,6 +142,8 @@ class Vocabulary:
             some = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
             some = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), some)
             cut = pc.replace_substring(pc.replace_substring_regex(some, " +", _CUT + "\\0"), "\n", f"{_CUT}\n{_CUT}")
+            for pattern, into in self.cuts:
+                cut = pc.replace_substring_regex(cut, pattern, into)
             split = pc.split_pattern(cut, _CUT)
             per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
             chunks = split.flatten()
@@ -136,7 +156,10 @@ class Vocabulary:
             with np.errstate(over="ignore"):
                 x = (np.repeat(doc_keys, per_text) ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
             variant = ((x >> np.uint64(40)) % np.uint64(variants)).astype(np.int64)
-        kinds, at = np.unique(at * variants + variant, return_inverse=True)
+        code = at * variants + variant
+        there = np.zeros(len(words) * variants, bool)
+        there[code] = True
+        kinds, at = np.flatnonzero(there), (np.cumsum(there) - 1)[code]
         if len(self.young) > CACHED_CHUNKS:  # what was not used since the last time is forgotten
             self.young, self.old = {}, self.young
         young, old, found = self.young, self.old, []
