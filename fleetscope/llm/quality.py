@@ -36,9 +36,9 @@ DEPTH = 4
 PENALTY = 0.002
 SEED = 7
 
-_SYMBOLS = "#$%&*|<>{}[]=_~^@\\/+"
-_DIGITS = "0123456789"
-_MARKS = ".,;:!?"
+_SYMBOLS = "[#$%&*|<>{}\\[\\]=_~^@\\\\/+]+"
+_DIGITS = "[0-9]+"
+_MARKS = "[.,;:!?]+"
 
 STATISTICS = (
     "chars", "words", "word_length", "symbol_share", "bar_share", "digit_share", "upper_share", "mark_share", "shout_share",
@@ -51,22 +51,23 @@ def statistics(text: Column) -> dict[str, Column]:
     body = F.coalesce(text, F.lit(""))
     n = F.char_length(body)
     share = lambda part: F.coalesce(F.try_divide(part.cast("double"), n.cast("double")), F.lit(0.0))
-    count = lambda chars: n - F.char_length(F.translate(body, chars, ""))
+    count = lambda pattern: n - F.char_length(F.regexp_replace(body, pattern, ""))
+    single = lambda char: n - F.char_length(F.replace(body, F.lit(char), F.lit("")))
     words = F.filter(F.split(body, "\\s+", -1), lambda w: w != "")
     lines = F.filter(F.split(body, "\n", -1), lambda x: x != "")
     n_words, n_lines = F.size(words).cast("double"), F.size(lines).cast("double")
-    spaces = count(" \n\t\r")
+    spaces = count("[ \n\t\r]+")
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     return {
         "chars": F.log1p(n.cast("double")),
         "words": F.log1p(n_words),
         "word_length": ratio(n - spaces, n_words),
         "symbol_share": share(count(_SYMBOLS)),
-        "bar_share": share(count("|")),
+        "bar_share": share(single("|")),
         "digit_share": share(count(_DIGITS)),
-        "upper_share": share(n - F.char_length(F.regexp_replace(body, "\\p{Lu}+", ""))),
+        "upper_share": share(count("\\p{Lu}+")),
         "mark_share": share(count(_MARKS)),
-        "shout_share": share(count("!")),
+        "shout_share": share(single("!")),
         "space_share": share(spaces),
         "distinct_words": ratio(F.size(F.array_distinct(words)), F.sqrt(n_words)),
         "line_length": ratio(n, n_lines),
