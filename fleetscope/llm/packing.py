@@ -67,7 +67,7 @@ def _taken(last: np.ndarray, room: int) -> list[int]:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
     """Configurations (lengths in descending order) and how often each is used; covers the histogram exactly."""
     need = np.zeros(capacity + 1)
     for length, n in histogram.items():
@@ -77,7 +77,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         return []
     price = np.where(need > 0, np.arange(capacity + 1) / capacity, 0.0)
     cover = np.zeros(capacity + 1)
-    use: dict[tuple[int, ...], float] = {}
+    use: dict[bytes, float] = {}  # by the configuration's lengths as 32-bit integers: compact
     for t in range(1, rounds + 1):
         _, last = best_fill(price, capacity)
         due = need * t / rounds
@@ -85,21 +85,28 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             lack = due[length] - cover[length]
             if lack <= 1e-9:
                 continue
-            chosen = tuple(sorted([int(length), *_taken(last, capacity - int(length))], reverse=True))
-            step = lack / chosen.count(int(length))
-            use[chosen] = use.get(chosen, 0.0) + step
-            np.add.at(cover, np.array(chosen), step)
+            chosen = np.array(sorted([int(length), *_taken(last, capacity - int(length))], reverse=True), np.int32)
+            step = lack / np.count_nonzero(chosen == length)
+            key = chosen.tobytes()
+            use[key] = use.get(key, 0.0) + step
+            np.add.at(cover, chosen, step)
         over = np.divide(cover, due, out=np.ones_like(cover), where=due > 0) - 1
         price *= np.exp(-RATE * np.clip(over, 0, 3))
         price /= price.max()
     left = need.astype(np.int64)
-    plan: list[tuple[tuple[int, ...], int]] = []
+    plan: list[tuple[np.ndarray, int]] = []
     carry = 0.0
-    for chosen, x in sorted(use.items(), key=lambda c: (-c[0][0], -sum(c[0]), c[0])):
-        kinds, each = np.unique(np.array(chosen), return_counts=True)
+
+    def order(key: bytes) -> tuple[int, int, bytes]:
+        chosen = np.frombuffer(key, np.int32)
+        return -int(chosen[0]), -int(chosen.sum()), key
+
+    for key in sorted(use, key=order):
+        chosen, x = np.frombuffer(key, np.int32), use[key]
+        kinds, each = np.unique(chosen, return_counts=True)
         times = min(int(x + carry), int((left[kinds] // each).min()))
         carry = min(x + carry - times, 1.0)
-        if times and sum(chosen) >= capacity - capacity // 512:  # the rest is better off by best fit
+        if times and chosen.sum() >= capacity - capacity // 512:  # the rest is better off by best fit
             left[kinds] -= each * times
             plan.append((chosen, times))
     while left.any():
@@ -111,15 +118,15 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         kinds, each = np.unique(np.array(chosen), return_counts=True)
         times = int((left[kinds] // each).min())
         left[kinds] -= each * times
-        plan.append((tuple(chosen), times))
+        plan.append((np.array(chosen, np.int32), times))
     return plan
 
 
-def _intervals(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
+def _intervals(plan: list[tuple[np.ndarray, int]]) -> dict[str, np.ndarray]:
     """For each length in each configuration, by (length, first number): what a piece's number means."""
     rows, taken, sequence = [], {}, 0
     for chosen, times in plan:
-        kinds, first, each = np.unique(-np.array(chosen), return_index=True, return_counts=True)
+        kinds, first, each = np.unique(-chosen, return_index=True, return_counts=True)
         ends = np.cumsum(chosen)
         for k, f, m in zip((-kinds).tolist(), first.tolist(), each.tolist(), strict=True):
             at = taken.get(k, 0)
