@@ -187,7 +187,8 @@ def _read_shard(folder: str, id_type: pa.DataType):
 def read_documents(folder: str, manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Per document, from the files: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32."""
     kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
-    files = manifest.select("shard", "ids_file", "index_file", "first_token").repartition("shard")
+    n = max(1, manifest.count())  # a task for each file: the manifest itself is small, what it names is not
+    files = manifest.select("shard", "ids_file", "index_file", "first_token").repartitionByRange(n, "shard")
     return files.select("ids_file", "index_file", "first_token").mapInArrow(
         _read_shard(folder, kind), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long"
     )
