@@ -98,7 +98,7 @@ class Filter:
             hashes.mapInArrow(_hit_cells(bits), _CELLS).repartition("block").sortWithinPartitions("block").mapInArrow(_merge_blocks(least), _BLOCKS)
         )
         out = np.zeros(bits // 8, np.uint8)
-        for r in blocks.toLocalIterator():  # MAX_FILTER_BITS / 8 bytes in all
+        for r in blocks.collect():  # MAX_FILTER_BITS / 8 bytes in all
             out[r.block * BLOCK_BITS // 8 : (r.block + 1) * BLOCK_BITS // 8] = np.frombuffer(r.bits, np.uint8)
         self.sent = sent = hashes.sparkSession.sparkContext.broadcast(out)
 
@@ -109,3 +109,7 @@ class Filter:
             return pd.Series(marked(sent.value, h.to_numpy()))
 
         self.asked = ask
+
+    def close(self) -> None:
+        """Free the broadcast, when what was asked is in a written table."""
+        self.sent.destroy()

@@ -14,14 +14,13 @@ from .skew import attach
 from .store import dropped, written
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """``edges`` (u > v). Large star: all neighbours above a node are tied to its least neighbour; small star: those
-    below, and the node itself."""
+def _stars(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """``edges`` (u > v; ``most`` rows at most). Large star: all neighbours above a node are tied to its least neighbour;
+    small star: those below, and the node itself."""
     down = edges.select("u", "v")
     both = down.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else down
     least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).withColumn("_m", F.least("_m", "u"))
-    total = edges.count() * (2 if large else 1)
-    tied = attach(both, least, ["u"], "_n", total)
+    tied = attach(both, least, ["u"], "_n", most * 2 if large else most)
     if large:
         out = tied.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
     else:
@@ -33,15 +32,16 @@ def components(edges: DataFrame) -> DataFrame:
     """From edges (a, b): node, label (the least node that it reaches) for each node that has an edge."""
     pairs = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = written(pairs.distinct(), "edges")
-    mark = None
-    while True:
-        wide = written(_stars(now, large=True), "large-star")
+    mark, most = None, now.count()
+    while most:
+        # a large star has no more rows than its edges, so their number bounds what the small star reads
+        wide = written(_stars(now, True, most), "large-star")
         dropped(now)
-        now = written(_stars(wide, large=False), "small-star")
+        now = written(_stars(wide, False, most), "small-star")
         dropped(wide)
         stars = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if stars == mark or not stars[0]:
+        if stars == mark:
             break
-        mark = stars
+        mark, most = stars, stars[0]
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

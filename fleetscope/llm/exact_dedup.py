@@ -35,6 +35,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("_maybe", twice.asked("_h")).drop("_h"),
         "asked",
     )
+    twice.close()
     alone = asked.filter(~F.col("_maybe")).select("_id", "_sha", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"))
     again = asked.filter("_maybe").drop("_maybe")
     groups = again.groupBy("_sha").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))

@@ -2,17 +2,19 @@
 
 Signatures. Sizes fall into bands [l, floor(l / s)], so that two sets of similarity s lie in one band or in neighbours;
 each set signs for its own band and for the next. In a band with largest size r two similar sets differ in at most
-k = 2 r (1 - s) / (1 + s) elements. The hash domain is cut into n1 = ceil((k + 1) / 2) parts, each cut into N2 = 2
-partitions, and a signature is the part of the set that lies in one of the N2 - 1 element subsets of the partitions of a
-part. Some part holds at most one of the differing elements, so sets that differ in k elements or fewer share a
-signature: no link is lost.
+k = 2 r (1 - s) / (1 + s) elements. The hash domain is cut into parts of N2 = 2 partitions each, SLACK times k + 1
+partitions in all, and a signature is the part of the set that lies in one partition (a subset of N2 - 1 partitions of its
+part). Similar sets differ in k partitions at most and share all others. A set leaves out its emptiest partitions, as long
+as it leaves out fewer than similar sets must share: of the shared ones, one then holds more than either set leaves out,
+so both sign with it and no link is lost, while unrelated sets rarely agree (two empty partitions would).
 
 Candidates. Equal sets are one class (128-bit hash and size), which only its smallest id represents. Signatures are
 sorted by value; members of a bucket are read in runs, so a bucket is never held in memory. No bucket is expanded into
 all its pairs: first each member is paired with the first and the previous member of its bucket, pairs are checked on
 whole sets and the links joined to components; then, only in buckets whose members still lie in different components,
-members of different components are compared. A 512-bit parity sketch (two sets differ in at least as many elements as
-their sketches in bits) drops pairs that cannot link before sets are fetched; it drops no link. Large buckets are compared in blocks of ``BLOCK``
+members of different components are compared. Parity sketches (two sets differ in at least as many elements as their
+sketches in bits) drop pairs that cannot link before sets are fetched, one of 512 bits inside the buckets and one of 2,048
+for the pairs that remain; they drop no link. Large buckets are compared in blocks of ``BLOCK``
 members.
 
 Defined cases: null, empty and word-free texts have the empty set and link with nothing; fewer words than ``words`` make
@@ -39,7 +41,9 @@ from .store import dropped, written
 WORDS = 5
 SIMILARITY = (4, 5)
 N2 = 2
+SLACK = 1.25
 SKETCH_WORDS = 8
+WIDE_WORDS = 32
 #: Members of a bucket compared with each other in one task.
 BLOCK = 20_000
 #: Pairs checked for each document in the first pass, the closest by sketch; the others wait for the second pass.
@@ -75,16 +79,17 @@ def signatures(elements: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
             k = int(most[band])
             if not k:  # similar sets of these sizes are equal
                 continue
-            parts = (k + 2) // 2 * N2
+            parts = -(-int(SLACK * (k + 1) + 0.999) // N2) * N2
             at = (place % np.uint64(parts)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             edge = np.searchsorted(at[order], np.arange(parts + 1))
             sums = np.r_[np.uint64(0), np.cumsum(value[order])]
-            each = sums[edge[1:]] - sums[edge[:-1]] + np.diff(edge).astype(np.uint64) * _GOLD
-            if N2 > 2:  # subsets that leave one partition of a part out
-                whole = each.reshape(-1, N2)
-                each = (whole.sum(axis=1, dtype=np.uint64)[:, None] - whole).ravel()
-            out.append(mix(each + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32))))
+            size = np.diff(edge)
+            each = sums[edge[1:]] - sums[edge[:-1]] + size.astype(np.uint64) * _GOLD
+            upto = np.cumsum(np.bincount(size))  # partitions with so many elements or fewer
+            few = int(np.searchsorted(upto, parts - k)) - 1  # the most that fewer than parts - k partitions have
+            each = mix(each + mix(np.arange(parts, dtype=np.uint64) + np.uint64(band << 32)))
+            out.append(each[size > few])
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -171,31 +176,34 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (int(sig[-1]), int(first[-1]), int(node[-1]), int(nth[-1]) + 1)
 
 
+def _parities(s: np.ndarray, longs: int) -> np.ndarray:
+    """Whether an odd number of elements fall on each of 64 * ``longs`` places, as bits."""
+    odd = np.bincount((s & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _features(words: int, wanted):
     """Sets and sketches of the rows (id, text, hash of the id) whose hash the broadcast filter ``wanted`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             b = whole.filter(pa.array(marked(wanted.value, whole.column(2).to_numpy(zero_copy_only=False))))
-            rows, n, sketch, sets, held = [], [], [], [], 0
+            rows, lists, held = [], [], 0
             for i, s in batches_of_sets(b, words):
                 if not len(s):
                     continue
                 if held > 500_000:
-                    yield out(b, rows, n, sketch, sets)
-                    rows, n, sketch, sets, held = [], [], [], [], 0
+                    yield out(b, rows, lists)
+                    rows, lists, held = [], [], 0
                 held += len(s)
-                odd = np.bincount((s & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
                 rows.append(i)
-                n.append(len(s))
-                sketch.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                sets.append(_signed(s))
-            yield out(b, rows, n, sketch, sets)
+                lists.append((len(s), _parities(s, SKETCH_WORDS), _parities(s, WIDE_WORDS), _signed(s)))
+            yield out(b, rows, lists)
 
-    def out(b, rows, n, sketch, sets) -> pa.RecordBatch:
-        kind = pa.list_(pa.int64())
-        columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), pa.array(sketch, kind), pa.array(sets, kind)]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "n", "sketch", "elements"])
+    def out(b, rows, lists) -> pa.RecordBatch:
+        n, *arrays = zip(*lists, strict=True) if lists else ((), (), (), ())
+        columns = [b.column(0).take(pa.array(rows, pa.int64())), pa.array(n, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in arrays)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n", "sketch", "wide", "elements"])
 
     return run
 
@@ -259,11 +267,15 @@ def _across(similarity: tuple[int, int]):
 
 
 def _links(pairs: DataFrame, features: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+    """The pairs (a, b) whose whole sets are similar; a wide sketch drops most others before the sets move."""
     num, den = similarity
+    one = features.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("wide").alias("_wa"))
+    two = features.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("wide").alias("_wb"))
+    _, may = _may_link(F.col("_wa"), F.col("_wb"), F.col("_na"), F.col("_nb"), similarity)
+    close = pairs.select("a", "b").join(one, "a").join(two, "b").filter(may).select("a", "b")
     one = features.select(F.col("id").alias("a"), F.col("elements").alias("_x"))
     two = features.select(F.col("id").alias("b"), F.col("elements").alias("_y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b")
+    both = close.join(one, "a").join(two, "b")
     common = F.size(F.array_intersect("_x", "_y")).cast("long")
     total = F.size("_x") + F.size("_y")
     return both.withColumn("_c", common).filter(F.col("_c") * den >= (total - F.col("_c")) * num).select("a", "b")
@@ -295,8 +307,9 @@ def linked(
     some = Filter(wanted.select(F.xxhash64("rep").alias("h")), wanted.count(), least=1)
     hashed = rows.withColumn("h", F.xxhash64("id"))
     features = written(
-        hashed.mapInArrow(_features(words, some.sent), "id long, n long, sketch array<long>, elements array<long>"), "features"
+        hashed.mapInArrow(_features(words, some.sent), "id long, n long, sketch array<long>, wide array<long>, elements array<long>"), "features"
     )
+    some.close()
     small = features.select("id", "n", "sketch")
 
     one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
@@ -323,7 +336,8 @@ def linked(
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("sig", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "n", "label", "sketch")
     )
-    across = mixed.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_across(similarity), "a long, b long")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but many comparisons: not coalesced
+    across = mixed.repartition(tasks, "sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_across(similarity), "a long, b long")
     more_links = _links(written(across.distinct(), "across").select("a", "b"), features, similarity)
     label = written(components(written(first_links.unionByName(more_links), "links")), "labels")
     dropped(features)

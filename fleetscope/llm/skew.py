@@ -14,7 +14,7 @@ HEAVY_SHARE = 1 / 1000
 def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
     """``rows`` left-joined to ``groups`` (one row per value of ``keys``; ``size`` counts the rows of the key).
 
-    ``total`` is the sum of ``size``. At most 1 / HEAVY_SHARE keys can hold HEAVY_SHARE of the rows each, so the
+    ``total`` is the sum of ``size``, or more. At most 1 / HEAVY_SHARE keys can hold HEAVY_SHARE of the rows each, so the
     table of heavy keys is broadcast with a proven bound and their rows never shuffle; the other keys are joined
     by a shuffle in which no key is large. Null keys match nothing.
     """
