@@ -13,8 +13,8 @@ sorted by value; members of a bucket are read in runs, so a bucket is never held
 all its pairs: first each member is paired with the first and the previous member of its bucket, pairs are checked on
 whole sets and the links joined to components; then, only in buckets whose members still lie in different components,
 members of different components are compared. Parity sketches (two sets differ in at least as many elements as their
-sketches in bits) drop pairs that cannot link before sets are fetched, one of 512 bits inside the buckets and one of 2,048
-for the pairs that remain; they drop no link. Large buckets are compared in blocks of ``BLOCK``
+sketches in bits) drop pairs that cannot link before sets are fetched, one of 512 bits inside the buckets and a wide one
+(four bits an element, 2,048 at least) for the pairs that remain; they drop no link. Large buckets are compared in blocks of ``BLOCK``
 members.
 
 Defined cases: null, empty and word-free texts have the empty set and link with nothing; fewer words than ``words`` make
@@ -176,6 +176,18 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (int(sig[-1]), int(first[-1]), int(node[-1]), int(nth[-1]) + 1)
 
 
+def wide_words(n: int) -> int:
+    """Longs of the wide sketch of a set of ``n``: a power of two, four bits an element at least, or a sketch of a long
+    text would say nothing."""
+    return max(WIDE_WORDS, 1 << (max(1, n) - 1 >> 4).bit_length())
+
+
+def _folded(x: Column, y: Column) -> Column:
+    """``x`` at half its width (parities on half as many places) where it is wider than ``y``."""
+    half = F.floor(F.size(x) / 2).cast("int")
+    return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))).otherwise(x)
+
+
 def _parities(s: np.ndarray, longs: int) -> np.ndarray:
     """Whether an odd number of elements fall on each of 64 * ``longs`` places, as bits."""
     odd = np.bincount((s & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
@@ -197,7 +209,7 @@ def _features(words: int, wanted):
                     rows, lists, held = [], [], 0
                 held += len(s)
                 rows.append(i)
-                lists.append((len(s), _parities(s, SKETCH_WORDS), _parities(s, WIDE_WORDS), _signed(s)))
+                lists.append((len(s), _parities(s, SKETCH_WORDS), _parities(s, wide_words(len(s))), _signed(s)))
             yield out(b, rows, lists)
 
     def out(b, rows, lists) -> pa.RecordBatch:
@@ -271,7 +283,9 @@ def _links(pairs: DataFrame, features: DataFrame, similarity: tuple[int, int]) -
     num, den = similarity
     one = features.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("wide").alias("_wa"))
     two = features.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("wide").alias("_wb"))
-    _, may = _may_link(F.col("_wa"), F.col("_wb"), F.col("_na"), F.col("_nb"), similarity)
+    # sizes that can link are within one power of two
+    wide = _folded(F.col("_wa"), F.col("_wb")), _folded(F.col("_wb"), F.col("_wa"))
+    _, may = _may_link(*wide, F.col("_na"), F.col("_nb"), similarity)
     close = pairs.select("a", "b").join(one, "a").join(two, "b").filter(may).select("a", "b")
     one = features.select(F.col("id").alias("a"), F.col("elements").alias("_x"))
     two = features.select(F.col("id").alias("b"), F.col("elements").alias("_y"))

@@ -118,6 +118,29 @@ def test_large_bucket_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(docs, 3, 9, 10)
 
 
+def test_long_texts_with_sketches_of_two_widths(spark):
+    rnd, docs = random.Random(8), []
+    for _ in range(4):
+        text = [str(rnd.randrange(10**6)) for _ in range(1010)]
+        for _ in range(14):
+            docs.append(" ".join(text))
+            at = rnd.randrange(len(text) - 60)
+            text[at : at + 20] = [str(rnd.randrange(10**6)) for _ in range(rnd.choice([5, 20, 45]))]
+    docs = list(enumerate(docs))
+    sizes = {ngram_join.wide_words(len(shingle_set(t, 5))) for _, t in docs}
+    assert sizes == {64, 128}
+    got = ngram_join.linked(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = brute_components(docs, 5, 4, 5)
+    assert {r.doc_id: r.component_id for r in got} == want and 1 < len(set(want.values())) < len(docs)
+
+
+def test_wide_sketch_folds():
+    rnd = np.random.default_rng(2)
+    s = rnd.integers(0, 2**64, 700, dtype=np.uint64)
+    wide, narrow = ngram_join._parities(s, 64), ngram_join._parities(s, 32)
+    assert (wide[:32] ^ wide[32:] == narrow).all()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 60), st.sampled_from([(9, 10), (4, 5), (3, 5)]), st.integers(0, 2**32))
 def test_similar_sets_share_a_signature(common, only_a, only_b, similarity, seed):
