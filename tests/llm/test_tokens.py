@@ -201,3 +201,58 @@ def test_sentencepiece_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.lossless for r in rows)
     assert {r.n_pieces for r in rows if r.doc_id in (2, 3)} == {0}
     assert pieces.round_trip(no_docs).count() == 0
+
+
+def test_dropout_draws_for_each_occurrence():
+    path = tokens.vocabulary_path("piece_bpe_32k.model")
+    voc = pieces.vocabulary(path, 0.1, 5)
+    word, n = " the", 20_000
+    plain, taken = voc.segment(word)
+    assert taken >= 2
+    ids, sizes = voc.encode(pa.array([word.strip() + word * (n - 1)], pa.large_string()), np.array([7], np.uint64), 0.1, 5)
+    want = Counter()
+    for r in range(1 << 12):  # all sets of skips up to twelve candidates, with their chances
+        skips = {k for k in range(12) if r >> k & 1}
+        out, used = voc.segment(word, skips)
+        if all(k < used for k in skips):
+            want[tuple(out)] += 0.1 ** len(skips) * 0.9 ** (used - len(skips))
+    assert abs(sum(want.values()) - 1) < 1e-9
+    got = Counter()
+    starts = [i for i, piece in enumerate(ids.tolist()) if voc.raw[voc.raw_first[piece]] == 32] + [len(ids)]
+    for a, b in zip(starts, starts[1:], strict=False):
+        got[tuple(ids[a:b].tolist())] += 1
+    assert sum(got.values()) == n and len(got) > 4 and set(got) <= set(want)
+    for k, chance in want.items():
+        assert abs(got[k] - n * chance) < 5 * (n * chance) ** 0.5 + 1, (k, chance, got[k])
+
+
+def test_words_with_few_merges_vary():
+    voc = pieces.vocabulary(tokens.vocabulary_path("piece_bpe_32k.model"), 0.1, 5)
+    words = [w for a in "abcdefghijklmnopqrstuvwxyz" for w in (" " + a,) if voc.segment(w)[1] == 1]
+    assert len(words) > 10
+    for w in words:  # a tenth of the occurrences, of every word
+        ids, n = voc.encode(pa.array([w.strip() + w * 999, "x" + w * 1000], pa.large_string()), np.array([1, 2], np.uint64), 0.1, 5)
+        assert 2 * 1000 + 130 < len(ids) < 2 * 1000 + 270
+        assert ids[: n[0]].tolist() != ids[n[0] :].tolist()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="theaniours ÀéH.,\t中😀▁\ufffe", min_size=1, max_size=30), st.sets(st.integers(0, 60)))
+def test_list_and_heap_agree(chunk, skips):
+    voc = pieces.vocabulary(tokens.vocabulary_path("piece_bpe_32k.model"), 0.0, 0)
+    text = chunk.replace("▁", "\ufffe").replace(" ", "▁")
+    assert voc.segment(chunk, skips) == voc._by_heap(chunk, text, skips)
+
+
+def test_dropout_of_long_chunks():
+    voc = pieces.vocabulary(tokens.vocabulary_path("piece_bpe_32k.model"), 0.1, 5)
+    texts = ["theory" * 2000, "theory" * 2000, "the " * 5]
+    ids, n = voc.encode(pa.array(texts, pa.large_string()), np.arange(3, dtype=np.uint64), 0.1, 5)
+    ends = np.cumsum(n)
+    parts = [ids[e - k : e] for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+    assert [voc.decode(p) for p in parts] == texts and parts[0].tolist() != parts[1].tolist()
+    assert len(parts[0]) > 1.1 * len(voc.segment(" " + texts[0])[0])
+    for rate in (0.001, 0.1, 0.9, 1.0):
+        far = pieces.Draws(rate)
+        skips = far.skips(np.uint64(3), 100_000)
+        assert abs(sum(x < 100_000 for x in skips) - 100_000 * rate) <= 5 * (100_000 * rate) ** 0.5 * (rate < 1)
