@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import gc
 import heapq
-import re
 import zlib
 from array import array
 from collections.abc import Container, Iterator
@@ -46,7 +45,8 @@ DISTANCES = 4096
 
 _MASK = (1 << 64) - 1
 _CUT = "\x1f"
-_CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
+#: No letters, spaces or marks: the other control characters but tab and line feed, then those for private use.
+_OTHER_CUTS = [*range(1, 9), *range(14, 31), *range(0xE000, 0xF900), *range(0xF0000, 0xFFFFE), *range(0x100000, 0x10FFFE)]
 #: Marks between which and a letter chunks are cut, where the vocabulary has no piece with the two next to each other.
 _MARKS = ".,;:!?#$%&*|\"'()"
 
@@ -232,23 +232,34 @@ class Vocabulary:
                 self.young[chunk] = held
         return held
 
+    def _chunks(self, texts: pa.Array) -> pa.Array:
+        """The chunks of each text. A text that holds the cut character is cut with another one, at the same places."""
+        own = pc.match_substring(texts, _CUT)
+        if not pc.any(own).as_py():
+            return self._cut(texts, _CUT)
+        parts, at = [], 0
+        for i in np.flatnonzero(own.to_numpy(zero_copy_only=False)).tolist():
+            held = set(texts[i].as_py())
+            parts.append(self._cut(texts.slice(at, i - at), _CUT))
+            parts.append(self._cut(texts.slice(i, 1), next(c for c in map(chr, _OTHER_CUTS) if c not in held)))
+            at = i + 1
+        return pa.concat_arrays([*parts, self._cut(texts.slice(at), _CUT)])
+
+    def _cut(self, texts: pa.Array, mark: str) -> pa.Array:
+        some = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
+        some = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), some)
+        cut = pc.replace_substring(pc.replace_substring_regex(some, " +", mark + "\\0"), "\n", f"{mark}\n{mark}")
+        for pattern, into in self.cuts:
+            cut = pc.replace_substring_regex(cut, pattern, into.replace(_CUT, mark))
+        return pc.split_pattern(cut, mark)
+
     def encode(
         self, texts: pa.Array, doc_keys: np.ndarray, rate: float, seed: int, cached_chunks: int = CACHED_CHUNKS,
     ) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (large strings, none null) in a row, and the number of ids of each text."""
-        if pc.any(pc.match_substring(texts, _CUT)).as_py():
-            lists = [_CHUNK.findall(" " + t) if t else [] for t in texts.to_pylist()]
-            per_text = np.fromiter(map(len, lists), np.int64, len(lists))
-            chunks = pa.array([c for row in lists for c in row], pa.large_string())
-        else:
-            some = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
-            some = pc.if_else(pc.equal(pc.binary_length(texts), 0), pa.scalar("", pa.large_string()), some)
-            cut = pc.replace_substring(pc.replace_substring_regex(some, " +", _CUT + "\\0"), "\n", f"{_CUT}\n{_CUT}")
-            for pattern, into in self.cuts:
-                cut = pc.replace_substring_regex(cut, pattern, into)
-            split = pc.split_pattern(cut, _CUT)
-            per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-            chunks = split.flatten()
+        split = self._chunks(texts)
+        per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        chunks = split.flatten()
         coded = chunks.dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         words = coded.dictionary.to_pylist()

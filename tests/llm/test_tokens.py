@@ -256,3 +256,15 @@ def test_dropout_of_long_chunks():
         far = pieces.Draws(rate)
         skips = far.skips(np.uint64(3), 100_000)
         assert abs(sum(x < 100_000 for x in skips) - 100_000 * rate) <= 5 * (100_000 * rate) ** 0.5 * (rate < 1)
+
+
+def test_cut_character_changes_no_neighbour():
+    voc = pieces.vocabulary(tokens.vocabulary_path("piece_bpe_32k.model"), 0.3, 5)
+    clean, odd = "one,two. (three) four;five " * 20, "one,two.\x1f\x01 (three)\x1fx"
+    encode = lambda texts, keys: voc.encode(pa.array(texts, pa.large_string()), np.array(keys, np.uint64), 0.3, 5)
+    alone, n = encode([clean], [4])
+    ids, m = encode([odd, "", clean, odd], [3, 9, 4, 3])
+    assert ids[m[:2].sum() :][: m[2]].tolist() == alone.tolist() and n[0] == m[2]
+    assert ids[: m[0]].tolist() == ids[-m[3] :].tolist() and voc.decode(ids[: m[0]]) == odd
+    chunks = voc._chunks(pa.array([odd, odd.replace("\x1f", "\x02")], pa.large_string())).to_pylist()
+    assert [c.replace("\x1f", "\x02") for c in chunks[0]] == chunks[1]
