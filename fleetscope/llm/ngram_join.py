@@ -308,6 +308,12 @@ def linked(
     keys = ["h1", "h2", "n"]
     classes = written(whole.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     total = whole.count()
+    # an id with several texts ties their classes together
+    reps = written(attach(whole, classes, keys, "copies", total).select("id", "rep").distinct(), "reps")
+    least = reps.groupBy("id").agg(F.min("rep").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = attach(reps, least, ["id"], "_n", total).filter(F.col("rep") != F.col("_least"))
+    same = written(same.select(F.col("rep").alias("a"), F.col("_least").alias("b")).distinct(), "same-ids")
+    dropped(reps)
 
     signed = rows.filter(F.col("id").isNotNull()).mapInArrow(_signed_rows(words, similarity), "sig long, node long")
     ordered = signed.repartition("sig").sortWithinPartitions("sig", "node")
@@ -332,7 +338,7 @@ def linked(
     close = pairs.join(one, "a").join(two, "b").filter(may).select("a", "b", apart.alias("apart"))
     closest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
     checked = close.withColumn("_k", closest).filter(F.col("_k") <= FIRST_CHECKS)
-    first_links = written(_links(checked, features, similarity), "first-links")
+    first_links = written(_links(checked, features, similarity).unionByName(same), "first-links")
     label = written(components(first_links), "labels")
 
     node = F.coalesce(F.col("label"), F.col("rep"))

@@ -214,3 +214,15 @@ def test_line_dedup_plan_is_native(spark, sf_small):
     for name in ("op10_line_dedup", "op9_document_fingerprints"):
         plan = QUERIES[name](spark, sf_small)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan), name
+
+
+def test_ids_with_several_texts_are_one_node(spark):
+    x, y, z = "one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey"
+    rows = [(1, x), (5, x), (5, y), (2, y), (2, None), (7, z), (8, z), (9, x), (9, x), (None, z), (None, y)]
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), words=3, similarity=(9, 10)).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == {(1, 1), (5, 1), (2, 1), (7, 7), (8, 7), (9, 1), (None, None)}
+    # over a chain of ids that represent none of their classes
+    texts = [f"chain {k} " + " ".join(f"w{k}x{j}" for j in range(8)) for k in range(6)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k in range(5) for t in texts[k : k + 2]]
+    got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), words=3, similarity=(9, 10)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {0}
