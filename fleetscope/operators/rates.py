@@ -182,9 +182,10 @@ def minor_bucket(df: DataFrame, part: Sequence[str], key: str, value: str, share
     """Regroup members holding no more than ``share`` of their part's total as ``other``.
 
     The part total is a window sum over the part (one snapshot of one
-    instance: bounded by the number of members, e.g. memory clerks).
+    instance: bounded by the number of members, e.g. memory clerks). A part
+    whose total is 0 has no share to show, so all its members are ``other``.
     """
     w = Window.partitionBy(*part)
     total = F.sum(value).over(w)
-    keyed = df.withColumn(key, F.when(_d(value) / _d(total) > share, F.col(key)).otherwise(F.lit(other)))
+    keyed = df.withColumn(key, F.when(F.try_divide(_d(value), _d(total)) > share, F.col(key)).otherwise(F.lit(other)))
     return keyed.groupBy(*part, key).agg(F.sum(value).alias(value))

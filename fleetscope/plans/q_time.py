@@ -233,13 +233,13 @@ def q_dash_checks(spark, sf_dir):
 @register("dash_volume", oracle=with_fixtures(f"""
     SELECT volume_id, {tg_sql('snapshot_time', 1440)} AS time_bucket,
            MIN(free_bytes) AS min_free_bytes, MAX(total_bytes) AS total_bytes,
-           CAST(MIN(free_bytes) AS DOUBLE) / CAST(MAX(total_bytes) AS DOUBLE) AS min_free_ratio
+           CAST(MIN(free_bytes) AS DOUBLE) / CAST(NULLIF(MAX(total_bytes), 0) AS DOUBLE) AS min_free_ratio
     FROM fx_volume GROUP BY ALL""", "fx_volume"))
 def q_dash_volume(spark, sf_dir):
     v = fx.fx_volume(spark, sf_dir)
     g = v.groupBy("volume_id", time_group(T, 1440).alias("time_bucket")).agg(
         F.min("free_bytes").alias("min_free_bytes"), F.max("total_bytes").alias("total_bytes"))
-    return g.withColumn("min_free_ratio", F.col("min_free_bytes").cast("double") / F.col("total_bytes").cast("double"))
+    return g.withColumn("min_free_ratio", F.try_divide(F.col("min_free_bytes").cast("double"), F.col("total_bytes").cast("double")))
 
 
 @register("dash_io", oracle=with_fixtures(f"""

@@ -311,3 +311,14 @@ def test_spread_join_equals_join(spark):
     for how in ("left", "inner", "left_semi", "left_anti"):
         assert sorted(map(str, spread_join(rows, groups, ["k"], "id", how).collect())) == sorted(
             map(str, rows.join(groups, "k", how).collect()))
+
+
+# --- A12 -----------------------------------------------------------------------------------------------------
+
+def test_minor_bucket_with_a_total_of_zero(spark):
+    from fleetscope.operators.rates import minor_bucket
+
+    df = spark.createDataFrame([("a", 1, "x", 0), ("a", 1, "y", 0), ("a", 2, "x", 96), ("a", 2, "y", 4), ("b", 1, "x", -5), ("b", 1, "y", 5),
+                                ("b", 2, "x", None)], "sql_instance string, t int, clerk string, kb long")
+    got = rows(minor_bucket(df, ["sql_instance", "t"], "clerk", "kb"), "sql_instance", "t", "clerk", "kb")
+    assert got == [("a", 1, "OTHER", 0), ("a", 2, "OTHER", 4), ("a", 2, "x", 96), ("b", 1, "OTHER", 0), ("b", 2, "OTHER", None)]
