@@ -348,7 +348,7 @@ def q_memory_clerks(spark, sf_dir):
 @register("minor_bucket", oracle=with_fixtures("""
     SELECT sql_instance, snapshot_time, clerk, CAST(SUM(total_kb) AS BIGINT) AS total_kb
     FROM (SELECT sql_instance, snapshot_time,
-                 CASE WHEN CAST(total_kb AS DOUBLE) / CAST(SUM(total_kb) OVER (PARTITION BY sql_instance, snapshot_time) AS DOUBLE) > 0.05
+                 CASE WHEN CAST(total_kb AS DOUBLE) / CAST(NULLIF(SUM(total_kb) OVER (PARTITION BY sql_instance, snapshot_time), 0) AS DOUBLE) > 0.05
                       THEN clerk ELSE 'OTHER' END AS clerk, total_kb
           FROM (SELECT sql_instance, snapshot_time,
                        concat('MEMORYCLERK_', upper(instance_name), '_', CAST(snapshot_type_id AS VARCHAR)) AS clerk,
