@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import arrow_tokens, exact_dedup, fingerprints, html_text, line_dedup, ngram_join, packing, pieces, pii, quality
+from . import arrow_tokens, exact_dedup, fingerprints, html_text, line_dedup, ngram_join, packing, phrases, pieces, pii, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +100,11 @@ def op7_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_report(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents", "text", "lang"))
+
+
+ORACLES["op11_phrase_collocations"] = phrases.ORACLE
