@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
-from . import arrow_tokens, exact_dedup, fingerprints, html_text, line_dedup, ngram_join, packing, phrases, pieces, pii, quality
+from . import (
+    alignment,
+    arrow_tokens,
+    context_mixing,
+    exact_dedup,
+    fingerprints,
+    html_text,
+    line_dedup,
+    ngram_join,
+    packing,
+    phrases,
+    pieces,
+    pii,
+    quality,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -108,3 +122,13 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_phrase_collocations"] = phrases.ORACLE
+
+
+@_query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scored(read_table(spark, sf_dir, "documents", "doc_id", "text"))
