@@ -1,15 +1,19 @@
 """Collocations: phrases of 2 to ``max_words`` words whose words occur together more often than their parts would.
 
-Method: an FM-index per shard over word ids. A shard is a run of texts; its words get ids, words under the
-threshold become breaks (no frequent phrase holds one), and the sequence is sorted by its next ``max_words`` ids in both
+Method: an FM-index per shard over word ids. A shard is a run of texts; its words get ids, and words and
+pairs under the threshold become breaks (no frequent phrase holds one). The sequence is sorted by its next ``max_words`` ids in both
 directions, which gives two Burrows-Wheeler transforms. A phrase of a shard is a pair of intervals of equal length. All
 phrases of a length are extended at once: to the right in the backward index and to the left in the forward index. An
 extension counts where both directions reach the same forward interval, that is, where its first words and its last
 words are both frequent phrases, and the two directions name these. Counts are summed across shards; only phrases that reach the
 threshold in the whole group are extended by the shards, so each length is one shuffle of phrases, never of occurrences.
 
-A phrase number is the least (shard, place) at which it was found. No shard or task holds more than its own shard, a
-phrase has one row per shard, and nothing is collected or broadcast.
+Most distinct words and pairs of a shard are rare everywhere. They are sieved first: each shard sends sorted 64-bit hashes with counts as
+compressed lists to blocks of the hash range, the blocks add them up and answer with the places that are left. For words these sums are
+the counts (a word's number is its hash; 10 million frequent words share one with a probability of 3 in a million); pairs are
+only thinned by their hashes and counted exactly by the index. The number of a longer phrase is the least (shard, place)
+at which it was found. No shard or task holds more than its own shard or block, a phrase has one row per shard, and
+nothing is collected or broadcast.
 
 Defined cases: null texts are empty; a null lang is ``und``; ids play no part, so repeated rows count as often as they
 occur; an empty table, or one with no frequent phrase, gives no rows; other columns are ignored. Ties at the end of a
@@ -24,11 +28,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as wd
+from .sieve import LISTS, block_bits, left, lists, sieve
 from .skew import attach
 from .store import written
 
@@ -43,8 +49,10 @@ _GRAM_TYPE = pa.schema(
 
 
 def _shards(docs: DataFrame) -> DataFrame:
-    """Per shard one row with its sequence of local word ids (0: break), and one per local word with its count."""
-    schema = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("local", pa.int32()), ("n", pa.int32())])
+    """Per shard: its sequence of local word numbers (0: break), its langs with their numbers of words, and of each local word the
+    spelling, the count and the lang's place."""
+    schema = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())),
+                        ("spelled", pa.binary()), ("size", pa.int64()), ("counts", pa.binary()), ("lang_of", pa.binary()), ("n_local", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth = 0
@@ -57,20 +65,29 @@ def _shards(docs: DataFrame) -> DataFrame:
                 if not len(at):
                     continue
                 pair, own, n = np.unique(at * len(names) + lang[lo:hi][some.text], return_inverse=True, return_counts=True)
+                order = np.argsort(-n, kind="stable")  # small numbers for frequent words
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(1, len(order) + 1)
+                pair, n = pair[order], n[order]
                 ids = np.zeros(len(at) + int(some.broken.sum()) + 1, np.int32)
-                ids[np.arange(len(at)) + np.cumsum(some.broken)] = own + 1
-                shard = wd.shard_number(TaskContext.get().partitionId(), nth)
+                ids[np.arange(len(at)) + np.cumsum(some.broken)] = place[own]
+                spelled = "\n".join(found[i] for i in pair // len(names)).encode()
+                lang_of = (pair % len(names)).astype(np.int32)
+                row = [wd.shard_number(TaskContext.get().partitionId(), nth), wd.packed(ids), len(ids), names, np.bincount(lang_of, n, len(names)).astype(np.int64),
+                       pa.compress(spelled, "zstd", asbytes=True), len(spelled), wd.packed(n), wd.packed(lang_of), len(n)]
                 nth += 1
-                k = len(pair)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard]), pa.array([wd.packed(ids)], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()),
-                     pa.nulls(1, pa.int32()), pa.array([len(ids)], pa.int32())], schema=schema)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, shard)), pa.nulls(k, pa.binary()), pa.array([names[i] for i in pair % len(names)], pa.string()),
-                     pa.array([found[i] for i in pair // len(names)], pa.string()), pa.array(np.arange(1, k + 1, dtype=np.int32)), pa.array(n.astype(np.int32))],
-                    schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, "shard long, ids binary, lang string, word string, local int, n int")
+    return docs.mapInArrow(run, "shard long, ids binary, n long, langs array<string>, totals array<long>, spelled binary, size long, counts binary, "
+                                "lang_of binary, n_local long")
+
+
+def _local_words(spelled: bytes, size: int, lang_of: bytes, n_local: int, langs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words of a shard, the lang's place of each, and the hash of both."""
+    words = pa.decompress(spelled, size, "zstd", asbytes=True).decode().split("\n")
+    lang = wd.unpacked(lang_of, n_local)
+    heads = [f"{x}\n" for x in langs]
+    return words, lang, np.fromiter((xxhash.xxh3_64_intdigest(heads[i] + w) for w, i in zip(words, lang.tolist(), strict=True)), np.uint64, len(words))
 
 
 def sorted_contexts(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -147,42 +164,114 @@ def _grams(shard: int, gid: np.ndarray, grown: tuple[np.ndarray, ...]) -> pa.Tab
     return pa.table([np.full(len(head), shard, np.int64), key, gid[head], gid[tail], lo.astype(np.int32), rlo.astype(np.int32), n.astype(np.int32)], schema=_GRAM_TYPE)
 
 
-def _built(shards: DataFrame, vocabulary: DataFrame, depth: int) -> DataFrame:
+def _word_lists(shards: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                hashes = _local_words(r["spelled"], r["size"], r["lang_of"], r["n_local"], r["langs"])[2]
+                yield lists(r["shard"], hashes, wd.unpacked(r["counts"], r["n_local"], "<i8"), bits)
+
+    return shards.select("shard", "spelled", "size", "lang_of", "n_local", "langs", "counts").mapInArrow(run, LISTS)
+
+
+def _collapsed(ids: np.ndarray) -> np.ndarray:
+    """One break in place of many, and breaks at both ends."""
+    ids = np.r_[np.int32(0), ids, np.int32(0)].astype(np.int32)
+    return ids[np.r_[True, (ids[1:] > 0) | (ids[:-1] > 0)]]
+
+
+def _sequences(shards: DataFrame, kept: DataFrame, bits: int) -> DataFrame:
+    """Per shard its sequence over its frequent words with their numbers; and a row for each frequent word of the first shard that has it."""
+    schema = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("gids", pa.binary()), ("n_gids", pa.int64()),
+                        ("gid", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())])
+
+    def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
+        if not own_rows.num_rows or not right.num_rows:
+            return schema.empty_table()
+        r = own_rows.to_pylist()[0]
+        words, lang, hashes = _local_words(r["spelled"], r["size"], r["lang_of"], r["n_local"], r["langs"])
+        own, sums, owner = left(hashes, right, bits)
+        symbol = np.zeros(len(words) + 1, np.int32)
+        symbol[own + 1] = np.arange(1, len(own) + 1)
+        ids = _collapsed(symbol[wd.unpacked(r["ids"], r["n"])])
+        gids = hashes[own].view(np.int64)
+        first = np.flatnonzero(owner)
+        row = [r["shard"], wd.packed(ids), len(ids), wd.packed(gids), len(gids), None, None, None, None]
+        k = len(first)
+        named = [pa.nulls(k, f.type) for f in list(schema)[:5]] + [pa.array(gids[first]), pa.array([r["langs"][lang[own[i]]] for i in first], pa.string()),
+                                                                   pa.array([words[own[i]] for i in first], pa.string()), pa.array(sums[first])]
+        return pa.concat_tables([pa.table([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema), pa.table(named, schema=schema)])
+
+    return shards.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(
+        run, "shard long, ids binary, n long, gids binary, n_gids long, gid long, lang string, word string, f long")
+
+
+def _pairs(ids: np.ndarray, gids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which places begin a pair of words, the pair of each, and the hash of each distinct pair."""
+    begin = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    pair, own = np.unique(ids[begin].astype(np.int64) << 32 | ids[begin + 1], return_inverse=True)
+    with np.errstate(over="ignore"):
+        a, b = (gids.view(np.uint64)[x - 1] for x in (pair >> 32, pair & 0xFFFFFFFF))
+        mixed = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        mixed ^= mixed >> np.uint64(29)
+    return begin, own, mixed & ~np.uint64((1 << 20) - 1)  # 44 bits are enough to thin them
+
+
+def _pair_lists(sequences: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                _, own, hashes = _pairs(wd.unpacked(r["ids"], r["n"]), wd.unpacked(r["gids"], r["n_gids"], "<i8"))
+                hashes, same = np.unique(hashes, return_inverse=True)
+                yield lists(r["shard"], hashes, np.bincount(same[own], minlength=len(hashes)), bits)
+
+    return sequences.mapInArrow(run, LISTS)
+
+
+def _built(sequences: DataFrame, kept: DataFrame, depth: int, bits: int) -> DataFrame:
     """Per shard one row with its index, and its phrases of two words."""
     schema = pa.schema([*_GRAM_TYPE, ("forward", pa.binary()), ("backward", pa.binary())])
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+    def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
+        if not own_rows.num_rows or not right.num_rows:
             return schema.empty_table()
-        shard = left["shard"][0].as_py()
-        local, gid = right["local"].to_numpy(), right["gid"].to_numpy()
-        ids = wd.unpacked(left["ids"][0].as_py(), left["n"][0].as_py())
-        symbol = np.zeros(int(ids.max()) + 1, np.int32)
-        symbol[local] = np.arange(1, len(local) + 1)
-        ids = symbol[ids]
-        ids = ids[np.r_[True, (ids[1:] > 0) | (ids[:-1] > 0)]]
-        if ids[-1]:
-            ids = np.r_[ids, np.int32(0)]
-        index = Index.of(ids, depth)
-        first = index.first[1:]
-        grams = _grams(shard, gid, index.extend(first, first, index.count[1:]))
+        r = own_rows.to_pylist()[0]
+        ids, gids = wd.unpacked(r["ids"], r["n"]), wd.unpacked(r["gids"], r["n_gids"], "<i8")
+        begin, own, hashes = _pairs(ids, gids)
+        different, same = np.unique(hashes, return_inverse=True)
+        frequent = np.zeros(len(different), bool)
+        frequent[left(different, right, bits)[0]] = True
+        begin = begin[frequent[same[own]]]
+        linked = np.zeros(len(ids), bool)  # to the next word
+        linked[begin] = True
+        inside = linked.copy()
+        inside[begin + 1] = True
+        held = np.flatnonzero(inside)
+        after = np.zeros(len(held), np.int64)  # a break after each word that is not linked to the next
+        after[1:] = np.cumsum(~linked[held])[:-1]
+        thin = np.zeros(len(held) + int((~linked[held]).sum()) + 1, np.int32)
+        thin[np.arange(len(held)) + after + 1] = ids[held]
+        index = Index.of(_collapsed(thin), depth)
+        symbols = np.flatnonzero(index.count[1:]) + 1
+        first = index.first[symbols]
+        grams = _grams(r["shard"], gids[symbols - 1], index.extend(first, first, index.count[symbols]))
         k = grams.num_rows
-        own = pa.table([[shard], pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()),
-                        pa.array([len(ids)], pa.int32()), [wd.packed(index.forward)], [wd.packed(index.backward)]], schema=schema)
-        rest = grams.append_column("forward", pa.nulls(k, pa.binary())).append_column("backward", pa.nulls(k, pa.binary()))
-        return pa.concat_tables([own, rest])
+        nulls = [pa.nulls(1, f.type) for f in list(_GRAM_TYPE)[1:-1]]
+        row = pa.table([pa.array([r["shard"]]), *nulls, pa.array([len(index.forward)], pa.int32()), [wd.packed(index.forward)], [wd.packed(index.backward)]], schema=schema)
+        return pa.concat_tables([row, grams.append_column("forward", pa.nulls(k, pa.binary())).append_column("backward", pa.nulls(k, pa.binary()))])
 
-    return shards.groupBy("shard").cogroup(vocabulary.groupBy("shard")).applyInArrow(run, _GRAMS + ", forward binary, backward binary")
+    return sequences.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(run, _GRAMS + ", forward binary, backward binary")
 
 
 def _grown(indexes: DataFrame, known: DataFrame) -> DataFrame:
     """Per shard its phrases of one word more than ``known``."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
+    def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
+        if not own_rows.num_rows or not right.num_rows:
             return _GRAM_TYPE.empty_table()
-        shard, n = left["shard"][0].as_py(), left["n"][0].as_py()
-        index = Index(wd.unpacked(left["forward"][0].as_py(), n), wd.unpacked(left["backward"][0].as_py(), n))
+        shard, n = own_rows["shard"][0].as_py(), own_rows["n"][0].as_py()
+        index = Index(wd.unpacked(own_rows["forward"][0].as_py(), n), wd.unpacked(own_rows["backward"][0].as_py(), n))
         order = np.argsort(right["lo"].to_numpy())
         gid, lo, rlo, count = (right[c].to_numpy()[order].astype(np.int64) for c in ("gid", "lo", "rlo", "n"))
         return _grams(shard, gid, index.extend(lo, rlo, count))
@@ -215,15 +304,15 @@ def phrase_counts(
     word more that holds it occurs as often).
     """
     t = written(_shards(docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))), "phrase-shards")
-    local = t.filter(F.col("word").isNotNull())
-    totals = local.groupBy("lang").agg(F.sum(F.col("n").cast("long")).alias("total"))
-    key = F.shiftleft(F.col("shard"), wd.SHARD_BITS) + F.col("local")
-    vocabulary = written(_frequent(local.select("shard", "local", "lang", "word", "n", key.alias("key")), ["lang", "word"], min_count), "phrase-words")
-    mixed = written(_built(t.filter(F.col("ids").isNotNull()).select("shard", "ids", "n"), vocabulary.select("shard", "local", "gid"), max_words), "phrase-index")
+    totals = t.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("total"))
+    bits = block_bits(t.count())
+    mixed = written(_sequences(t, sieve(_word_lists(t, bits), min_count), bits), "phrase-words")
+    sequences = mixed.filter(F.col("ids").isNotNull()).select("shard", "ids", "n", "gids", "n_gids")
+    level = mixed.filter(F.col("word").isNotNull()).select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
+                                                           F.array("f").alias("heads"), F.array("f").alias("tails"))
+    mixed = written(_built(sequences, sieve(_pair_lists(sequences, bits), min_count), max_words, bits), "phrase-index")
     indexes = mixed.filter(F.col("forward").isNotNull()).select("shard", "n", "forward", "backward")
     rows = mixed.filter(F.col("forward").isNull()).drop("forward", "backward")
-    level = vocabulary.filter("key = gid").select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                                  F.array("f").alias("heads"), F.array("f").alias("tails"))
     levels = []
     for words in range(2, max_words + 1):
         kept = written(_frequent(rows, ["prefix", "suffix"], min_count), f"phrase-{words}")

@@ -81,12 +81,16 @@ def plain(column: pa.Array) -> pa.Array:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """32-bit integers, compressed."""
-    return pa.compress(np.ascontiguousarray(values, "<i4").tobytes(), "zstd", asbytes=True)
+    """32-bit or 64-bit integers, compressed by planes of bytes (the high ones are alike)."""
+    values = np.ascontiguousarray(values)
+    return pa.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), "zstd", asbytes=True) if len(values) else b""
 
 
-def unpacked(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, 4 * n, "zstd", asbytes=True), "<i4") if n else np.zeros(0, np.int32)
+def unpacked(raw: bytes, n: int, kind: str = "<i4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    return np.frombuffer(np.frombuffer(pa.decompress(raw, size * n, "zstd", asbytes=True), np.uint8).reshape(size, n).T.tobytes(), kind)
 
 
 def shard_number(partition: int, nth: int) -> int:

@@ -67,7 +67,7 @@ def brute_phrases(docs, least, most, top):
     return {(lang, i, p.decode(), -a, le, r, total[lang], -s) for lang, x in found.items() for i, (s, a, p, le, r) in enumerate(sorted(x)[:top], 1)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_phrases_equal_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(wd, "SHARD_TEXTS", 7)  # many shards
     rnd = random.Random(seed)
@@ -214,39 +214,36 @@ def toy_model(words, counts):
 
 def one_by_one(model, words, probability=None):
     """log10 of the probability of one text, a bit at a time; also each bit's probability of 1."""
-    log, done, part, before = 0.0, 0, None, 0
-    for w in words:
-        if done // context_mixing.SEGMENT_BITS != part:
-            part = done // context_mixing.SEGMENT_BITS
-            weights, fix, own = model.weights.copy(), defaultdict(np.float32), [defaultdict(np.float32), defaultdict(np.float32)]
+    cm, mask = context_mixing, 0xFFFFFFFF
+    log, before = 0.0, 0
+    for t, w in enumerate(words):
+        if t % cm.SEGMENT_WORDS == 0:
+            weights, fix, own = model.weights.copy(), defaultdict(float), [defaultdict(float), defaultdict(float)]
+        later = []
         for p in range(model.some.first_bit[w], model.some.first_bit[w] + model.some.n_bits[w]):
-            hashed, mask = int(model.own[p]), 0xFFFFFFFF
-            shift = 32 - context_mixing.OWN_BITS
+            hashed, shift = int(model.own[p]), 32 - cm.OWN_BITS
             a, b = hashed >> shift, ((hashed ^ ((before * 0x2545F491 + 1) & mask)) * 0x9E3779B1 & mask) >> shift
-            x = np.array([*(model.inputs[p] / np.float32(context_mixing.SCALE)), own[0][a], own[1][b], 0.3], np.float32)
+            x = np.array([*(model.inputs[:, p] / cm.SCALE), own[0][a], own[1][b], cm.BIAS])
             g = int(model.gate[p]) + (own[0][a] != 0) + (own[1][b] != 0)
-            dot = np.clip(np.float32(weights[g] @ x), -12, np.float32(11.9))
-            cell = (g, int(dot + 12))
-            one = 1 / (1 + math.exp(-(dot + fix[cell])))
+            dot = np.clip(weights[g] @ x, -12, 11.9)
+            one = 1 / (1 + math.exp(-(dot + fix[int(dot + 12)])))
             bit = int(model.some.bit[p])
             if probability is not None:
                 probability.append(one)
-            error = np.float32(bit - one)
-            log += math.log10(max(1 - abs(error), 1e-7))
-            weights[g] += error * np.float32(context_mixing.RATE) * x
-            fix[cell] += error * np.float32(context_mixing.CORRECTION_RATE)
-            target = (2 * bit - 1) * context_mixing.OWN_LIMIT
-            for table, at in ((own[0], a), (own[1], b)):
-                table[at] = table[at] + np.float32((target - table[at]) * context_mixing.OWN_RATE)
-        done += model.some.n_bits[w]
+            log += math.log10(max(1 - abs(bit - one), 1e-7))
+            later.append((g, x, int(dot + 12), a, b, own[0][a], own[1][b], bit, bit - one))
+        for g, x, cell, a, b, seen_a, seen_b, bit, error in later:  # the model learns after the word
+            weights[g] += error * cm.RATE * x
+            fix[cell] += error * cm.CORRECTION_RATE
+            for table, at, seen in ((own[0], a, seen_a), (own[1], b, seen_b)):
+                table[at] = seen + ((2 * bit - 1) * cm.OWN_LIMIT - seen) * cm.OWN_RATE
         before = int(model.word[w])
     return log
 
 
 def test_mixing_many_segments_equals_one_by_one(monkeypatch):
-    monkeypatch.setattr(context_mixing, "SEGMENT_BITS", 700)
+    monkeypatch.setattr(context_mixing, "SEGMENT_WORDS", 70)
     monkeypatch.setattr(context_mixing, "LANES", 5)
-    monkeypatch.setattr(context_mixing, "STEPS", 16)
     rnd = random.Random(4)
     words = [b"the", b"then", b"of", "é中".encode(), b"a", b"zebra", b"\n"]
     model = toy_model(words[:5] + words[-1:], [9, 3, 30, 1, 700, 4])
@@ -258,25 +255,20 @@ def test_mixing_many_segments_equals_one_by_one(monkeypatch):
 
 
 def test_mixing_is_a_distribution_over_symbols():
-    """After any begin, the probabilities of all 256 next symbols sum to 1."""
-    words = [bytes([s]) for s in range(256) if s not in (10, 32)]
+    """After any begin, the probabilities of all 256 next symbols sum to 1: the model learns after a word, not within."""
+    firsts = [s for s in range(256) if s not in (10, 32)]
     model = toy_model([b"ab", b"b", b"\n"], [5, 2, 3])
-    model.spelled(words)
+    model.spelled([b"ab", *[b"b" + bytes([s]) for s in firsts], b"b"])
     total = 0.0
-    for i in range(len(words)):
-        first = model.code.length[words[i][0]]  # bits of the first symbol
-        probability = []
-        one_by_one(model, [i], probability)
-        bits = model.some.bit[model.some.first_bit[i] :][:first]
-        # no weight has moved before the first bit, so the product of later bits' adapted chances is that of this path
-        total += math.prod(p if b else 1 - p for p, b in zip(probability[:first], bits, strict=True))
-    for end in (b"\n",):
-        model.spelled([end])
+    for i in range(1, len(firsts) + 2):
         probability = []
-        one_by_one(model, [0], probability)
-        total += math.prod(p if b else 1 - p for p, b in zip(probability, model.some.bit, strict=True))
-    space = 256 - len(words) - 1  # a space cannot begin a word, but has its share
-    assert space == 1 and 0.9 < total < 1.0001
+        one_by_one(model, [0, 0, i], probability)
+        own = probability[-model.some.n_bits[i] :]
+        begin = model.code.length[ord("b")]
+        next_bits = model.code.length[firsts[i - 1] if i <= len(firsts) else 32]
+        bits = model.some.bit[model.some.first_bit[i] :]
+        total += math.prod(p if b else 1 - p for p, b in zip(own[begin : begin + next_bits], bits[begin : begin + next_bits], strict=True))
+    assert 0.97 < total < 1 + 1e-6  # the end of a text cannot follow within a word, and has the rest
 
 
 def test_mixing_base_scores_and_held_out(spark, odd_docs):
