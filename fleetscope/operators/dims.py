@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeops import datediff_boundary
@@ -189,3 +189,32 @@ def rule_violations(baselines: DataFrame, actions: DataFrame | None = None) -> D
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def baseline_overlaps(baselines: DataFrame, instance: str = "sql_instance") -> DataFrame:
+    """Baselines that begin while another one of their instance is open (U13), by a sweep over starts and ends.
+
+    Windows are half-open: one that begins when another ends does not overlap it. Of windows with equal starts all but the one with the
+    smallest id count as beginning within it. A window that ends at or before its start is never open.
+    The number of open windows before each start is a running sum over the sorted starts and ends of the instance; no pairs are made.
+    """
+    kept = baselines.filter(F.col("baseline_end") > F.col("baseline_start"))
+    points = kept.select(instance, "baseline_id", F.explode(F.array(
+        F.struct(F.col("baseline_start").alias("at"), F.lit(1).alias("step")),
+        F.struct(F.col("baseline_end").alias("at"), F.lit(-1).alias("step")))).alias("p")).select(instance, "baseline_id", "p.at", "p.step")
+    before = Window.partitionBy(instance).orderBy("at", "step", "baseline_id").rowsBetween(Window.unboundedPreceding, -1)
+    open_before = F.coalesce(F.sum("step").over(before), F.lit(0))
+    return points.withColumn("open_before", open_before).filter((F.col("step") == 1) & (F.col("open_before") > 0)).select(
+        F.lit("OVERLAPPING_BASELINE").alias("rule"), F.concat_ws("|", instance, F.col("baseline_id").cast("string")).alias("subject"),
+        F.col("open_before").cast("bigint").alias("detail"))
+
+
+def baseline_date_changes(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """Baselines whose dates differ from their stored version (U13: the dates of a baseline are immutable).
+
+    The detail is the number of dates that changed. New ids and removed ones are no changes; a date that became NULL is one."""
+    old = stored.select("baseline_id", F.col("baseline_start").alias("_start"), F.col("baseline_end").alias("_end"))
+    start, end = ~F.col("baseline_start").eqNullSafe(F.col("_start")), ~F.col("baseline_end").eqNullSafe(F.col("_end"))
+    return new.join(old, "baseline_id").filter(start | end).select(
+        F.lit("BASELINE_DATES_CHANGED").alias("rule"), F.col("baseline_id").cast("string").alias("subject"),
+        (start.cast("bigint") + end.cast("bigint")).alias("detail"))

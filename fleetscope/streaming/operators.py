@@ -10,11 +10,13 @@ lost executor) neither loses nor duplicates output.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.joins import broadcast_if_small
 
@@ -58,46 +60,92 @@ def trend_stream(df: DataFrame, keys: Sequence[str], time: str, value: str, minu
                     "value_count", F.lit(minutes).alias("interval_minutes"))
 
 
-def _delta_fn(header_keys: Sequence[str], keys: Sequence[str], time: str, cols: Sequence[str]) -> Callable:
-    names = [k for k in keys if k not in header_keys]
+class CounterDeltas(StatefulProcessor):
+    """Counter deltas of one (instance, type) over a stream, a row at a time.
 
-    def fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(pdfs), ignore_index=True)
-        last_time = None
-        if state.exists:
-            last_time, rows = state.get[0], state.get[1:]
-            last_time = pd.Timestamp(last_time)
-            new = new[new[time] > last_time]  # late or repeated snapshots are accounted for
-        new = new.drop_duplicates([*names, time])
-        if new.empty:
+    State: the time of the last snapshot, and a map from (snapshot time, key) to the values. A micro-batch's rows are put into the map one
+    Arrow batch after the other, then its snapshots are compared in time order and all but the last are removed, so the
+    process holds one Arrow batch and the distinct snapshot times of the micro-batch, however many keys there are.
+    An (instance, type) that falls silent keeps its last snapshot.
+    """
+
+    BATCH = 10_000
+
+    def __init__(self, header_keys, names, time, cols, rest, kinds) -> None:
+        self.header_keys, self.names, self.time, self.cols, self.rest = header_keys, names, time, cols, rest
+        self.kinds = kinds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t bigint")
+        key = ", ".join(["t bigint", *[f"k{i} {self.kinds[n]}" for i, n in enumerate(self.names)]])
+        held = ", ".join([*[f"v{i} bigint" for i in range(len(self.cols))], *[f"r{i} {self.kinds[n]}" for i, n in enumerate(self.rest)]])
+        self.rows = handle.getMapState("rows", key, held)
+
+    @staticmethod
+    def _plain(v):
+        return None if pd.isna(v) else v.item() if hasattr(v, "item") else v
+
+    def _values(self, column: pd.Series, kind: str) -> list:
+        """Plain values; integers stay integers where a NULL made their column one of floats."""
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        return [None if pd.isna(v) else int(v) if whole else self._plain(v) for v in column]
+
+    def _place(self, place) -> tuple:
+        """A key of the map as it was put there: the iterator gives NaN for NULL."""
+        return (int(place[0]), *map(self._plain, place[1:]))
+
+    def _frame(self, key, out) -> pd.DataFrame:
+        names = [*self.names, self.time, *self.cols, *self.rest, *[f"{c}_delta" for c in self.cols], "delta_seconds"]
+        pdf = pd.DataFrame(out, columns=names)
+        pdf[self.time] = pd.to_datetime(pdf[self.time], unit="us").astype("datetime64[us]")
+        for c in (*self.cols, "delta_seconds"):
+            pdf[c] = pdf[c].astype("Int64")
+        for i, k in enumerate(self.header_keys):
+            pdf.insert(i, k, key[i])
+        return pdf
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = self.last.get()[0] if self.last.exists() else None
+        times: set[int] = set()
+        for pdf in rows:
+            stamps = pdf[self.time].astype("datetime64[us]").astype("int64").tolist()
+            parts = [self._values(pdf[c], self.kinds[c]) for c in (*self.names, *self.cols, *self.rest)]
+            for t, *values in zip(stamps, *parts, strict=True):
+                if last is not None and t <= last:  # late or repeated snapshots are accounted for
+                    continue
+                place = (t, *values[: len(self.names)])
+                if not (t in times and self.rows.containsKey(place)):
+                    self.rows.updateValue(place, tuple(values[len(self.names) :]))
+                times.add(t)
+        if not times:
             return
-        times = sorted(new[time].unique())
-        before = dict(zip(times, [last_time, *times[:-1]], strict=True))
-        old = new[[*names, time, *cols]]
-        if last_time is not None:
-            kept = pd.DataFrame({n: v for n, v in zip([*names, *cols], rows, strict=True)})
-            kept[names] = kept[names].astype(object)
-            kept[time] = last_time
-            for n in names:
-                kept[n] = kept[n].astype(new[n].dtype)
-            old = pd.concat([kept, old], ignore_index=True)
-        old = old.rename(columns={time: "_before", **{c: f"_old_{c}" for c in cols}}).assign(_there=True)
-        out = new.assign(_before=new[time].map(before))
-        out["_before"] = out["_before"].astype(old["_before"].dtype)
-        out = out.merge(old, on=[*names, "_before"], how="left")
-        there = out["_there"].notna()
-        for c in cols:
-            grown = (out[c] - out[f"_old_{c}"]).where(there & (out[c] > out[f"_old_{c}"]), 0)
-            out[f"{c}_delta"] = grown.fillna(0).astype("int64")
-        seconds = (out[time] - pd.to_datetime(out["_before"])).dt.total_seconds()
-        out["delta_seconds"] = seconds.where(there).astype("Int64")
-        final = new[new[time] == times[-1]]
-        held = [final[n].map(lambda v: None if pd.isna(v) else str(v)).tolist() for n in names]
-        held += [[None if pd.isna(v) else int(v) for v in final[c]] for c in cols]
-        state.update((pd.Timestamp(times[-1]).to_pydatetime(), *held))
-        yield out[[*new.columns, *[f"{c}_delta" for c in cols], "delta_seconds"]]
+        ordered = sorted(times)
+        before = dict(zip(ordered, [last, *ordered[:-1]], strict=True))
+        out, n = [], len(self.cols)
+        for place, held in self.rows.iterator():
+            place = self._place(place)
+            held = (*(None if pd.isna(v) else int(v) for v in held[: len(self.cols)]), *map(self._plain, held[len(self.cols) :]))
+            t = place[0]
+            if t == last:
+                continue
+            earlier = (before[t], *place[1:])
+            old = self.rows.getValue(earlier) if before[t] is not None and self.rows.containsKey(earlier) else None
+            old = None if old is None else tuple(map(self._plain, old))
+            grown = [0 if old is None or a is None or b is None else max(a - b, 0) for a, b in zip(held[:n], old[:n] if old else held[:n], strict=True)]
+            out.append((*place[1:], t, *held, *grown, None if old is None else (t - before[t]) // 1_000_000))
+            if len(out) == self.BATCH:
+                yield self._frame(key, out)
+                out = []
+        if out:
+            yield self._frame(key, out)
+        while gone := list(islice((p for p in map(self._place, self.rows.keys()) if p[0] != ordered[-1]), self.BATCH)):
+            for place in gone:
+                self.rows.removeKey(place)
+        self.last.update((ordered[-1],))
 
-    return fn
+    def close(self) -> None:
+        pass
 
 
 def stateful_counter_delta(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str],
@@ -105,8 +153,8 @@ def stateful_counter_delta(df: DataFrame, keys: Sequence[str], time: str, cols:
     """Reset-safe counter delta over a stream (Z2, M1, M1n): against the previous *snapshot* of the (instance, type),
     as ``deltas.counter_delta`` does; a key that is absent there has delta 0 and no seconds.
 
-    The state of an (instance, type) is its last snapshot: the time and, per key, the values. Output: the input
-    columns plus ``<c>_delta`` and ``delta_seconds``.
+    State is kept by row (:class:`CounterDeltas`), so it needs the RocksDB state store. Output: the input
+    columns plus ``<c>_delta`` and ``delta_seconds``. A row of a snapshot at or before the last one is late and dropped.
     """
     names = [k for k in keys if k not in header_keys]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -114,11 +162,8 @@ def stateful_counter_delta(df: DataFrame, keys: Sequence[str], time: str, cols:
     rows = df.select(*header_keys, *names, time, *cols, *rest)
     fields = ", ".join(f"{c} {kinds[c]}" for c in rows.columns)
     out_schema = fields + ", " + ", ".join(f"{c}_delta bigint" for c in cols) + ", delta_seconds bigint"
-    state_schema = "t timestamp, " + ", ".join([f"k{i} array<string>" for i in range(len(names))]
-                                               + [f"v{i} array<bigint>" for i in range(len(cols))])
-    return (rows.groupBy(*header_keys)
-            .applyInPandasWithState(_delta_fn(header_keys, keys, time, cols), out_schema, state_schema, "append",
-                                    GroupStateTimeout.NoTimeout))
+    processor = CounterDeltas(list(header_keys), names, time, list(cols), rest, kinds)
+    return rows.groupBy(*header_keys).transformWithStateInPandas(processor, out_schema, "append", "None")
 
 
 def _alert_fn():
