@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import new_folder, written
-from .tokens import encoded, ids_crc32, vocabulary_path
+from .tokens import encoded, encoder, ids_crc32, vocabulary_path
 
 END_ID = 1
 LENGTH = 2048
@@ -41,7 +41,7 @@ def _open_fs(folder: str):
 
 
 class TokenWriter:
-    """Writes ids into one file; ``vocabulary`` under 65,536 ids are stored in 16 bits."""
+    """Writes ids into one file, in 16 bits or, with ``wide``, in 32; an id that does not fit is an error."""
 
     def __init__(self, sink, length: int = LENGTH, wide: bool = False) -> None:
         self.length, self.held, self.held_n = length, [], 0
@@ -64,6 +64,8 @@ class TokenWriter:
 
     def _write(self, flat: np.ndarray) -> None:
         rows = -(-len(flat) // self.length)
+        if len(flat) and int(flat.max()) > np.iinfo(self.kind.to_pandas_dtype()).max:
+            raise OverflowError(f"token id {int(flat.max())} does not fit {self.kind}")
         ids, mask = np.zeros(rows * self.length, self.kind.to_pandas_dtype()), np.zeros(rows * self.length, bool)
         ids[: len(flat)], mask[: len(flat)] = flat, True
         lists = pa.FixedSizeListArray.from_arrays
@@ -124,7 +126,7 @@ def _write_shard(folder: str, vocabulary: str, length: int, id_type: pa.DataType
                 if sink is None:
                     fs.create_dir(root, recursive=True)
                     sink = fs.open_output_stream(f"{root}/{names[0]}")
-                    out = TokenWriter(sink, length)
+                    out = TokenWriter(sink, length, encoder(vocabulary).largest_id >= 1 << 16)
                     index_sink = fs.open_output_stream(f"{root}/{names[1]}")
                     index = pa.ipc.new_file(index_sink, entry)
                 out.add(tokens)

@@ -40,6 +40,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.largest_id = max(self.library.get_vocab(with_added_tokens=True).values())
         self.mark = self.library.encode(_MARK, add_special_tokens=False).ids[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

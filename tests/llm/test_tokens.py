@@ -268,3 +268,25 @@ def test_cut_character_changes_no_neighbour():
     assert ids[: m[0]].tolist() == ids[-m[3] :].tolist() and voc.decode(ids[: m[0]]) == odd
     chunks = voc._chunks(pa.array([odd, odd.replace("\x1f", "\x02")], pa.large_string())).to_pylist()
     assert [c.replace("\x1f", "\x02") for c in chunks[0]] == chunks[1]
+
+
+def test_ids_of_a_large_vocabulary_are_stored_whole(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    words = {"\x01": 0, "[UNK]": 1} | {f"w{i}": i for i in range(2, 70_000)}
+    library = Tokenizer(models.WordLevel(words, unk_token="[UNK]"))
+    library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    path = str(tmp_path / "words.json")
+    library.save(path)
+    docs = [(i, f"w{65_530 + i} w7 w{i + 2}") for i in range(20)]
+    folder, manifest = arrow_tokens.write_tokens(spark.createDataFrame(docs, "doc_id long, text string"), vocabulary=path, length=8)
+    got = {r.doc_id: r.ids_crc32 for r in arrow_tokens.read_documents(folder, manifest).collect()}
+    assert got == {i: zlib.crc32(np.array([65_530 + i, 7, i + 2, 1], "<u4").tobytes()) for i, _ in docs}
+
+
+def test_an_id_that_does_not_fit_is_an_error():
+    sink = pa.BufferOutputStream()
+    out = arrow_tokens.TokenWriter(sink, 4)
+    out.add(np.array([1, 70_000], np.uint32))
+    with pytest.raises(OverflowError):
+        out.close()
