@@ -19,6 +19,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ _CUT = "\x1f"
 #: An apostrophe may belong to the letters after it, so it is not among them.
 _CUTS = [(r"(\pL)([.,;:!?#$%&*()])", rf"\1{_CUT}\2"), (r"([\pL\pN.,;:!?#$%&*()])([ \n])", rf"\1{_CUT}\2")]
 #: Chunks in each of the two generations that a Python worker keeps (about 200 bytes a chunk).
-CACHED_CHUNKS = 250_000
-SLICE_BYTES = 4 << 20
+CACHED_CHUNKS = 200_000
+SLICE_BYTES = 2 << 20
 
 
 class _Bytes:
@@ -56,13 +57,61 @@ class _Bytes:
     def joined(self, ids: np.ndarray) -> np.ndarray:
         n = self.length[ids]
         upto = np.cumsum(n)
-        return self.raw[np.repeat(self.first[ids] - (upto - n), n) + np.arange(int(n.sum()))]
+        kind = np.int32 if not len(n) or upto[-1] < 1 << 30 else np.int64
+        place = np.repeat((self.first[ids] - (upto - n)).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
+        return self.raw[place]
 
 
-class ByteEncoder:
-    """A's ids: distinct chunks are encoded once by the library and cached."""
+class _Chunked:
+    """Ids of texts that are cut into chunks no token crosses: distinct chunks are encoded by a library once and cached."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        raise NotImplementedError
+
+    @staticmethod
+    def _parts(chunks: list[str], ids: np.ndarray, mark: int) -> dict[str, bytes]:
+        """The ids of each chunk, from those of all with a mark after each."""
+        cut = np.flatnonzero(ids == mark) * 4
+        raw = ids.astype(np.int32).tobytes()
+        return {c: raw[a:z] for c, a, z in zip(chunks, [0, *(cut[:-1] + 4).tolist()], cut.tolist(), strict=True)}
+
+    def _found(self, chunks: list[str]) -> list[bytes]:
+        if len(self.young) > CACHED_CHUNKS:  # what was not used since the last time is forgotten
+            self.young, self.old = {}, self.young
+        found = list(map(self.young.get, chunks))
+        lacking = [c for c, v in zip(chunks, found, strict=True) if v is None]
+        if lacking:
+            new = {c: self.old[c] for c in lacking if c in self.old}
+            new.update(self._encoded([c for c in lacking if c not in new]))
+            self.young.update((c, v) for c, v in new.items() if len(c) < 64)
+            found = [new[c] if v is None else v for c, v in zip(chunks, found, strict=True)]
+        return found
+
+    def _ids(self, split: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found = self._found(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), np.int32)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first, n = np.cumsum(length) - length, length[at]
+        upto = np.cumsum(n)
+        place = np.repeat(first[at] - (upto - n), n)
+        place += np.arange(len(place))
+        return flat[place], np.diff(np.r_[0, upto][np.r_[0, np.cumsum(per_text)]])
+
+
+class ByteEncoder(_Chunked):
+    """A's ids. Chunks of a space and one run of other characters are encoded many at a time, with a line feed after each, which
+    stays a token of its own; others by themselves."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
@@ -75,22 +124,19 @@ class ByteEncoder:
         for token, i in entries:
             of[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.bytes = _Bytes(of)
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
-
-    def _found(self, chunks: list[str]) -> list[np.ndarray]:
-        if len(self.young) > CACHED_CHUNKS:  # what was not used since the last time is forgotten
-            self.young, self.old = {}, self.young
-        found = list(map(self.young.get, chunks))
-        lacking = [c for c, v in zip(chunks, found, strict=True) if v is None]
-        if lacking:
-            new = {c: self.old[c] for c in lacking if c in self.old}
-            fresh = [c for c in lacking if c not in new]
-            for c, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                new[c] = np.array(e.ids, np.int32)
-            self.young.update((c, v) for c, v in new.items() if len(c) < 64)
-            found = [new[c] if v is None else v for c, v in zip(chunks, found, strict=True)]
-        return found
+        self.mark = of.index(b"\n")
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        plain = [c for c in chunks if len(c.split()) == 1 and c.split()[0] in (c, c[1:]) and not c[:1].strip(" ").isspace()]
+        out = {}
+        for at in range(0, len(plain), 5000):
+            some = plain[at : at + 5000]
+            ids = self.library.encode_batch_fast(["".join(c + "\n" for c in some)], add_special_tokens=False)[0].ids
+            out.update(self._parts(some, np.array(ids), self.mark))
+        rest = [c for c in chunks if c not in out]
+        for c, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[c] = array("i", e.ids).tobytes()
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a space and each text (large strings, none null), and their number; an empty text has none."""
@@ -101,27 +147,42 @@ class ByteEncoder:
             return np.concatenate([*found, np.zeros(0, np.int32)]), np.fromiter(map(len, found), np.int64, len(found))
         for pattern, into in _CUTS:
             some = pc.replace_substring_regex(some, pattern, into)
-        split = pc.split_pattern(some, _CUT)
-        per_text = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = split.flatten().dictionary_encode()
-        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        found = self._found(coded.dictionary.to_pylist())
-        flat = np.concatenate([*found, np.zeros(0, np.int32)])
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        first, n = np.cumsum(length) - length, length[at]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(first[at] - (upto - n), n) + np.arange(int(n.sum()), dtype=np.int64)]
-        return ids, np.diff(np.r_[0, upto][np.r_[0, np.cumsum(per_text)]])
+        return self._ids(pc.split_pattern(some, _CUT))
+
+
+class PieceEncoder(_Chunked):
+    """B's ids: chunks are cut as for merge-dropout, and encoded by the library many at a time between line feeds."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        import sentencepiece
+
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.vocabulary = vocabulary(path, 0.0, 0)
+        self.mark = self.vocabulary.byte_id[10]
+
+    def _encoded(self, chunks: list[str]) -> dict[str, bytes]:
+        out = {c: array("i", [self.mark] * len(c)).tobytes() for c in chunks if not c.strip("\n")}
+        plain = [c for c in chunks if c not in out]
+        for at in range(0, len(plain), 5000):
+            some = plain[at : at + 5000]
+            ids = np.array(self.library.encode("\n" + "".join(c + "\n" for c in some), num_threads=1))
+            out.update(self._parts(some, ids[np.argmax(ids == self.mark) + 1 :], self.mark))  # after the library's own space and the first mark
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._ids(self.vocabulary._chunks(texts))
 
 
 class Aligner:
     """Both tokenizers of a Python worker, the identity map, and the alignment of a run of texts."""
 
     def __init__(self, path_a: str, path_b: str) -> None:
-        self.a, self.b = ByteEncoder(path_a), vocabulary(path_b, 0.0, 0)
-        own = [self.b.raw[f : f + n].tobytes() for f, n in zip(self.b.raw_first.tolist(), self.b.raw_length.tolist(), strict=True)]
+        self.a, self.b = ByteEncoder(path_a), PieceEncoder(path_b)
+        voc = self.b.vocabulary
+        own = [voc.raw[f : f + n].tobytes() for f, n in zip(voc.raw_first.tolist(), voc.raw_length.tolist(), strict=True)]
         self.b_bytes = _Bytes(own)
-        single = set(self.b.byte_id)
+        single = set(voc.byte_id)
         place = {own[i]: i for i in sorted(range(len(own)), key=lambda i: i not in single) if own[i]}  # byte pieces give way
         self.same = np.array([place.get(x, -1) for x in self.a.bytes.of], np.int64)
         most = max(len(self.same), len(own))
@@ -144,11 +205,10 @@ class Aligner:
 
     def align(self, texts: pa.Array) -> dict[str, np.ndarray | list[str]]:
         """Per text: n_a, n_b, n_groups, groups_sha256; and of all links in a row: text, a, b, whether the group has one token each."""
-        a, na = self.a.encode(texts)
         collecting = gc.isenabled()
         gc.disable()  # many small objects and no cycles
         try:
-            b, nb = self.b.encode(texts, np.zeros(len(texts), np.uint64), 0.0, 0)
+            (a, na), (b, nb) = self.a.encode(texts), self.b.encode(texts)
         finally:
             if collecting:
                 gc.enable()
@@ -233,7 +293,7 @@ def _coded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 shard = wd.shard_number(TaskContext.get().partitionId(), nth)
                 nth += 1
                 yield rows(1, shard=[shard], ids=[batch.column(0).slice(lo, hi - lo).to_pylist()], n_a=[found["n_a"]], n_b=[found["n_b"]],
-                           n_groups=[found["n_groups"]], digest=[found["groups_sha256"]], links=[wd.packed(links)], n=[len(links)])
+                           n_groups=[found["n_groups"]], digest=[found["groups_sha256"]], links=[wd.packed(links.astype(np.int32))], n=[len(links)])
                 if len(pair):
                     yield rows(len(pair), shard=np.full(len(pair), shard), local=np.arange(len(pair)), a=pair >> 32, b=pair & 0xFFFFFFFF, n=n)
         used = np.flatnonzero(vector)
