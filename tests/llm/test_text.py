@@ -1,8 +1,10 @@
 """HTML extraction, personal data, fingerprints and the quality classifier."""
 
 import hashlib
+import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +47,60 @@ def test_undecided_blocks_take_after_the_nearest():
     assert html_text.second_pass(["bad", "short", "short", "good"]) == [False, False, True, True]
 
 
+def test_articles_keep_their_text():
+    text = html_text.main_text
+    assert text('<article><p class="notice">x<p>Real text of it...</article>') == "Real text of it..."
+    assert text('<article><ul><li class="share">x<li>Keep this</ul><p>Real text</article>') == "Keep this\nReal text"
+    assert text('<article><p class="comment-free">One</p><p class="social-history">Two</p></article>') == "One\nTwo"
+    assert text('<article><p>Some <span class="related">related</span> word.</p></article>') == "Some related word."
+    assert text('<article><p>One.</p><p><a class="share" href=x>Share</a></p><p>Two <b hidden>no</b>.</p></article>') == "One.\nTwo ."
+    assert text('<article><p>It is <a href=x>mostly a link inside of</a> it</p></article>') == "It is mostly a link inside of it"
+    items = "".join(f"<li><a href=x>Item {i}</a>" for i in range(4))
+    assert text(f"<article><h1>Title</h1><div class=share>s</div><p>the text of it</p><ul>{items}</ul></article>") == "Title\nthe text of it"
+    assert text('<article><p title="a hidden thing">Kept<button>x<p>Also kept</article>') == "Kept x\nAlso kept"
+    assert text("<div class=sidebar><ul><li>a</ul></div><main><div><p>One</div></div><p>Two</main>") == "One\nTwo"
+
+
+BROKEN = ["<svg ", '<p "', '<p a="', "<a href='x\" ", "<!", "</", "<p <", "<div>", "<div></span>", "<script", "<p x=\"<p y='", "</svg   ", "<ul><li>", "<button>"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_time_grows_with_the_page(part):
+    for end in ("", ">", "\"'>"):
+        took = []
+        for size in (100_000, 800_000):
+            start = time.process_time()
+            html_text.main_text(part * (size // len(part)) + end)
+            took.append(time.process_time() - start)
+        assert took[1] < 24 * took[0] + 0.2  # 8 times the page; a quadratic reader takes 64 times
+
+
+def test_pages_built_from_known_text():
+    rng = random.Random(5)
+    words = "the of and history town river people work years early market stone was in it".split()
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(16, 40))).capitalize() + "."
+    for _ in range(200):
+        want, body = [], []
+        for _ in range(rng.randint(1, 8)):
+            kind = rng.choice(["p", "p", "p", "li", "furniture", "script"])
+            text = sentence()
+            if kind == "p":
+                cut = rng.randrange(len(text))
+                inner = html.escape(text[:cut]) + rng.choice(["<b>", "<i class=x>", "<!-- <p> -->", ""]) + html.escape(text[cut:])
+                body.append(f"<p{rng.choice(['', ' class=lead', ' id=p1'])}>{inner}{rng.choice(['</p>', ''])}")
+                want.append(text)
+            elif kind == "li":
+                body.append(f"<ul><li>{text}{rng.choice(['</li>', ''])}</ul>")
+                want.append(text)
+            elif kind == "furniture":
+                name = rng.choice(["nav", "aside", "form", 'div class="ad"', "section id=comments", 'ul role="menu"'])
+                body.append(f"<{name}><p>{text}</{name.split()[0]}>")
+            else:
+                body.append(f"<script>if (a < b) '</p>' + '{text}'</script>")
+        page = f"<html><head><title>t</title></head><body><nav><a href=x>x</a></nav><article>{''.join(body)}</article><footer>f</footer>"
+        assert html_text.main_text(page) == "\n".join(want), page
+
+
 def test_extract_frame(spark):
     rows = [(1, "u", "<article><p>a</p></article>"), (2, None, None), (None, "u", ""), (3, "u", "<p>" + "é" * 100_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
