@@ -371,8 +371,26 @@ def linked(
     )
 
 
+def _node(id_col: str, text_col: str) -> Column:
+    """The id of a row; for a row without one, a number from its text (62 bits), null if that has no words."""
+    body = F.col(text_col).cast("string")
+    made = F.xxhash64(body).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    return F.coalesce(F.col(id_col).cast("long"), F.when(body.rlike("[^\\x20\\x09-\\x0D]"), made))
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """One document of each component stays (the smallest id), with all its columns; of rows with equal ids all stay."""
-    found = linked(docs, id_col, text_col, words, similarity)
-    gone = written(found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """One document of each component stays (the smallest id; a row without an id only where no other has one), with all
+    its columns. Of rows with equal ids, or equal texts and no id, one stays: that with the least hash of all columns.
+    Rows with neither an id nor words all stay."""
+    keyed = docs.withColumn("_node", _node(id_col, text_col))
+    found = linked(keyed.select("_node", F.col(text_col).alias("_text")), "_node", "_text", words, similarity)
+    gone = written(found.filter(F.col("component_id") != F.col("_node")).select(F.col("_node").alias("_gone")).distinct(), "gone")
+    left = keyed.join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    again = written(keyed.groupBy("_node").count().filter("_node IS NOT NULL AND count > 1").select(F.col("_node").alias("_again")), "repeated-ids")
+    if not again.count():
+        return left.drop("_node")
+    single = left.join(again, F.col("_node") == F.col("_again"), "left_anti")
+    order = F.struct(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns]), F.col(text_col))
+    several = left.join(again, F.col("_node") == F.col("_again"), "left_semi")
+    one = several.groupBy("_node").agg(F.min_by(F.struct(*[docs[f"`{c}`"] for c in docs.columns]), order).alias("_row"))
+    return single.drop("_node").unionByName(one.select("_row.*"))

@@ -11,7 +11,7 @@ labels, language, source and id are never inputs.
 
 Defined cases: null and empty texts have all statistics zero and get a score like any other; a text of any length is
 read whole; rows without an id are scored and never fitted on; duplicate labels of an id count one by one, null labels
-not at all; without labels of both kinds every document scores 1.0 (nothing is rejected); an empty table gives an empty
+and labels other than 0 and 1 not at all; without labels of both kinds every document scores 1.0 (nothing is rejected); an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -119,8 +119,7 @@ def compiled(bias: float, weights: dict[Rule, float]) -> Column:
 
 def fit(train: DataFrame) -> Column:
     """From rows with STATISTICS and ``label`` (0 or 1): the score expression."""
-    kinds = [r["label"] for r in train.select("label").distinct().collect()]
-    if len(kinds) < 2:
+    if train.select("label").distinct().count() < 2:
         return F.lit(1.0)
     table = VectorAssembler(inputCols=list(STATISTICS), outputCol="x").transform(train)
     forest = RandomForestClassifier(
@@ -146,28 +145,37 @@ def _facts(docs: DataFrame, text: Column, *others: Column) -> DataFrame:
     return body.select(*[c for c in body.columns if c != "_text"], *[c.alias(k) for k, c in statistics(F.col("_text")).items()])
 
 
-def fitted(facts: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Column:
-    """The score expression, fitted on the rows of ``facts`` (_id and STATISTICS) that ``labels`` marks."""
+def training_marks(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """_id and label (0.0 or 1.0) of the rows to fit on: about ``FIT_ROWS`` at most, none of them held out."""
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("label"))
-    marks = marks.filter(F.col("_id").isNotNull() & F.col("label").isNotNull() & ~is_held_out("_id"))
+    marks = marks.filter(F.col("_id").isNotNull() & F.col("label").isin(0.0, 1.0) & ~is_held_out("_id"))
     n = marks.count()
     if n > FIT_ROWS:  # the same rows whatever the partitioning
         marks = marks.filter(F.pmod(F.xxhash64(F.lit(SEED), "_id"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / n))
-    train = written(facts.join(marks, "_id").repartition(4, "_id").sortWithinPartitions("_id", "chars"), "training-rows")
+    return written(marks, "training-marks")
+
+
+def fitted(facts: DataFrame) -> Column:
+    """The score expression, fitted on ``facts`` (_id, label and STATISTICS)."""
+    train = written(facts.repartition(4, "_id").sortWithinPartitions("_id", "chars"), "training-rows")
     return fit(train).cast("double")
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """Per row: id, held_out, score (0 to 1, higher: better), predicted (1 if score >= THRESHOLD)."""
     facts = written(_facts(docs, F.col(text_col), F.col(id_col).alias("_id")), "statistics")
-    score = fitted(facts, labels, id_col, label_col)
+    score = fitted(facts.join(training_marks(labels, id_col, label_col), "_id"))
     out = facts.select(F.col("_id").alias(id_col), F.coalesce(is_held_out("_id"), F.lit(False)).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns. The scores are computed where
-    the rows are; only statistics of labelled rows shuffle."""
-    score = fitted(_facts(docs, F.col(text_col), F.col(id_col).alias("_id")), labels, id_col, label_col)
+    the rows are; statistics for the fit are taken of the labelled rows alone."""
+    marks = training_marks(labels, id_col, label_col).select(F.col("_id").alias("_mark"), F.col("label").alias("_label"))
+    marked = docs.join(marks, docs[id_col] == marks["_mark"])
+    score = fitted(_facts(marked, docs[text_col], F.col("_mark").alias("_id"), F.col("_label").alias("label")))
     rows = _facts(docs, F.col(text_col), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
-    return rows.filter(score >= THRESHOLD).select("_row.*")
+    # the generator keeps the planner from writing each statistic out once for every test of a rule
+    facts = rows.select("_row", F.explode(F.array(F.struct(*STATISTICS))).alias("_s")).select("_row", "_s.*")
+    return facts.filter(score >= THRESHOLD).select("_row.*")

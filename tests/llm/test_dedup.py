@@ -108,7 +108,7 @@ def test_join_odd_rows(odd_docs, no_docs):
     assert ngram_join.linked(no_docs).count() == 0
     kept = ngram_join.near_dedup(odd_docs)
     assert kept.columns == odd_docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "5", "6", "7", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "6", "7", "None"]
 
 
 def test_large_bucket_in_blocks(spark, monkeypatch):
@@ -226,3 +226,13 @@ def test_ids_with_several_texts_are_one_node(spark):
     rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k in range(5) for t in texts[k : k + 2]]
     got = ngram_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), words=3, similarity=(9, 10)).collect()
     assert len(got) == len(rows) and {r.component_id for r in got} == {0}
+
+
+def test_near_dedup_of_equal_and_missing_ids(spark):
+    a, b, c = ("the quick brown fox jumps over the lazy dog again and " + w * 3 for w in ("here ", "there ", "where "))
+    rows = [(1, a), (1, a), (None, a), (2, b), (2, c), (None, b), (None, "other words of a text without any id"), (None, None), (None, " "), (3, ""), (4, "")]
+    rows += [(None, "other words of a text without any id")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = ngram_join.near_dedup(df.withColumn("_node", F.lit("x")).drop("_node"), similarity=(99, 100)).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 4]
+    assert sorted(str(r.text) for r in got if r.doc_id is None) == [" ", "None", "other words of a text without any id"]

@@ -19,7 +19,7 @@ from test_dedup import brute_components, brute_lines  # noqa: E402
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and set(QUERIES) <= names and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and set(QUERIES) <= names and "pipeline" in names
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 

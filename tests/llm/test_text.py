@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -236,6 +237,25 @@ def test_quality_on_held_out_rows(spark):
     assert held.predicted[held.quality == 1].mean() > 0.95
 
 
+def test_quality_scores_row_by_row(spark):
+    rules = {(("chars", "<=", 1.5), ("words", ">", 0.5)): 0.7, (("mark_share", ">", 0.2),): -1.25, (("longest_word", "<=", 3.0),): 0.5}
+    rng = random.Random(3)
+    rows = [tuple(rng.choice([0.0, 0.2, 0.5, 1.5, 3.0, rng.random() * 4]) for _ in quality.STATISTICS) for _ in range(500)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in quality.STATISTICS))
+    for r in df.withColumn("score", quality.compiled(-0.3, rules)).collect():
+        total = -0.3
+        for rule, weight in rules.items():
+            total += weight if all(r[c] <= x if op == "<=" else r[c] > x for c, op, x in rule) else 0.0
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def test_quality_kept_is_what_scored_predicts(spark, sf_small):
+    docs, labels = read_table(spark, sf_small, "documents"), read_table(spark, sf_small, "labels", "doc_id", "quality")
+    odd = labels.unionByName(labels.limit(20).withColumn("quality", F.lit(7)))
+    want = {r.doc_id for r in quality.scored(docs, labels).filter("predicted = 1").collect()}
+    assert {r.doc_id for r in quality.kept(docs, odd).collect()} == want
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (4, 0), (7, None), (None, 1)], "doc_id long, quality long")
     out = quality.scored(odd_docs, labels)
