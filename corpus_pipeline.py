@@ -25,9 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cross_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go, and documents that consist of nothing else."""
+    """Boilerplate lines go, and documents that have nothing else but white space."""
     out = line_dedup.line_dedup(docs)
-    return _sized(out.filter((F.col("n_removed") == 0) | (F.trim("text") != "")), docs.columns)
+    return _sized(out.filter((F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
