@@ -9,13 +9,14 @@ and its low ``BITS`` bits are stored, packed as hex. The likeness of two fingerp
 
 Defined cases: words are separated by spaces and tab to carriage return, after lower-casing; fewer words than ``words``
 make one shingle; null text counts as empty text, and a text without words has the fingerprint of no shingles (zeros,
-prefixed by a flag), alike to itself only; equal texts have equal fingerprints; an empty table gives an empty result.
+prefixed by a flag), alike to itself only; equal texts have equal fingerprints; ids may be integers of any spread or strings (compared byte by byte); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORDS = 5
 BINS = 128
@@ -24,6 +25,7 @@ _SHIFT = 57  # 64 - log2(BINS)
 #: Documents that one window holds about, and the most windows.
 BUCKET_DOCS = 1_000
 MAX_BUCKETS = 100_000
+PARTS = 256
 
 
 def with_fingerprint(rows: DataFrame, text_col: str, out: str, words: int = WORDS) -> DataFrame:
@@ -84,15 +86,26 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def in_ranges(rows: DataFrame, id_col: str, tie: Column) -> DataFrame:
-    """``rows`` with _bucket (an equal range of ids), _tie, and _copy (0); and once more, with _copy 1, the first row of
+    """``rows`` with _bucket (a range of ids: ``PARTS`` parts of about equal numbers
+    of rows, each cut into equal widths, so that outlying ids put no more than one part into one range), _tie, and _copy (0); and once more, with _copy 1, the first row of
     each range in descending order, dealt to the range before it, so that a window of one range sees the row after its
     last. The last range gets the first row of all. There are at most ``MAX_BUCKETS`` ranges.
     """
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    buckets = min(MAX_BUCKETS, (size.n or 0) // BUCKET_DOCS + 1)
-    width = ((size.hi or 0) - (size.lo or 0)) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col(id_col) - F.lit(size.lo or 0)) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = rows.withColumn("_bucket", bucket).withColumn("_tie", tie)
+    text_ids = isinstance(rows.schema[id_col].dataType, StringType)
+    # a number in the order of the ids: of a string, its first six bytes
+    x = F.conv(F.rpad(F.hex(F.substring(F.encode(id_col, "UTF-8"), 1, 6)), 12, "0"), 16, 10) if text_ids else F.col(id_col)
+    x = x.cast("double")
+    shares = [i / PARTS for i in range(PARTS + 1)]
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(x, shares, 100 * PARTS).alias("cuts")).first()
+    cuts = sorted(set(size.cuts or [0.0]))
+    each = -(-min(MAX_BUCKETS, (size.n or 0) // BUCKET_DOCS + 1) // len(cuts))
+    part = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("_x")))
+    low, high = F.get(F.lit(cuts), F.col("_part") - 1), F.get(F.lit(cuts), F.col("_part"))
+    inside = F.least(F.lit(each - 1), F.floor((F.col("_x") - low) / (high - low) * each))
+    bucket = F.when(F.col("_x").isNull(), -1).otherwise(F.col("_part") * each + F.coalesce(inside, F.lit(0))).cast("long")
+    rows = rows.withColumn("_x", x).withColumn("_part", part)
+    rows = rows.withColumn("_bucket", bucket).drop("_x", "_part")
+    rows = rows.withColumn("_tie", tie)
     firsts = rows.groupBy("_bucket").agg(F.max(F.struct(F.col(id_col).alias("i"), F.col("_tie").alias("t"))).alias("_first"))
     order = Window.orderBy(F.desc("_bucket"))  # one row a range, MAX_BUCKETS + 1 at most
     above = F.lag("_bucket").over(order)

@@ -51,7 +51,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     sure = merged.filter(F.col("_sites") > min_sites + band)
     near = merged.filter(F.col("_sites").between(min_sites - band, min_sites + band))
     exact = (
-        lines.join(near.select(*keys), keys, "left_semi").groupBy(*keys, "_site").agg(F.lit(1).alias("_one"))
+        attach(lines, near.select(*keys, "_n"), keys, "_n", lines.count()).filter("_n IS NOT NULL").groupBy(*keys, "_site").agg(F.lit(1).alias("_one"))
         .groupBy(*keys).agg(F.count(F.lit(1)).alias("_exact")).filter(F.col("_exact") >= min_sites)
     )
     near = near.join(exact.select(*keys), keys, "left_semi")
@@ -74,15 +74,22 @@ def line_dedup(
     hits = attach(lines.select("_id", "_pos", "_k1", "_k2"), common, ["_k1", "_k2"], "_n", total).filter(
         F.col("_n").isNotNull() & ~(F.col("_id").eqNullSafe(F.col("_first._id")) & (F.col("_pos") == F.col("_first._pos")))
     )
-    gone = hits.groupBy("_id").agg(F.collect_set(F.struct(F.col("_pos").alias("p"), F.col("_k1").alias("k"))).alias("_gone"))
+    place = lambda pos, k: F.concat_ws(":", pos, k)
+    gone = hits.groupBy("_id").agg(F.collect_set(place(F.col("_pos"), F.col("_k1"))).alias("_gone"))
     gone = gone.withColumnRenamed("_id", "_gone_id")
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    parts = F.split(docs[text_col], "\n", -1)
-    left = F.filter(parts, lambda line, i: ~F.array_contains(gone["_gone"], F.struct(i.alias("p"), F.xxhash64(F.trim(line)).alias("k"))))
-    touched = gone["_gone"].isNotNull() & docs[text_col].isNotNull()
+    # places as strings, so that the planner's set difference hashes them; the generator keeps the split from being repeated
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    joined = joined.select(F.struct(*own).alias("_row"), "_gone", F.explode(F.array(F.struct(F.split(docs[text_col], "\n", -1).alias("parts")))).alias("_t"))
+    joined = joined.select("_row", "_gone", F.col("_t.parts").alias("_parts"))
+    places = F.transform("_parts", lambda line, i: place(i, F.xxhash64(F.trim(line))))
+    joined = joined.withColumn("_left", F.when(F.col("_gone").isNotNull(), F.array_except(places, F.col("_gone"))))
+    left = F.transform("_left", lambda x: F.get(F.col("_parts"), F.substring_index(x, ":", 1).cast("int")))
+    text = F.col("_row")[text_col]
+    touched = F.col("_gone").isNotNull() & text.isNotNull()
     return joined.select(
-        *[docs[f"`{c}`"] for c in docs.columns if c not in (text_col, "n_lines", "n_removed")],
-        F.when(touched, F.array_join(left, "\n")).otherwise(docs[text_col]).alias(text_col),
-        F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.when(touched, F.size(parts) - F.size(left)).otherwise(0).cast("long").alias("n_removed"),
+        *[F.col("_row")[c].alias(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")],
+        F.when(touched, F.array_join(left, "\n")).otherwise(text).alias(text_col),
+        F.when(text.isNull(), 0).otherwise(F.size("_parts")).cast("long").alias("n_lines"),
+        F.when(touched, F.size("_parts") - F.size("_left")).otherwise(0).cast("long").alias("n_removed"),
     )

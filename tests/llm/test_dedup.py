@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -236,3 +237,15 @@ def test_near_dedup_of_equal_and_missing_ids(spark):
     got = ngram_join.near_dedup(df.withColumn("_node", F.lit("x")).drop("_node"), similarity=(99, 100)).collect()
     assert sorted(r.doc_id for r in got if r.doc_id is not None) == [1, 2, 3, 4]
     assert sorted(str(r.text) for r in got if r.doc_id is None) == [" ", "None", "other words of a text without any id"]
+
+
+def test_line_dedup_of_a_document_of_many_lines(spark):
+    common = [f"line number {i} of all sites" for i in range(30_000)]
+    rows = [(i, "\n".join(common), f"s{i}") for i in range(12)] + [(99, "own line\n" + "\n".join(common) + "\n\nlast", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    start = time.time()
+    got = {r.doc_id: r for r in line_dedup.line_dedup(df).collect()}
+    assert time.time() - start < 60  # three thousand million comparisons would take longer
+    assert got[0].text == "\n".join(common) and got[0].n_removed == 0
+    assert got[5].text == "" and got[5].n_removed == 30_000
+    assert got[99].text == "own line\n\nlast" and got[99].n_lines == 30_003

@@ -282,3 +282,20 @@ def test_tree_rules():
     assert quality.tree_rules(text) == [
         ((a, "<=", 2.5),), tuple(sorted([(a, "<=", 2.5), (b, "<=", 1.0)])), tuple(sorted([(a, "<=", 2.5), (b, ">", 1.0)])), ((a, ">", 2.5),)
     ]
+
+
+@pytest.mark.parametrize("kind", ["spread", "outlier", "string"])
+def test_next_document_with_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "BUCKET_DOCS", 20)
+    rng = random.Random(4)
+    ids = rng.sample(range(1, 10_000), 300)
+    ids = ids + [10**18] if kind == "outlier" else [rng.randrange(-(2**63), 2**63) for _ in ids] if kind == "spread" else [f"{x:x}é" for x in ids]
+    rows = [(i, "".join(rng.choice("ab c") for _ in range(rng.randint(0, 40)))) for i in ids]
+    df = spark.createDataFrame(rows, f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(5)
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.edited_report(df).collect()}
+    down = sorted(rows, key=lambda r: r[0].encode() if kind == "string" else r[0], reverse=True)
+    for (i, text), (_, after) in zip(down, down[1:] + down[:1], strict=True):
+        half = len(text) // 2
+        assert got[i] == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    dealt = fingerprints.in_ranges(df, "doc_id", F.lit(0)).filter("_copy = 0").groupBy("_bucket").count().toPandas()
+    assert dealt["count"].max() < 150
