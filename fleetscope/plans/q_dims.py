@@ -18,7 +18,9 @@ from .sqlbits import NOW, NOW_PY
 
 DIM_NOW = "2001-08-01 12:00:00"
 DIM_NOW_SQL = f"TIMESTAMP '{DIM_NOW}'"
-T1, T2 = "1996-01-01", "2000-07-01"
+#: Every order is in the source (from this day on, and all orders of every fifth database, which is new) or in the target.
+SPLIT = "2000-07-01"
+_IN_SOURCE_SQL = f"(o_orderdate >= TIMESTAMP '{SPLIT} 00:00:00' OR o_custkey % 5 = 0)"
 ATTRS = ["recovery_model", "page_verify_option"]
 
 
@@ -37,14 +39,18 @@ def _dim(o):
         .withColumn("sql_instance", F.concat(F.lit("srv"), (F.col("database_id") % 4).cast("string")))
 
 
+def _in_source():
+    return (F.col("o_orderdate") >= F.lit(SPLIT).cast("timestamp_ntz")) | (F.col("o_custkey") % 5 == 0)
+
+
 def _target(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    return _dim(o.filter(F.col("o_orderdate") < F.lit(T1).cast("timestamp_ntz"))).withColumn("is_current", F.lit(True))
+    return _dim(o.filter(~_in_source())).withColumn("is_current", F.lit(True))
 
 
 def _source(spark, sf_dir):
     o = _orders(spark, sf_dir)
-    return _dim(o.filter(F.col("o_orderdate") >= F.lit(T2).cast("timestamp_ntz")))
+    return _dim(o.filter(_in_source()))
 
 
 def _dim_sql(where: str) -> str:
@@ -56,8 +62,8 @@ def _dim_sql(where: str) -> str:
                FROM orders WHERE {where} GROUP BY o_custkey"""
 
 
-_TS = ("tgt", _dim_sql(f"o_orderdate < TIMESTAMP '{T1} 00:00:00'"))
-_SS = ("src", _dim_sql(f"o_orderdate >= TIMESTAMP '{T2} 00:00:00'"))
+_TS = ("tgt", _dim_sql(f"NOT {_IN_SOURCE_SQL}"))
+_SS = ("src", _dim_sql(_IN_SOURCE_SQL))
 
 
 @register("upsert", oracle=with_fixtures(f"""

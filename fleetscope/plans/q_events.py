@@ -228,10 +228,9 @@ HEALTH_SEEN = "2024-01-05 00:00:00"
            512 AS maxWorkers, CAST(user_id AS INTEGER) AS workersCreated, CAST(user_id % 17 AS INTEGER) AS workersIdle,
            CAST(event_id % 5 AS INTEGER) AS pendingTasks, CAST(CASE WHEN value > 480 THEN 1 ELSE 0 END AS INTEGER)
                AS hasUnresolvableDeadlockOccurred
-    FROM events WHERE event_type = 'error' AND date_trunc('second', ts) > TIMESTAMP '{HEALTH_SEEN}'""")
+    FROM events WHERE date_trunc('second', ts) > TIMESTAMP '{HEALTH_SEEN}'""")
 def q_health_events(spark, sf_dir):
-    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value") \
-        .filter(F.col("event_type") == "error")
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
     inner = F.concat(F.lit('<queryProcessing maxWorkers="512" workersCreated="'), _s("user_id"),
                      F.lit('" workersIdle="'), _s(F.col("user_id") % 17), F.lit('" pendingTasks="'),
                      _s(F.col("event_id") % 5), F.lit('" hasUnresolvableDeadlockOccurred="'),

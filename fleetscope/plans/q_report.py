@@ -199,7 +199,7 @@ def _db_objects(o):
                AS date_updated
     FROM (SELECT DISTINCT 3000000 + o_custkey AS check_id, 'Log backup age of db' || CAST(o_custkey AS VARCHAR) AS check_name,
                  '>60' AS check_threshold_warning, '>1440' AS check_threshold_critical
-          FROM orders WHERE o_orderdate >= TIMESTAMP '2000-07-01 00:00:00') n
+          FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00') n
     LEFT JOIN (SELECT DISTINCT 3000000 + o_custkey AS check_id FROM orders
                WHERE o_orderdate < TIMESTAMP '1996-01-01 00:00:00') o USING (check_id)""")
 def q_config_mirror(spark, sf_dir):
@@ -208,17 +208,16 @@ def q_config_mirror(spark, sf_dir):
     old = expand_checks(_TEMPL.df(spark), _db_objects(o.filter(F.col("o_orderdate") < F.lit("1996-01-01 00:00:00")
                                                              .cast("timestamp_ntz"))))
     old = old.select("check_id", *cols, F.lit("1999-01-01 00:00:00").cast("timestamp_ntz").alias("date_updated"))
-    new = expand_checks(_TEMPL.df(spark), _db_objects(o.filter(F.col("o_orderdate") >= F.lit("2000-07-01 00:00:00")
+    new = expand_checks(_TEMPL.df(spark), _db_objects(o.filter(F.col("o_orderdate") >= F.lit("1996-01-01 00:00:00")
                                                              .cast("timestamp_ntz")))).select("check_id", *cols)
     merged = dims.upsert(old, new, ["check_id"], cols, MIRROR_NOW)
     return dims.delete_unmatched(merged, new, ["check_id"])
 
 
 @register("volume_samples", oracle=with_fixtures("""
-    SELECT v.*, s.s_name AS volume_name FROM fx_volume v JOIN supplier s ON s.s_suppkey = v.volume_id
-    WHERE s.s_acctbal > 0""", "fx_volume"))
+    SELECT v.*, s.s_name AS volume_name FROM fx_volume v JOIN supplier s ON s.s_suppkey = v.volume_id""", "fx_volume"))
 def q_volume_samples(spark, sf_dir):
-    dim = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_acctbal").filter(F.col("s_acctbal") > 0)
+    dim = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     dim = dim.select(F.col("s_suppkey").alias("volume_id"), F.col("s_name").alias("volume_name"))
     # the sink keeps only samples of known volumes (inner join to the dimension), then appends
     return fx.fx_volume(spark, sf_dir).join(dim, "volume_id")
@@ -299,11 +298,10 @@ def q_help_log_failures(spark, sf_dir):
 
 
 @register("scheduler_totals", oracle=with_fixtures("""
-    SELECT i.sql_instance, i.snapshot_time, h.report_time, CAST(SUM(i.n) AS BIGINT) AS runnable_tasks,
+    SELECT i.sql_instance, i.snapshot_type_id, i.snapshot_time, h.report_time, CAST(SUM(i.n) AS BIGINT) AS runnable_tasks,
            CAST(SUM(i.inc) AS BIGINT) AS work_queue, COUNT(*) AS schedulers
     FROM fx_inc i JOIN hdr h USING (sql_instance, snapshot_type_id, snapshot_time)
-    WHERE i.snapshot_type_id = 1
-    GROUP BY i.sql_instance, i.snapshot_time, h.report_time""", "fx_inc", "fx_header", extra=[
+    GROUP BY i.sql_instance, i.snapshot_type_id, i.snapshot_time, h.report_time""", "fx_inc", "fx_header", extra=[
     ("hdr", """SELECT sql_instance, snapshot_type_id, snapshot_time,
                       snapshot_time + to_minutes(CAST(CAST(right(sql_instance, 1) AS INTEGER) * 60 AS BIGINT))
                           AS report_time FROM fx_header""")]))
@@ -313,8 +311,8 @@ def q_scheduler_totals(spark, sf_dir):
     from ..operators.joins import with_header
     from .q_joins import header_with_report_time
 
-    inc = fx.fx_inc(spark, sf_dir).filter(F.col("snapshot_type_id") == 1)
+    inc = fx.fx_inc(spark, sf_dir)
     h = header_with_report_time(spark, sf_dir).select(*fx.HEADER_KEYS, "report_time")
-    return (with_header(inc, h).groupBy("sql_instance", "snapshot_time", "report_time")
+    return (with_header(inc, h).groupBy("sql_instance", "snapshot_type_id", "snapshot_time", "report_time")
             .agg(F.sum("n").alias("runnable_tasks"), F.sum("inc").alias("work_queue"),
                  F.count(F.lit(1)).alias("schedulers")))
