@@ -121,33 +121,71 @@ def _named(arr: str, name: str) -> Column:
     return F.coalesce(first["value"], first["text"])
 
 
+# An event that is read without an XML parser, as a regular expression. Attributes and values hold no
+# markup, references or control characters but tab and line feed (single characters, which the expression finds in one
+# table); each field has one value, after an optional type and before an optional text.
+_CONTROL = "".join(f"\\x{i:02X}" for i in range(0x20))
+_PLAIN_ATTR = rf'"[^"<>&{_CONTROL}]*+"'
+_PLAIN_NAME = rf'"[^"<>&\x20{_CONTROL}]*+"'
+_PLAIN_TEXT = rf"[^<&{_CONTROL.replace(r'\x09', '').replace(r'\x0A', '')}]*+"
+_PLAIN_INNER = (rf"(?: package={_PLAIN_NAME})?>(?:<type name={_PLAIN_NAME} package={_PLAIN_NAME}(?:/>|></type>))?"
+                rf"<value>{_PLAIN_TEXT}</value>(?:<text>{_PLAIN_TEXT}</text>)?")
+PLAIN_EVENT = (rf"\A<event name={_PLAIN_ATTR}(?: package={_PLAIN_ATTR})? timestamp={_PLAIN_ATTR}>"
+               rf"(?:<data name={_PLAIN_NAME}{_PLAIN_INNER}</data>|<action name={_PLAIN_NAME}{_PLAIN_INNER}</action>)*+</event>\z")
+
+
+def _is_plain(xml: Column) -> Column:
+    refused = [xml.contains(x) for x in ("]]>", "\uFFFE", "\uFFFF")]
+    return xml.rlike(PLAIN_EVENT) & ~(refused[0] | refused[1] | refused[2])
+
+
+def _plain_attr(xml: Column, name: str) -> Column:
+    return F.trim(F.regexp_extract(F.substring_index(xml, ">", 1), rf' {name}="([^"]*)"', 1))
+
+
 def event_time_from_text(ts_text) -> Column:
     """Event time from an XML timestamp attribute ('2024-01-01T10:00:07.179Z'), rounded
     to whole seconds like a datetime2(0) column."""
-    t = F.to_timestamp_ntz(F.substring(ts_text, 1, 23), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    text = F.substring(ts_text, 1, 23)
+    whole = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}\.[0-9]{3}\z")  # a cast reads this without a formatter
+    t = F.when(whole, text.cast("timestamp_ntz")).otherwise(F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS")))
     return F.date_trunc("second", F.timestamp_add("MILLISECOND", F.lit(500), t)).cast("timestamp_ntz")
 
 
 def shred_event(df: DataFrame, xml_col: str = "event_data", keep: Sequence[str] = ()) -> DataFrame:
-    """Parse event XML once (``from_xml``) into typed columns.
+    """Parse event XML once into typed columns.
 
     Adds event_name, event_time and the 17 event fields; ``sql_text`` is
     cleaned (tabs dropped, spaces squeezed). ``keep`` columns pass through.
+    ``from_xml`` takes most of the time of a row, so events of the plain form
+    (``PLAIN_EVENT``) are read by expressions, with the same result; all
+    others are parsed.
     """
     from ..functions.scalars import clean_sql_text
 
-    e = df.select(*keep, F.from_xml(F.col(xml_col), EVENT_XML_SCHEMA).alias("_e"))
-    e = e.select(*keep, F.col("_e._name").alias("event_name"),
-                 event_time_from_text(F.col("_e._timestamp")).alias("event_time"),
-                 F.col("_e.data").alias("_d"), F.col("_e.action").alias("_a"))
+    e = df.select(*keep, F.col(xml_col).alias("_x"), _is_plain(F.col(xml_col)).alias("_plain"))
+    # names and values of a plain event, in order; one value for each name
+    e = e.select(*keep, "_x", "_plain", F.when(~F.col("_plain"), F.from_xml(F.col("_x"), EVENT_XML_SCHEMA)).alias("_e"),
+                 F.when(F.col("_plain"), F.regexp_extract_all("_x", F.lit(r'<((?:data|action) name="[^"]*)"'), F.lit(1))).alias("_names"),
+                 F.when(F.col("_plain"), F.regexp_extract_all("_x", F.lit("<value>([^<]*)"), F.lit(1))).alias("_values"))
+    x, plain = F.col("_x"), F.col("_plain")
+
+    def either(fast: Column, parsed: Column) -> Column:
+        return F.when(plain, fast).otherwise(parsed)
+
+    e = e.select(*keep, "_plain", either(_plain_attr(x, "name"), F.col("_e._name")).alias("event_name"),
+                 either(_plain_attr(x, "timestamp"), F.col("_e._timestamp")).alias("_t"),
+                 "_names", "_values", F.col("_e.data").alias("_d"), F.col("_e.action").alias("_a"))
     cols = []
     for name, kind, typ in EVENT_FIELDS:
-        v = _named("_d" if kind == "data" else "_a", name)
+        nth = F.array_position("_names", F.lit(f'{kind} name="{name}'))  # 0 without one
+        value = F.btrim(F.get("_values", (nth - 1).cast("int")), F.lit(" \t\n"))
+        v = either(value, _named("_d" if kind == "data" else "_a", name))
         v = v.try_cast(typ) if typ != "string" else v
         if name == "sql_text":
             v = clean_sql_text(v)
         cols.append(v.alias(name))
-    return e.select(*keep, "event_name", "event_time", *cols)
+    return e.select(*keep, "event_name", event_time_from_text(F.col("_t")).alias("event_time"), *cols)
 
 
 def long_queries(shredded: DataFrame, rules: DataFrame | None, seen: DataFrame | None,
