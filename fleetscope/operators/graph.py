@@ -10,12 +10,14 @@ recomputes the current level.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_path
+from .joins import shuffle_partitions
 
 # Blocking tree label pieces.
 TREE_PREFIX = "    \u00a0\u00a0"
@@ -142,27 +144,35 @@ def dependency_levels(edges: DataFrame, child: str = "child", parent: str = "par
     Layers are peeled off from the top: a node is settled in the round after the
     last of its parents, so each edge is joined once, and what is never settled
     is the cycles. Only nodes with some parents settled are carried between
-    rounds. ``max_level`` is a guard: reaching it fails the job.
+    rounds; the edges are written once, bucketed by parent, and stay in place. ``max_level`` is a guard: reaching it fails the job.
     """
-    # hash-partitioned by the join key before the checkpoint, so the joins of all rounds reuse it
-    ed = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent")).distinct()
-              .repartition("_parent"))
-    nodes = ed.select("node").union(ed.select(F.col("_parent").alias("node"))).distinct()
-    due = _cut(ed.groupBy("node").agg(F.count(F.lit(1)).alias("_due")))
+    spark = edges.sparkSession
+    pairs = _cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("_parent")).distinct())
+    nodes = _cut(pairs.select("node").union(pairs.select(F.col("_parent").alias("node"))).distinct())
+    due = _cut(pairs.groupBy("node").agg(F.count(F.lit(1)).alias("_due")))
     layer = _cut(nodes.join(due, "node", "left_anti"))
     layers = [layer.withColumn("level", F.lit(1))]
-    waiting = ed.select("node", F.lit(0).cast("bigint").alias("_met")).limit(0)
-    while True:
-        met = (ed.join(layer.withColumnRenamed("node", "_parent"), "_parent")
-               .groupBy("node").agg(F.count(F.lit(1)).alias("_met")))
-        met = _cut(waiting.unionByName(met).groupBy("node").agg(F.sum("_met").alias("_met")).join(due, "node"))
-        layer = met.filter(F.col("_met") == F.col("_due")).select("node")
-        if layer.isEmpty():
-            break
-        if max_level is not None and len(layers) >= max_level:
-            raise ValueError(f"dependency chains are longer than max_level = {max_level}")
-        layers.append(layer.withColumn("level", F.lit(len(layers) + 1)))
-        waiting = met.filter(F.col("_met") < F.col("_due")).select("node", "_met")
+    # each edge brings its node's number of parents; bucketed by the join key, so that no round moves the edges again
+    buckets = shuffle_partitions(spark)
+    table, path = f"dependency_edges_{uuid.uuid4().hex}", scratch_path(spark, f"dependency-edges-{uuid.uuid4().hex}")
+    (pairs.join(due, "node").repartition(buckets, "_parent").write.bucketBy(buckets, "_parent").format("parquet")
+     .option("path", path).saveAsTable(table))
+    ed = spark.table(table)
+    waiting = ed.select("node", "_due", F.lit(0).cast("bigint").alias("_met")).limit(0)
+    try:
+        while True:
+            met = (ed.join(layer.withColumnRenamed("node", "_parent"), "_parent")
+                   .groupBy("node", "_due").agg(F.count(F.lit(1)).alias("_met")))
+            met = _cut(waiting.unionByName(met).groupBy("node", "_due").agg(F.sum("_met").alias("_met")))
+            layer = met.filter(F.col("_met") == F.col("_due")).select("node")
+            if layer.isEmpty():
+                break
+            if max_level is not None and len(layers) >= max_level:
+                raise ValueError(f"dependency chains are longer than max_level = {max_level}")
+            layers.append(layer.withColumn("level", F.lit(len(layers) + 1)))
+            waiting = met.filter(F.col("_met") < F.col("_due")).select("node", "_due", "_met")
+    finally:
+        spark.sql(f"DROP TABLE {table}")  # its files stay with the checkpoints
     settled = layers[0]
     for lv in layers[1:]:
         settled = settled.unionByName(lv)

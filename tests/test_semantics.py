@@ -322,3 +322,35 @@ def test_minor_bucket_with_a_total_of_zero(spark):
                                 ("b", 2, "x", None)], "sql_instance string, t int, clerk string, kb long")
     got = rows(minor_bucket(df, ["sql_instance", "t"], "clerk", "kb"), "sql_instance", "t", "clerk", "kb")
     assert got == [("a", 1, "OTHER", 0), ("a", 2, "OTHER", 4), ("a", 2, "x", 96), ("b", 1, "OTHER", 0), ("b", 2, "OTHER", None)]
+
+
+def test_dependency_levels_do_not_move_the_edges_each_round(spark, monkeypatch):
+    import contextlib
+    import io
+
+    from fleetscope.operators import graph
+
+    plans, cut = [], graph._cut
+
+    def recorded(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        plans.append(out.getvalue())
+        return cut(df)
+
+    monkeypatch.setattr(graph, "_cut", recorded)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = spark.createDataFrame([(f"n{i}", f"n{i // 3}") for i in range(1, 60)], "child string, parent string")
+        got = {r.child: r.level for r in graph.dependency_levels(e).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = {"n0": 1}
+    for i in range(1, 60):
+        want[f"n{i}"] = want[f"n{i // 3}"] + 1
+    assert got == want
+    rounds = [p for p in plans if "_met" in p]
+    assert len(rounds) >= 4
+    for p in rounds:  # the edges come from their buckets straight into the join
+        assert "Bucketed: true" in p
