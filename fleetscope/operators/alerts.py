@@ -5,14 +5,17 @@ previous-row comparison. Repeat-by-period and the hourly limit depend on the
 actions actually sent before, which is sequential per (instance, check,
 action): that part replays the *candidate* rows only (rows that could send),
 split into independent episodes at quiet gaps, in time order within sorted
-partitions (``mapInPandas``).
+partitions (``mapInArrow``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import datetime as dt
+from collections import namedtuple
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,14 @@ from ..functions.timeops import datediff_boundary
 from .checks import OK, threshold_comparator, threshold_value
 from .joins import broadcast_if_small
 from .timeseries import _ts
-from .windows import previous_values
+from .windows import series_previous, series_running_sum
 
 # Action types.
 NEW, RECOVERY, REPEAT, NONE = "NEW", "RECOVERY", "REPEAT", "NONE"
 # Queue retry policy.
 RETRY_AFTER_MINUTES = 5
 MAX_RETRIES = 5
+_HOUR, _EPOCH = dt.timedelta(hours=1), dt.datetime(1970, 1, 1)
 
 
 def action_candidates(history: DataFrame, actions: DataFrame,
@@ -44,7 +48,7 @@ def action_candidates(history: DataFrame, actions: DataFrame,
     if f"prev_{status}" in history.columns and f"prev_{value}" in history.columns:
         p = history  # previous values already attached (e.g. by checks.status_change)
     else:
-        p = previous_values(history, keys, time, [status, value]).drop(f"prev_{time}")
+        p = series_previous(history, keys, time, [status, value]).drop(f"prev_{time}")
     a = broadcast_if_small(actions)
     j = p.join(a, "check_id")
     cur, prev = F.col(status), F.coalesce(F.col(f"prev_{status}"), F.lit(OK))
@@ -69,19 +73,19 @@ def _decide(r, state: dict):
     longer than an hour); it is updated in place.
     """
     t = r.snapshot_time
-    hour_ago = t - pd.Timedelta(hours=1)
+    hour_ago = t - _HOUR
     state["sent"] = [x for x in state["sent"] if x > hour_ago]
     count = len(state["sent"])
     reason = None
     typ = r.action_type
     if bool(r.is_flapping) and not bool(r.action_every_failure):
         reason, typ = "FLAPPING", None
-    elif count > r.action_hourly_limit:
+    elif r.action_hourly_limit is not None and count > r.action_hourly_limit:
         reason, typ = "HOURLY LIMIT", None
     elif typ == NONE and bool(r.repeat_candidate):
-        last_t = state["last"] if state["last"] is not None else pd.Timestamp("1970-01-01")
-        minutes = int((t.floor("min") - last_t.floor("min")).total_seconds() // 60)
-        if minutes > r.action_repeat_period_minutes:
+        last_t = state["last"] if state["last"] is not None else _EPOCH
+        whole = t.replace(second=0, microsecond=0) - last_t.replace(second=0, microsecond=0)
+        if whole.total_seconds() // 60 > r.action_repeat_period_minutes:
             typ = REPEAT
     sent = typ is not None and typ != NONE
     if sent:
@@ -90,21 +94,27 @@ def _decide(r, state: dict):
     return (typ if typ else NONE), sent, reason, count
 
 
-_OUT_COLS = ["sql_instance", "check_id", "action_id", "snapshot_time", "action_type", "sent", "suppressed_reason",
-             "action_count_last_hour"]
+_OUT = pa.schema([("sql_instance", pa.string()), ("check_id", pa.int32()), ("action_id", pa.int32()), ("snapshot_time", pa.timestamp("us")),
+                  ("action_type", pa.string()), ("sent", pa.bool_()), ("suppressed_reason", pa.string()), ("action_count_last_hour", pa.int32())])
+_STEP = ["snapshot_time", "action_type", "repeat_candidate", "is_flapping", "action_every_failure", "action_hourly_limit",
+         "action_repeat_period_minutes"]
+_Step = namedtuple("_Step", _STEP)
 
 
-def _replay(batches):
+def _replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replay rows sorted by (key, episode, time), one Arrow batch at a time; an episode starts without state."""
-    current, state = None, None
-    for pdf in batches:
+    current, state = None, {}
+    for b in batches:
+        keys = zip(*(b.column(c).to_pylist() for c in ("sql_instance", "check_id", "action_id", "episode")), strict=True)
+        steps = zip(*(b.column(c).to_pylist() for c in _STEP), strict=True)
         out = []
-        for r in pdf.itertuples(index=False):
-            k = (r.sql_instance, int(r.check_id), int(r.action_id), int(r.episode))
+        for k, step in zip(keys, steps, strict=True):
             if k != current:
                 current, state = k, {"sent": [], "last": None}
-            out.append((*k[:3], r.snapshot_time, *_decide(r, state)))
-        yield pd.DataFrame(out, columns=_OUT_COLS)
+            out.append(_decide(_Step(pd.NaT if step[0] is None else step[0], *step[1:]), state))
+        typ, sent, reason, count = zip(*out, strict=True) if out else ((), (), (), ())
+        made = [pa.array(x, f.type) for x, f in zip((typ, sent, reason, count), list(_OUT)[4:], strict=True)]
+        yield pa.RecordBatch.from_arrays([*(b.column(f.name).cast(f.type) for f in list(_OUT)[:4]), *made], schema=_OUT)
 
 
 def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping") -> DataFrame:
@@ -116,24 +126,22 @@ def action_suppress(candidates: DataFrame, flapping_col: str = "is_flapping") ->
     is irrelevant after a quiet gap longer than both one hour and the repeat
     period, so candidate rows are split into independent episodes at such
     gaps. Episodes are co-located, sorted (the sort spills) and replayed in time
-    order by ``mapInPandas``; a task holds one Arrow batch and a few timestamps,
+    order by ``mapInArrow``; a task holds one Arrow batch and a few timestamps,
     however long an episode is.
     """
-    from .windows import previous_values, running_sum
-
     keys = ["sql_instance", "check_id", "action_id"]
     c = candidates.filter((F.col("action_type") != NONE) | F.col("repeat_candidate"))
     c = c.select(*keys, "snapshot_time", "action_type", "repeat_candidate",
                  F.coalesce(F.col(flapping_col), F.lit(False)).alias("is_flapping"),
                  "action_every_failure", "action_hourly_limit", "action_repeat_period_minutes")
-    p = previous_values(c, keys, "snapshot_time", [])
+    p = series_previous(c, keys, "snapshot_time", [])
     quiet = F.greatest(F.lit(60), F.coalesce(F.col("action_repeat_period_minutes"), F.lit(0)))
     gap = F.timestamp_diff("MINUTE", F.col("prev_snapshot_time"), F.col("snapshot_time"))
     starts = F.when(F.col("prev_snapshot_time").isNull() | (gap > quiet), 1).otherwise(0).cast("bigint")
-    e = running_sum(p.withColumn("_start", starts).drop("prev_snapshot_time"), keys, "snapshot_time",
-                    "_start", "episode", bucket="month").drop("_start")
+    e = series_running_sum(p.withColumn("_start", starts).drop("prev_snapshot_time"), keys, "snapshot_time",
+                           "_start", "episode").drop("_start")
     ordered = e.repartition(*keys, "episode").sortWithinPartitions(*keys, "episode", "snapshot_time")
-    return ordered.mapInPandas(_replay, _SUPPRESS_SCHEMA)
+    return ordered.mapInArrow(_replay, _SUPPRESS_SCHEMA)
 
 
 def queue_next(queue: DataFrame, now, n: int = 1, retry_after: int = RETRY_AFTER_MINUTES) -> DataFrame:

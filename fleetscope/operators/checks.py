@@ -17,7 +17,7 @@ from ..functions._util import col
 from ..functions.timeops import datediff_boundary
 from .joins import broadcast_if_small, spread_join
 from .timeseries import _ts
-from .windows import previous_values, running_sum, with_previous_rows
+from .windows import running_sum, series_previous, series_previous_rows
 
 DEC = "decimal(28,5)"
 LAST_CHECK_VALUE = "{LAST_CHECK_VALUE}"
@@ -99,7 +99,7 @@ def dynamic_threshold(history: DataFrame, keys: Sequence[str] = ("sql_instance",
     The previous value is rendered as decimal(28,5) text; with no previous
     value the token stays and the status evaluates to OK.
     """
-    p = previous_values(history, keys, time, [value])
+    p = series_previous(history, keys, time, [value])
     prev_txt = F.col(f"prev_{value}").cast(DEC).cast("string")
     out = p
     for t in thresholds:
@@ -118,7 +118,7 @@ def status_change(history: DataFrame, keys: Sequence[str] = ("sql_instance", "ch
     ``prev_<c>`` (one pass for later operators that need them).
     """
     carried = [status] + [c for c in keep_previous if c != status]
-    p = previous_values(history, keys, time, carried)
+    p = series_previous(history, keys, time, carried)
     chg = F.when(F.coalesce(F.col(status), F.lit("")) != F.coalesce(F.col(f"prev_{status}"), F.lit("")), 1) \
            .otherwise(0)
     drop = [f"prev_{time}"] + ([] if status in keep_previous else [f"prev_{status}"])
@@ -131,7 +131,7 @@ def flapping(history: DataFrame, keys: Sequence[str] = ("sql_instance", "check_i
              ignore_col: str | None = None) -> DataFrame:
     """``is_flapping``: the average status change over the previous ``rows`` results
     within ``hours`` of this one lies in [low, high] (L6)."""
-    p = with_previous_rows(history, keys, time, [change], rows, bucket="day")
+    p = series_previous_rows(history, keys, time, [change], rows, bucket="day")
     since = F.timestamp_add("HOUR", F.lit(-hours), F.col(time))
     recent = F.filter("prev_rows", lambda r: r[time] > since)
     avg = F.try_divide(F.aggregate(recent, F.lit(0).cast("double"), lambda acc, r: acc + r[change].cast("double")),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .joins import star_join, with_header
 from .timeseries import _ts
-from .windows import previous_values
+from .windows import series_previous
 
 # Fixed value: days that the application log is kept.
 APP_LOG_DAYS = 7
@@ -44,7 +44,7 @@ def disk_table_facts(samples: DataFrame, header: DataFrame, tables: DataFrame, d
     and the names of table and database. Deltas are taken before members are looked up, so a table that
     joins no dimension changes no other."""
     keys = ["sql_instance", "database_id", "table_id"]
-    with_prev = previous_values(samples, keys, "snapshot_time", list(measures), bucket="year")
+    with_prev = series_previous(samples, keys, "snapshot_time", list(measures), bucket="year")
     deltas = with_prev.select(*samples.columns, *[(F.col(m) - F.col(f"prev_{m}")).alias(f"{m}_delta") for m in measures])
     return fact_view(deltas, header, {
         "table": (tables.select(*keys, "table_name"), keys),

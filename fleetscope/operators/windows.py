@@ -51,6 +51,45 @@ def previous_values(df: DataFrame, keys: Sequence[str], order_col: str, cols: Se
     return out
 
 
+def _linked(keys: Sequence[str], order_col: str, before: Column, bucket: str) -> Column:
+    """Whether a row has the row at ``before`` as an earlier one of its series: neither time is NULL, and rows with a
+    NULL key see those of their own bucket only."""
+    own = F.col(order_col)
+    named = F.lit(True)
+    for k in keys:
+        named = named & F.col(k).isNotNull()
+    return before.isNotNull() & (named | (F.date_trunc(bucket, before) == F.date_trunc(bucket, own)))
+
+
+def series_previous(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str],
+                    bucket: str = "day", prefix: str = "prev_") -> DataFrame:
+    """``previous_values`` for series: keys with one row per snapshot, so that a key's rows are few enough for one task
+    (the sort spills), however busy its server is.
+
+    One window over the key. Where buckets hold few rows each, the table of last rows per bucket is as large as the
+    data; this needs neither it nor its join, and series operators on the same keys share one shuffle.
+    """
+    carried = [order_col] + [c for c in cols if c != order_col]
+    w = Window.partitionBy(*keys).orderBy(order_col)
+    d = df.select("*", *[F.lag(c).over(w).alias(f"_lag_{c}") for c in carried])
+    there = _linked(keys, order_col, F.col(f"_lag_{order_col}"), bucket)
+    return d.select(*[F.col(c) for c in df.columns], *[F.when(there, F.col(f"_lag_{c}")).alias(f"{prefix}{c}") for c in carried])
+
+
+def series_running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: str, alias: str) -> DataFrame:
+    """``running_sum`` for series (see ``series_previous``)."""
+    return df.withColumn(alias, F.sum(value).over(Window.partitionBy(*keys).orderBy(order_col)))
+
+
+def series_previous_rows(df: DataFrame, keys: Sequence[str], order_col: str, cols: Sequence[str], n: int,
+                         bucket: str = "day", alias: str = "prev_rows") -> DataFrame:
+    """``with_previous_rows`` for series (see ``series_previous``)."""
+    w = Window.partitionBy(*keys).orderBy(order_col).rowsBetween(-n, -1)
+    d = df.withColumn("_rows", F.collect_list(F.struct(order_col, *cols)).over(w))
+    rows = F.filter("_rows", lambda r: _linked(keys, order_col, r[order_col], bucket))
+    return d.select(*[F.col(c) for c in df.columns], rows.alias(alias))
+
+
 def running_sum(df: DataFrame, keys: Sequence[str], order_col: str, value: str, alias: str,
                 bucket: str | Column = "month") -> DataFrame:
     """Running sum per key ordered by ``order_col``, bounded per task by bucket.

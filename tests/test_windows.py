@@ -91,3 +91,30 @@ def test_previous_rows_reach_over_empty_days(spark, n):
         own = [r for r in rows if r[0] == k]
         for i, r in enumerate(own):
             assert got[k, r[1]] == [x[2] for x in own[max(0, i - n) : i]]
+
+
+@SETTINGS
+@given(events)
+def test_series_helpers_equal_bucketed_ones(spark, data):
+    from fleetscope.operators.windows import series_previous, series_previous_rows, series_running_sum
+
+    df = _df(spark, data).withColumn("k", F.when(F.col("k") != "c", F.col("k")))  # a NULL key sees its own bucket only
+    df = df.unionByName(df.filter("k = 'a'").limit(1).withColumn("t", F.lit(None).cast("timestamp_ntz")))
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert rows(series_previous(df, ["k"], "t", ["v"])) == rows(previous_values(df, ["k"], "t", ["v"]))
+    whole = df.dropna()
+    assert rows(series_running_sum(whole, ["k"], "t", "v", "s")) == rows(running_sum(whole, ["k"], "t", "v", "s"))
+    assert rows(series_previous_rows(whole, ["k"], "t", ["v"], 3)) == rows(with_previous_rows(whole, ["k"], "t", ["v"], 3))
+
+
+def test_series_steps_share_one_shuffle(spark):
+    import contextlib
+    import io
+
+    from fleetscope.operators import checks as ck
+
+    h = _df(spark, [("a", 1, 2), ("a", 3, 4)]).select(F.col("k").alias("sql_instance"), F.lit(1).alias("check_id"), F.col("t").alias("snapshot_time"),
+                                                      F.col("v").cast("double").alias("check_value"), F.lit("OK").alias("check_status"))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        ck.flapping(ck.status_change(h)).explain()
+    assert out.getvalue().count("Exchange") == 1 and "Join" not in out.getvalue()
