@@ -6,14 +6,14 @@ directions, which gives two Burrows-Wheeler transforms. A phrase of a shard is a
 phrases of a length are extended at once: to the right in the backward index and to the left in the forward index. An
 extension counts where both directions reach the same forward interval, that is, where its first words and its last
 words are both frequent phrases, and the two directions name these. Counts are summed across shards; only phrases that reach the
-threshold in the whole group are extended by the shards, so each length is one shuffle of phrases, never of occurrences.
+threshold in the whole group are extended by the shards, two words at a time, so two lengths are one shuffle of phrases, never of occurrences.
 
-Most distinct words and pairs of a shard are rare everywhere. They are sieved first: each shard sends sorted 64-bit hashes with counts as
-compressed lists to blocks of the hash range, the blocks add them up and answer with the places that are left. For words these sums are
-the counts (a word's number is its hash; 10 million frequent words share one with a probability of 3 in a million); pairs are
-only thinned by their hashes and counted exactly by the index. The number of a longer phrase is the least (shard, place)
-at which it was found. No shard or task holds more than its own shard or block, a phrase has one row per shard, and
-nothing is collected or broadcast.
+Counts of words, pairs and phrases travel as compressed lists, never as rows: each shard sends sorted 64-bit hashes with counts to blocks
+of the hash range, the blocks add them up and answer with the places that are left (:mod:`.sieve`). The hash of a word or phrase is its
+number (10 million frequent ones share one with a probability of 3 in a million); pairs are thinned by 36 bits of theirs before the index is
+built, and counted by all bits after it. The index is sent to its shard's task once for two lengths. The first shard that has a phrase spells
+it: it has all its parts and every phrase of one word more that occurs as often, so no phrases are joined. No shard or task holds
+more than its own shard or block, and nothing is collected or broadcast.
 
 Defined cases: null texts are empty; a null lang is ``und``; ids play no part, so repeated rows count as often as they
 occur; an empty table, or one with no frequent phrase, gives no rows; other columns are ignored. Ties at the end of a
@@ -35,17 +35,23 @@ from pyspark.sql import functions as F
 
 from . import words as wd
 from .sieve import LISTS, block_bits, left, lists, sieve
-from .skew import attach
-from .store import written
+from .store import dropped, written
 
 MIN_COUNT = 100
 MAX_WORDS = 5
 TOP = 2000
 
-_GRAMS = "shard long, key long, prefix long, suffix long, lo int, rlo int, n int"
-_GRAM_TYPE = pa.schema(
-    [("shard", pa.int64()), ("key", pa.int64()), ("prefix", pa.int64()), ("suffix", pa.int64()), ("lo", pa.int32()), ("rlo", pa.int32()), ("n", pa.int32())]
-)
+_NAMES = "langs array<string>, spelled binary, n_bytes long, lang_of binary, f binary"
+_NAMES_TYPE = [("langs", pa.list_(pa.string())), ("spelled", pa.binary()), ("n_bytes", pa.int64()), ("lang_of", pa.binary()), ("f", pa.binary())]
+_GROWN = "shard long, gids binary, n_gids long, grams binary, size long, longer binary, n_longer long"
+_GROWN_TYPE = [("shard", pa.int64()), ("gids", pa.binary()), ("n_gids", pa.int64()), ("grams", pa.binary()), ("size", pa.int64()), ("longer", pa.binary()), ("n_longer", pa.int64())]
+_LEFT = "words int, named binary, sums binary, owner binary, n_named long"
+_LEFT_TYPE = [("words", pa.int32()), ("named", pa.binary()), ("sums", pa.binary()), ("owner", pa.binary()), ("n_named", pa.int64())]
+
+
+def _row(schema: pa.Schema, **values: object) -> pa.Table:
+    """One row; the columns that are not given are null."""
+    return pa.table([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
 
 
 def _shards(docs: DataFrame) -> DataFrame:
@@ -158,10 +164,30 @@ class Index:
         return head[a], tail[b], right_lo[a], right_rlo[a], count[a]
 
 
-def _grams(shard: int, gid: np.ndarray, grown: tuple[np.ndarray, ...]) -> pa.Table:
-    head, tail, lo, rlo, n = grown
-    key = (shard << wd.SHARD_BITS) + np.arange(len(head), dtype=np.int64)
-    return pa.table([np.full(len(head), shard, np.int64), key, gid[head], gid[tail], lo.astype(np.int32), rlo.astype(np.int32), n.astype(np.int32)], schema=_GRAM_TYPE)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two hashes, in this order."""
+    with np.errstate(over="ignore"):
+        mixed = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _twice(index: Index, gids: np.ndarray, lo: np.ndarray, rlo: np.ndarray, n: np.ndarray, again: bool) -> dict[str, object]:
+    """The phrases of one word more, and (``again``) of two words more than those whose hashes are ``gids``, as columns: (number of the first
+    words, number of the last words, both begins, count). A phrase that is rare everywhere makes no frequent one, so none is
+    lost or counted wrongly if it is extended before the sieve."""
+    grown = index.extend(lo, rlo, n)
+    longer = index.extend(*grown[2:]) if again else [np.zeros(0, np.int64)] * 5
+    return {"gids": wd.packed(gids), "n_gids": len(gids), "grams": wd.packed(np.concatenate(grown).astype(np.int32)), "size": len(grown[0]),
+            "longer": wd.packed(np.concatenate(longer).astype(np.int32)), "n_longer": len(longer[0])}
+
+
+def _grams(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both kinds of phrases of a row of :func:`_twice`, and the hashes of each kind."""
+    gids = wd.unpacked(r["gids"], r["n_gids"], "<u8")
+    grams, longer = (wd.unpacked(r[c], 5 * r[n]).reshape(5, -1) for c, n in (("grams", "size"), ("longer", "n_longer")))
+    hashes = _mixed(gids[grams[0]], gids[grams[1]])
+    return grams, longer, hashes, _mixed(hashes[longer[0]], hashes[longer[1]])
 
 
 def _word_lists(shards: DataFrame, bits: int) -> DataFrame:
@@ -181,63 +207,64 @@ def _collapsed(ids: np.ndarray) -> np.ndarray:
 
 
 def _sequences(shards: DataFrame, kept: DataFrame, bits: int) -> DataFrame:
-    """Per shard its sequence over its frequent words with their numbers; and a row for each frequent word of the first shard that has it."""
-    schema = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("gids", pa.binary()), ("n_gids", pa.int64()),
-                        ("gid", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64())])
+    """Per shard its sequence over its frequent words, and of each of these the hash, spelling, lang's place and count."""
+    schema = pa.schema([("shard", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("gids", pa.binary()), ("n_gids", pa.int64()), *_NAMES_TYPE])
 
     def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
         if not own_rows.num_rows or not right.num_rows:
             return schema.empty_table()
         r = own_rows.to_pylist()[0]
         words, lang, hashes = _local_words(r["spelled"], r["size"], r["lang_of"], r["n_local"], r["langs"])
-        own, sums, owner = left(hashes, right, bits)
+        own, sums, _ = left(hashes, right, bits)
+        order = np.argsort(own)  # small numbers for frequent words
+        own, sums = own[order], sums[order]
         symbol = np.zeros(len(words) + 1, np.int32)
         symbol[own + 1] = np.arange(1, len(own) + 1)
         ids = _collapsed(symbol[wd.unpacked(r["ids"], r["n"])])
-        gids = hashes[own].view(np.int64)
-        first = np.flatnonzero(owner)
-        row = [r["shard"], wd.packed(ids), len(ids), wd.packed(gids), len(gids), None, None, None, None]
-        k = len(first)
-        named = [pa.nulls(k, f.type) for f in list(schema)[:5]] + [pa.array(gids[first]), pa.array([r["langs"][lang[own[i]]] for i in first], pa.string()),
-                                                                   pa.array([words[own[i]] for i in first], pa.string()), pa.array(sums[first])]
-        return pa.concat_tables([pa.table([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema), pa.table(named, schema=schema)])
+        spelled = "\n".join(words[i] for i in own).encode()
+        return _row(schema, shard=r["shard"], ids=wd.packed(ids), n=len(ids), gids=wd.packed(hashes[own]), n_gids=len(own), langs=r["langs"],
+                    spelled=pa.compress(spelled, "zstd", asbytes=True), n_bytes=len(spelled), lang_of=wd.packed(lang[own]), f=wd.packed(sums))
 
     return shards.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(
-        run, "shard long, ids binary, n long, gids binary, n_gids long, gid long, lang string, word string, f long")
+        run, f"shard long, ids binary, n long, gids binary, n_gids long, {_NAMES}")
 
 
 def _pairs(ids: np.ndarray, gids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which places begin a pair of words, the pair of each, and the hash of each distinct pair."""
     begin = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
     pair, own = np.unique(ids[begin].astype(np.int64) << 32 | ids[begin + 1], return_inverse=True)
-    with np.errstate(over="ignore"):
-        a, b = (gids.view(np.uint64)[x - 1] for x in (pair >> 32, pair & 0xFFFFFFFF))
-        mixed = (a ^ (a >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + b
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(29)
-    return begin, own, mixed & ~np.uint64((1 << 20) - 1)  # 44 bits are enough to thin them
+    mixed = _mixed(*(gids[x - 1] for x in (pair >> 32, pair & 0xFFFFFFFF)))
+    return begin, own, mixed & ~np.uint64((1 << 28) - 1)  # 36 bits are enough to thin them
 
 
 def _pair_lists(sequences: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                _, own, hashes = _pairs(wd.unpacked(r["ids"], r["n"]), wd.unpacked(r["gids"], r["n_gids"], "<i8"))
+                _, own, hashes = _pairs(wd.unpacked(r["ids"], r["n"]), wd.unpacked(r["gids"], r["n_gids"], "<u8"))
                 hashes, same = np.unique(hashes, return_inverse=True)
                 yield lists(r["shard"], hashes, np.bincount(same[own], minlength=len(hashes)), bits)
 
-    return sequences.mapInArrow(run, LISTS)
+    return sequences.select("shard", "ids", "n", "gids", "n_gids").mapInArrow(run, LISTS)
+
+
+def _names_of(r: dict, used: np.ndarray) -> dict[str, object]:
+    """The columns that name the words of a shard, for some of them."""
+    words = pa.decompress(r["spelled"], r["n_bytes"], "zstd", asbytes=True).split(b"\n")
+    spelled = b"\n".join(words[i] for i in used)
+    return {"langs": r["langs"], "spelled": pa.compress(spelled, "zstd", asbytes=True), "n_bytes": len(spelled),
+            "lang_of": wd.packed(wd.unpacked(r["lang_of"], r["n_gids"])[used]), "f": wd.packed(wd.unpacked(r["f"], r["n_gids"], "<i8")[used])}
 
 
 def _built(sequences: DataFrame, kept: DataFrame, depth: int, bits: int) -> DataFrame:
-    """Per shard one row with its index, and its phrases of two words."""
-    schema = pa.schema([*_GRAM_TYPE, ("forward", pa.binary()), ("backward", pa.binary())])
+    """Per shard its index, its phrases of two and three words, and the names of its words."""
+    schema = pa.schema([*_GROWN_TYPE, ("n", pa.int64()), ("forward", pa.binary()), ("backward", pa.binary()), *_NAMES_TYPE])
 
     def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
         if not own_rows.num_rows or not right.num_rows:
             return schema.empty_table()
         r = own_rows.to_pylist()[0]
-        ids, gids = wd.unpacked(r["ids"], r["n"]), wd.unpacked(r["gids"], r["n_gids"], "<i8")
+        ids, gids = wd.unpacked(r["ids"], r["n"]), wd.unpacked(r["gids"], r["n_gids"], "<u8")
         begin, own, hashes = _pairs(ids, gids)
         different, same = np.unique(hashes, return_inverse=True)
         frequent = np.zeros(len(different), bool)
@@ -251,47 +278,104 @@ def _built(sequences: DataFrame, kept: DataFrame, depth: int, bits: int) -> Data
         after = np.zeros(len(held), np.int64)  # a break after each word that is not linked to the next
         after[1:] = np.cumsum(~linked[held])[:-1]
         thin = np.zeros(len(held) + int((~linked[held]).sum()) + 1, np.int32)
-        thin[np.arange(len(held)) + after + 1] = ids[held]
+        used, own = np.unique(ids[held], return_inverse=True)
+        thin[np.arange(len(held)) + after + 1] = own + 1
         index = Index.of(_collapsed(thin), depth)
-        symbols = np.flatnonzero(index.count[1:]) + 1
-        first = index.first[symbols]
-        grams = _grams(r["shard"], gids[symbols - 1], index.extend(first, first, index.count[symbols]))
-        k = grams.num_rows
-        nulls = [pa.nulls(1, f.type) for f in list(_GRAM_TYPE)[1:-1]]
-        row = pa.table([pa.array([r["shard"]]), *nulls, pa.array([len(index.forward)], pa.int32()), [wd.packed(index.forward)], [wd.packed(index.backward)]], schema=schema)
-        return pa.concat_tables([row, grams.append_column("forward", pa.nulls(k, pa.binary())).append_column("backward", pa.nulls(k, pa.binary()))])
+        first, count, used = index.first[1:], index.count[1:], used - 1
+        return _row(schema, shard=r["shard"], n=len(index.forward), forward=wd.packed(index.forward), backward=wd.packed(index.backward),
+                    **_twice(index, gids[used], first, first, count, depth > 2), **_names_of(r, used))
 
-    return sequences.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(run, _GRAMS + ", forward binary, backward binary")
+    return sequences.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(run, f"{_GROWN}, n long, forward binary, backward binary, {_NAMES}")
 
 
-def _grown(indexes: DataFrame, known: DataFrame) -> DataFrame:
-    """Per shard its phrases of one word more than ``known``."""
-
-    def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
-        if not own_rows.num_rows or not right.num_rows:
-            return _GRAM_TYPE.empty_table()
-        shard, n = own_rows["shard"][0].as_py(), own_rows["n"][0].as_py()
-        index = Index(wd.unpacked(own_rows["forward"][0].as_py(), n), wd.unpacked(own_rows["backward"][0].as_py(), n))
-        order = np.argsort(right["lo"].to_numpy())
-        gid, lo, rlo, count = (right[c].to_numpy()[order].astype(np.int64) for c in ("gid", "lo", "rlo", "n"))
-        return _grams(shard, gid, index.extend(lo, rlo, count))
+def _gram_lists(grown: DataFrame, bits: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                grams, longer, *hashes = _grams(r)
+                yield lists(r["shard"], np.concatenate(hashes), np.concatenate([grams[4], longer[4]]), bits)
 
-    return indexes.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, _GRAMS)
+    return grown.select("shard", "gids", "n_gids", "grams", "size", "longer", "n_longer").mapInArrow(run, LISTS)
 
 
-def _frequent(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows of phrases whose counts sum to ``least`` across shards, with the sum and the phrase's number. A phrase has one
-    row per shard, so no window is large."""
-    whole = Window.partitionBy(*keys)
-    summed = rows.withColumn("f", F.sum(F.col("n").cast("long")).over(whole)).withColumn("gid", F.min("key").over(whole))
-    return summed.filter(F.col("f") >= least)
+def _left(rows: DataFrame, kept: DataFrame, words: int, most: int, bits: int) -> DataFrame:
+    """Per shard and number of words (``words`` and one more) which of its phrases the sieve left: the numbers of their first and last words
+    among the phrases left before (``named``), the sums, and whether the shard is the first that has it. In the row of the longer ones
+    also, up to ``most`` words, the phrases of one and two words more."""
+    schema = pa.schema([*_GROWN_TYPE, *_LEFT_TYPE])
 
+    def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
+        if not own_rows.num_rows or not right.num_rows:
+            return schema.empty_table()
+        r = own_rows.to_pylist()[0]
+        grams, longer, hashes, hashes_longer = _grams(r)
+        own, sums, owner = left(np.concatenate([hashes, hashes_longer]), right, bits)
+        order = np.argsort(own)
+        own, sums, owner = own[order], sums[order], owner[order].astype(np.int32)
+        k = int(np.searchsorted(own, len(hashes)))
+        place = np.full(len(hashes), -1, np.int32)
+        place[own[:k]] = np.arange(k)
+        grams, longer = grams[:, own[:k]], longer[:, own[k:] - len(hashes)]
+        out = [_row(schema, shard=r["shard"], words=words, named=wd.packed(grams[:2].ravel()), sums=wd.packed(sums[:k]), owner=wd.packed(owner[:k]), n_named=k)]
+        if len(own) > k:
+            more = {}
+            if words + 1 < most:
+                index = Index(wd.unpacked(r["forward"], r["n"]), wd.unpacked(r["backward"], r["n"]))
+                more = _twice(index, hashes_longer[own[k:] - len(hashes)], *longer[2:].astype(np.int64), words + 2 < most)
+            out.append(_row(schema, shard=r["shard"], words=words + 1, named=wd.packed(place[longer[:2]].ravel()), sums=wd.packed(sums[k:]),
+                            owner=wd.packed(owner[k:]), n_named=len(own) - k, **more))
+        return pa.concat_tables(out)
+
+    return rows.groupBy("shard").cogroup(kept.groupBy("shard")).applyInArrow(run, f"{_GROWN}, {_LEFT}")
+
+
+def _spelled(names: DataFrame, levels: DataFrame) -> DataFrame:
+    """The phrases, each from the first shard that has it. This shard has all their parts; a phrase of one word more that occurs as
+    often follows or precedes every occurrence, so the shard has it too."""
+    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("a", pa.int64()), ("heads", pa.list_(pa.int64())),
+                        ("tails", pa.list_(pa.int64())), ("closed", pa.bool_())])
 
-def _joined(rows: DataFrame, level: DataFrame, on: str, columns: dict[str, str]) -> DataFrame:
-    """``rows`` with ``columns`` of the phrase that their column ``on`` numbers; one phrase may have a third of all extensions."""
-    sizes = rows.groupBy(on).agg(F.count(F.lit(1)).alias("_size"))
-    groups = level.select(F.col("gid").alias(on), *[F.col(c).alias(a) for c, a in columns.items()]).join(sizes, on)
-    return attach(rows, groups, [on], "_size", max(1, rows.count())).drop("_size")
+    def run(own_rows: pa.Table, right: pa.Table) -> pa.Table:
+        if not own_rows.num_rows or not right.num_rows:
+            return schema.empty_table()
+        r = own_rows.to_pylist()[0]
+        spelled = pa.array(pa.decompress(r["spelled"], r["n_bytes"], "zstd", asbytes=True).decode().split("\n"), pa.large_string())
+        langs, lang_of = pa.array(r["langs"], pa.string()), wd.unpacked(r["lang_of"], r["n_gids"])
+        sums, heads, tails, owners = [wd.unpacked(r["f"], r["n_gids"], "<i8")], [None], [None], [None]
+        for x in sorted(right.to_pylist(), key=lambda x: x["words"]):
+            k = x["n_named"]
+            head, tail = wd.unpacked(x["named"], 2 * k).reshape(2, -1)
+            sums.append(wd.unpacked(x["sums"], k, "<i8"))
+            heads.append(head)
+            tails.append(tail)
+            owners.append(wd.unpacked(x["owner"], k) > 0)
+        out = []
+        for at in range(1, len(sums)):
+            own = np.flatnonzero(owners[at])
+            closed = np.ones(len(sums[at]), bool)
+            if at + 1 < len(sums):
+                for part in (heads[at + 1], tails[at + 1]):
+                    closed[part[sums[at][part] == sums[at + 1]]] = False
+            by_head, by_tail, words = [sums[at][own]], [sums[at][own]], []
+            first, last = own, own
+            for lower in range(at, 0, -1):
+                rest = last
+                for under in range(lower, 0, -1):  # the first word of what is left
+                    rest = heads[under][rest]
+                words.append(rest)
+                first, last = heads[lower][first], tails[lower][last]
+                by_head.insert(0, sums[lower - 1][first])
+                by_tail.append(sums[lower - 1][last])
+            words.append(last)
+            size = pa.array(np.arange(len(own) + 1, dtype=np.int32) * (at + 1))
+            counts = [pa.ListArray.from_arrays(size, pa.array(np.stack(x, axis=1).ravel())) for x in (by_head, by_tail)]
+            phrase = pc.binary_join_element_wise(*[spelled.take(pa.array(w)) for w in words], pa.scalar(" ", pa.large_string())).cast(pa.string())
+            out.append(pa.table([langs.take(pa.array(lang_of[words[0]])), phrase, pa.array(np.full(len(own), at + 1, np.int32)), pa.array(sums[at][own]), *counts,
+                                 pa.array(closed[own])], schema=schema))
+        return pa.concat_tables(out)
+
+    return names.groupBy("shard").cogroup(levels.groupBy("shard")).applyInArrow(
+        run, "lang string, phrase string, words int, a long, heads array<long>, tails array<long>, closed boolean")
 
 
 def phrase_counts(
@@ -304,36 +388,24 @@ def phrase_counts(
     word more that holds it occurs as often).
     """
     t = written(_shards(docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))), "phrase-shards")
-    totals = t.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("total"))
+    totals = written(t.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("total")), "phrase-langs")
     bits = block_bits(t.count())
-    mixed = written(_sequences(t, sieve(_word_lists(t, bits), min_count), bits), "phrase-words")
-    sequences = mixed.filter(F.col("ids").isNotNull()).select("shard", "ids", "n", "gids", "n_gids")
-    level = mixed.filter(F.col("word").isNotNull()).select("gid", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f",
-                                                           F.array("f").alias("heads"), F.array("f").alias("tails"))
-    mixed = written(_built(sequences, sieve(_pair_lists(sequences, bits), min_count), max_words, bits), "phrase-index")
-    indexes = mixed.filter(F.col("forward").isNotNull()).select("shard", "n", "forward", "backward")
-    rows = mixed.filter(F.col("forward").isNull()).drop("forward", "backward")
-    levels = []
-    for words in range(2, max_words + 1):
-        kept = written(_frequent(rows, ["prefix", "suffix"], min_count), f"phrase-{words}")
-        rows = _grown(indexes, kept.select("shard", "gid", "lo", "rlo", "n"))
-        named = _joined(kept.filter("key = gid").select("gid", "prefix", "suffix", "f"), level, "prefix",
-                        {"lang": "lang", "phrase": "_head", "heads": "_heads"})
-        named = _joined(named, level, "suffix", {"last": "last", "tails": "_tails"})
-        level = written(named.select("gid", "prefix", "suffix", "lang", F.concat_ws(" ", "_head", "last").alias("phrase"), "last", "f",
-                                     F.concat("_heads", F.array("f")).alias("heads"), F.concat(F.array("f"), "_tails").alias("tails")), f"phrase-names-{words}")
-        levels.append(level)
-    out = []
-    for words, level in enumerate(levels, 2):
-        if words < max_words:
-            longer = levels[words - 1]
-            both = longer.select(F.col("prefix").alias("gid"), "f").unionAll(longer.select(F.col("suffix").alias("gid"), "f"))
-            level = level.join(both.groupBy("gid").agg(F.max("f").alias("_most")), "gid", "left")
-            closed = F.coalesce(F.col("_most") < F.col("f"), F.lit(True))
-        else:
-            closed = F.lit(True)
-        out.append(level.select("lang", "phrase", F.lit(words).alias("words"), F.col("f").alias("a"), "heads", "tails", closed.alias("closed")))
-    return reduce(DataFrame.unionByName, out), totals
+    sequences = written(_sequences(t, sieve(_word_lists(t, bits), min_count), bits), "phrase-words")
+    dropped(t)
+    built = written(_built(sequences, sieve(_pair_lists(sequences, bits), min_count), max_words, bits), "phrase-index")
+    dropped(sequences)
+    grown, levels = built, []
+    for words in range(2, max_words + 1, 2):
+        rows = grown.select("shard", "gids", "n_gids", "grams", "size", "longer", "n_longer")
+        if words + 1 < max_words:
+            rows = rows.join(built.select("shard", "n", "forward", "backward"), "shard") if levels else built.drop(*[c for c, _ in _NAMES_TYPE])
+        some = written(_left(rows, sieve(_gram_lists(grown, bits), min_count), words, max_words, bits), f"phrase-{words}")
+        levels.append(some.filter("words IS NOT NULL").select("shard", "words", "named", "sums", "owner", "n_named"))
+        grown = some.filter("gids IS NOT NULL")
+    names = built.select("shard", "n_gids", *[c for c, _ in _NAMES_TYPE])
+    found = written(_spelled(names, reduce(DataFrame.unionAll, levels)), "phrase-names")
+    dropped(built)
+    return found, totals
 
 
 def collocations(

@@ -87,6 +87,26 @@ def test_phrases_of_nothing(spark, odd_docs, no_docs):
     assert none.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"] and none.count() == 0
 
 
+@pytest.mark.parametrize("most", [2, 3, 6])
+def test_phrases_travel_as_lists(spark, monkeypatch, most):
+    """A shard has a row for each round, however many phrases it has; phrases of other lengths are found too."""
+    monkeypatch.setattr(wd, "SHARD_TEXTS", 20)
+    rows = []
+
+    def watched(df, name):
+        out = written(df, name)
+        rows.append((name, out.count()))
+        return out
+
+    written = phrases.written
+    monkeypatch.setattr(phrases, "written", watched)
+    rnd = random.Random(7)
+    docs = [(" ".join(rnd.choice("abcdefg") for _ in range(30)), "en") for _ in range(100)]
+    got = {tuple(r) for r in phrases.collocations(spark.createDataFrame(docs, "text string, lang string").coalesce(1), min_count=4, max_words=most).collect()}
+    assert len(got) > 40 and got == brute_phrases(docs, 4, most, 2000)
+    assert all(n <= 10 for name, n in rows if name != "phrase-names")  # 5 shards, two lengths
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60))
 def test_index_extends_both_ways(ids):
