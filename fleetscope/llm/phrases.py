@@ -390,20 +390,20 @@ def phrase_counts(
     t = written(_shards(docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))), "phrase-shards")
     totals = written(t.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("total")), "phrase-langs")
     bits = block_bits(t.count())
-    sequences = written(_sequences(t, sieve(_word_lists(t, bits), min_count), bits), "phrase-words")
+    sequences = written(_sequences(t, sieve(_word_lists(t, bits), min_count), bits), "phrase-words", tidy=True)
     dropped(t)
-    built = written(_built(sequences, sieve(_pair_lists(sequences, bits), min_count), max_words, bits), "phrase-index")
+    built = written(_built(sequences, sieve(_pair_lists(sequences, bits), min_count), max_words, bits), "phrase-index", tidy=True)
     dropped(sequences)
     grown, levels = built, []
     for words in range(2, max_words + 1, 2):
         rows = grown.select("shard", "gids", "n_gids", "grams", "size", "longer", "n_longer")
         if words + 1 < max_words:
             rows = rows.join(built.select("shard", "n", "forward", "backward"), "shard") if levels else built.drop(*[c for c, _ in _NAMES_TYPE])
-        some = written(_left(rows, sieve(_gram_lists(grown, bits), min_count), words, max_words, bits), f"phrase-{words}")
+        some = written(_left(rows, sieve(_gram_lists(grown, bits), min_count), words, max_words, bits), f"phrase-{words}", tidy=True)
         levels.append(some.filter("words IS NOT NULL").select("shard", "words", "named", "sums", "owner", "n_named"))
         grown = some.filter("gids IS NOT NULL")
     names = built.select("shard", "n_gids", *[c for c, _ in _NAMES_TYPE])
-    found = written(_spelled(names, reduce(DataFrame.unionAll, levels)), "phrase-names")
+    found = written(_spelled(names, reduce(DataFrame.unionAll, levels)), "phrase-names", tidy=True)
     dropped(built)
     return found, totals
 

@@ -93,8 +93,8 @@ def test_phrases_travel_as_lists(spark, monkeypatch, most):
     monkeypatch.setattr(wd, "SHARD_TEXTS", 20)
     rows = []
 
-    def watched(df, name):
-        out = written(df, name)
+    def watched(df, name, **how):
+        out = written(df, name, **how)
         rows.append((name, out.count()))
         return out
 
