@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .bloom import Filter, marked
 from .components import components
 from .shingles import batches_of_sets, mix
-from .skew import attach
+from .skew import attach, few
 from .store import dropped, written
 
 WORDS = 5
@@ -46,6 +46,8 @@ SKETCH_WORDS = 8
 WIDE_WORDS = 32
 #: Members of a bucket compared with each other in one task.
 BLOCK = 20_000
+#: Pairs of sketches, and of whole sets, that one task compares.
+TASK_PAIRS, TASK_SETS = 50_000, 5_000
 #: Pairs checked for each document in the first pass, the closest by sketch; the others wait for the second pass.
 FIRST_CHECKS = 3
 
@@ -279,22 +281,56 @@ def _across(similarity: tuple[int, int]):
 
 
 def _links(pairs: DataFrame, features: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar; a wide sketch drops most others before the sets move."""
+    """The pairs (a, b; a written table) whose whole sets are similar; a wide sketch drops most others before the sets move."""
+    rows = pairs.count()
     num, den = similarity
     one = features.select(F.col("id").alias("a"), F.col("n").alias("_na"), F.col("wide").alias("_wa"))
     two = features.select(F.col("id").alias("b"), F.col("n").alias("_nb"), F.col("wide").alias("_wb"))
     # sizes that can link are within one power of two
     wide = _folded(F.col("_wa"), F.col("_wb")), _folded(F.col("_wb"), F.col("_wa"))
     _, may = _may_link(*wide, F.col("_na"), F.col("_nb"), similarity)
-    close = pairs.select("a", "b").join(one, "a").join(two, "b").filter(may).select("a", "b")
+    close = few(few(pairs.select("a", "b").join(one, "a"), rows, TASK_SETS).join(two, "b").filter(may).select("a", "b"), rows, TASK_SETS)
     one = features.select(F.col("id").alias("a"), F.col("elements").alias("_x"))
     two = features.select(F.col("id").alias("b"), F.col("elements").alias("_y"))
-    both = close.join(one, "a").join(two, "b")
+    both = few(few(close.join(one, "a"), rows, TASK_SETS).join(two, "b"), rows, TASK_SETS)
     common = F.size(F.array_intersect("_x", "_y")).cast("long")
     total = F.size("_x") + F.size("_y")
     return both.withColumn("_c", common).filter(F.col("_c") * den >= (total - F.col("_c")) * num).select("a", "b")
 
 
+def _same_ids(whole: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame | None:
+    """Links between the classes of each id that has texts of several classes; None if no id has."""
+    kinds = whole.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), *[f(k).alias(f"_{f.__name__}_{k}") for k in keys for f in (F.min, F.max)])
+    mixed = " OR ".join(f"_min_{k} != _max_{k}" for k in keys)
+    several = written(few(kinds.filter(mixed).select("id", "_n"), total), "several")
+    if not several.count():
+        return None
+    some = attach(whole, several, ["id"], "_n", total).filter("_n IS NOT NULL").drop("_n")
+    reps = written(attach(some, classes, keys, "copies", total).select("id", "rep").distinct(), "reps")
+    least = reps.groupBy("id").agg(F.min("rep").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    same = attach(reps, least, ["id"], "_n", total).filter(F.col("rep") != F.col("_least"))
+    same = written(same.select(F.col("rep").alias("a"), F.col("_least").alias("b")).distinct(), "same-ids")
+    dropped(reps)
+    return same
+
+
+def _tied(labelled: DataFrame, label: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """``labelled`` (class representatives with their component) after more ``links`` (a, b): only these are joined to components
+    again, as links between components."""
+    rows = links.count()
+    ends = links.join(label.select(F.col("node").alias("a"), F.col("label").alias("_la")), "a", "left")
+    ends = few(ends, rows).join(label.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b", "left")
+    ends = ends.select(F.coalesce("_la", "a").alias("a"), F.coalesce("_lb", "b").alias("b")).filter("a != b")
+    between = written(few(ends, rows), "links-between")
+    if not between.count():
+        return labelled
+    sizes = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    top = components(between).select(F.col("node").alias("component"), F.col("label").alias("_top"))
+    groups = written(few(sizes.join(top, "component", "left"), total), "components")
+    out = attach(labelled, groups, ["component"], "_n", total)
+    return out.withColumn("component", F.coalesce("_top", "component")).select(*labelled.columns)
+
+
 def linked(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY,
 ) -> DataFrame:
@@ -306,24 +342,21 @@ def linked(
     shapes = written(rows.mapInArrow(_shapes(words), "id long, n long, h1 long, h2 long"), "shapes")
     whole = shapes.filter((F.col("n") > 0) & F.col("id").isNotNull())
     keys = ["h1", "h2", "n"]
-    classes = written(whole.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     total = whole.count()
-    # an id with several texts ties their classes together
-    reps = written(attach(whole, classes, keys, "copies", total).select("id", "rep").distinct(), "reps")
-    least = reps.groupBy("id").agg(F.min("rep").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    same = attach(reps, least, ["id"], "_n", total).filter(F.col("rep") != F.col("_least"))
-    same = written(same.select(F.col("rep").alias("a"), F.col("_least").alias("b")).distinct(), "same-ids")
-    dropped(reps)
+    classes = written(few(whole.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), total), "classes")
+    same = _same_ids(whole, classes, keys, total)
 
     signed = rows.filter(F.col("id").isNotNull()).mapInArrow(_signed_rows(words, similarity), "sig long, node long")
     ordered = signed.repartition("sig").sortWithinPartitions("sig", "node")
     members = written(ordered.mapInArrow(_members, "sig long, node long, first long, prev long"), "members")
+    n_pairs = 2 * members.count()
     near = members.select(F.col("node").alias("x"), F.col("first").alias("y")).unionByName(members.select(F.col("node").alias("x"), F.col("prev").alias("y")))
     ids = classes.select(F.col("h1").alias("x"), F.col("rep").alias("a"))
     others = classes.select(F.col("h1").alias("y"), F.col("rep").alias("b"))
-    pairs = near.filter("x != y").distinct().join(ids, "x").join(others, "y").select("a", "b").filter("a != b")
-    wanted = members.select("node").distinct().join(classes.select(F.col("h1").alias("node"), "rep"), "node").select("rep").distinct()
-    wanted = written(wanted, "wanted")
+    pairs = few(few(near.filter("x != y").distinct(), n_pairs, TASK_PAIRS).join(ids, "x"), n_pairs, TASK_PAIRS).join(others, "y")
+    pairs = few(pairs.select("a", "b").filter("a != b"), n_pairs, TASK_PAIRS)
+    wanted = few(members.select("node").distinct(), total).join(classes.select(F.col("h1").alias("node"), "rep"), "node").select("rep")
+    wanted = written(few(wanted, total), "wanted")
     some = Filter(wanted.select(F.xxhash64("rep").alias("h")), wanted.count(), least=1)
     hashed = rows.withColumn("h", F.xxhash64("id"))
     features = written(
@@ -335,17 +368,18 @@ def linked(
     one = small.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = small.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     apart, may = _may_link(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), similarity)
-    close = pairs.join(one, "a").join(two, "b").filter(may).select("a", "b", apart.alias("apart"))
+    close = few(pairs.join(one, "a"), n_pairs, TASK_PAIRS).join(two, "b").filter(may).select("a", "b", apart.alias("apart"))
+    close = few(close, n_pairs, TASK_PAIRS)
     closest = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
-    checked = close.withColumn("_k", closest).filter(F.col("_k") <= FIRST_CHECKS)
-    first_links = written(_links(checked, features, similarity).unionByName(same), "first-links")
-    label = written(components(first_links), "labels")
+    checked = written(few(close.withColumn("_k", closest).filter(F.col("_k") <= FIRST_CHECKS).select("a", "b"), n_pairs, TASK_PAIRS), "checked")
+    first_links = _links(checked, features, similarity)
+    if same is not None:
+        first_links = first_links.unionByName(same)
+    label = written(components(written(first_links, "first-links")), "labels")
 
     node = F.coalesce(F.col("label"), F.col("rep"))
-    placed = (
-        members.select("sig", F.col("node").alias("h1")).join(classes.select("h1", "rep"), "h1").join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("sig", "rep", node.alias("label"))
-    )
+    placed = few(members.select("sig", F.col("node").alias("h1")).join(classes.select("h1", "rep"), "h1"), n_pairs, TASK_PAIRS)
+    placed = few(placed.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", node.alias("label")), n_pairs, TASK_PAIRS)
     open_buckets = (
         placed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo != hi")
         .select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -358,13 +392,15 @@ def linked(
     )
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes but many comparisons: not coalesced
     across = mixed.repartition(tasks, "sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(_across(similarity), "a long, b long")
-    more_links = _links(written(across.distinct(), "across").select("a", "b"), features, similarity)
-    label = written(components(written(first_links.unionByName(more_links), "links")), "labels")
+    across = written(across.distinct(), "across")
+    labelled = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, "copies", "rep", node.alias("component"))
+    if across.count():
+        more_links = written(_links(across, features, similarity), "links")
+        labelled = _tied(labelled, label, more_links, total)
     dropped(features)
     dropped(members)
 
-    final = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, "copies", "rep", node.alias("component"))
-    found = attach(whole, final, keys, "copies", total).select("id", "n", "rep", "component")
+    found = attach(whole, labelled, keys, "copies", total).select("id", "n", "rep", "component")
     alone = shapes.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("rep"), F.col("id").alias("component"))
     return found.unionByName(alone).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("component").alias("component_id")

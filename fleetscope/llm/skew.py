@@ -1,4 +1,4 @@
-"""Joining rows back to a per-key table when one key may hold a third of the rows."""
+"""Joining rows back to a per-key table when one key may hold a third of the rows; tasks by the number of rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 #: Keys with at least this share of the rows count as heavy; there can be no more than its inverse of them.
 HEAVY_SHARE = 1 / 1000
+#: Rows that one task of :func:`few` takes.
+TASK_ROWS = 50_000
+
+
+def few(df: DataFrame, rows: int, each: int = TASK_ROWS) -> DataFrame:
+    """``df`` (about ``rows`` rows) in no more tasks than one for ``each`` rows, or one a core: a shuffle of few rows has as many
+    partitions as one of many, and a task costs more than its rows then."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // each + 1))
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
