@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -274,6 +275,43 @@ def test_mixing_many_segments_equals_one_by_one(monkeypatch):
     np.testing.assert_allclose(got, [one_by_one(model, t) for t in texts], rtol=2e-4)
 
 
+def test_mixing_few_segments_and_words_at_a_time(monkeypatch):
+    """The tables of the text are followed for a few segments and steps, and words are spelled in parts; both change no score."""
+    rnd = random.Random(5)
+    words = [b"the", b"then", b"of", "é中".encode(), b"a" * 60, b"zebra", b"\n"]
+    texts = [[rnd.randrange(6) for _ in range(n)] + [6] for n in (0, 1, 3, 90, 400, 20, 700)]
+    flat, text = np.array(sum(texts, []), np.int64), np.repeat(np.arange(len(texts)), list(map(len, texts)))
+    model = toy_model(words[:5] + words[-1:], [9, 3, 30, 1, 700, 4])
+    monkeypatch.setattr(context_mixing, "SEGMENT_WORDS", 50)
+    for spelled, lanes, own, steps in ((8000, 256, 64, 16), (2, 7, 3, 4), (1, 4, 1, 1)):
+        for name, value in (("SPELLED_WORDS", spelled), ("LANES", lanes), ("OWN_LANES", own), ("OWN_STEPS", steps)):
+            monkeypatch.setattr(context_mixing, name, value)
+        model.spelled(words)
+        np.testing.assert_allclose(model.bits(flat, text, len(texts)), [one_by_one(model, t) for t in texts], rtol=2e-4)
+
+
+def test_mixing_holds_the_tables_of_few_segments():
+    """The tables of 1024 segments are 64 MB, which no cache holds."""
+    words = [b"the", b"of", b"\n"]
+    model = toy_model(words, [9, 3, 4])
+    model.spelled(words)
+    flat, text = np.tile([0, 1, 0, 2], 1024), np.repeat(np.arange(1024), 4)
+    tracemalloc.start()
+    try:
+        model.bits(flat, text, 1024)
+        assert tracemalloc.get_traced_memory()[1] < 24e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_mixing_splits_texts_in_parts(monkeypatch):
+    texts = pa.array(["", "One two", " ", "é 中\n", "", "three"] * 7, pa.large_string())
+    monkeypatch.setattr(context_mixing, "SPLIT_BYTES", 8)
+    for some in (texts, texts.slice(5, 4), texts.slice(0, 1)):
+        for got, want in zip(context_mixing._split(some), wd.split(some, context_mixing.SPACES, b""), strict=True):
+            np.testing.assert_array_equal(got, want)
+
+
 def test_mixing_is_a_distribution_over_symbols():
     """After any begin, the probabilities of all 256 next symbols sum to 1: the model learns after a word, not within."""
     firsts = [s for s in range(256) if s not in (10, 32)]
